@@ -62,7 +62,7 @@ class Rule:
 def _points(spec: Column) -> Column:
     parts = F.split(F.regexp_replace(F.coalesce(spec, F.lit("")), r"[^0-9,;\-]", ""), "[,;]")
     values = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.coalesce(
-        F.try_to_number(F.regexp_extract(p, r"^-?\d+", 0), F.lit("S9999999")).cast("int"), F.lit(0)))
+        F.regexp_extract(p, r"^-?\d+", 0).try_cast("int"), F.lit(0)))
     return F.slice(values, 1, (F.floor(F.size(values) / 2) * 2).cast("int"))
 
 
@@ -477,7 +477,7 @@ def speed_events(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     fired = _sustained(items, keys, F.col("over"), was, "ok_ts", _limit_ms(picked, "speed_seconds"))
     metre = setting("px_per_meter")
     return _events(fired, F.when(metre > 0, F.format_string("%.1fkm/h", F.col("ema") / metre * 3.6))
-                   .otherwise(F.format_string("%.0fpx/s", "ema")))
+                   .otherwise(F.format_string("%.0fpx/s", F.bround("ema", 0))))
 
 
 # all rules -----------------------------------------------------------------------------

@@ -105,7 +105,7 @@ class Tables:
 
 TRACKED = """tracked AS (
   SELECT *, "left" + w AS "right", top + h AS bottom FROM (
-    SELECT event_id, user_id % 4 AS source, epoch_ms(ts) AS ts_ms, user_id + 1 AS track_id,
+    SELECT event_id, user_id % 4 AS source, epoch_us(ts) // 1000 AS ts_ms, user_id + 1 AS track_id,
       CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2
         WHEN 'signup' THEN 3 ELSE 4 END AS cls,
       event_id % 10 <> 0 AS confirmed,
@@ -143,7 +143,7 @@ BOXES = """boxes AS (
     FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem)))"""
 
 EVENT_LOG = """event_log AS (
-  SELECT event_id + 1 AS id, epoch_ms(ts) AS recv_ts,
+  SELECT event_id + 1 AS id, epoch_us(ts) // 1000 AS recv_ts,
     '{"task":"' || ['detect','pose','obb','seg'][user_id % 4 + 1] || '","event":"' || kind || '"' ||
     CASE WHEN kind = 'rule_events' THEN ',"rule_type":"' || rule || '"' ELSE '' END ||
     CASE WHEN event_id % 3 <> 0 THEN ',"snapshot":"snapshot_' || event_id || '.jpg"' ELSE '' END ||
