@@ -1,5 +1,6 @@
 """The registered queries, each next to the SQL that must give the same rows."""
 from framelens.workload.registry import ORACLES, QUERIES
 from framelens.workload import rules as _rules  # noqa: F401
+from framelens.workload import detections as _detections  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

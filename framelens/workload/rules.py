@@ -61,7 +61,7 @@ def _first_after(limit_ms: int) -> str:
 runs AS (SELECT *, sum(CASE WHEN was AND inside THEN 0 ELSE 1 END)
     OVER (PARTITION BY source, track_id ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS g FROM held),
 began AS (SELECT *, min(ts_ms) OVER (PARTITION BY source, track_id, g) AS t0 FROM runs WHERE inside),
-late AS (SELECT *, row_number() OVER (PARTITION BY source, track_id, g ORDER BY ts_ms) AS n
+late AS (SELECT *, row_number() OVER (PARTITION BY source, track_id, g ORDER BY ts_ms) AS nth
   FROM began WHERE ts_ms - t0 >= {limit_ms})"""
 
 
@@ -134,7 +134,7 @@ def rul2(t: Tables):
 
 @query("rul3_dwell", ROWS + "," + _ok() + "," + _first_after(86400000) + f"""
 SELECT source, ts_ms, 'zone_stay' AS rule_id, track_id, cls, {SECONDS.format('(ts_ms - t0)')} AS detail
-FROM late WHERE n = 1""")
+FROM late WHERE nth = 1""")
 def rul3(t: Tables):
     return _out(R.dwell_events(R.region_rows(_rows(t), [DWELL], [(0, DWELL)], None), [DWELL]))
 
@@ -205,7 +205,7 @@ def rul6(t: Tables):
 @query("rul7_fall", FRAMES + ", r AS (SELECT *, h > 1 AND w / h >= 1.1 AS inside FROM lived)," + _ok("confirmed")
        + "," + _first_after(3600000) + f"""
 SELECT source, ts_ms, 'fallen' AS rule_id, track_id, cls, {SECONDS.format('(ts_ms - t0)')} AS detail
-FROM late WHERE n = 1""")
+FROM late WHERE nth = 1""")
 def rul7(t: Tables):
     return _out(R.fall_events(_rows(t), [FALL]))
 
@@ -224,7 +224,7 @@ ema AS (
 @query("rul8_speed", EMA_SQL + ", r AS (SELECT *, ema >= 0.01 AS inside FROM ema)," + _ok() + ","
        + _first_after(7200000) + """
 SELECT source, ts_ms, 'fast' AS rule_id, track_id, cls, format('{:.1f}km/h', ema / 0.001 * 3.6) AS detail
-FROM late WHERE n = 1""")
+FROM late WHERE nth = 1""")
 def rul8(t: Tables):
     return _out(R.speed_events(_rows(t), [SPEED]))
 
