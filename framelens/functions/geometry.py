@@ -137,9 +137,18 @@ def flat_polygon(values: Column) -> Column:
         F.array().cast("array<struct<x: double, y: double>>"))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once (expressions inside lambdas are not shared)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _turned(items: Column) -> Column:
+    """The array moved on by one, so position i meets its successor."""
+    return F.concat(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 1, 1))
+
+
 def signed_area(poly: Column) -> Column:
-    turn = F.concat(F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0))), F.slice(poly, 1, 1))
-    return F.aggregate(F.zip_with(poly, turn, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]),
+    return F.aggregate(F.zip_with(poly, _turned(poly), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]),
                        F.lit(0.0), lambda acc, v: acc + v) / 2
 
 
@@ -148,47 +157,46 @@ def polygon_area(poly: Column) -> Column:
     return F.abs(signed_area(poly))
 
 
+_POINTS = "array<struct<x: double, y: double>>"
+
+
 def clip_convex(subject: Column, clip: Column) -> Column:
     """Intersection polygon of ``subject`` with a convex ``clip`` polygon.
 
     A fold over the clip edges: each edge keeps the points on its inner side and adds the
     cut points. The clip polygon may wind either way.
     """
-    turn = F.concat(F.slice(clip, 2, F.greatest(F.size(clip) - 1, F.lit(0))), F.slice(clip, 1, 1))
-    sign = F.signum(signed_area(clip))
-    edges = F.zip_with(clip, turn, lambda a, b: F.struct(a.alias("a"), b.alias("b"), sign.alias("s")))
-
     def cut(poly: Column, e: Column) -> Column:
-        def side(p):
-            return e["s"] * cross_of(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"], p["x"], p["y"])
-
         marked = F.transform(poly, lambda p: F.struct(
-            p["x"].alias("x"), p["y"].alias("y"), side(p).alias("d")))
-        before = F.concat(F.slice(marked, -1, 1), F.slice(
-            marked, 1, F.greatest(F.size(marked) - 1, F.lit(0))))
+            p["x"].alias("x"), p["y"].alias("y"),
+            (e["nx"] * (p["x"] - e["x"]) + e["ny"] * (p["y"] - e["y"])).alias("d")))
 
-        def step(pair: Column) -> Column:
-            p, q = pair["p"], pair["q"]
+        def step(p: Column, q: Column) -> Column:
+            here = F.struct(p["x"], p["y"])
             t = p["d"] / (p["d"] - q["d"])
-            meet = point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t)
-            here = point(q["x"], q["y"])
-            crosses = (p["d"] >= 0) != (q["d"] >= 0)
-            return (F.when((q["d"] >= 0) & crosses, F.array(meet, here))
-                    .when(q["d"] >= 0, F.array(here))
-                    .when(crosses, F.array(meet))
-                    .otherwise(F.array().cast("array<struct<x: double, y: double>>")))
+            meet = F.struct((p["x"] + (q["x"] - p["x"]) * t).alias("x"), (p["y"] + (q["y"] - p["y"]) * t).alias("y"))
+            stays, leaves = p["d"] >= 0, (p["d"] >= 0) != (q["d"] >= 0)
+            return (F.when(~leaves, F.when(stays, F.array(here)).otherwise(F.array().cast(_POINTS)))
+                    .when(stays, F.array(here, meet)).otherwise(F.array(meet)))
+
+        return bind(marked, lambda m: F.flatten(F.zip_with(m, _turned(m), step)))
 
-        pairs = F.zip_with(before, marked, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-        return F.when(F.size(poly) > 0, F.flatten(F.transform(pairs, step))).otherwise(poly)
+    def edges(shape: Column) -> Column:
+        # inner normal of every edge; the winding sign is computed once
+        return bind(F.signum(signed_area(shape)), lambda s: F.zip_with(
+            shape, _turned(shape), lambda a, b: F.struct(
+                a["x"].alias("x"), a["y"].alias("y"), (s * (a["y"] - b["y"])).alias("nx"),
+                (s * (b["x"] - a["x"])).alias("ny"))))
 
-    return F.aggregate(edges, subject, cut)
+    return F.aggregate(bind(clip, edges), subject, cut)
 
 
 def polygon_iou(a: Column, b: Column) -> Column:
     """Overlap of two convex polygons; 0 when they do not meet or have no area."""
-    inter = polygon_area(clip_convex(a, b))
-    union = polygon_area(a) + polygon_area(b) - inter
-    return F.when((inter > 0) & (union > 0), inter / union).otherwise(F.lit(0.0))
+    def ratio(inter: Column) -> Column:
+        return bind(polygon_area(a) + polygon_area(b) - inter, lambda union: F.when(
+            (inter > 0) & (union > 0), inter / union).otherwise(F.lit(0.0)))
+    return bind(bind(clip_convex(a, b), polygon_area), ratio)
 
 
 def oriented_bounds(x: Column, y: Column, w: Column, h: Column, angle: Column) -> Box:

@@ -38,7 +38,8 @@ def extract_verdict(reply: Column) -> Column:
 
 def classify_verdict(text: Column) -> Column:
     """Class of a stored verdict: its JSON verdict, else by keyword, else text or unparsed."""
-    found = F.when(is_json_object(text), F.get_json_object(text, "$.verdict"))
+    member = F.try_variant_get(F.when(is_json_object(text), F.try_parse_json(text)), "$.verdict", "variant")
+    found = F.when(F.schema_of_variant(member) == "STRING", F.get_json_object(text, "$.verdict"))
     return (F.when(found.isNotNull(), found)
             .when(text.contains(FALSE_ALARM_WORD), "false_positive")
             .when(text.contains(DEFECT_WORD), "real_defect")

@@ -2,5 +2,6 @@
 from framelens.workload.registry import ORACLES, QUERIES
 from framelens.workload import rules as _rules  # noqa: F401
 from framelens.workload import detections as _detections  # noqa: F401
+from framelens.workload import events as _events  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -54,9 +54,9 @@ def nested(t: Tables, boxes=None):
 
 @query("flt1_roi_filter", BOXES + """
 SELECT frame, det_idx FROM (SELECT *, "left" + "right" AS x, top + bottom AS y FROM boxes)
-WHERE y >= 80 AND 5 * x + 2 * y <= 1360 AND 5 * x - 2 * y >= -160 + 0""")
+WHERE y >= 80 AND 5 * x + 2 * y <= 2560 AND 5 * x - 2 * y >= -160""")
 def flt1(t: Tables):
-    # triangle (10,40) (30,40)..: doubled edges give the linear forms above
+    # the triangle's edges in doubled coordinates are the linear forms above
     return FL.roi_filter(t.boxes, "0,40;240,40;120,340").select(*KEEP)
 
 
@@ -283,7 +283,7 @@ def fn3(t: Tables):
 
 @query("fn4_point_in_polygon", BOXES + """
 SELECT cls, count(*) AS n FROM (SELECT *, "left" + "right" AS x, top + bottom AS y FROM boxes)
-WHERE (x BETWEEN 40 AND 200 AND y BETWEEN 100 AND 300) AND NOT (x > 100 AND x < 200 AND y > 200 AND y <= 300)
+WHERE (x BETWEEN 40 AND 200 AND y BETWEEN 100 AND 300) AND NOT (x > 100 AND y > 200)
 GROUP BY cls""")
 def fn4(t: Tables):
     # an L shape, so the test is not convex
@@ -355,7 +355,7 @@ def sup1(t: Tables):
     return S.top_k(t.boxes, 12).select(*KEEP, "rank")
 
 
-@query("sup2_class_nms", BOXES + "," + greedy_sql(pairs_sql(iou_sql("a", "b") + " > 0.45", "AND a.cls = b.cls"), "b.frame, b.cls".replace("b.", "b."))
+@query("sup2_class_nms", BOXES + "," + greedy_sql(pairs_sql(iou_sql("a", "b") + " > 0.45", "AND a.cls = b.cls"), "b.frame, b.cls")
        .replace("SELECT b.frame, b.cls, unnest", "SELECT frame, cls, unnest") + " SELECT frame, det_idx FROM kept")
 def sup2(t: Tables):
     return S.nms(t.boxes, 0.45).select(*KEEP)
