@@ -59,7 +59,7 @@ def speed_text(px_per_s: Column, px_per_meter: float) -> Column:
 
 def percent_text(value: Column) -> Column:
     """Share times 100 with one decimal, ``-`` when missing."""
-    return F.coalesce(F.format_string("%.1f", F.round(value * 1000) / 10), F.lit("-"))
+    return F.when(value.isNotNull(), F.format_string("%.1f", F.round(value * 1000) / 10)).otherwise("-")
 
 
 def event_type(body: Column, default: str) -> Column:

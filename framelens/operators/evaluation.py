@@ -139,9 +139,8 @@ def match_frames(dets: DataFrame, gts: DataFrame, overlap: Callable[[Column, Col
         "rank", "score", "det_order", "area", *extra_d))).alias("_d"))
     g = gts.groupBy("image", "cat").agg(F.array_sort(F.collect_list(F.struct(
         "gt_idx", "area", "crowd", "ignore", *extra_g))).alias("_g"))
-    none = F.slice(F.col("_g"), 1, 0)
-    rows = d.join(g, ["image", "cat"], "left").withColumn("_g", F.coalesce("_g", F.expr("slice(_g, 1, 0)"), F.array().cast(
-        g.schema["_g"].dataType)))
+    rows = d.join(g, ["image", "cat"], "left").withColumn(
+        "_g", F.coalesce("_g", F.array().cast(g.schema["_g"].dataType)))
     rows = rows.withColumn("_d", F.transform("_d", lambda x: F.struct(
         x["rank"].alias("rank"), x["score"].alias("score"), x["det_order"].alias("det_order"), x["area"].alias("area"),
         F.transform("_g", lambda y: overlap(x, y)).alias("ious"))))
@@ -236,7 +235,7 @@ def rle_spans(counts: Column, x: Column, y: Column, w: Column, h: Column, frame_
     A run may go on over several box rows; it is cut at row ends.
     """
     ends = F.aggregate(counts, F.array().cast("array<int>"), lambda acc, c: F.array_append(
-        acc, F.coalesce(F.element_at(acc, -1), F.lit(0)) + c))
+        acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + c))
     runs = F.filter(F.transform(ends, lambda e, i: F.struct(
         (e - F.get(counts, i)).alias("s"), F.least(e, w * h).alias("e"), (i % 2).alias("on"))),
         lambda r: (r["on"] == 1) & (r["e"] > r["s"]))
@@ -258,7 +257,8 @@ def spans_overlap(d: Column, g: Column) -> Column:
     inter = F.aggregate(d["spans"], F.lit(0), lambda acc, s: acc + F.aggregate(
         F.filter(g["spans"], lambda q: (q["row"] == s["row"]) & (q["a"] < s["b"]) & (q["b"] > s["a"])), F.lit(0),
         lambda t, q: t + F.least(s["b"], q["b"]) - F.greatest(s["a"], q["a"])))
-    return F.when(Box.field(d).area * 0 + intersection(Box.field(d), Box.field(g)) > 0, bind(
+    # boxes first: most pairs do not touch
+    return F.when(intersection(Box.field(d), Box.field(g)) > 0, bind(
         inter, lambda i: F.when(g["crowd"] == 1, i / d["area"]).otherwise(i / (d["area"] + g["area"] - i)))).otherwise(0.0)
 
 
