@@ -56,6 +56,9 @@ def iou(a: Box, b: Box, floor: float = 1e-6) -> Column:
     """Intersection over union; 0 when the union is not above ``floor`` (0 for the NMS form)."""
     inter = intersection(a, b)
     union = a.area + b.area - inter
+    if floor == 0:
+        # one division, no branch: this runs inside per-frame folds
+        return F.coalesce(F.try_divide(inter.cast("double"), union), F.lit(0.0))
     return F.when(union > floor, inter / union).otherwise(F.lit(0.0))
 
 

@@ -57,12 +57,12 @@ def oriented_matches(best: DataFrame, thresholds: Sequence[float] = THRESHOLDS)
     The best truth does not depend on the threshold. A detection claims it at thresholds that
     its overlap reaches and no better-scored claimant of that truth has reached.
     """
-    claimed = best.where("gt_idx is not null")
-    w = (W.partitionBy("image", "cls", "gt_idx").orderBy(F.desc("score"), "det_order")
+    # a detection without any overlap is a claimant of its own
+    claim = F.when(F.col("gt_idx").isNull(), F.struct(F.lit(1).alias("free"), F.col("det_order").cast("long").alias("key"))).otherwise(
+        F.struct(F.lit(0).alias("free"), F.col("gt_idx").cast("long").alias("key")))
+    w = (W.partitionBy("image", "cls", claim).orderBy(F.desc("score"), "det_order")
          .rowsBetween(W.unboundedPreceding, -1))
-    claimed = claimed.withColumn("_before", F.max("iou").over(w))
-    rest = best.where("gt_idx is null").withColumn("_before", F.lit(None).cast("double"))
-    out = claimed.unionByName(rest)
+    out = best.withColumn("_before", F.max("iou").over(w))
     hit = F.col("gt_idx").isNotNull()
 
     def flags(test: Callable[[float], Column]) -> Column:
@@ -104,9 +104,11 @@ def average_precision(points: DataFrame, npos: DataFrame, keys: Sequence[str], n
         *keys, "thr_no", "npos", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce(mean, F.lit(0.0)).alias("ap"))
 
 
-def oriented_ap(dets: DataFrame, gts: DataFrame, overlap: Callable[[Column, Column], Column] = polygon_iou,
+def oriented_ap(dets: DataFrame, gts: DataFrame, overlap: Callable[[Column, Column], Column] | None = None,
                 shape: str = "poly", thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
-    """AP per class and threshold; classes without countable truth are left out."""
+    """AP per class and threshold (polygons unless told otherwise); classes without truth are left out."""
+    if overlap is None:
+        dets, gts, overlap, shape = with_bounds(dets), with_bounds(gts), bounded_polygon_iou, "shape"
     npos = gts.groupBy("cls").agg(F.count_if(F.col("difficult") != 1).alias("npos"))
     matches = oriented_matches(best_truth(dets, gts, overlap, shape), thresholds)
     matches = staged(matches.select("cls", "score", "det_order", "tp", "fp"))
@@ -120,6 +122,20 @@ def mean_ap(ap: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFram
     return by.agg(F.max(F.when(F.col("thr_no") == 0, F.col("m"))).alias("map50"), F.avg("m").alias("map50_95"))
 
 
+def with_bounds(rows: DataFrame) -> DataFrame:
+    """Add ``shape``: the polygon with its bounds, for a cheap test before the clip."""
+    xs, ys = F.transform("poly", lambda p: p["x"]), F.transform("poly", lambda p: p["y"])
+    return rows.withColumn("shape", F.struct(
+        "poly", F.array_min(xs).alias("left"), F.array_min(ys).alias("top"),
+        F.array_max(xs).alias("right"), F.array_max(ys).alias("bottom")))
+
+
+def bounded_polygon_iou(a: Column, b: Column) -> Column:
+    """Polygon overlap of two shapes; the clip runs only when their bounds meet."""
+    meets = intersection(Box.field(a), Box.field(b)) > 0
+    return F.when(meets, polygon_iou(a["poly"], b["poly"])).otherwise(0.0)
+
+
 # EVL1 - EVL3 ---------------------------------------------------------------------------
 
 def match_frames(dets: DataFrame, gts: DataFrame, overlap: Callable[[Column, Column], Column],
@@ -141,40 +157,46 @@ def match_frames(dets: DataFrame, gts: DataFrame, overlap: Callable[[Column, Col
         "gt_idx", "area", "crowd", "ignore", *extra_g))).alias("_g"))
     rows = d.join(g, ["image", "cat"], "left").withColumn(
         "_g", F.coalesce("_g", F.array().cast(g.schema["_g"].dataType)))
+    lowest = min(thresholds)
+
+    def candidates(x: Column) -> Column:
+        """Truth that some threshold could match; few remain, and the folds only see these."""
+        scored = F.transform("_g", lambda y, j: F.struct(
+            overlap(x, y).alias("iou"), j.alias("j"), y["area"].alias("area"), y["crowd"].alias("crowd"), y["ignore"].alias("ignore")))
+        return F.filter(scored, lambda c: c["iou"] >= lowest)
+
     rows = rows.withColumn("_d", F.transform("_d", lambda x: F.struct(
         x["rank"].alias("rank"), x["score"].alias("score"), x["det_order"].alias("det_order"), x["area"].alias("area"),
-        F.transform("_g", lambda y: overlap(x, y)).alias("ious"))))
-    rows = rows.withColumn("_g", F.transform("_g", lambda y, j: F.struct(
-        j.alias("j"), y["area"].alias("area"), y["crowd"].alias("crowd"), y["ignore"].alias("ignore"))))
+        candidates(x).alias("near"))))
 
-    def codes(lo: float, hi: float, thr: float) -> Column:
+    def codes(case: Column) -> Column:
         """Codes of all detections of the group for one area range and threshold."""
-        def skip(y: Column) -> Column:
-            return (y["ignore"] == 1) | (y["area"] < lo) | (y["area"] > hi)
+        lo, hi, thr = case["lo"], case["hi"], case["thr"]
 
         def step(acc: Column, x: Column) -> Column:
-            def best(ignored: bool) -> Column:
-                free = F.filter("_g", lambda y: (skip(y) == F.lit(ignored)) & (F.get(x["ious"], y["j"]) >= thr)
-                                & ((y["crowd"] == 1) | ~F.array_contains(acc["taken"], y["j"])))
-                return F.array_max(F.transform(free, lambda y: F.struct(F.get(x["ious"], y["j"]).alias("iou"), y["j"].alias("j"))))
+            free = F.filter(x["near"], lambda c: (c["iou"] >= thr) & (
+                (c["crowd"] == 1) | ~F.array_contains(acc["taken"], c["j"])))
+            # countable truth sorts above ignored truth
+            best = F.array_max(F.transform(free, lambda c: F.struct(
+                ((c["ignore"] != 1) & c["area"].between(lo, hi)).alias("counts"), c["iou"].alias("iou"), c["j"].alias("j"))))
 
             def settle(pick: Column) -> Column:
-                real, other = pick["real"], pick["other"]
-                code = (F.when(real.isNotNull(), 1).when(other.isNotNull(), -1)
-                        .when((x["area"] < lo) | (x["area"] > hi), -1).otherwise(0))
-                took = F.coalesce(real["j"], other["j"])
-                return F.struct(F.when(took.isNull(), acc["taken"]).otherwise(F.array_append(acc["taken"], took)).alias("taken"),
+                code = (F.when(pick["counts"], 1).when(pick.isNotNull() | ~x["area"].between(lo, hi), -1).otherwise(0))
+                return F.struct(F.when(pick.isNull(), acc["taken"]).otherwise(F.array_append(acc["taken"], pick["j"])).alias("taken"),
                                 F.array_append(acc["codes"], code).alias("codes"))
-            return bind(F.struct(best(False).alias("real"), best(True).alias("other")), settle)
+            return bind(best, settle)
 
         empty = F.array().cast("array<int>")
         return F.aggregate("_d", F.struct(empty.alias("taken"), empty.alias("codes")), step, lambda a: a["codes"])
 
-    per_area = [F.array(*[codes(lo, hi, t) for t in thresholds]).alias(name) for name, (lo, hi) in areas.items()]
-    out = rows.select("image", "cat", "_d", *per_area)
-    return out.select("image", "cat", F.posexplode("_d").alias("_i", "_x"), *areas).select(
+    # one fold expression, run over the cases: area range by threshold
+    cases = F.array(*[F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.lit(float(t)).alias("thr"))
+                      for lo, hi in areas.values() for t in thresholds])
+    out = rows.select("image", "cat", "_d", F.transform(cases, codes).alias("_codes"))
+    n = len(thresholds)
+    return out.select("image", "cat", F.posexplode("_d").alias("_i", "_x"), "_codes").select(
         "image", "cat", "_x.rank", "_x.score", "_x.det_order",
-        *[F.transform(F.col(a), lambda v: F.get(v, F.col("_i"))).alias(a) for a in areas])
+        *[F.transform(F.slice("_codes", i * n + 1, n), lambda v: F.get(v, F.col("_i"))).alias(a) for i, a in enumerate(areas)])
 
 
 def coco_cells(matches: DataFrame, gts: DataFrame, n: int, areas: dict = AREAS,

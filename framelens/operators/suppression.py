@@ -80,7 +80,7 @@ def rotated_nms(dets: DataFrame, threshold: float, keys: Sequence[str] = ("frame
 def flag_duplicates(dets: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Mark near-duplicates (same class, overlap at least the threshold); all rows stay."""
     keys = ("frame", "cls")
-    kept = _greedy(F.col("_all"), _boxes_overlap(threshold, inclusive=True, floor=1e-6))
+    kept = _greedy(F.col("_all"), _boxes_overlap(threshold, inclusive=True))
     flagged = (_ranked(dets, keys).withColumn("_ids", F.transform(kept, lambda k: k["det_idx"]))
                .select(*keys, "_ids", F.inline("_all")))
     return flagged.withColumn("suppressed", ~F.array_contains("_ids", F.col("det_idx"))).select(

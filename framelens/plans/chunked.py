@@ -56,10 +56,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     before = totals.select(*keys, chunk, *[
         _FOLD[kind][0](f"_t_{name}").over(earlier).alias(f"_b_{name}")
         for name, (kind, _) in aggs.items()])
-    out = df
-    for name, (kind, col) in aggs.items():
-        out = out.withColumn(f"_l_{name}", _FOLD[kind][0](col).over(local))
-    out = out.join(before, [*keys, chunk], "left")
+    out = df.select("*", *[_FOLD[kind][0](col).over(local).alias(f"_l_{name}")
+                           for name, (kind, col) in aggs.items()]).join(before, [*keys, chunk], "left")
     return out.select(*df.columns, *[
         _FOLD[kind][1](F.col(f"_b_{name}"), F.col(f"_l_{name}")).alias(name)
         for name, (kind, _) in aggs.items()])

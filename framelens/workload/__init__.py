@@ -4,5 +4,6 @@ from framelens.workload import rules as _rules  # noqa: F401
 from framelens.workload import detections as _detections  # noqa: F401
 from framelens.workload import events as _events  # noqa: F401
 from framelens.workload import evaluation as _evaluation  # noqa: F401
+from framelens.workload import depth_pose as _depth_pose  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
