@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.functions.geometry import Box
+from framelens.functions.geometry import Box, bind
 
 # fixed values: sampling bound per box, width prior, depth cap, report bins, class sizes
 MAX_SAMPLES = 4096
@@ -165,8 +165,12 @@ def box_3d(b: Box, z: Column, p2: Sequence[float], yaw_deg: float = 0.0) -> Colu
 CORNERS = [(1, 1, 1), (1, 1, -1), (-1, 1, -1), (-1, 1, 1), (1, -1, 1), (1, -1, -1), (-1, -1, -1), (-1, -1, 1)]
 
 
-def project_corners(item: Column, p2: Sequence[float]) -> Column:
+def project_corners(box: Column, p2: Sequence[float]) -> Column:
     """Image points of the eight corners, null when one lies behind the camera."""
+    return bind(box, lambda item: _corners(item, p2))
+
+
+def _corners(item: Column, p2: Sequence[float]) -> Column:
     p = [float(v) for v in p2]
     fx, fy, cx, cy = p[0], p[5], p[2], p[6]
     if not (fx > 0 and fy > 0):
@@ -178,14 +182,18 @@ def project_corners(item: Column, p2: Sequence[float]) -> Column:
 
     def corner(k: Column) -> Column:
         ahead, up, aside = k["l"] * item["l3"], k["h"] * item["h3"], k["w"] * item["w3"]
-        x, y, z = c * ahead + s * aside + centre["x"], up + centre["y"], c * aside - s * ahead + item["z"]
-        depth = x * p[8] + y * p[9] + z * p[10] + p[11]
-        return F.when(depth > 1e-3, F.struct(
-            ((x * p[0] + y * p[1] + z * p[2] + p[3]) / depth).alias("x"),
-            ((x * p[4] + y * p[5] + z * p[6] + p[7]) / depth).alias("y")))
-    points = F.transform(signs, corner)
+        at = F.struct((c * ahead + s * aside + centre["x"]).alias("x"), (up + centre["y"]).alias("y"),
+                      (c * aside - s * ahead + item["z"]).alias("z"))
+
+        def image(q: Column) -> Column:
+            depth = q["x"] * p[8] + q["y"] * p[9] + q["z"] * p[10] + p[11]
+            return bind(depth, lambda d: F.when(d > 1e-3, F.struct(
+                ((q["x"] * p[0] + q["y"] * p[1] + q["z"] * p[2] + p[3]) / d).alias("x"),
+                ((q["x"] * p[4] + q["y"] * p[5] + q["z"] * p[6] + p[7]) / d).alias("y"))))
+        return bind(at, image)
+
     ok = (item["z"] > 0) & (item["l3"] > 0) & (item["h3"] > 0) & (item["w3"] > 0)
-    return F.when(ok & ~F.exists(points, lambda q: q.isNull()), points)
+    return F.when(ok, bind(F.transform(signs, corner), lambda pts: F.when(~F.exists(pts, lambda q: q.isNull()), pts)))
 
 
 def wireframes(ground: DataFrame, p2: Sequence[float], min_depth: float = 8.0) -> DataFrame:

@@ -19,15 +19,23 @@ from framelens.plans.chunked import CHUNK, with_chunk
 _LOW = -(2 ** 62)
 
 
-def _exits(pdf: pd.DataFrame, interval: int) -> list[tuple[int, int]]:
+def _exits(ts: np.ndarray, interval: int) -> list[dict]:
     """Step table (last entry time, exit time) of one chunk, equal exits merged."""
-    ts = np.sort(pdf["_ts"].to_numpy())
     nxt = np.searchsorted(ts, ts + interval, side="left")
     exit_at = np.empty(len(ts), dtype=np.int64)
     for i in range(len(ts) - 1, -1, -1):
         exit_at[i] = exit_at[nxt[i]] if nxt[i] < len(ts) else ts[i] + interval
     last = np.append(np.flatnonzero(np.diff(exit_at)), len(ts) - 1)
-    return [(int(ts[i]), int(exit_at[i])) for i in last]
+    return [{"upto": int(ts[i]), "leave": int(exit_at[i])} for i in last]
+
+
+def _replay(ts: np.ndarray, entry: int, interval: int) -> list[int]:
+    """Times kept in one chunk when nothing before ``entry`` may be kept."""
+    out, i = [], int(np.searchsorted(ts, entry, side="left"))
+    while i < len(ts):
+        out.append(int(ts[i]))
+        i = int(np.searchsorted(ts, ts[i] + interval, side="left"))
+    return out
 
 
 def throttle(df: DataFrame, keys: Sequence[str], ts: str, interval: int,
@@ -36,19 +44,18 @@ def throttle(df: DataFrame, keys: Sequence[str], ts: str, interval: int,
 
     Of rows with equal key and time only the first in ``tie`` order can pass.
     """
-    length = chunk_length or interval * 256
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}"
-                      for f in df.schema.fields if f.name in keys)
-    times = with_chunk(df.groupBy(*keys, F.col(ts).cast("long").alias("_ts")).agg(
-        F.min(F.struct(*tie) if tie else F.lit(1)).alias("_tie")), "_ts", length)
+    @F.pandas_udf("array<struct<upto: long, leave: long>>")
+    def steps_of(times: pd.Series) -> pd.Series:
+        return times.map(lambda t: _exits(t, interval))
 
-    def tables(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[[0]][[*keys, CHUNK]].reset_index(drop=True)
-        head["_steps"] = [[{"upto": a, "leave": b} for a, b in _exits(pdf, interval)]]
-        return head
+    @F.pandas_udf("array<long>")
+    def kept_of(times: pd.Series, entry: pd.Series) -> pd.Series:
+        return pd.Series([_replay(t, int(e), interval) for t, e in zip(times, entry)], dtype=object)
 
-    steps = times.select(*keys, CHUNK, "_ts").groupBy(*keys, CHUNK).applyInPandas(
-        tables, f"{names}, {CHUNK} long, _steps array<struct<upto: long, leave: long>>")
+    # one row per chunk with its distinct times: at most `chunk_length` of them
+    distinct = with_chunk(df.groupBy(*keys, F.col(ts).cast("long").alias("_ts")).agg(
+        F.min(F.struct(*tie) if tie else F.lit(1)).alias("_tie")), "_ts", chunk_length or interval * 256)
+    chunks = distinct.groupBy(*keys, CHUNK).agg(F.array_sort(F.collect_list("_ts")).alias("_times"))
 
     def enter(acc: Column, item: Column) -> Column:
         hit = F.filter(item["_steps"], lambda s: s["upto"] >= acc["at"])
@@ -58,24 +65,14 @@ def throttle(df: DataFrame, keys: Sequence[str], ts: str, interval: int,
 
     start = F.struct(F.lit(_LOW).cast("long").alias("at"),
                      F.array().cast(f"array<struct<{CHUNK}: bigint, _entry: bigint>>").alias("out"))
-    entries = (steps.groupBy(*keys)
+    entries = (chunks.select(*keys, CHUNK, steps_of("_times").alias("_steps")).groupBy(*keys)
                .agg(F.array_sort(F.collect_list(F.struct(CHUNK, "_steps"))).alias("_all"))
                .select(*keys, F.inline(F.aggregate("_all", start, enter, lambda a: a["out"]))))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ts")
-        stamps, at, keep = pdf["_ts"].to_numpy(), int(pdf["_entry"].iloc[0]), []
-        i = int(np.searchsorted(stamps, at, side="left"))
-        while i < len(stamps):
-            keep.append(i)
-            i = int(np.searchsorted(stamps, stamps[i] + interval, side="left"))
-        return pdf.iloc[keep][[*keys, "_ts"]]
-
-    kept = (times.select(*keys, CHUNK, "_ts").join(entries, [*keys, CHUNK])
-            .groupBy(*keys, CHUNK).applyInPandas(replay, f"{names}, _ts long"))
-    first = kept.join(times.drop(CHUNK), [*keys, "_ts"])
-    if tie:
-        rows = df.withColumn("_ts", F.col(ts).cast("long")).withColumn("_tie", F.struct(*tie))
-        return rows.join(first, [*keys, "_ts", "_tie"], "left_semi").drop("_ts", "_tie")
-    return df.withColumn("_ts", F.col(ts).cast("long")).join(
-        kept, [*keys, "_ts"], "left_semi").drop("_ts")
+    kept = (chunks.join(entries, [*keys, CHUNK])
+            .select(*keys, F.explode(kept_of("_times", "_entry")).alias("_ts")))
+    rows = df.withColumn("_ts", F.col(ts).cast("long"))
+    if not tie:
+        return rows.join(kept, [*keys, "_ts"], "left_semi").drop("_ts")
+    first = kept.join(distinct.drop(CHUNK), [*keys, "_ts"])
+    return rows.withColumn("_tie", F.struct(*tie)).join(
+        first, [*keys, "_ts", "_tie"], "left_semi").drop("_ts", "_tie")

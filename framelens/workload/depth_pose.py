@@ -1,6 +1,7 @@
 """Depth, 3-D, pose, decode, cascade and sampling queries."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from framelens.functions import decode as D
@@ -385,7 +386,7 @@ def pos1(t: Tables):
 
 @query("pos2_window_tensor", WINDOWS + """
 SELECT source, track_id, frame, round(sum(coalesce(("left" - ("left" + "left" + w) / 2) / greatest(w, h, 1), 0)
-   + coalesce(("left" + 1 - ("left" + "left" + w) / 2) / greatest(w, h, 1), 0)) * 10000) / 10000 AS sum_x,
+   + coalesce(("left" + 1 - ("left" + "left" + w) / 2) / greatest(w, h, 1), 0)) * 1000000) / 1000000 AS sum_x,
   CAST(count("left") AS DOUBLE) AS sum_score FROM w GROUP BY source, track_id, frame, life""")
 def pos2(t: Tables):
     poses, frames = pose_rows(t)
@@ -394,15 +395,13 @@ def pos2(t: Tables):
     def total(start, n):
         return F.aggregate(F.slice("tensor", start, n), F.lit(0.0), lambda a, v: a + v)
     size = T_LEN * 2
-    return ten.select("source", "track_id", "frame", fixed(total(1, size)).alias("sum_x"), total(2 * size + 1, size).alias("sum_score"))
+    return ten.select("source", "track_id", "frame", fixed(total(1, size), 6).alias("sum_x"), total(2 * size + 1, size).alias("sum_score"))
 
 
 @query("pos4_action_scores", WINDOWS + """,
 c AS (SELECT source, track_id, frame, life, count("left") AS n FROM w GROUP BY ALL)
 SELECT source, track_id, frame, CASE WHEN n > 2 THEN 1 ELSE 0 END AS action, round(1 / (1 + exp(-abs(n - 2.0::DOUBLE) * 1)) * 10000) / 10000 AS score FROM c""")
 def pos4(t: Tables):
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def model(tensor: pd.Series) -> pd.Series:
         # a stand-in model: favours class 1 when more than two slots are filled
