@@ -1,10 +1,10 @@
 """Dataset preparation: id normalisation, checks, tiling, pairing, diffs and batches."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.functions.geometry import Box, box_polygon, clip_convex, flat_polygon, polygon_area
+from framelens.functions.geometry import Box, bind, box_polygon, clip_convex, flat_polygon, polygon_area
 from framelens.operators.evaluation import category_mapping
 from framelens.plans.numbering import global_row_number
 
@@ -99,10 +99,18 @@ def clip_to_tiles(objects: DataFrame, tiles: DataFrame, size: int, gap: int, kee
         F.col("cy") == F.greatest(F.floor(F.col("t") / cell), F.floor(F.col("y0") / cell)))
     pairs = oc.join(tc, ["image_id", "cx", "cy"]).where(meets & own)
     tile = box_polygon(Box(F.col("x0"), F.col("y0"), F.col("x0") + size, F.col("y0") + size))
-    cut = pairs.withColumn("cut", clip_convex(F.col("pts"), tile)).withColumn("inside", polygon_area(F.col("cut")))
-    local = F.transform("cut", lambda p: F.struct((p["x"] - F.col("x0")).alias("x"), (p["y"] - F.col("y0")).alias("y")))
-    return cut.where((F.size("cut") >= 3) & (F.col("inside") > 0) & (F.col("inside") / F.col("full") >= keep)).select(
-        "image_id", "obj_no", "x0", "y0", "inside", local.alias("poly"))
+    whole = (F.col("l") >= F.col("x0")) & (F.col("t") >= F.col("y0")) & (F.col("r") <= F.col("x0") + size) & (
+        F.col("b") <= F.col("y0") + size)
+
+    def checked(cut: Column) -> Column:
+        """The local polygon and its area in a one-element array, empty when too little is inside."""
+        local = F.transform(cut, lambda p: F.struct((p["x"] - F.col("x0")).alias("x"), (p["y"] - F.col("y0")).alias("y")))
+        return bind(polygon_area(cut), lambda a: F.filter(
+            F.array(F.struct(a.alias("inside"), local.alias("poly"))),
+            lambda s: (F.size(s["poly"]) >= 3) & (s["inside"] > 0) & (s["inside"] / F.col("full") >= keep)))
+    # unnesting the array keeps the clip in one place: a filter on it would run the clip again
+    cut = bind(F.when(whole, F.col("pts")).otherwise(clip_convex(F.col("pts"), tile)), checked)
+    return pairs.select("image_id", "obj_no", "x0", "y0", F.inline(cut))
 
 
 def pair_files(images: DataFrame, labels: DataFrame, first: int | None = None) -> DataFrame:

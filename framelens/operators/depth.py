@@ -199,8 +199,9 @@ def _corners(item: Column, p2: Sequence[float]) -> Column:
 def wireframes(ground: DataFrame, p2: Sequence[float], min_depth: float = 8.0) -> DataFrame:
     """Detections with ground distance ``meters`` to corner points; closer ones are dropped."""
     far = ground.where(F.col("meters") >= min_depth)
-    item = far.withColumn("item", box_3d(Box.of(), F.col("meters"), p2)).where("item is not null")
-    return item.withColumn("corners", project_corners(F.col("item"), p2)).where("corners is not null")
+    points = project_corners(box_3d(Box.of(), F.col("meters"), p2), p2)
+    # unnesting drops the nulls without projecting twice
+    return far.select("*", F.explode(F.array_compact(F.array(points))).alias("corners"))
 
 
 def _lower_median(value: str) -> Column:

@@ -94,12 +94,11 @@ def aerial_polygons(lines: DataFrame, classes: Sequence[str] = AERIAL_CLASSES) -
     return rows.where(~F.exists("poly", lambda v: v.isNull()) & F.col("cls").isin(*classes))
 
 
-def read_voc(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """XML annotations: one row per object with corner box; unknown names and empty boxes are invalid."""
+def voc_objects(docs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """XML texts (``value``): one row per object with its corner box; unknown names and empty boxes are invalid."""
     box = "struct<xmin: double, ymin: double, xmax: double, ymax: double>"
-    raw = (spark.read.format("xml").option("rowTag", "annotation")
-           .schema(f"filename string, object array<struct<name: string, bndbox: {box}>>").load(path))
-    rows = raw.select("filename", F.posexplode("object").alias("obj_no", "o"))
+    raw = docs.select(F.from_xml("value", f"filename string, object array<struct<name: string, bndbox: {box}>>").alias("a"))
+    rows = raw.select("a.filename", F.posexplode("a.object").alias("obj_no", "o"))
     x, y = F.col("o.bndbox.xmin"), F.col("o.bndbox.ymin")
     w, h = F.col("o.bndbox.xmax") - x, F.col("o.bndbox.ymax") - y
     known = F.array(*[F.lit(n) for n in names])
@@ -109,6 +108,11 @@ def read_voc(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
                        (~F.coalesce((cls >= 0) & (w > 0) & (h > 0), F.lit(False))).alias("invalid"))
 
 
+def read_voc(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """Annotation files, one image each."""
+    return voc_objects(spark.read.text(path, wholetext=True), names)
+
+
 def labelme_objects(docs: DataFrame, classes: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Polygon files (``path`` + fields) to objects and the class list.
 

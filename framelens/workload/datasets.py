@@ -96,9 +96,7 @@ def src8(t: Tables):
     name = F.element_at(F.array(F.lit("cat"), F.lit("dog"), F.lit("cow")), (F.col("l_suppkey") % 3 + 1).cast("int"))
     xml = F.concat(F.lit("<annotation><filename>im"), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey"), F.lit("</filename><object><name> "), name,
                    F.lit(" </name><bndbox><xmin>5</xmin><ymin>6</ymin><xmax>"), F.col("l_linenumber") + 4, F.lit("</xmax><ymax>20</ymax></bndbox></object></annotation>"))
-    path = scratch_path(t.spark, "voc")
-    li.select(xml).write.text(path)
-    return A.read_voc(t.spark, path, ["cat", "dog"]).select("filename", "cls", "invalid", "w")
+    return A.voc_objects(li.select(xml.alias("value")), ["cat", "dog"]).select("filename", "cls", "invalid", "w")
 
 
 @query("src9_labelme_polygons", """
