@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framelens.functions.geometry import Box, bind, box_polygon, clip_convex, flat_polygon, polygon_area
 from framelens.operators.evaluation import category_mapping
 from framelens.plans.numbering import global_row_number
+from framelens.plans.spread import spread
 
 # fixed value: space kept free on the target
 SPARE_BYTES = 1 << 30
@@ -97,7 +98,9 @@ def clip_to_tiles(objects: DataFrame, tiles: DataFrame, size: int, gap: int, kee
     # of the shared cells only the first counts, so no pair comes twice
     own = (F.col("cx") == F.greatest(F.floor(F.col("l") / cell), F.floor(F.col("x0") / cell))) & (
         F.col("cy") == F.greatest(F.floor(F.col("t") / cell), F.floor(F.col("y0") / cell)))
-    pairs = oc.join(tc, ["image_id", "cx", "cy"]).where(meets & own)
+    # both sides are as large as the dataset: shuffled by cell, never broadcast
+    cell_keys = ["image_id", "cx", "cy"]
+    pairs = spread(oc, *cell_keys).join(spread(tc, *cell_keys).hint("shuffle_hash"), cell_keys).where(meets & own)
     tile = box_polygon(Box(F.col("x0"), F.col("y0"), F.col("x0") + size, F.col("y0") + size))
     whole = (F.col("l") >= F.col("x0")) & (F.col("t") >= F.col("y0")) & (F.col("r") <= F.col("x0") + size) & (
         F.col("b") <= F.col("y0") + size)

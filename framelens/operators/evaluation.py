@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from framelens.functions.geometry import Box, bind, intersection, iou, polygon_area, polygon_iou
 from framelens.plans.chunked import CHUNK, running
+from framelens.plans.spread import spread
 from framelens.session import staged
 
 # fixed values: overlap thresholds, recall grid, area ranges, keypoint falloffs
@@ -41,6 +42,7 @@ def oriented_inputs(dets: DataFrame, gts: DataFrame, patches: DataFrame) -> tupl
 def best_truth(dets: DataFrame, gts: DataFrame, overlap: Callable[[Column, Column], Column],
                shape: str = "poly") -> DataFrame:
     """Each detection with its best-overlapping truth of the same image and class (first on ties)."""
+    dets, gts = spread(dets, "image", "cls"), spread(gts, "image", "cls")
     truth = gts.groupBy("image", "cls").agg(F.array_sort(F.collect_list(
         F.struct("gt_idx", "difficult", F.col(shape).alias("shape")))).alias("_g"))
     scored = F.transform("_g", lambda g: F.struct(
@@ -150,6 +152,7 @@ def match_frames(dets: DataFrame, gts: DataFrame, overlap: Callable[[Column, Col
     extra_d = [c for c in dets.columns if c not in ("image", "cat", "score", "det_order", "area")]
     extra_g = [c for c in gts.columns if c not in ("image", "cat", "gt_idx", "area", "crowd", "ignore")]
     w = W.partitionBy("image", "cat").orderBy(F.desc("score"), "det_order")
+    dets, gts = spread(dets, "image", "cat"), spread(gts, "image", "cat")
     ranked = dets.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_dets)
     d = ranked.groupBy("image", "cat").agg(F.array_sort(F.collect_list(F.struct(
         "rank", "score", "det_order", "area", *extra_d))).alias("_d"))

@@ -204,6 +204,11 @@ def _per_rule(rows: DataFrame, rules: Sequence[Rule], fields) -> DataFrame:
     return rows.select("*", F.inline(F.array_compact(F.array(*items))))
 
 
+def rules_by_rows(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Every tracked row with each rule that accepts its class, in one pass over the rows."""
+    return _per_rule(rows, list(enumerate(rules)), lambda r: {})
+
+
 def _pick(rules: Sequence[Rule], *types: str) -> list[tuple[int, Rule]]:
     return [(i, r) for i, r in enumerate(rules) if r.type in types]
 

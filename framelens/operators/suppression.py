@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelens.functions.geometry import Box, iou, polygon_iou
+from framelens.plans.spread import spread
 
 
 def top_k(dets: DataFrame, k: int = 128, keys: Sequence[str] = ("frame",)) -> DataFrame:
@@ -25,7 +26,7 @@ def _ranked(dets: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) ->
     """One row per key with its candidates best first."""
     rest = [c for c in dets.columns if c not in keys and c not in ("score", "det_idx")]
     item = F.struct((-F.col("score")).alias("neg"), "det_idx", "score", *rest, *extra)
-    return dets.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    return spread(dets, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
 
 
 def _greedy(ranked: Column, overlaps: Callable[[Column, Column], Column],

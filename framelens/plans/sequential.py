@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from framelens.plans.spread import spread
+
 
 def ordered_pass(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str,
                  start: Callable[[], object],
@@ -32,5 +34,5 @@ def ordered_pass(df: DataFrame, keys: Sequence[str], order: Sequence[str], schem
                 if len(out):
                     yield out
 
-    return (df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return (spread(df, *keys).sortWithinPartitions(*keys, *order)
             .mapInPandas(run, schema))

@@ -11,6 +11,7 @@ from framelens.operators import depth as P
 from framelens.operators import pose as O
 from framelens.operators import sampling as SA
 from framelens.workload.detections import BOXES, KEEP, nested
+from framelens.workload.events import greedy_throttle
 from framelens.workload.registry import query
 from framelens.workload.views import TRACKED, Tables, big, fixed
 
@@ -446,6 +447,12 @@ def frm1_interval(t: Tables):
     return SA.one_per_interval(t.tracked.select("source", "ts_ms", "event_id"), 7200000)
 
 
+@query("frm1_at_most_rate", "WITH RECURSIVE " + TRACKED + """,
+f AS (SELECT DISTINCT source, ts_ms, 0 AS id FROM tracked),""" + greedy_throttle("f", "source", 5000000) + " SELECT source, ts_ms FROM chain")
+def frm1_rate(t: Tables):
+    return SA.at_most(t.tracked.select("source", "ts_ms").distinct(), 0.0002)
+
+
 @query("frm2_balanced_poses", BOXES + """,
 f AS (SELECT frame, count(*) FILTER (score > 0.95) AS people FROM boxes GROUP BY frame),
 k AS (SELECT *, CASE WHEN people >= 2 THEN 1 WHEN people = 1 THEN 0 ELSE 2 END AS kind FROM f),

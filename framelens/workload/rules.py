@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framelens.operators import rules as R
 from framelens.workload.registry import query
-from framelens.workload.views import FRAMES, Tables, big
+from framelens.workload.views import FRAMES, TRACKED, Tables, big
 
 DAY = 86_400_000
 SCALE = {"stale_ms": DAY, "chunk_ms": 5 * DAY}
@@ -340,3 +340,11 @@ def win3(t: Tables):
     start = (F.col("inside") & ~F.col("was_inside")).cast("long")
     return running(items, ["source", "track_id"], ["ts_ms"], {"visit": ("sum", start)}).select(
         "source", "track_id", "ts_ms", "visit")
+
+
+@query("jn11_rules_by_rows", TRACKED + """
+SELECT rule_id, count(*) AS n FROM (
+  SELECT 'zone_in' AS rule_id FROM tracked WHERE cls IN (0, 1, 2) UNION ALL SELECT 'zone_empty' FROM tracked WHERE cls IN (2, 4)
+  UNION ALL SELECT 'zone_stay' FROM tracked) GROUP BY rule_id""")
+def jn11(t: Tables):
+    return R.rules_by_rows(t.tracked, [INTRUDE, ABSENT, DWELL]).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))

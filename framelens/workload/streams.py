@@ -11,8 +11,8 @@ from framelens.streaming import stateful as S
 from framelens.streaming import windows as SW
 from framelens.workload.datasets import camera_frames
 from framelens.workload.events import ALERTS, INCOMING, alerts, greedy_throttle, incoming
-from framelens.workload.registry import query
-from framelens.workload.rules import ABSENT, CROSS, CROWD, DAY, DWELL, FALL, INTRUDE, LINE, SCALE
+from framelens.workload.registry import ORACLES, query
+from framelens.workload.rules import ABSENT, CROSS, CROWD, DAY, INTRUDE, LINE, SCALE
 from framelens.workload.views import EVENT_LOG, TRACKED, Tables
 
 
@@ -23,17 +23,17 @@ def str1(t: Tables):
     return out.select("source", "ts_ms", "track_id", "detail")
 
 
-@query("str1_all_rules_equal_batch", """
-SELECT 0::BIGINT AS differences""")
-def str1_all(t: Tables):
-    # the stream and the batch form must raise the same events
-    rules = [LINE, INTRUDE, ABSENT, DWELL, CROWD, FALL]
-    live = SW.run_available(S.stream_rules(SW.as_stream(t.tracked, "ts_ms"), rules, DAY))
-    batch = R.rule_events(t.tracked, rules, **SCALE)
-    cols = R.EVENT_COLUMNS
-    both = live.select(*cols, F.lit(1).alias("n")).unionByName(batch.select(*cols, F.lit(-1).alias("n")))
-    per = both.groupBy(*cols).agg(F.sum("n").alias("n")).where("n <> 0")
-    return per.agg(F.count(F.lit(1)).alias("differences"))
+@query("str1_many_rules", ORACLES["set2_rule_event_union"])
+def str1_many(t: Tables):
+    live = SW.run_available(S.stream_rules(SW.as_stream(t.tracked, "ts_ms"), [LINE, ABSENT, CROWD], DAY))
+    return live.groupBy("source", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("str3_state_expiry", ORACLES["rul2_intrusion"])
+def str3(t: Tables):
+    # forgotten tracks enter the region anew, so the events show that state expires
+    live = SW.run_available(S.stream_rules(SW.as_stream(t.tracked, "ts_ms"), [INTRUDE], DAY))
+    return live.select("source", "ts_ms", "rule_id", "track_id", "cls", "detail")
 
 
 @query("str2_stateful_tracker")

@@ -1,0 +1,65 @@
+"""Tracker behaviour on moving boxes, and the assignment against brute force."""
+import itertools
+
+import numpy as np
+
+from framelens.operators import tracking as TR
+
+SCHEMA = "source int, frame long, det_idx long, cls long, score double, left long, top long, right long, bottom long"
+
+
+def box(frame, x, y=50, i=0, score=.9, cls=0, source=0):
+    return (source, frame, i, cls, score, x, y, x + 40, y + 60)
+
+
+def test_assignment_is_optimal():
+    rng = np.random.default_rng(0)
+    for n, m in ((3, 3), (2, 5), (5, 3), (4, 4)):
+        cost = rng.random((n, m))
+        got = TR._assign(cost)
+        total = sum(cost[r, c] for r, c in enumerate(got) if c >= 0)
+        small, big = (cost, m) if n <= m else (cost.T, n)
+        best = min(sum(small[r, c] for r, c in enumerate(p)) for p in itertools.permutations(range(big), len(small)))
+        assert abs(total - best) < 1e-9
+
+
+def ids(spark, rows, **kw):
+    out = TR.track(spark.createDataFrame(rows, SCHEMA), TR.TrackerSettings(**kw)).where("det_idx >= 0").collect()
+    return {(r.frame, r.det_idx): r for r in out}
+
+
+def test_ids_stay_and_confirm_at_three(spark):
+    rows = [box(f, 10 + 4 * f) for f in range(8)] + [box(f, 400 - 4 * f, i=1) for f in range(8)]
+    for algo in TR.LEVELS:
+        got = ids(spark, rows, algorithm=algo)
+        assert len({got[(f, 0)].track_id for f in range(8)}) == 1 and len({got[(f, 1)].track_id for f in range(8)}) == 1
+        assert [got[(f, 0)].is_confirmed for f in range(4)] == [False, False, True, True]
+
+
+def test_relink_after_occlusion(spark):
+    rows = [box(f, 100) for f in range(5)] + [box(f, 118) for f in range(12, 15)]
+    got = ids(spark, rows)
+    assert got[(4, 0)].track_id == got[(12, 0)].track_id
+
+
+def test_duplicates_keep_their_row_without_id(spark):
+    rows = [r for f in range(4) for r in (box(f, 100), box(f, 101, i=1, score=.6))]
+    got = ids(spark, rows)
+    assert all(got[(f, 1)].track_id == -1 for f in range(4))
+
+
+def test_low_scores_start_no_track(spark):
+    got = ids(spark, [box(f, 100, score=.3) for f in range(4)])
+    assert {r.track_id for r in got.values()} == {-1}
+
+
+def test_quiet_gap_cuts_and_ids_continue(spark):
+    rows = [box(f, 100) for f in range(4)] + [box(f, 100) for f in range(60, 64)]
+    got = ids(spark, rows)
+    assert got[(3, 0)].track_id == 1 and got[(60, 0)].track_id == 2
+
+
+def test_predicted_row_after_a_miss(spark):
+    rows = [box(f, 100) for f in range(5)] + [box(9, 100)]
+    out = TR.track(spark.createDataFrame(rows, SCHEMA)).where("is_predicted").collect()
+    assert [r.frame for r in out] == [5]
