@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.functions.geometry import Box, bind, box_polygon, clip_convex, flat_polygon, polygon_area
+from framelens.functions.geometry import Box, bind, box_polygon, clip_convex, point, polygon_area
 from framelens.operators.evaluation import category_mapping
 from framelens.plans.numbering import global_row_number
 from framelens.plans.spread import spread
@@ -77,17 +77,19 @@ def tile_origins(images: DataFrame, size: int, gap: int) -> DataFrame:
 
 
 def clip_to_tiles(objects: DataFrame, tiles: DataFrame, size: int, gap: int, keep: float = 0.5) -> DataFrame:
-    """Objects (``image_id, obj_no, poly`` flat) cut to the tiles that hold enough of their area.
+    """Four-corner objects (``image_id, obj_no, poly`` flat) cut to the tiles that hold enough of their area.
 
     Tiles meet objects by image and grid cell: a tile names the cells it covers, an object the
     cells of its bounds, so an image with very many tiles does not pair all of both.
     """
     cell = size
-    xs = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get("poly", i * 2))
-    ys = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get("poly", i * 2 + 1))
-    o = objects.withColumn("l", F.array_min(xs)).withColumn("t", F.array_min(ys)).withColumn(
-        "r", F.array_max(xs)).withColumn("b", F.array_max(ys)).withColumn("pts", flat_polygon(F.col("poly")))
-    o = o.withColumn("full", polygon_area(F.col("pts"))).where("full > 0")
+    # four corners, written out: plain arithmetic stays in generated code
+    xs, ys = [F.get("poly", F.lit(i)) for i in (0, 2, 4, 6)], [F.get("poly", F.lit(i)) for i in (1, 3, 5, 7)]
+    twice = sum((xs[i] * ys[(i + 1) % 4] - xs[(i + 1) % 4] * ys[i] for i in range(4)), F.lit(0.0))
+    o = objects.select(
+        "image_id", "obj_no", F.least(*xs).alias("l"), F.least(*ys).alias("t"), F.greatest(*xs).alias("r"),
+        F.greatest(*ys).alias("b"), F.array(*[point(x, y) for x, y in zip(xs, ys)]).alias("pts"),
+        (F.abs(twice) / 2).alias("full")).where("full > 0")
 
     def cells(df: DataFrame, x1, x2, y1, y2) -> DataFrame:
         df = df.withColumn("cx", F.explode(F.sequence(F.floor(x1 / cell), F.floor(x2 / cell))))
