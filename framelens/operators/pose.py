@@ -75,6 +75,9 @@ def window_tensor(windows: DataFrame, joints: int, image_size: tuple[int, int] |
 
 def score_actions(windows: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
     """Action of each window: ``model`` (a pandas UDF) gives class values, then the top class."""
+    # kept out of the lambdas of top1: a Python function cannot run inside one
+    if hasattr(model, "asNondeterministic"):
+        model = model.asNondeterministic()
     best = top1(F.col("_values"))
     return (windows.withColumn("_values", model(F.col("tensor"))).withColumn("_best", best)
             .select("source", "track_id", "frame", F.col("_best.cls").alias("action"), F.col("_best.score").alias("score")))
