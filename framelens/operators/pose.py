@@ -1,8 +1,9 @@
 """Skeleton windows of tracked poses, and scoring of the windows by a user model."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,14 +74,23 @@ def window_tensor(windows: DataFrame, joints: int, image_size: tuple[int, int] |
     return windows.withColumn("tensor", F.concat(plane(0), plane(1), plane(2)))
 
 
-def score_actions(windows: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
-    """Action of each window: ``model`` (a pandas UDF) gives class values, then the top class."""
-    # kept out of the lambdas of top1: a Python function cannot run inside one
-    if hasattr(model, "asNondeterministic"):
-        model = model.asNondeterministic()
-    best = top1(F.col("_values"))
-    return (windows.withColumn("_values", model(F.col("tensor"))).withColumn("_best", best)
-            .select("source", "track_id", "frame", F.col("_best.cls").alias("action"), F.col("_best.score").alias("score")))
+def score_actions(windows: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """Action of each window: ``model`` maps tensors to class values, then the top class is taken.
+
+    The model runs on Arrow batches as a step of its own, so it never ends up inside the
+    lambdas of the scoring expression.
+    """
+    keys = ["source", "track_id", "frame"]
+    kinds = dict(windows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[keys].assign(_values=model(batch["tensor"]))
+
+    values = windows.select(*keys, "tensor").mapInPandas(
+        run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", _values array<double>")
+    return (values.withColumn("_best", top1(F.col("_values")))
+            .select(*keys, F.col("_best.cls").alias("action"), F.col("_best.score").alias("score")))
 
 
 def stable_presence(frames: DataFrame, flag: str = "present", last: int = 4) -> DataFrame:

@@ -403,7 +403,6 @@ def pos2(t: Tables):
 c AS (SELECT source, track_id, frame, life, count("left") AS n FROM w GROUP BY ALL)
 SELECT source, track_id, frame, CASE WHEN n > 2 THEN 1 ELSE 0 END AS action, round(1 / (1 + exp(-abs(n - 2.0::DOUBLE) * 1)) * 10000) / 10000 AS score FROM c""")
 def pos4(t: Tables):
-    @F.pandas_udf("array<double>")
     def model(tensor: pd.Series) -> pd.Series:
         # a stand-in model: favours class 1 when more than two slots are filled
         filled = tensor.map(lambda v: float(sum(v[-T_LEN * 2:])))
