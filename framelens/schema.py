@@ -38,5 +38,6 @@ SUMMARY = ("kind string, AP double, AP50 double, AP75 double, AP_small double, A
            "AP_large double, AR_max double, AR_20 double, mAP50 double, mAP50_95 double, "
            "AP50_per_class map<string, double>")
 
-METRICS = ("rk_pipe struct<pipeline: struct<processed_frames: long, elapsed_seconds: double, "
-           "avg_fps: double>, stage_avg_ms: struct<preprocess: double, inference: double>>")
+# one top-level key (the engine name) over the numbers
+METRICS = ("map<string, struct<pipeline: struct<processed_frames: long, elapsed_seconds: double, "
+           "avg_fps: double>, stage_avg_ms: struct<preprocess: double, inference: double>>>")

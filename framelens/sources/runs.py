@@ -20,7 +20,7 @@ def summaries(files: DataFrame, metrics: DataFrame) -> DataFrame:
     oriented = F.col("mAP50_95").isNotNull() | F.col("AP50_per_class").isNotNull()
     rows = rows.withColumn("kind", F.coalesce("kind", F.when(oriented, "obb"))).where("kind is not null")
     m = metrics.select("dir", F.regexp_extract("name", r"^metrics_(.*)\.json$", 1).alias("tag"),
-                       F.from_json("value", METRICS)["rk_pipe"]["pipeline"]["avg_fps"].alias("fps"))
+                       F.get(F.map_values(F.from_json("value", METRICS)), F.lit(0))["pipeline"]["avg_fps"].alias("fps"))
     return rows.join(m, ["dir", "tag"], "left").withColumn("fps", F.coalesce("fps", F.lit(0.0)))
 
 
