@@ -53,10 +53,10 @@ def source_rates(df: DataFrame, source: str = "source", text: str = "text",
     else:
         raw = F.coalesce(_weight_of(weights), F.lit(0.0))
     sizes = sizes.withColumn("mix_raw", raw)
-    sums = sizes.agg(F.sum("mix_raw").alias("raws"), F.sum("mix_size").alias("all"))
-    wanted = F.col("all") if total is None else F.lit(float(total))
-    weight = F.when(F.col("raws") > 0, F.col("mix_raw") / F.col("raws")).otherwise(0.0)
-    return (sizes.join(F.broadcast(sums), F.lit(True))  # one row
+    sums = sizes.agg(F.struct(F.sum("mix_raw").alias("raws"), F.sum("mix_size").alias("all"))).scalar()
+    wanted = F.col("__t.all") if total is None else F.lit(float(total))
+    weight = F.when(F.col("__t.raws") > 0, F.col("mix_raw") / F.col("__t.raws")).otherwise(0.0)
+    return (sizes.withColumn("__t", sums)
             .select("mix_source", "mix_size", weight.alias("mix_weight"),
                     F.when(F.col("mix_size") > 0, weight * wanted / F.col("mix_size")).otherwise(1.0).alias("mix_rate")))
 

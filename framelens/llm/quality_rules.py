@@ -70,11 +70,11 @@ def host_rates(stats: DataFrame, host: str = "host") -> DataFrame:
     m, v = F.col("m"), F.col("q") - F.col("m") * F.col("m")
     strength = F.when(v > 1e-9, F.greatest(F.lit(PRIOR[0]), F.least(F.lit(PRIOR[1]), m * (1 - m) / v - 1))
                       ).otherwise(F.lit(PRIOR[1]))
-    prior = spread.select(m.alias("m"), strength.alias("k"))
-    return (hosts.join(F.broadcast(prior), F.lit(True))  # the one row of the prior
-            .select("host", "host_docs", "host_failures",
-                    ((F.col("host_failures") + F.col("m") * F.col("k")) / (F.col("host_docs") + F.col("k"))
-                     ).alias("host_rate")))
+    prior = spread.select(F.struct(m.alias("m"), strength.alias("k"))).scalar()
+    return hosts.withColumn("__p", prior).select(
+        "host", "host_docs", "host_failures",
+        ((F.col("host_failures") + F.col("__p.m") * F.col("__p.k")) / (F.col("host_docs") + F.col("__p.k"))
+         ).alias("host_rate"))
 
 
 def judge(df: DataFrame, text: str = "text", host: str = "source",

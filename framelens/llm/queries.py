@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import poisson_mix, quality_rules, virtual_slots
+from framelens.llm import language_id, poisson_mix, quality_fm, quality_rules, toxicity, virtual_slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,11 +29,26 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(_table(spark, folder, "documents"))
 
 
+@_register("op3_language_id")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.held_out_languages(_table(spark, folder, "documents"))
+
+
 @_register("op4_source_mix", poisson_mix.SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return poisson_mix.mix(_table(spark, folder, "documents"))
 
 
+@_register("op5_quality_fm")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_fm.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_register("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @_register("op10_virtual_slots")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return virtual_slots.shard_digest(_table(spark, folder, "documents"))

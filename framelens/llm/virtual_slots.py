@@ -48,10 +48,9 @@ def rebalance(current: DataFrame, slot_bytes: DataFrame, shards: int = SHARDS) -
     filled = F.sum("bytes").over(W.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot"))
     marked = known.select("*", (filled <= share).alias("stays"))
     loads = marked.where("stays").groupBy("shard").agg(F.sum("bytes").alias("load"))
-    one = marked.agg(
-        F.sort_array(F.collect_list(F.when(~F.col("stays"), F.struct("bytes", "virtual_slot"))), asc=False).alias("free"),
-        (F.max("version") + 1).alias("next"))
-    full = loads.agg(F.collect_list(F.struct("load", "shard")).alias("loads"))
+    one = marked.agg(F.sort_array(F.collect_list(F.when(
+        ~F.col("stays"), F.struct("bytes", "virtual_slot"))), asc=False).alias("free"))
+    full = loads.agg(F.collect_list(F.struct("load", "shard"))).scalar()
 
     def load_of(s: Column) -> Column:
         found = F.filter("loads", lambda x: x["shard"] == s)
@@ -67,13 +66,12 @@ def rebalance(current: DataFrame, slot_bytes: DataFrame, shards: int = SHARDS) -
         return F.struct(put.alias("loads"), F.array_append(acc["given"], F.struct(
             item["virtual_slot"].alias("virtual_slot"), least["shard"].alias("shard"))).alias("given"))
 
-    given = (one.join(F.broadcast(full), F.lit(True))  # one row each
+    given = (one.withColumn("loads", full)
              .select(F.inline(F.aggregate("free", start, give, lambda a: a["given"]))))
     moved = given.withColumnRenamed("shard", "new_shard")
-    version = marked.agg((F.max("version") + 1).alias("next_version"))
-    return (marked.join(moved, "virtual_slot", "left").join(F.broadcast(version), F.lit(True))
+    return (marked.join(moved, "virtual_slot", "left")
             .select("virtual_slot", F.coalesce("new_shard", "shard").alias("shard"),
-                    F.col("next_version").alias("version")))
+                    (F.col("version") + 1).alias("version")))
 
 
 def save_map(table: DataFrame, path: str) -> None:
