@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import language_id, poisson_mix, quality_fm, quality_rules, toxicity, virtual_slots
+from framelens.llm import language_id, poisson_mix, quality_fm, quality_rules, simhash_gray, toxicity, virtual_slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +44,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return quality_fm.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+@_register("op6_simhash_gray")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_gray.fingerprint_components(_table(spark, folder, "documents"))
+
+
 @_register("op8_toxicity")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
