@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import language_id, poisson_mix, quality_fm, quality_rules, simhash_gray, toxicity, virtual_slots
+from framelens.llm import language_id, multi_index, pattern_packing, poisson_mix, quality_fm, quality_rules, simhash_gray, toxicity, virtual_slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(_table(spark, folder, "documents"))
 
 
+@_register("op2_multi_index")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.near_vectors(_table(spark, folder, "embeddings"))
+
+
 @_register("op3_language_id")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.held_out_languages(_table(spark, folder, "documents"))
@@ -54,6 +59,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+@_register("op9_pattern_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return pattern_packing.pack_documents(_table(spark, folder, "documents"))
+
+
 @_register("op10_virtual_slots")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return virtual_slots.shard_digest(_table(spark, folder, "documents"))
