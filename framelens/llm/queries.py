@@ -5,7 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import language_id, multi_index, pattern_packing, poisson_mix, quality_fm, quality_rules, simhash_gray, toxicity, virtual_slots
+import corpus_pipeline
+
+from framelens.llm import language_id, multi_index, pattern_packing, poisson_mix, quality_fm, quality_rules, simhash_gray, suffix_merge, toxicity, virtual_slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +56,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_gray.fingerprint_components(_table(spark, folder, "documents"))
 
 
+@_register("op7_suffix_merge")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_merge.removal_digest(_table(spark, folder, "documents"))
+
+
 @_register("op8_toxicity")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -67,3 +74,6 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op10_virtual_slots")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return virtual_slots.shard_digest(_table(spark, folder, "documents"))
+
+
+_register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
