@@ -27,7 +27,7 @@ from framelens.llm.quality_fm import as_bytes
 BITS, DIM = 18, 8
 NGRAMS = (3, 4, 5, 6)
 #: Bound of the labelled sample, and of the share of each class in it.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 4_000
 EPOCHS, BATCH, RATE, DECAY = 10, 64, 0.05, 1e-5
 #: Buckets of fewer sample texts get no embedding.
 MIN_TEXTS = 3
@@ -59,14 +59,17 @@ def bags(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 11) -> dict[str, np.ndarray]:
-    """Adam on the softmax loss; ``rows``: (buckets, counts, label)."""
+    """Adam on the softmax loss; ``rows``: (buckets, counts, label), used up."""
     rng = np.random.default_rng(seed)
-    texts = np.bincount(np.concatenate([r[0] for r in rows]), minlength=_WIDTH) if rows else np.zeros(_WIDTH)
+    texts = np.zeros(_WIDTH, dtype=np.int64)
+    for used, _, _ in rows:
+        texts[used] += 1
     weight = np.log(max(len(rows), 2) / np.maximum(texts, 1)).astype(np.float32)
     weight[texts == 0] = weight.max()
     known = texts >= MIN_TEXTS
-    rows = [(f[known[f]], x[known[f]] * weight[f[known[f]]], y) for f, x, y in rows]
-    rows = [r for r in rows if r[1].sum() > 0]
+    for i, (f, x, y) in enumerate(rows):  # in place: the bags are most of the driver's memory
+        rows[i] = f[known[f]], x[known[f]], y
+    rows = [r for r in rows if (weight[r[0]] * r[1]).sum() > 0]
     e = rng.normal(0, 0.001, (_WIDTH, DIM)).astype(np.float32)
     w, b = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, b)]
@@ -84,7 +87,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 11) -> dict[
             part = [rows[i] for i in order[at:at + BATCH]]
             length = np.array([len(r[0]) for r in part])
             ptr = np.cumsum(length) - length
-            share = np.concatenate([r[1] / r[1].sum() for r in part]).astype(np.float32)
+            masses = [r[1] * weight[r[0]] for r in part]
+            share = np.concatenate([m / m.sum() for m in masses]).astype(np.float32)
             bucket = np.concatenate([r[0] for r in part])
             label = np.array([r[2] for r in part])
             mean = np.add.reduceat(e[bucket] * share[:, None], ptr, axis=0)
@@ -126,8 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, lim
            .select(F.col("doc_id").cast("string").alias("id"), "label", "text")
            .mapInArrow(run, "id string, label int, f binary, x binary").collect())
     got.sort(key=lambda r: (r["id"], r["f"]))
-    rows = [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["x"], np.uint16).astype(np.float32), r["label"])
-            for r in got if r["f"]]
+    rows = []
+    while got:
+        r = got.pop()
+        if r["f"]:
+            rows.append((np.frombuffer(r["f"], np.int32), np.frombuffer(r["x"], np.uint16), r["label"]))
     return fit(rows)
 
 
