@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -13,7 +14,7 @@ for _b in range(256):
     if chr(_b).isalnum() and _b < 128 or _b >= 128:
         _FOLD[_b] = ord(chr(_b).lower()) if _b < 128 else _b
 #: Texts are handled together up to this many bytes; a longer text is handled alone.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -91,6 +92,13 @@ def owner(starts: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, positions, side="right") - 1
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, so that few texts are copied out of Arrow at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def counted(rows: np.ndarray, buckets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (row, bucket) with their counts, in order of row."""
     key, count = np.unique(rows.astype(np.int64) * width + buckets.astype(np.int64), return_counts=True)

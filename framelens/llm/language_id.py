@@ -7,7 +7,7 @@ dictionaries: only parts of words then match, not license lines or quoted passag
 larger, the text is encoded again with every quarter of the dictionaries, which adds up to a
 finer measure; if that is close too, the verdict is marked as narrow.
 
-Null text or text without a letter: ``und`` with score 0. Ties: the first language in order.
+Null text or text without a letter: ``und`` with score 0. Ties: the language with more texts.
 No labelled text at all: everything is ``und``. Repeated rows get equal results.
 """
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelens.llm import hashing as H
 from framelens.llm.common import fold_of, unit_hash
 
 #: Bounds of the sample that the dictionaries are made of.
@@ -55,7 +56,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     parts: dict[str, list[str]] = {c: [] for c in counts}
     for row in sorted(taken.collect(), key=lambda r: (r["u"], r["t"])):
         parts[row["lang"]].append(_plain(row["t"], 5))
-    return {c: " ".join(p).encode()[-DICTIONARY_BYTES:] for c, p in sorted(parts.items()) if p}
+    order = sorted(counts, key=lambda c: (-counts[c], c))
+    return {c: " ".join(parts[c]).encode()[-DICTIONARY_BYTES:] for c in order if parts[c]}
 
 
 def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", key: str = "doc_id",
@@ -65,10 +67,10 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zstd
-        names = sorted(shared.value)
+        names = list(shared.value)
         whole = [[_loaded(zstd, shared.value[n])] for n in names]
         parts = [[_loaded(zstd, q) for q in _quarters(shared.value[n])] for n in names]
-        for batch in batches:
+        for batch in H.slices(batches):
             pred, score, close = [], [], []
             for t in batch.column(1).to_pylist():
                 if t is None or not names or not _LETTER.search(t):

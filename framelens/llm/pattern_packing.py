@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelens.llm import hashing as H
 from framelens.session import written
 
 LENGTH, END = 2048, 0
@@ -75,7 +76,7 @@ def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _coder(path)
-        for batch in batches:
+        for batch in H.slices(batches):
             of, piece, start, size, crc, held = [], [], [], [], [], []
             for row, t in enumerate(batch.column(1).to_pylist()):
                 tokens = np.append(encode(t or ""), np.uint32(END)).astype("<u4")

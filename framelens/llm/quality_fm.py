@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, lim
     chosen = labelled(labels, target, folds, fold, limit, "fm-1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in H.slices(batches):
             for first, end, rows, feats, values in features(as_bytes(batch.column(2))):
                 cut = np.searchsorted(rows, np.arange(1, end - first))
                 yield pa.RecordBatch.from_arrays(
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: WIDTH x (RANK + 1) floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in H.slices(batches):
             out = np.zeros(batch.num_rows)
             for first, end, rows, feats, values in features(as_bytes(batch.column(at))):
                 ptr = np.searchsorted(rows, np.arange(end - first))

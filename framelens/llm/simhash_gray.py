@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelens.llm import hashing as H
 from framelens.llm.components import components
 from framelens.session import written
 
@@ -65,7 +66,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint
     kind = taken.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in H.slices(batches):
             prints = np.array([fingerprint(t or b"") for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["row", "f"])
 

@@ -36,7 +36,7 @@ from framelens.session import written
 
 SPAN, GRAM, NEAR, BLOCK = 400, 64, 200, 50
 #: Bytes of passages merged together in a task, and the shards they are cut into.
-BATCH_BYTES, SHARDS = 1_500_000, 4
+BATCH_BYTES, SHARDS = 700_000, 4
 #: Different passages of one anchor that are merged in one task.
 WIDE = 2_000
 _PLACE = np.uint64((1 << 28) - 1)
@@ -113,7 +113,7 @@ def _lists(owner: np.ndarray, count: int, values: np.ndarray) -> pa.Array:
 def text_marks(rows: DataFrame) -> DataFrame:
     """(did, rid, h, p): hashes and places of the marks of each row of (did, rid, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in H.slices(batches):
             for number, grams in _grams(_bytes(batch.column(2))):
                 at = grams.marks()
                 of = H.owner(grams.starts, at)
@@ -128,7 +128,7 @@ def text_marks(rows: DataFrame) -> DataFrame:
 def text_passages(rows: DataFrame) -> DataFrame:
     """(did, rid, start, anchor, passage) of rows (did, rid, text, seen); seen: places of repeated marks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in H.slices(batches):
             texts, seen = _bytes(batch.column(2)), batch.column(3)
             for number, grams in _grams(texts):
                 known = [np.asarray(seen[int(i)].values.to_numpy(), dtype=np.int64) + s
@@ -295,7 +295,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, sid, n, passage) → (anchor, sid, n, w1, w2, at) for each string of SPAN bytes."""
-    for batch in batches:
+    for batch in H.slices(batches):
         for row in range(batch.num_rows):
             passage = batch.column(3)[row].as_py()
             digests = [hashlib.blake2b(passage[i:i + SPAN], digest_size=16).digest() for i in range(len(passage) - SPAN + 1)]
@@ -357,7 +357,7 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", decode:
     kind, out = joined.schema["row"].dataType.simpleString(), "string" if decode else "binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in H.slices(batches):
             kept, size, gone, number = [], [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 edge = np.zeros(len(text) + 1, dtype=np.int32)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelens.llm import hashing as H
-from framelens.llm.common import bounded_sample, fold_of
+from framelens.llm.common import fold_of, unit_hash
 from framelens.llm.quality_fm import as_bytes
 
 BITS, DIM = 18, 8
@@ -32,6 +32,8 @@ EPOCHS, BATCH, RATE, DECAY = 10, 64, 0.05, 1e-5
 #: Buckets of fewer sample texts get no embedding.
 MIN_TEXTS = 3
 THRESHOLD = 0.5
+#: Part of the way from the label shares of the sample to those of all labelled rows.
+PRIOR_SHARE = 0.5
 _WIDTH = 1 << BITS
 
 
@@ -114,10 +116,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, lim
     """Fit on at most about ``limit`` labelled rows, half of them of each label where there are enough."""
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != fold))
     one = known.groupBy("doc_id").agg((F.avg(F.col(target).cast("double")) >= 0.5).cast("int").alias("label"))
-    chosen = [bounded_sample(one.where(F.col("label") == c), ["doc_id"], limit // 2, f"tox-{c}") for c in (0, 1)]
+    totals = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {c: min(1.0, limit / 2 / totals[c]) if c in totals else 1.0 for c in (0, 1)}
+    chosen = one.where(unit_hash("tox-1", F.col("doc_id")) < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in H.slices(batches):
             for i, t in enumerate(as_bytes(batch.column(2))):
                 bucket = np.concatenate([np.zeros(0, np.uint64), *[x[3] for x in bags([t])]])
                 used, count = np.unique(bucket, return_counts=True)
@@ -126,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, lim
                      pa.array([np.minimum(count, 65535).astype(np.uint16).tobytes()])], names=["id", "label", "f", "x"])
 
     # at most ``limit`` (id, label) rows are broadcast
-    got = (docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    got = (docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "doc_id")
            .select(F.col("doc_id").cast("string").alias("id"), "label", "text")
            .mapInArrow(run, "id string, label int, f binary, x binary").collect())
     got.sort(key=lambda r: (r["id"], r["f"]))
@@ -135,7 +139,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, lim
         r = got.pop()
         if r["f"]:
             rows.append((np.frombuffer(r["f"], np.int32), np.frombuffer(r["x"], np.uint16), r["label"]))
-    return fit(rows)
+    model = fit(rows)
+    # the sample holds more of the rarer label than all rows do
+    model["bias"] = model["bias"] + PRIOR_SHARE * np.log(share[0] / share[1])
+    return model
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> DataFrame:
@@ -144,7 +151,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, weight, bias = (shared.value[k] for k in ("value", "weight", "bias"))
-        for batch in batches:
+        for batch in H.slices(batches):
             total, mass = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for first, end, rows, bucket in bags(as_bytes(batch.column(at))):
                 total[first:end] += np.bincount(rows, value[bucket], end - first)
