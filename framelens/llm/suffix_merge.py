@@ -8,7 +8,8 @@ A byte goes if a string of ``SPAN`` bytes that covers it starts anywhere else as
 2. Every string of ``SPAN`` bytes without such a run belongs to the least gram among all its
    grams. Consecutive strings of one such anchor form a passage (at most ``2 * SPAN`` bytes).
    Equal strings have equal anchors, so passages are dealt out by anchor. Each string lies in one
-   passage only; equal passages are counted and kept once.
+   passage only. Passages leave the texts in chunks, cut where the hash of an anchor says so;
+   equal chunks, then equal passages, are counted and kept once.
 3. A task cuts its passages into shards and builds the transform of each over blocks of ``BLOCK``
    bytes. The transforms are merged by refining their interleave: each round deals the rows out
    by the block before them, which orders the rows by one more block, and notes where neighbours
@@ -16,7 +17,8 @@ A byte goes if a string of ``SPAN`` bytes that covers it starts anywhere else as
    No suffix is sorted again. Blocks with equal hashes are compared byte by byte.
 4. An anchor with more than ``WIDE`` different passages would not fit one task; its strings are
    counted one by one instead, by 128-bit hashes, which splits any group.
-5. The repeated intervals go back to all places of their passage and are united per document.
+5. The repeated intervals go back to the chunks, then to all their places, and are united per
+   document.
 
 Null text counts as empty. Rows with equal id and text repeat each other. Texts shorter than
 ``SPAN`` bytes stay whole. Null ids are kept. Empty table: no rows.
@@ -39,6 +41,8 @@ SPAN, GRAM, NEAR, BLOCK = 400, 64, 200, 50
 BATCH_BYTES, SHARDS = 700_000, 4
 #: Different passages of one anchor that are merged in one task.
 WIDE = 2_000
+#: Passages in a chunk, on average.
+CHUNK = 8
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -125,8 +129,8 @@ def text_marks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "did long, rid long, h array<long>, p array<int>")
 
 
-def text_passages(rows: DataFrame) -> DataFrame:
-    """(did, rid, start, anchor, passage) of rows (did, rid, text, seen); seen: places of repeated marks."""
+def text_chunks(rows: DataFrame) -> DataFrame:
+    """(did, rid, start, chunk) of rows (did, rid, text, seen); seen: places of repeated marks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.slices(batches):
             texts, seen = _bytes(batch.column(2)), batch.column(3)
@@ -135,18 +139,36 @@ def text_passages(rows: DataFrame) -> DataFrame:
                          for i, s in zip(number, grams.starts)]
                 unique = np.setdiff1d(grams.marks(), np.concatenate(known), assume_unique=True)
                 first, last, anchor = grams.passages(unique)
+                cut = np.flatnonzero(np.concatenate([[True], (first[1:] != last[:-1] + 1)
+                                                     | ((anchor[1:] >> np.uint64(40)) % np.uint64(CHUNK) == 0)])[:len(first)])
+                first, last = first[cut], last[np.append(cut[1:], len(last)) - 1] if len(cut) else last
                 of = H.owner(grams.starts, first)
                 row, start = number[of], first - grams.starts[of]
                 stop = last + SPAN - grams.starts[of]
-                for at in range(0, len(first), 4096):
-                    s = slice(at, at + 4096)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row[s])), batch.column(1).take(pa.array(row[s])),
-                         pa.array(start[s]), pa.array(anchor[s].view(np.int64)),
-                         pa.array([texts[r][a:b] for r, a, b in zip(row[s], start[s], stop[s])], pa.binary())],
-                        names=["did", "rid", "start", "anchor", "passage"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(start),
+                     pa.array([texts[r][a:b] for r, a, b in zip(row, start, stop)], pa.binary())],
+                    names=["did", "rid", "start", "chunk"])
 
-    return rows.mapInArrow(run, "did long, rid long, start long, anchor long, passage binary")
+    return rows.mapInArrow(run, "did long, rid long, start long, chunk binary")
+
+
+def chunk_passages(chunks: DataFrame) -> DataFrame:
+    """(cid, n, start, anchor, passage) of rows (cid, n, chunk)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in H.slices(batches):
+            texts = _bytes(batch.column(2))
+            for number, grams in _grams(texts):
+                first, last, anchor = grams.passages(np.zeros(0, dtype=np.int64))
+                of = H.owner(grams.starts, first)
+                row, start = number[of], first - grams.starts[of]
+                stop = last + SPAN - grams.starts[of]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(start),
+                     pa.array(anchor.view(np.int64)), pa.array([texts[r][a:b] for r, a, b in zip(row, start, stop)], pa.binary())],
+                    names=["cid", "n", "start", "anchor", "passage"])
+
+    return chunks.mapInArrow(run, "cid binary, n long, start long, anchor long, passage binary")
 
 
 class Rows:
@@ -273,7 +295,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = repeated_strings(np.frombuffer(data, np.uint8), starts, sizes, np.array([h[2] for h in held]))
         out = [[], [], []]
         for h, s, k in zip(held, starts, sizes):
-            if mask[s:s + k].any():
+            if h[2] == 1 and mask[s:s + k].any():  # what occurs twice is repeated as a whole
                 first, end = runs(cover(mask[s:s + k]))
                 out[0].append(h[0]), out[1].append(h[1])
                 out[2].append([{"a": int(a), "b": int(b)} for a, b in zip(first, end)])
@@ -315,13 +337,15 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     places = marks.select("did", "rid", F.explode(F.arrays_zip("h", "p")).alias("m")).select("did", "rid", "m.h", "m.p")
     seen = places.join(repeated, "h").groupBy("did", "rid").agg(F.collect_set("p").alias("seen"))
     seen, _ = written(seen, "seen-marks")
-    found, _ = written(text_passages(rows.join(seen, ["did", "rid"]).select("did", "rid", "text", "seen"))
-                       .withColumn("sid", F.unhex(F.md5("passage"))), "passages")
-    different, _ = written(found.groupBy("anchor", "sid").agg(F.count(F.lit(1)).alias("n"), F.first("passage").alias("passage")),
+    found, _ = written(text_chunks(rows.join(seen, ["did", "rid"]).select("did", "rid", "text", "seen"))
+                       .withColumn("cid", F.unhex(F.md5("chunk"))), "chunks")
+    chunks, _ = written(found.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.first("chunk").alias("chunk")),
+                        "different-chunks")
+    inner, _ = written(chunk_passages(chunks.select("cid", "n", "chunk")).withColumn("sid", F.unhex(F.md5("passage"))), "passages")
+    different, _ = written(inner.groupBy("anchor", "sid").agg(F.sum("n").alias("n"), F.first("passage").alias("passage")),
                            "different-passages")
     kinds, _ = written(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "anchors")
-    whole = different.where("n > 1").select("anchor", "sid", F.array(F.struct(
-        F.lit(0).cast("long").alias("a"), F.length("passage").cast("long").alias("b"))).alias("spans"))
+    whole = different.where("n > 1").select("anchor", "sid", _all_of("passage").alias("spans"))
     shared = different.join(kinds, "anchor").select("anchor", "sid", "n", "passage", "kinds")
     narrow = shared.where(F.col("kinds") <= WIDE).drop("kinds")
     merged = (narrow.repartition("anchor").sortWithinPartitions("anchor")
@@ -329,13 +353,24 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     strings, _ = written(shared.where(F.col("kinds") > WIDE).drop("kinds").mapInArrow(
         _strings, "anchor long, sid binary, n long, w1 long, w2 long, at long"), "strings")
     often, _ = written(strings.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "often")
-    wide = strings.join(often, ["w1", "w2"]).groupBy("anchor", "sid").agg(F.collect_list(F.struct(
+    wide = strings.where("n = 1").join(often, ["w1", "w2"]).groupBy("anchor", "sid").agg(F.collect_list(F.struct(
         F.col("at").alias("a"), (F.col("at") + SPAN).alias("b"))).alias("spans"))
     spans, _ = written(whole.union(merged).union(wide), "spans")
-    at = found.select("did", "rid", "start", "anchor", "sid").join(spans, ["anchor", "sid"])
-    moved = at.select("did", "rid", F.transform("spans", lambda s: F.struct(
+    # a chunk that occurs twice is repeated as a whole
+    lone = _moved(inner.where("n = 1").select("cid", "start", "anchor", "sid").join(spans, ["anchor", "sid"]), "cid")
+    of_chunk, _ = written(chunks.where("n > 1").select("cid", _all_of("chunk").alias("spans")).union(lone), "chunk-spans")
+    return _moved(found.select("did", "rid", "start", "cid").join(of_chunk, "cid"), "did", "rid")
+
+
+def _all_of(column: str):
+    return F.array(F.struct(F.lit(0).cast("long").alias("a"), F.length(column).cast("long").alias("b")))
+
+
+def _moved(places: DataFrame, *keys: str) -> DataFrame:
+    """The spans of all rows of a key, each moved by the row's start."""
+    moved = places.select(*keys, F.transform("spans", lambda s: F.struct(
         (s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))).alias("spans"))
-    return moved.groupBy("did", "rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return moved.groupBy(*keys).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
