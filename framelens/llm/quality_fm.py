@@ -28,6 +28,8 @@ WORD_BITS, RANK = 16, 8
 SAMPLE_ROWS = 10_000
 EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.02, 1e-5
 THRESHOLD = 0.7
+#: Least number of steps; a small sample is gone through more often.
+MIN_STEPS = 480
 #: Upper bin borders of each statistic.
 BINS = {
     "length": [0, 50, 150, 400, 1000, 3000, 10000, 50000], "words": [0, 5, 20, 50, 150, 500, 2000, 10000],
@@ -105,7 +107,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> dict[s
              "v": rng.normal(0, 0.02, (WIDTH, RANK)).astype(np.float32)}
     state = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in model.items()}
     step = 0
-    for _ in range(EPOCHS if rows else 0):
+    for _ in range(max(EPOCHS, MIN_STEPS // -(-len(rows) // BATCH)) if rows else 0):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             part = [rows[i] for i in order[at:at + BATCH]]

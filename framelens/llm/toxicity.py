@@ -31,6 +31,8 @@ SAMPLE_ROWS = 4_000
 EPOCHS, BATCH, RATE, DECAY = 10, 64, 0.05, 1e-5
 #: Buckets of fewer sample texts get no embedding.
 MIN_TEXTS = 3
+#: Least number of steps; a small sample is gone through more often.
+MIN_STEPS = 300
 THRESHOLD = 0.5
 #: Part of the way from the label shares of the sample to those of all labelled rows.
 PRIOR_SHARE = 0.5
@@ -82,9 +84,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 11) -> dict[
         s[where] += 0.01 * (grad * grad - s[where])
         p[where] -= rate * m[where] / (np.sqrt(s[where]) + 1e-7)
 
-    for epoch in range(EPOCHS if rows else 0):
+    epochs = max(EPOCHS, MIN_STEPS // -(-len(rows) // BATCH)) if rows else 0
+    for epoch in range(epochs):
         order = rng.permutation(len(rows))
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for at in range(0, len(order), BATCH):
             part = [rows[i] for i in order[at:at + BATCH]]
             length = np.array([len(r[0]) for r in part])
