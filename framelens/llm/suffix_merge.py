@@ -6,8 +6,8 @@ A byte goes if a string of ``SPAN`` bytes that covers it starts anywhere else as
    grams. Equal strings hold equal runs with equal marks, so a string with a run whose mark
    occurs once in the corpus is unique. Marks are counted over all texts.
 2. Every string of ``SPAN`` bytes without such a run belongs to the least gram among all its
-   grams. Consecutive strings of one such anchor form a passage (at most ``2 * SPAN`` bytes).
-   Equal strings have equal anchors, so passages are dealt out by anchor. Each string lies in one
+   grams. Consecutive strings with equal anchors form a passage (mostly less than ``2 * SPAN``
+   bytes, longer in periodic texts). Equal strings have equal anchors, so passages are dealt out by anchor. Each string lies in one
    passage only. Passages leave the texts in chunks, cut where the hash of an anchor says so;
    equal chunks, then equal passages, are counted and kept once.
 3. A task cuts its passages into shards and builds the transform of each over blocks of ``BLOCK``
@@ -78,8 +78,11 @@ class Grams:
         chosen = (least & _PLACE).astype(np.int64)[self._inside(least, NEAR)]
         return chosen[np.concatenate([[True], np.diff(chosen) != 0])] if len(chosen) else chosen
 
-    def passages(self, unique: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first string, last string, anchor hash) of each passage; ``unique``: places of unique marks."""
+    def passages(self, unique: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first string, last string, anchor hash, more than one anchor) of each passage.
+
+        ``unique``: places of unique marks.
+        """
         width = SPAN - GRAM + 1
         least = _least(self.keys, width)
         anchor = (least & _PLACE).astype(np.int64)
@@ -89,12 +92,14 @@ class Grams:
         count = np.concatenate([[0], np.cumsum(lone[(near & _PLACE).astype(np.int64)])])
         inner = width - NEAR + 1  # runs of NEAR grams in a string: none of them may mark a unique gram
         fine = self._inside(least, width) & (count[inner:] == count[:-inner])[:len(least)]
-        cut = np.concatenate([[True], (fine[1:] != fine[:-1]) | (anchor[1:] != anchor[:-1])]) if len(fine) else fine
+        # a periodic text has one equal anchor after the other: its strings stay together
+        of = self.hash[anchor]
+        cut = np.concatenate([[True], (fine[1:] != fine[:-1]) | (of[1:] != of[:-1])]) if len(fine) else fine
         first = np.flatnonzero(cut)
         last = np.concatenate([first[1:], [len(fine)]]) - 1
         keep = fine[first] if len(first) else first.astype(bool)
         first, last = first[keep], last[keep]
-        return first, last, self.hash[anchor[first]]
+        return first, last, of[first], anchor[first] != anchor[last]
 
 
 def _grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, Grams]]:
@@ -138,7 +143,7 @@ def text_chunks(rows: DataFrame) -> DataFrame:
                 known = [np.asarray(seen[int(i)].values.to_numpy(), dtype=np.int64) + s
                          for i, s in zip(number, grams.starts)]
                 unique = np.setdiff1d(grams.marks(), np.concatenate(known), assume_unique=True)
-                first, last, anchor = grams.passages(unique)
+                first, last, anchor, _ = grams.passages(unique)
                 cut = np.flatnonzero(np.concatenate([[True], (first[1:] != last[:-1] + 1)
                                                      | ((anchor[1:] >> np.uint64(40)) % np.uint64(CHUNK) == 0)])[:len(first)])
                 first, last = first[cut], last[np.append(cut[1:], len(last)) - 1] if len(cut) else last
@@ -154,21 +159,22 @@ def text_chunks(rows: DataFrame) -> DataFrame:
 
 
 def chunk_passages(chunks: DataFrame) -> DataFrame:
-    """(cid, n, start, anchor, passage) of rows (cid, n, chunk)."""
+    """(cid, n, start, anchor, many, passage) of rows (cid, n, chunk); many: it may repeat itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.slices(batches):
             texts = _bytes(batch.column(2))
             for number, grams in _grams(texts):
-                first, last, anchor = grams.passages(np.zeros(0, dtype=np.int64))
+                first, last, anchor, many = grams.passages(np.zeros(0, dtype=np.int64))
                 of = H.owner(grams.starts, first)
                 row, start = number[of], first - grams.starts[of]
                 stop = last + SPAN - grams.starts[of]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(start),
-                     pa.array(anchor.view(np.int64)), pa.array([texts[r][a:b] for r, a, b in zip(row, start, stop)], pa.binary())],
-                    names=["cid", "n", "start", "anchor", "passage"])
+                     pa.array(anchor.view(np.int64)), pa.array(many),
+                     pa.array([texts[r][a:b] for r, a, b in zip(row, start, stop)], pa.binary())],
+                    names=["cid", "n", "start", "anchor", "many", "passage"])
 
-    return chunks.mapInArrow(run, "cid binary, n long, start long, anchor long, passage binary")
+    return chunks.mapInArrow(run, "cid binary, n long, start long, anchor long, many boolean, passage binary")
 
 
 class Rows:
@@ -208,7 +214,7 @@ def _symbols(data: np.ndarray, place: np.ndarray) -> np.ndarray:
     return number + 1
 
 
-def shard_order(rows: Rows, chosen: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def shard_order(rows: Rows, chosen: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
     """Sorted order of one shard's rows (end rows first), by doubling the compared length."""
     total = rows.rows + len(rows.final)
     local = np.concatenate([ends, chosen])
@@ -218,7 +224,7 @@ def shard_order(rows: Rows, chosen: np.ndarray, ends: np.ndarray) -> np.ndarray:
     step = np.concatenate([rows.next, np.full(len(rows.final) + 1, total)])
     rank[total] = -1
     span, width = 1, len(local) + int(rows.symbol.max(initial=0)) + 3
-    while span * BLOCK < 2 * SPAN:
+    while span * BLOCK < longest:
         key = (rank[local] + 1) * width + rank[step[local]] + 1
         rank[local] = np.unique(key, return_inverse=True)[1].ravel()
         step = step[step]
@@ -240,7 +246,7 @@ def repeated_strings(data: np.ndarray, starts: np.ndarray, size: np.ndarray, cou
     orders, transforms = [], []
     for s in range(shards):
         own = np.flatnonzero(shard == s)
-        orders.append(shard_order(rows, own[own < n], own[own >= n]))
+        orders.append(shard_order(rows, own[own < n], own[own >= n], int(size.max())))
         transforms.append(before[orders[-1]])
     # interleave of the sorted shards: string ends first, all else not yet told apart
     ends = [int((o >= n).sum()) for o in orders]
@@ -342,9 +348,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     chunks, _ = written(found.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.first("chunk").alias("chunk")),
                         "different-chunks")
     inner, _ = written(chunk_passages(chunks.select("cid", "n", "chunk")).withColumn("sid", F.unhex(F.md5("passage"))), "passages")
-    different, _ = written(inner.groupBy("anchor", "sid").agg(F.sum("n").alias("n"), F.first("passage").alias("passage")),
-                           "different-passages")
-    kinds, _ = written(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "anchors")
+    different, _ = written(inner.groupBy("anchor", "sid").agg(F.sum("n").alias("n"), F.max("many").alias("many"),
+                                                           F.first("passage").alias("passage")), "different-passages")
+    kinds, _ = written(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("many"))
+                       .where("kinds > 1 or many").drop("many"), "anchors")
     whole = different.where("n > 1").select("anchor", "sid", _all_of("passage").alias("spans"))
     shared = different.join(kinds, "anchor").select("anchor", "sid", "n", "passage", "kinds")
     narrow = shared.where(F.col("kinds") <= WIDE).drop("kinds")
