@@ -14,7 +14,7 @@ from framelens.plans.chunked import running
 from framelens.plans.numbering import global_row_number
 
 # fixed values: public query limits, files under retention, review defaults
-DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
+DEFAULT_LIMIT = 100
 SNAPSHOT_NAME = r"^(snapshot_.*\.jpg|clip_.*\.avi)$"
 MAX_LOW_ITEMS = 8
 
@@ -33,7 +33,7 @@ def rejected_events(incoming: DataFrame) -> DataFrame:
 def query_events(events: DataFrame, task: str = "", type: str = "", since: int = 0,
                  limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Latest events after ``since`` with the task and type, oldest first."""
-    if limit <= 0 or limit > MAX_LIMIT:
+    if limit <= 0:
         limit = DEFAULT_LIMIT
     rows = events.where(F.col("id") > since)
     if task:
@@ -69,9 +69,10 @@ def manual_reviews(submitted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, submitted.where(~ok)
 
 
-def feed(events: DataFrame, reviews: DataFrame, after_id: int, after_ts: int, turn: int = 100) -> DataFrame:
-    """Next rows for a reader: up to ``turn`` of the newest events, and reviews changed since."""
-    fresh = attach_reviews(last_n(events.where(F.col("id") > after_id), turn, "id"), reviews)
+def feed(events: DataFrame, reviews: DataFrame, after_id: int, after_ts: int, turn: int | None = None) -> DataFrame:
+    """Next rows for a reader: all newer events, or the ``turn`` oldest of them, and reviews changed since."""
+    newer = events.where(F.col("id") > after_id)
+    fresh = attach_reviews(newer if turn is None else newer.orderBy("id").limit(turn), reviews)
     fresh = fresh.select("id", F.when(F.col("review").isNotNull(), "review").otherwise("event").alias("kind"))
     changed = (latest_reviews(reviews).where(F.col("review.ts") > after_ts)
                .join(events.where(F.col("id") <= after_id).select("id"), "id", "left_semi")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from framelens.functions.geometry import Box, parse_points, point_in_polygon
 
 # fixed values: the reference's detection cap per frame and label text for unknown ids
-MAX_DETECTIONS = 128
 UNKNOWN_LABEL = "null"
 MAX_LABELS = 10_000
 
@@ -67,11 +66,13 @@ def label_lookup(dets: DataFrame, labels: DataFrame) -> DataFrame:
         "label", F.coalesce("label", F.lit(UNKNOWN_LABEL)))
 
 
-def display_filter(tracked: DataFrame, threshold: float, order: str = "det_idx") -> DataFrame:
-    """Rows good enough to show: score at the threshold, first 128 of a frame."""
+def display_filter(tracked: DataFrame, threshold: float, order: str = "det_idx", limit: int | None = None) -> DataFrame:
+    """Rows good enough to show: score at the threshold; with ``limit``, the first ones of a frame."""
+    shown = tracked.where(F.col("score") >= threshold)
+    if limit is None:
+        return shown
     rank = F.row_number().over(W.partitionBy("frame").orderBy(order))
-    return (tracked.where(F.col("score") >= threshold).withColumn("_rank", rank)
-            .where(F.col("_rank") <= MAX_DETECTIONS).drop("_rank"))
+    return shown.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
 
 def borderline_gate(frames: DataFrame, min_conf: float, submit_all: bool = False) -> DataFrame:

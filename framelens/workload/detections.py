@@ -95,8 +95,7 @@ def flt6(t: Tables):
 
 
 @query("flt7_display_filter", BOXES + """
-SELECT frame, det_idx FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY det_idx) AS n
-  FROM boxes WHERE score >= 0.3) WHERE n <= 128""")
+SELECT frame, det_idx FROM boxes WHERE score >= 0.3""")
 def flt7(t: Tables):
     return FL.display_filter(t.boxes, 0.3).select(*KEEP)
 

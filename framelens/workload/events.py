@@ -43,7 +43,7 @@ def evt2(t: Tables):
 
 
 @query("evt2_query_default_limit", EVENT_LOG + """
-SELECT id FROM (SELECT * FROM event_log WHERE json_extract_string(body, '$.event') = 'count' ORDER BY id DESC LIMIT 100)""")
+SELECT id FROM (SELECT * FROM event_log WHERE json_extract_string(body, '$.event') = 'count' ORDER BY id DESC LIMIT 5000)""")
 def evt2_default(t: Tables):
     return E.query_events(t.event_log, type="count", limit=5000).select("id")
 
@@ -82,7 +82,7 @@ def evt5(t: Tables):
 
 @query("evt6_feed", JOINED + """
 SELECT id, CASE WHEN verdict IS NULL THEN 'event' ELSE 'review' END AS kind FROM (
-  SELECT * FROM joined WHERE id > 60 ORDER BY id DESC LIMIT 100)
+  SELECT * FROM joined WHERE id > 60)
 UNION ALL SELECT id, 'review' FROM joined WHERE id <= 60 AND review_ts > 1704067220000""")
 def evt6(t: Tables):
     return E.feed(t.event_log, t.reviews, 60, 1704067220000)
