@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelens.schema import METRICS, SUMMARY
+from framelens.schema import SUMMARY
 
 
 def summaries(files: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -19,8 +19,11 @@ def summaries(files: DataFrame, metrics: DataFrame) -> DataFrame:
     rows = rows.select("dir", "tag", F.from_json("value", SUMMARY).alias("s")).select("dir", "tag", "s.*")
     oriented = F.col("mAP50_95").isNotNull() | F.col("AP50_per_class").isNotNull()
     rows = rows.withColumn("kind", F.coalesce("kind", F.when(oriented, "obb"))).where("kind is not null")
+    # the engine's name is the key of the entry with a pipeline; other entries may stand before it
+    engines = F.filter(F.map_values(F.from_json("value", "map<string,string>")),
+                       lambda x: F.get_json_object(x, "$.pipeline").isNotNull())
     m = metrics.select("dir", F.regexp_extract("name", r"^metrics_(.*)\.json$", 1).alias("tag"),
-                       F.get(F.map_values(F.from_json("value", METRICS)), F.lit(0))["pipeline"]["avg_fps"].alias("fps"))
+                       F.get_json_object(F.get(engines, F.lit(0)), "$.pipeline.avg_fps").cast("double").alias("fps"))
     return rows.join(m, ["dir", "tag"], "left").withColumn("fps", F.coalesce("fps", F.lit(0.0)))
 
 

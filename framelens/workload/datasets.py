@@ -174,7 +174,7 @@ def src14(t: Tables):
     value = (F.when(k % 5 == 1, '{"mAP50_95":0.4}').when(k % 5 == 2, '{"AP":0.3}').when(k % 5 == 3, "[1]").otherwise('{"kind":"bbox","AP":0.5}'))
     files = s.select("dir", F.concat(F.lit("summary_"), "tag", F.lit(".json")).alias("name"), value.alias("value"))
     metrics = s.where(k % 4 != 0).select("dir", F.concat(F.lit("metrics_"), "tag", F.lit(".json")).alias("name"), F.concat(
-        F.lit('{"engine":{"pipeline":{"avg_fps":'), k + F.lit(0.5), F.lit("}}}")).alias("value"))
+        F.when(k % 3 == 0, F.lit('{"version":"1",')).otherwise(F.lit("{")), F.lit('"engine":{"pipeline":{"avg_fps":'), k + F.lit(0.5), F.lit("}}}")).alias("value"))
     return RU.summaries(files, metrics).select("dir", "tag", "kind", "fps")
 
 

@@ -73,3 +73,16 @@ def test_oriented_ap_claims(spark):
     gts = spark.createDataFrame([("i", 0, 0, 0, poly(0.0)), ("i", 0, 1, 0, poly(50.0))], f"image string, cls int, gt_idx int, difficult int, poly {kind}")
     ap = {r.thr_no: r.ap for r in V.oriented_ap(dets, gts).collect()}
     assert ap[0] == pytest.approx((51 + 50 * 2 / 3) / 101)
+
+
+def test_region_medians_are_exact(spark):
+    # boxes above 4096 pixels, with image cells inside and on the border, and one inside a single cell
+    px = spark.range(256 * 192).select(F.lit(1).alias("frame"), (F.col("id") % 256).cast("int").alias("px"), F.floor(F.col("id") / 256).cast("int").alias("py"))
+    px = px.withColumn("v", (F.col("px") * 17 + F.col("py") * 7 + F.col("px") * F.col("py")) % 256)
+    boxes = [(3, 5, 200, 150), (32, 32, 64, 64), (0, 0, 256, 192), (40, 41, 7, 9)]
+    regions = spark.createDataFrame([(1, i, b) for i, b in enumerate(boxes)],
+                                    "frame int, det_idx int, rect struct<x: int, y: int, w: int, h: int>")
+    got = {r.det_idx: r.median for r in P.region_medians(regions, px).collect()}
+    for i, (x, y, w, h) in enumerate(boxes):
+        values = sorted((a * 17 + b * 7 + a * b) % 256 for a in range(x, x + w) for b in range(y, y + h))
+        assert got[i] == values[len(values) // 2]
