@@ -14,7 +14,7 @@ HEADLINE = [
     "rul1_line_cross", "rul2_intrusion", "rul3_dwell", "rul4_absence", "rul5_crowd", "rul8_speed",
     "sup1_top_k_per_frame", "sup2_class_nms", "sup4_rotated_nms", "agg1_detection_stats",
     "evt4_attach_review", "agg5_timeline_counts", "alr1_alert_throttle", "evl4_oriented_ap", "evl1_box_ap",
-    "dst4_clip_to_tiles", "dep2_box_distance", "pos1_skeleton_windows", "trk1_tracker_ocsort",
+    "dst4_clip_to_tiles", "dep2_box_distance", "pos1_skeleton_windows",
 ]
 
 

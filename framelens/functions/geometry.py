@@ -291,6 +291,3 @@ def normalise_keypoint(x: Column, y: Column, box: Box | None = None,
         scale = F.greatest(box.width, box.height, F.lit(1)).cast("double")
         return (x - box.cx) / scale, (y - box.cy) / scale
     return (x - width / 2) / (width / 2), (y - height / 2) / (height / 2)
-
-
-HALF_TURN = math.pi

@@ -49,8 +49,8 @@ def ground_band(rect: Column, band: float, dw: Column, dh: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), F.least(w, dw - x).alias("w"), F.least(bh, dh - y).alias("h"))
 
 
-def region_medians(regions: DataFrame, pixels: DataFrame, cell: int = CELL) -> DataFrame:
-    """Upper median of all pixels of each region (``frame, det_idx, rect``); values are bytes.
+def region_values(regions: DataFrame, pixels: DataFrame, cell: int = CELL) -> DataFrame:
+    """How many pixels of each region (``frame, det_idx, rect``) have each value: parts of ``n``.
 
     Pixels are counted once by image cell and value. Cells inside a region give it their counts;
     only cells on its border are read pixel by pixel.
@@ -69,7 +69,13 @@ def region_medians(regions: DataFrame, pixels: DataFrame, cell: int = CELL) -> D
     border = cells.where(~F.col("inner")).join(px, ["frame", "cx", "cy"]).where(
         F.col("px").between(rect["x"], last_x) & F.col("py").between(rect["y"], last_y)).select(
         "frame", "det_idx", "v", F.lit(1).cast("long").alias("n"))
-    bins = inner.union(border).groupBy("frame", "det_idx", "v").agg(F.sum("n").alias("n"))
+    return inner.union(border)
+
+
+def region_medians(regions: DataFrame, pixels: DataFrame, cell: int = CELL) -> DataFrame:
+    """Upper median of all pixels of each region (``frame, det_idx, rect``); values are bytes."""
+    # at most 256 values a region, counted map-side
+    bins = region_values(regions, pixels, cell).groupBy("frame", "det_idx", "v").agg(F.sum("n").alias("n"))
     packed = bins.groupBy("frame", "det_idx").agg(
         F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"), F.sum("n").alias("total"))
     walk = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("v")),

@@ -16,7 +16,6 @@ from framelens.plans.numbering import global_row_number
 # fixed values: public query limits, files under retention, review defaults
 DEFAULT_LIMIT = 100
 SNAPSHOT_NAME = r"^(snapshot_.*\.jpg|clip_.*\.avi)$"
-MAX_LOW_ITEMS = 8
 
 
 def append_events(incoming: DataFrame, last_id: int | Column = 0, order: tuple = ("recv_ts", "seq")) -> DataFrame:
@@ -195,8 +194,9 @@ def last_segments(segments: DataFrame, n: int, keys: tuple = ("source",), order:
     return segments.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def review_summary(frames: DataFrame, min_conf: float) -> DataFrame:
-    """Short form of a frame for a prompt: total and up to eight low-scored detections."""
-    low = F.slice(F.filter("dets", lambda d: d["score"] < min_conf), 1, MAX_LOW_ITEMS)
+def review_summary(frames: DataFrame, min_conf: float, limit: int | None = None) -> DataFrame:
+    """Short form of a frame for a prompt: total and low-scored detections (the first ``limit``)."""
+    low = F.filter("dets", lambda d: d["score"] < min_conf)
+    low = low if limit is None else F.slice(low, 1, limit)
     return frames.select("frame", F.size("dets").alias("total_detections"),
                          F.lit(min_conf).alias("low_conf_threshold"), low.alias("low_conf_items"))

@@ -57,11 +57,12 @@ def verdict_stats(records: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def verdict_descriptions(records: DataFrame) -> DataFrame:
-    """Description of each successful review: its JSON text, or the raw text under 300 bytes."""
+def verdict_descriptions(records: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Description of each successful review: its JSON text, or the raw text (with ``max_bytes``: a shorter one)."""
     raw = F.coalesce("verdict", F.lit(""))
     found = F.get_json_object(raw, "$.description")
-    short = F.when((F.length(raw) > 0) & (F.octet_length(raw) < 300), raw)
+    fits = F.lit(True) if max_bytes is None else F.octet_length(raw) < max_bytes
+    short = F.when((F.length(raw) > 0) & fits, raw)
     return records.where("ok").withColumn("description", F.coalesce(found, short)).where(
         "description is not null")
 

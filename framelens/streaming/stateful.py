@@ -1,4 +1,4 @@
-"""Stateful streams keyed by source: rules, tracker and throttle.
+"""Stateful streams keyed by source: rules and throttle.
 
 Each micro-batch brings the next frames of a source; rows are ordered inside the batch and the
 state carries over. Late rows are dropped by the watermark of the caller's stream.
@@ -6,7 +6,6 @@ state carries over. Late rows are dropped by the watermark of the caller's strea
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -14,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 
 from framelens.operators.rules import STALE_MS, Rule
-from framelens.operators.tracking import OUT, Tracker, TrackerSettings, frame_rows
 from framelens.streaming.rule_state import RuleState
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -77,40 +75,6 @@ def stream_rules(rows: DataFrame, rules: Sequence[Rule], stale_ms: int = STALE_M
         outputStructType=f"source {kind}, ts_ms long, type string, rule_id string, track_id long, cls int, detail string")
 
 
-class _Track(_Keyed):
-    schema = "value binary"
-    order = ("frame", "det_idx")
-
-    def __init__(self, settings: TrackerSettings):
-        self.settings = settings
-
-    def advance(self, key, value, rows):
-        tracker, at = pickle.loads(value) if value else (Tracker(self.settings), None)
-        parts = []
-        for frame, items in rows.groupby("frame", sort=True):
-            # frames without rows still age the tracks; after that many nothing is left to age
-            gap = 0 if at is None else min(int(frame) - at - 1, self.settings.max_missed + 1)
-            for i in range(gap):
-                parts.append(frame_rows(tracker, None).assign(frame=at + 1 + i))
-            real = items[items["det_idx"].notna()]
-            parts.append(frame_rows(tracker, real if len(real) else None).assign(frame=int(frame)))
-            at = int(frame)
-        names = [p.split()[0] for p in OUT.split(", ")]
-        out = pd.concat([p for p in parts if len(p)] or [pd.DataFrame(columns=[*names, "frame"])])
-        out.insert(0, "source", key[0])
-        return pickle.dumps((tracker, at)), out[["source", "frame", *names]]
-
-
-def stream_tracks(dets: DataFrame, settings: TrackerSettings | None = None) -> DataFrame:
-    """The batch tracker over micro-batches; a row with a null ``det_idx`` is an empty frame."""
-    use_rocksdb(dets.sparkSession)
-    kind = dict(dets.dtypes)["source"]
-    slim = dets.select("source", "frame", "det_idx", "cls", "score", "left", "top", "right", "bottom")
-    return slim.groupBy("source").transformWithStateInPandas(
-        statefulProcessor=_Track(settings or TrackerSettings()), outputMode="Append", timeMode="None",
-        outputStructType=f"source {kind}, frame long, {OUT}")
-
-
 class _Throttle(_Keyed):
     schema = "value long"
 

@@ -1,14 +1,13 @@
-"""Annotation, dataset, tracker and streaming queries."""
+"""Annotation and dataset queries."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from framelens.operators import datasets as DS
-from framelens.operators import tracking as TR
 from framelens.session import scratch_path
 from framelens.sources import annotations as A
 from framelens.sources import runs as RU
-from framelens.workload.detections import BOXES, oriented
+from framelens.workload.detections import BOXES
 from framelens.workload.registry import query
 from framelens.workload.views import Tables, fixed
 
@@ -90,9 +89,9 @@ def src11_text(t: Tables):
 
 @query("src8_voc_xml", """
 SELECT 'im' || l_orderkey || '_' || l_linenumber || '_' || l_partkey AS filename, CASE l_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS cls,
-  l_suppkey % 3 = 2 OR l_linenumber = 1 AS invalid, (l_linenumber - 1) * 1.0::DOUBLE AS w FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45""")
+  l_suppkey % 3 = 2 OR l_linenumber = 1 AS invalid, (l_linenumber - 1) * 1.0::DOUBLE AS w FROM lineitem""")
 def src8(t: Tables):
-    li = t.read("lineitem").where("l_returnflag = 'R' and l_quantity > 45")
+    li = t.read("lineitem")
     name = F.element_at(F.array(F.lit("cat"), F.lit("dog"), F.lit("cow")), (F.col("l_suppkey") % 3 + 1).cast("int"))
     xml = F.concat(F.lit("<annotation><filename>im"), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey"), F.lit("</filename><object><name> "), name,
                    F.lit(" </name><bndbox><xmin>5</xmin><ymin>6</ymin><xmax>"), F.col("l_linenumber") + 4, F.lit("</xmax><ymax>20</ymax></bndbox></object></annotation>"))
@@ -173,7 +172,7 @@ def src14(t: Tables):
         "tag", F.concat(F.when(k % 10 == 0, "conf").otherwise("m"), k))
     value = (F.when(k % 5 == 1, '{"mAP50_95":0.4}').when(k % 5 == 2, '{"AP":0.3}').when(k % 5 == 3, "[1]").otherwise('{"kind":"bbox","AP":0.5}'))
     files = s.select("dir", F.concat(F.lit("summary_"), "tag", F.lit(".json")).alias("name"), value.alias("value"))
-    metrics = s.where(k % 4 != 0).select("dir", F.concat(F.lit("metrics_"), "tag", F.lit(".json")).alias("name"), F.concat(
+    metrics = s.select("dir", F.concat(F.when(k % 4 == 0, "metrics_other_").otherwise("metrics_"), "tag", F.lit(".json")).alias("name"), F.concat(
         F.when(k % 3 == 0, F.lit('{"version":"1",')).otherwise(F.lit("{")), F.lit('"engine":{"pipeline":{"avg_fps":'), k + F.lit(0.5), F.lit("}}}")).alias("value"))
     return RU.summaries(files, metrics).select("dir", "tag", "kind", "fps")
 
@@ -187,10 +186,10 @@ def prj9(t: Tables):
 
 
 @query("agg9_category_distribution", """
-SELECT n_nationkey AS id, n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9500) AS count FROM nation""")
+SELECT n_nationkey AS id, n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS count FROM nation""")
 def agg9(t: Tables):
     cats = t.read("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return DS.category_distribution(t.read("customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("category_id")), cats)
+    return DS.category_distribution(t.read("customer").select(F.col("c_nationkey").alias("category_id")), cats)
 
 
 CHECK = """(SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) u"""
@@ -270,12 +269,13 @@ def dst6(t: Tables):
     return DS.class_names(t.read("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
 
 
-MANIFEST = """m AS (SELECT url AS path, length(html) AS size, page_id FROM pages), c AS (SELECT path, size + CASE WHEN page_id % 4 = 1 THEN 1 ELSE 0 END AS size FROM m WHERE page_id % 3 <> 0)"""
+MANIFEST = """m AS (SELECT url AS path, length(html) AS size, page_id FROM pages), c AS (SELECT path || CASE WHEN page_id % 3 = 0 THEN '~' ELSE '' END AS path, size + CASE WHEN page_id % 4 = 1 THEN 1 ELSE 0 END AS size FROM m)"""
 
 
 def manifest(t: Tables):
     m = t.read("pages").select(F.col("url").alias("path"), F.length("html").cast("long").alias("size"), "page_id")
-    return m, m.where("page_id % 3 <> 0").withColumn("size", F.col("size") + F.when(F.col("page_id") % 4 == 1, 1).otherwise(0))
+    moved = F.concat("path", F.when(F.col("page_id") % 3 == 0, "~").otherwise(""))
+    return m, m.withColumn("path", moved).withColumn("size", F.col("size") + F.when(F.col("page_id") % 4 == 1, 1).otherwise(0))
 
 
 @query("dst7_manifest_summary", MANIFEST + """
@@ -294,39 +294,3 @@ def jn9(t: Tables):
 def dst8(t: Tables):
     files = t.read("pages").select(F.lpad(F.col("page_id").cast("string"), 9, "0").alias("path"), "page_id")
     return DS.assign_batches(files, 30).select("page_id", "batch")
-
-
-# tracking ------------------------------------------------------------------------------
-
-def camera_frames(t: Tables):
-    """Boxes as detections of seven cameras with dense frame numbers."""
-    return t.boxes.withColumn("frame", F.floor(F.col("frame") / 7).cast("long"))
-
-
-@query("trk1_tracker_ocsort")
-def trk1(t: Tables):
-    return TR.track(camera_frames(t))
-
-
-@query("trk1_tracker_iou")
-def trk1_iou(t: Tables):
-    return TR.track(camera_frames(t), TR.TrackerSettings(algorithm="iou"))
-
-
-@query("trk1_detections_kept", BOXES + """
-SELECT source, count(*) AS rows, count(DISTINCT (frame, det_idx)) AS dets FROM boxes GROUP BY source""")
-def trk1_kept(t: Tables):
-    # every detection comes out once, suppressed duplicates included
-    out = TR.track(camera_frames(t), TR.TrackerSettings(algorithm="bytetrack")).where("det_idx >= 0")
-    return out.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("frame", "det_idx").alias("dets"))
-
-
-@query("trk2_oriented_adapter")
-def trk2(t: Tables):
-    o = oriented(t).withColumn("frame", F.floor(F.col("frame") / 7).cast("long"))
-    return TR.track_oriented(o.select("source", "frame", "det_idx", "cls", "score", F.col("left").alias("x"), F.col("top").alias("y"), "w", "h", "angle"))
-
-
-@query("trk3_overlap_links")
-def trk3(t: Tables):
-    return TR.link_by_overlap(camera_frames(t).where("cls = 0"), min_hits=3)

@@ -78,12 +78,8 @@ WHERE x2 > x1 AND y2 > y1 GROUP BY r.frame, r.det_idx""")
 def jn6(t: Tables):
     rect = P.depth_rectangle(G.Box.of(), (10, 10, 140, 120), F.lit(16), F.lit(12))
     _, px = raster(t)
-    # rasters are small here: pixels travel as one array per frame and boxes count inside it
-    grid = px.groupBy("frame").agg(F.collect_list(F.struct("px", "py")).alias("grid"))
-    j = t.boxes.withColumn("r", rect).where("r is not null").join(grid, "frame")
-    inside = F.filter("grid", lambda p: p["px"].between(F.col("r.x"), F.col("r.x") + F.col("r.w") - 1)
-                      & p["py"].between(F.col("r.y"), F.col("r.y") + F.col("r.h") - 1))
-    return j.select(*KEEP, big(F.size(inside)).alias("pixels"))
+    hits = P.region_values(t.boxes.withColumn("rect", rect), px)
+    return hits.groupBy(*KEEP).agg(F.sum("n").alias("pixels"))
 
 
 BAND = """
@@ -118,7 +114,7 @@ pts AS (SELECT frame, det_idx, n, z + d * w3 / 2 AS zz, x0 + a * l3 / 2 AS xx, y
 
 @query("dep4_wireframes", RASTER + "," + BAND_MED + "," + FRAME3D + """
 SELECT frame, det_idx, n, round((500 * xx + 100 * zz) / zz * 100) / 100 AS x, round((480 * yy + 40 * zz) / zz * 100) / 100 AS y
-FROM pts WHERE (frame, det_idx) NOT IN (SELECT (frame, det_idx) FROM pts WHERE zz <= 0.001)""")
+FROM pts QUALIFY min(zz) OVER (PARTITION BY frame, det_idx) > 0.001""")
 def dep4(t: Tables):
     rasters, px = raster(t)
     wires = P.wireframes(P.box_distances(t.boxes, rasters, px, band=0.3), P2, 4.0)
@@ -318,12 +314,12 @@ def fn27(t: Tables):
 # cascades ------------------------------------------------------------------------------
 
 @query("cas1_detect_crop_classify", BOXES + """,
-o AS (SELECT *, [qty % 5, line, (qty * 3) % 7]::DOUBLE[] AS v FROM boxes WHERE det_idx % 4 <> 0)
+b AS (SELECT *, CASE WHEN det_idx % 4 <> 0 THEN [qty % 5, line, (qty * 3) % 7]::DOUBLE[] END AS v FROM boxes)
 SELECT b.frame, b.det_idx, CAST(list_position(v, list_max(v)) - 1 AS INT) AS sub_cls, CASE list_position(v, list_max(v)) WHEN 1 THEN 'red' WHEN 2 THEN 'green' WHEN 3 THEN '' ELSE '' END AS sub_label,
   round(192 / greatest(CASE WHEN b.w > b.h * 0.75 THEN b.w ELSE b.h * 0.75 END, 1) * 10000) / 10000 AS sx
-FROM boxes b LEFT JOIN o USING (frame, det_idx)""")
+FROM b""")
 def cas1(t: Tables):
-    out = t.boxes.where("det_idx % 4 <> 0").select("frame", "det_idx", F.array(*[c.cast("double") for c in (
+    out = t.boxes.select("frame", F.when(F.col("det_idx") % 4 == 0, -1 - F.col("det_idx")).otherwise(F.col("det_idx")).alias("det_idx"), F.array(*[c.cast("double") for c in (
         F.col("qty") % 5, F.col("line"), (F.col("qty") * 3) % 7)]).alias("values"))
     rows = C.classify_crops(C.crop_plan(t.boxes, 192, 256), out, lambda v: D.top1(v, False), F.array(F.lit("red"), F.lit("green")))
     return rows.select(*KEEP, "sub_cls", "sub_label", fixed(F.col("crop.sx")).alias("sx"))
@@ -352,12 +348,12 @@ def jn5(t: Tables):
 T_LEN, STALE = 4, 6
 POSES = """poses AS (SELECT source_id AS source, track_id, frame, det_idx, "left", top, 20 + det_idx % 60 AS w, 20 + (det_idx * 7) % 80 AS h FROM (
   SELECT user_id % 4 AS source_id, user_id % 12 + 1 AS track_id, CAST(floor(epoch_us(ts) // 1000 / 3600000.0) AS BIGINT) - 473352 AS frame, event_id AS det_idx,
-    (CAST(round(value * 100) AS BIGINT) * 7) % 1200 AS "left", (CAST(json_extract_string(props, '$.k') AS BIGINT) * 7) % 660 AS top FROM events WHERE event_type <> 'view')),
+    (CAST(round(value * 100) AS BIGINT) * 7) % 1200 AS "left", (CAST(json_extract_string(props, '$.k') AS BIGINT) * 7) % 660 AS top FROM events)),
 one AS (SELECT * FROM poses QUALIFY row_number() OVER (PARTITION BY source, track_id, frame ORDER BY det_idx) = 1)"""
 
 
 def pose_rows(t: Tables):
-    p = t.tracked.where("cls <> 0").withColumn("frame", F.floor(F.col("ts_ms") / 3600000).cast("long") - 473352)
+    p = t.tracked.withColumn("frame", F.floor(F.col("ts_ms") / 3600000).cast("long") - 473352)
     p = p.select("source", ((F.col("track_id") - 1) % 12 + 1).alias("track_id"), "frame", F.col("event_id").alias("det_idx"),
                  "left", "top", "right", "bottom")
     kpts = F.array(*[F.array((F.col("left") + i).cast("double"), (F.col("top") + i).cast("double"), F.lit(0.5)) for i in range(2)])
@@ -471,9 +467,9 @@ def frm3(t: Tables):
 
 @query("jn10_event_clips", TRACKED + """
 SELECT e.event_id AS id, count(*) AS frames, min(f.ts_ms) AS first_ts FROM tracked e JOIN (SELECT DISTINCT source, ts_ms FROM tracked) f
-  ON f.source = e.source AND f.ts_ms BETWEEN e.ts_ms - 3600000 AND e.ts_ms WHERE e.cls = 4 GROUP BY e.event_id""")
+  ON f.source = e.source AND f.ts_ms BETWEEN e.ts_ms - 3600000 AND e.ts_ms GROUP BY e.event_id""")
 def jn10(t: Tables):
     tr = t.tracked
-    ev = tr.where("cls = 4").select(F.col("event_id").alias("id"), "source", "ts_ms")
+    ev = tr.select(F.col("event_id").alias("id"), "source", "ts_ms")
     clips = SA.clip_frames(ev, tr.select("source", "ts_ms").distinct(), 3600000, 1000.0)
     return clips.groupBy("id").agg(F.count(F.lit(1)).alias("frames"), F.min("ts_ms").alias("first_ts"))

@@ -349,21 +349,24 @@ def evl10(t: Tables):
 
 
 @query("evl11_per_class_pivot", """
-SELECT p_brand AS cls, max(p_retailprice) FILTER (p_type = 'ECONOMY') AS "ECONOMY", max(p_retailprice) FILTER (p_type = 'STANDARD') AS "STANDARD"
+SELECT p_brand AS cls, max(p_retailprice) FILTER (p_type = 'ECONOMY') AS "ECONOMY", max(p_retailprice) FILTER (p_type = 'LARGE') AS "LARGE",
+  max(p_retailprice) FILTER (p_type = 'MEDIUM') AS "MEDIUM", max(p_retailprice) FILTER (p_type = 'PROMO') AS "PROMO",
+  max(p_retailprice) FILTER (p_type = 'SMALL') AS "SMALL", max(p_retailprice) FILTER (p_type = 'STANDARD') AS "STANDARD"
 FROM part GROUP BY p_brand""")
 def evl11(t: Tables):
     rows = t.read("part").groupBy(F.col("p_brand").alias("cls"), F.col("p_type").alias("tag")).agg(F.max("p_retailprice").alias("ap50"))
-    return V.per_class_table(rows, ["ECONOMY", "STANDARD"])
+    return V.per_class_table(rows, ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
 
 
 @query("evl12_class_list_check", """
 SELECT n_nationkey AS ord, n_name AS label, CASE WHEN n_nationkey % 6 = 5 THEN 'other' ELSE n_name END AS category FROM nation
 WHERE n_nationkey % 6 = 5 AND n_nationkey < 20
-UNION ALL SELECT n_nationkey, n_name, NULL FROM nation WHERE n_nationkey >= 20""")
+UNION ALL SELECT n_nationkey, n_name, NULL FROM nation WHERE n_nationkey >= 20
+UNION ALL SELECT n_nationkey + 100, NULL, CASE WHEN n_nationkey % 6 = 5 THEN 'other' ELSE n_name END FROM nation WHERE n_nationkey >= 20""")
 def evl12(t: Tables):
     n = t.read("nation")
     labels = n.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"))
-    cats = n.where("n_nationkey < 20").select(F.col("n_nationkey").alias("ord"), F.when(
+    cats = n.select(F.when(F.col("n_nationkey") < 20, F.col("n_nationkey")).otherwise(F.col("n_nationkey") + 100).alias("ord"), F.when(
         F.col("n_nationkey") % 6 == 5, "other").otherwise(F.col("n_name")).alias("name"))
     return V.class_list_check(labels, cats)
 
@@ -396,9 +399,9 @@ def agg14(t: Tables):
 @query("agg16_coverage", """
 SELECT count(*) AS exported, count(*) FILTER (doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) AS evaluated,
   count(DISTINCT doc_id) FILTER (doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) AS images_evaluated,
-  (SELECT count(*) FROM documents WHERE lang = 'en') AS images_total FROM labels""")
+  (SELECT count(*) FROM documents) AS images_total FROM labels""")
 def agg16(t: Tables):
-    images = t.read("documents").where("lang = 'en'").select(F.col("doc_id").alias("image_id"))
+    images = t.read("documents").select(F.when(F.col("lang") == "en", F.col("doc_id")).otherwise(-1 - F.col("doc_id")).alias("image_id"))
     return RP.coverage(t.read("labels").select(F.col("doc_id").alias("image_id")), images)
 
 

@@ -59,9 +59,9 @@ def evt4(t: Tables):
 
 
 @query("evt4_unmatched_reviews", EVENT_LOG + "," + REVIEWS + """
-SELECT event_id, source, ts FROM reviews WHERE event_id NOT IN (SELECT id FROM event_log WHERE id % 5 <> 0)""")
+SELECT event_id, source, ts FROM reviews WHERE event_id NOT IN (SELECT CASE WHEN id % 5 = 0 THEN -id ELSE id END FROM event_log)""")
 def evt4_unmatched(t: Tables):
-    return E.unmatched_reviews(t.event_log.where("id % 5 <> 0"), t.reviews).select("event_id", "source", "ts")
+    return E.unmatched_reviews(t.event_log.withColumn("id", F.when(F.col("id") % 5 == 0, -F.col("id")).otherwise(F.col("id"))), t.reviews).select("event_id", "source", "ts")
 
 
 @query("jn3_latest_review", REVIEWS + " SELECT event_id AS id, verdict, review_ts AS ts FROM latest")
@@ -180,8 +180,8 @@ def evt12(t: Tables):
 
 
 @query("evt13_review_summary", BOXES + """
-SELECT frame, CAST(count(*) AS INT) AS total_detections, coalesce(string_agg(det_idx, ',' ORDER BY det_idx) FILTER (n <= 8 AND score < 0.3), '') AS low
-FROM (SELECT *, sum(CASE WHEN score < 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY frame ORDER BY det_idx) AS n FROM boxes) GROUP BY frame""")
+SELECT frame, CAST(count(*) AS INT) AS total_detections, coalesce(string_agg(det_idx, ',' ORDER BY det_idx) FILTER (score < 0.3), '') AS low
+FROM boxes GROUP BY frame""")
 def evt13(t: Tables):
     ids = F.array_join(F.transform("low_conf_items", lambda d: d["det_idx"].cast("string")), ",")
     return E.review_summary(nested(t), 0.3).select("frame", "total_detections", ids.alias("low"))
@@ -321,7 +321,7 @@ def agg3(t: Tables):
 
 @query("sup10_recent_descriptions", VTEXT + """
 SELECT conv_id * 100 + turn AS seq, CASE WHEN conv_id % 6 = 0 THEN 'd' || conv_id ELSE verdict END AS description FROM kinds
-WHERE ok AND (conv_id % 6 = 0 OR (verdict <> '' AND octet_length(encode(verdict)) < 300)) ORDER BY seq DESC LIMIT 10""")
+WHERE ok AND (conv_id % 6 = 0 OR verdict <> '') ORDER BY seq DESC LIMIT 10""")
 def sup10(t: Tables):
     rows = RP.verdict_descriptions(verdict_texts(t)).withColumn("seq", F.col("conv_id") * 100 + F.col("turn"))
     return S.recent_texts(rows, "seq").select("seq", "description")
@@ -344,7 +344,7 @@ def fn31(t: Tables):
 # alerts --------------------------------------------------------------------------------
 
 def alerts(t: Tables):
-    e = t.read("events").where("event_type in ('view', 'click')")
+    e = t.read("events")
     return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("source"),
                     F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
                     F.expr("case event_type when 'view' then 'count' else 'near_distance' end").alias("event"),
@@ -365,7 +365,7 @@ chain AS (SELECT {keys}, ts_ms, id, nxt FROM nexts WHERE n = 1
 
 ALERTS = """alerts AS (SELECT event_id AS id, user_id % 4 AS source, epoch_us(ts) // 1000 AS ts_ms,
   CASE event_type WHEN 'view' THEN event_id % 3 || '' ELSE 'near_dist' END AS dedup_key, 'task' || (user_id % 2) AS task
-  FROM events WHERE event_type IN ('view', 'click'))"""
+  FROM events)"""
 
 
 @query("alr1_alert_throttle", "WITH RECURSIVE " + ALERTS + "," + greedy_throttle("alerts", "source", 14400000) + " SELECT source, ts_ms, id FROM chain")

@@ -9,7 +9,6 @@ from framelens.sources import event_log as L
 from framelens.session import scratch_path
 from framelens.streaming import stateful as S
 from framelens.streaming import windows as SW
-from framelens.workload.datasets import camera_frames
 from framelens.workload.events import ALERTS, INCOMING, alerts, greedy_throttle, incoming
 from framelens.workload.registry import ORACLES, query
 from framelens.workload.rules import ABSENT, CROSS, CROWD, DAY, INTRUDE, LINE, SCALE
@@ -36,11 +35,6 @@ def str3(t: Tables):
     return live.select("source", "ts_ms", "rule_id", "track_id", "cls", "detail")
 
 
-@query("str2_stateful_tracker")
-def str2(t: Tables):
-    return SW.run_available(S.stream_tracks(SW.as_stream(camera_frames(t), "frame")))
-
-
 @query("str4_tumbling_report", CROSS + """
 SELECT source, ts_ms // 86400000 * 86400000 AS interval_start, 'gate' AS rule_id,
   count(*) FILTER (a2b) AS cross_ab, count(*) FILTER (NOT a2b) AS cross_ba FROM crossed GROUP BY ALL""")

@@ -86,3 +86,11 @@ def test_region_medians_are_exact(spark):
     for i, (x, y, w, h) in enumerate(boxes):
         values = sorted((a * 17 + b * 7 + a * b) % 256 for a in range(x, x + w) for b in range(y, y + h))
         assert got[i] == values[len(values) // 2]
+
+
+def test_official_categories(spark):
+    ids = [i for i in V.OFFICIAL_IDS]
+    got = {r.cls: r.category for r in V.category_mapping(spark.createDataFrame([(i,) for i in ids], "id int")).collect()}
+    assert got == dict(enumerate(ids)) and len(got) == 80
+    with pytest.raises(Exception, match="neither"):
+        V.category_mapping(spark.createDataFrame([(2,), (5,)], "id int")).collect()
