@@ -20,12 +20,17 @@ _LOW = -(2 ** 62)
 
 
 def _exits(ts: np.ndarray, interval: int) -> list[dict]:
-    """Step table (last entry time, exit time) of one chunk, equal exits merged."""
+    """Step table (last entry time, exit time) of one chunk, equal exits merged.
+
+    Rows kept earlier lie before the chunk, so chains enter it less than an interval after its
+    first row: later steps can't be asked for and are left out.
+    """
     nxt = np.searchsorted(ts, ts + interval, side="left")
     exit_at = np.empty(len(ts), dtype=np.int64)
     for i in range(len(ts) - 1, -1, -1):
         exit_at[i] = exit_at[nxt[i]] if nxt[i] < len(ts) else ts[i] + interval
     last = np.append(np.flatnonzero(np.diff(exit_at)), len(ts) - 1)
+    last = last[:np.searchsorted(ts[last], ts[0] + interval, side="left") + 1]
     return [{"upto": int(ts[i]), "leave": int(exit_at[i])} for i in last]
 
 

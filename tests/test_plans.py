@@ -1,11 +1,12 @@
 """Chunked helpers against plain loops, for keys that span many chunks."""
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from framelens.plans.chunked import previous, running, with_chunk
 from framelens.plans.numbering import global_row_number
-from framelens.plans.throttle import throttle
+from framelens.plans.throttle import _exits, throttle
 
 
 def data(spark, n=300):
@@ -41,3 +42,17 @@ def test_global_row_number(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     rows = global_row_number(df, ["v"], "n", 5).collect()
     assert all(r.n == r.v + 5 for r in rows)
+
+
+def test_throttle_of_even_rows(spark):
+    # evenly spaced rows: tables stay as long as one interval, and chunks still join up
+    ts = np.arange(0, 33 * 9000, 33)
+    assert len(_exits(ts, 2000)) <= 62
+    df = spark.createDataFrame([(1, int(t)) for t in ts], "k int, ts long")
+    got = [r.ts for r in throttle(df, ["k"], "ts", 2000, chunk_length=30_000).orderBy("ts").collect()]
+    want, last = [], None
+    for t in ts:
+        if last is None or t - last >= 2000:
+            want.append(int(t))
+            last = t
+    assert got == want
