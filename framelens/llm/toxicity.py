@@ -29,8 +29,8 @@ NGRAMS = (3, 4, 5, 6)
 #: Bound of the labelled sample, and of the share of each class in it.
 SAMPLE_ROWS = 4_000
 EPOCHS, BATCH, RATE, DECAY = 10, 64, 0.05, 1e-5
-#: Buckets of fewer sample texts get no embedding.
-MIN_TEXTS = 3
+#: Buckets of fewer sample texts, or of a smaller share of them, get no embedding.
+MIN_TEXTS, MIN_SHARE = 3, 0.01
 #: Least number of steps; a small sample is gone through more often.
 MIN_STEPS = 300
 THRESHOLD = 0.5
@@ -70,7 +70,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 11) -> dict[
         texts[used] += 1
     weight = np.log(max(len(rows), 2) / np.maximum(texts, 1)).astype(np.float32)
     weight[texts == 0] = weight.max()
-    known = texts >= MIN_TEXTS
+    known = texts >= max(MIN_TEXTS, MIN_SHARE * len(rows))
     for i, (f, x, y) in enumerate(rows):  # in place: the bags are most of the driver's memory
         rows[i] = f[known[f]], x[known[f]], y
     rows = [r for r in rows if (weight[r[0]] * r[1]).sum() > 0]
