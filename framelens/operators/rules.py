@@ -5,6 +5,7 @@ Input rows: ``source, ts_ms, track_id, cls, confirmed, left, top, right, bottom`
 """
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -13,6 +14,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelens.functions.geometry import Box, point_in_polygon, segments_cross, side_of_line
@@ -422,9 +424,12 @@ def fall_events(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def speed_rows(rows: DataFrame, rules: Sequence[Rule], keep: float = 0.6) -> DataFrame:
     """Smoothed speed in px/s per rule and row.
 
-    The smoothing is linear, so each chunk is folded from zero and the value that enters
-    the chunk is added with weight ``keep**k``; entries come from one fold per track life.
+    The smoothing is linear, so the rows of a track life are cut by their number into blocks,
+    over which a weight falls by ``1e-50``. A block is a running sum of ``v / keep**place``; what
+    enters it comes from the sums of the seven blocks before, beyond which a double holds nothing.
     """
+    if not 0 <= keep < 1:
+        raise ValueError("keep must be at least 0 and below 1")
     picked = _pick(rules, "speed")
     dt = F.col("ts_ms") - F.col("prev_ts")
     step = F.sqrt((F.pow(F.col("left") + F.col("right") - F.col("prev_left") - F.col("prev_right"), 2)
@@ -432,40 +437,24 @@ def speed_rows(rows: DataFrame, rules: Sequence[Rule], keep: float = 0.6) -> Dat
     items = _per_rule(rows.where(F.col("confirmed") & ~F.col("is_start") & (dt > 1)), picked,
                       lambda r: {"inside": _in_region(r)}).withColumn("v", step * 1000.0 / dt)
     keys = ["rule_no", "source", "track_id", "life"]
-    packed = F.struct("ts_ms", "v", "inside", "cls", "type", "rule_id")
-
-    def local(acc: Column, item: Column) -> Column:
-        part = acc["part"] * keep + item["v"] * (1 - keep)
-        weight = acc["weight"] * keep
-        row = F.struct(item.alias("row"), part.alias("part"), weight.alias("weight"))
-        return F.struct(part.alias("part"), weight.alias("weight"),
-                        F.array_append(acc["out"], row).alias("out"))
-
-    kind = dict(items.dtypes)
-    row_type = (f"struct<row: struct<ts_ms: bigint, v: double, inside: boolean, cls: {kind['cls']}, "
-                "type: string, rule_id: string>, part: double, weight: double>")
-    zero = F.struct(F.lit(0.0).alias("part"), F.lit(1.0).alias("weight"),
-                    F.array().cast(f"array<{row_type}>").alias("out"))
-    chunks = (items.groupBy(*keys, CHUNK).agg(F.array_sort(F.collect_list(packed)).alias("_rows"))
-              .select(*keys, CHUNK, F.col("_rows")[0]["v"].alias("v0"),
-                      F.aggregate("_rows", zero, local).alias("_f")))
-    folded = chunks.select(*keys, CHUNK, "v0", F.col("_f.part").alias("part"),
-                           F.col("_f.weight").alias("weight"))
-
-    def enter(acc: Column, c: Column) -> Column:
-        entry = F.coalesce(acc["at"], c["v0"])
-        seen = F.struct(c[CHUNK].alias(CHUNK), entry.alias("entry"))
-        return F.struct((c["part"] + c["weight"] * entry).alias("at"),
-                        F.array_append(acc["out"], seen).alias("out"))
-
-    begin = F.struct(F.lit(None).cast("double").alias("at"),
-                     F.array().cast(f"array<struct<{CHUNK}: bigint, entry: double>>").alias("out"))
-    entries = (folded.groupBy(*keys)
-               .agg(F.array_sort(F.collect_list(F.struct(CHUNK, "v0", "part", "weight"))).alias("_c"))
-               .select(*keys, F.inline(F.aggregate("_c", begin, enter, lambda a: a["out"]))))
-    return (chunks.join(entries, [*keys, CHUNK])
-            .select(*keys, CHUNK, "entry", F.inline("_f.out"))
-            .select(*keys, CHUNK, "row.*", (F.col("part") + F.col("weight") * F.col("entry")).alias("ema")))
+    size = math.ceil(-50 * math.log(10) / math.log(keep)) if keep else 1
+    items = running(items.select(*keys, CHUNK, "ts_ms", "v", "inside", "cls", "type", "rule_id"),
+                    keys, ["ts_ms"], {"_n": ("sum", F.lit(1))})
+    place = (F.col("_n") - 1) % size
+    # the first value of a life enters whole
+    share = F.when(F.col("_n") == 1, F.col("v")).otherwise(F.col("v") * (1 - keep))
+    items = items.select("*", F.floor((F.col("_n") - 1) / size).alias("_block"),
+                         F.pow(F.lit(keep), place).alias("_w")).withColumn("_x", share / F.col("_w"))
+    sums = items.groupBy(*keys, "_block").agg(F.sum("_x").alias("_sum"))
+    by_block = W.partitionBy(*keys).orderBy("_block")
+    entry = reduce(lambda a, b: a + b, [
+        F.coalesce(F.lag("_sum", k).over(by_block), F.lit(0.0)) * (keep ** (size - 1) * keep ** (size * (k - 1)))
+        for k in range(1, 8)])
+    inner = W.partitionBy(*keys, "_block").orderBy("_n").rowsBetween(W.unboundedPreceding, 0)
+    ema = F.col("_w") * (F.col("_part") + keep * F.col("_entry"))
+    return (items.withColumn("_part", F.sum("_x").over(inner))
+            .join(sums.select(*keys, "_block", entry.alias("_entry")), [*keys, "_block"])
+            .select(*keys, CHUNK, "ts_ms", "v", "inside", "cls", "type", "rule_id", ema.alias("ema")))
 
 
 def speed_events(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -123,3 +123,20 @@ def test_random_scenes_batch_equals_stream(spark, seed):
                 track=k, cls=rnd.randrange(2), ok=rnd.random() < .8)
             for f in range(60) for k in range(1, 4) if rnd.random() < .5]
     run(spark, rules, rows, frames=[f * .3 for f in range(60)], stale_ms=900, chunk_ms=4000)
+
+
+@pytest.mark.parametrize("keep,chunk_ms", [(0.6, 3_600_000), (0.6, 7_000), (0.97, 40_000), (0.0, 3_600_000)])
+def test_speed_smoothing_over_many_rows(spark, keep, chunk_ms):
+    rng = random.Random(4)
+    xs = [0]
+    for i in range(2500):  # long stops between moves
+        xs.append(xs[-1] + (rng.randint(-40, 60) if i % 900 < 350 else 0))
+    tracked = spark.createDataFrame([(0, 50 * i, 1, 0, True, x, 0, x + 20, 20) for i, x in enumerate(xs)], SCHEMA)
+    rows = R.lives(R.presence(tracked, None, R.STALE_MS, chunk_ms))
+    got = R.speed_rows(rows, [R.Rule("v", "speed", speed_limit=100)], keep).orderBy("ts_ms").select("ema").collect()
+    want, ema = [], None
+    for a, b in zip(xs, xs[1:]):
+        v = abs(b - a) * 20
+        ema = v if ema is None else keep * ema + (1 - keep) * v
+        want.append(ema)
+    assert [r.ema for r in got] == pytest.approx(want, rel=1e-9, abs=1e-12)
