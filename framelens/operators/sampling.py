@@ -45,7 +45,8 @@ def balanced_poses(frames: DataFrame, every: int) -> DataFrame:
 def preview(images: DataFrame, labelled: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` labelled images in a fixed pseudo-random order."""
     shown = images.join(labelled.select("image_id").distinct(), "image_id", "left_semi")
-    return shown.orderBy(F.xxhash64("image_id", F.lit(seed)), "image_id").limit(n)
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("image_id").cast("string")))
+    return shown.orderBy(key, "image_id").limit(n)
 
 
 def clip_frames(events: DataFrame, frames: DataFrame, pre_ms: int, fps: float) -> DataFrame:

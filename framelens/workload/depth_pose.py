@@ -459,7 +459,9 @@ def frm2(t: Tables):
     return SA.balanced_poses(f, 2)
 
 
-@query("frm3_preview_sample")
+@query("frm3_preview_sample", """
+SELECT doc_id AS image_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+ORDER BY md5('7:' || doc_id), doc_id LIMIT 20""")
 def frm3(t: Tables):
     docs = t.read("documents").select(F.col("doc_id").alias("image_id"))
     return SA.preview(docs, t.read("labels").select(F.col("doc_id").alias("image_id")), 20, 7)
