@@ -1,14 +1,15 @@
 """Near-duplicate vectors with an inverted multi-index.
 
 Unit vectors are cut in halves, each half gets its own codebook, and the pairs of codes form a
-grid of cells. A search walks the cells in order of the summed distances of both halves (the
-multi-sequence order) and stops after as many cells as hold the target share of true links,
-measured by a brute-force search of a small query set over all rows. Every candidate is then
-verified by its cosine in double precision.
+grid of cells. A search goes to every cell that may hold a vector of cosine ``COSINE``: the least
+distances of both halves to a cell (from the radii of its vectors, and from the planes between the
+centres) must not exceed together what the cosine allows. So no link is missed, whatever the data;
+where the bounds exclude no cell, all pairs are compared. Every candidate is verified by its cosine
+in double precision.
 
-Equal vectors are one class, so a group of copies is one candidate. Cells are dealt out in
-blocks of bounded size. A block yields counts and one star per connected part, never pairs. A
-link that only one of its ends would find counts for both.
+Equal vectors are one class, so a group of copies is one candidate. Neighbouring cells form areas,
+which are dealt out in blocks of bounded size. A block yields counts and one star per connected
+part, never pairs. Of two areas only the lower one goes to the other; a link counts for both ends.
 
 Vectors that are null, zero, hold null or non-finite numbers, or are not of the most frequent
 length link with nothing and stay alone. A repeated id is a vector of its own in the counts.
@@ -29,15 +30,16 @@ from framelens.llm.simhash_gray import merge_labels
 from framelens.session import written
 
 COSINE = 0.9
-#: Share of the links of the query set that the visited cells must hold.
-RECALL = 0.995
-#: Bounds of the sample for the codebooks, and of the query set.
-SAMPLE, QUERIES = 20_000, 400
+#: Bound of the sample for the codebooks.
+SAMPLE = 20_000
 #: Wanted vectors per cell; codes per half are at most MAX_CODES.
 PER_CELL, MAX_CODES = 64, 512
-#: Cells that every search visits at least.
-LEAST_VISITS = 8
-MEMBERS, VISITORS = 1024, 2048
+#: Largest squared distance of two linked unit vectors, with room for rounding.
+REACH = 2 - 2 * COSINE + 1e-5
+#: Centres whose planes bound the distance to other cells, and entries of one table of bounds.
+PLANES, TABLE = 8, 1 << 22
+#: Vectors of an area and of a block, and of a block of visitors.
+MEMBERS, VISITORS = 2048, 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -84,7 +86,7 @@ class Grid:
         return a.argmin(1) * len(self.books[1]) + b.argmin(1)
 
     def visits(self, x: np.ndarray, count: int) -> np.ndarray:
-        """The first ``count`` cells of each row in multi-sequence order.
+        """The first ``count`` cells of each row in multi-sequence order; not used by ``near_vectors``.
 
         The cell at sorted ranks (r, s) comes after all (r', s') with r' <= r and s' <= s, so
         only ranks with (r + 1) * (s + 1) <= count can be among the first ``count``.
@@ -96,38 +98,65 @@ class Grid:
         first = np.argsort(total, axis=1, kind="stable")[:, :count]
         return (np.take_along_axis(near_a, r[first], 1) * b.shape[1] + np.take_along_axis(near_b, s[first], 1)).astype(np.int32)
 
-    def rank_of(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """Number of cells that the walk from x[i] visits up to cell[i]."""
+    def spans(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of each row to the two centres of its cell."""
         a, b = self._both(x)
-        own = a[np.arange(len(x)), cell // b.shape[1]] + b[np.arange(len(x)), cell % b.shape[1]]
-        b = np.sort(b, axis=1)
-        return np.array([1 + np.searchsorted(b[i], own[i] - a[i] - 1e-12).sum() for i in range(len(x))], dtype=np.int64)
-
-
-def cells_needed(classes: DataFrame, grid: Grid, queries: np.ndarray, ids: np.ndarray, recall: float = RECALL) -> int:
-    """Cells to visit for the target recall: a bounded query set against all rows, in blocks."""
-    shared = classes.sparkSession.sparkContext.broadcast((grid, queries, ids))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, q, own = shared.value
-        for batch in batches:
-            x, key = unit(_matrix(batch.column(1))), batch.column(0).to_numpy()
-            for at in range(0, len(x), 2048):
-                part = x[at:at + 2048]
-                i, j = np.nonzero((q @ part.T >= COSINE) & (own[:, None] != key[None, at:at + 2048]))
-                if len(i):
-                    rank = np.minimum(g.rank_of(q[i], g.cell(part[j])), g.rank_of(part[j], g.cell(q[i])))
-                    used, count = np.unique(rank, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count)], names=["rank", "n"])
-
-    found = classes.select("id", "v").mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))
-    ranks = sorted((r["rank"], r["n"]) for r in found.collect())  # at most one row per cell
-    total, seen = sum(n for _, n in ranks), 0
-    for rank, n in ranks:
-        seen += n
-        if seen >= recall * total:
-            return max(int(rank), LEAST_VISITS)
-    return LEAST_VISITS
+        row = np.arange(len(x))
+        return a[row, cell // b.shape[1]], b[row, cell % b.shape[1]]
+
+
+def least_squares(d: np.ndarray, gaps: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Lower bounds of the squared distances from each row to the vectors of each code.
+
+    ``d``: squared distances to the centres; ``gaps``: distances between the centres; ``low``,
+    ``high``: least and largest distance of the vectors of a code to their centre. A vector of
+    code k lies on k's side of the plane between k and any other centre.
+    """
+    far = np.sqrt(np.maximum(d, 0))
+    bound = np.maximum(np.maximum(far - high, low - far), 0)
+    near = np.argsort(d, axis=1, kind="stable")[:, :PLANES]
+    for k in range(near.shape[1]):
+        other = near[:, k]
+        gap = gaps[other]
+        # (almost) equal centres have no plane
+        plane = np.divide(d - d[np.arange(len(d)), other][:, None], 2 * gap, out=np.zeros_like(d), where=gap > 1e-4)
+        np.maximum(bound, plane, out=bound)
+    return bound * bound
+
+
+class Areas:
+    """Areas of neighbouring cells, and which of them a vector must go to."""
+
+    def __init__(self, grid: Grid, cells: dict[str, np.ndarray]):
+        """``cells``: cell, number of vectors m, and least and largest squared distances of both halves."""
+        order = np.argsort(cells["cell"])
+        cells = {k: c[order] for k, c in cells.items()}
+        self.grid, self.cells = grid, cells["cell"]
+        start = (np.cumsum(cells["m"]) - cells["m"]) // MEMBERS
+        self.area = np.unique(start, return_inverse=True)[1].astype(np.int32)
+        self.first = np.flatnonzero(np.diff(self.area, prepend=-1))
+        width = len(grid.books[1])
+        self.codes = self.cells // width, self.cells % width
+        self.bounds = []
+        for book, code, low, high in zip(grid.books, self.codes, ("a0", "b0"), ("a1", "b1")):
+            lows, highs = np.full(len(book), np.inf), np.zeros(len(book))
+            np.minimum.at(lows, code, cells[low])
+            np.maximum.at(highs, code, cells[high])
+            self.bounds.append((np.sqrt(np.maximum(distances(book, book), 0)),
+                                np.sqrt(np.maximum(np.where(np.isinf(lows), 0, lows), 0)), np.sqrt(highs)))
+
+    def home(self, cell: np.ndarray) -> np.ndarray:
+        return self.area[np.searchsorted(self.cells, cell)]
+
+    def goes(self, x: np.ndarray, home: np.ndarray) -> Iterator[np.ndarray]:
+        """For each row the areas from its own upwards that may hold a link."""
+        step = max(1, TABLE // len(self.cells))
+        for at in range(0, len(x), step):
+            a, b = (least_squares(d, *known) for d, known in zip(self.grid._both(x[at:at + step]), self.bounds))
+            fits = np.logical_or.reduceat(a[:, self.codes[0]] + b[:, self.codes[1]] <= REACH, self.first, axis=1)
+            for row, own in zip(fits, home[at:at + step]):
+                row[own] = True
+                yield (own + np.flatnonzero(row[own:])).astype(np.int32)
 
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -156,63 +185,69 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding")
     sample = unit(_matrix(taken.column(1).combine_chunks()))[order]
     codes = int(min(MAX_CODES, max(2, round((total / PER_CELL) ** 0.5))))
     grid = Grid(sample, codes)
-    picked = np.random.default_rng(3).permutation(len(sample))[:QUERIES]
-    count = min(grid.cells, cells_needed(classes, grid, sample[picked], taken.column(0).to_numpy()[order][picked]))
-    shared = spark.sparkContext.broadcast((grid, count))  # fixed size: two codebooks
+    shared = spark.sparkContext.broadcast(grid)  # fixed size: two codebooks
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, c = shared.value
+        g = shared.value
         for batch in batches:
             x = unit(_matrix(batch.column(1)))
-            walk = np.concatenate([g.visits(x[i:i + 512], c) for i in range(0, len(x), 512)]) if len(x) else np.zeros((0, 1), np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * walk.shape[1]), pa.array(walk.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g.cell(x).astype(np.int32)), lists],
-                                             names=["id", "v", "n", "cell", "walk"])
+            cell = g.cell(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), *(pa.array(d) for d in g.spans(x, cell))],
+                                             names=["id", "v", "n", "cell", "a", "b"])
 
     kind = classes.schema["v"].dataType.simpleString()
     placed, _ = written(classes.select("id", "v", "n").mapInArrow(
-        place, f"id long, v {kind}, n long, cell int, walk array<int>"), "vector-cells")
-    members = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
-    visitors = placed.select(F.explode("walk").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
+        place, f"id long, v {kind}, n long, cell int, a double, b double"), "vector-cells")
     # at most MAX_CODES^2 rows: every cell once
-    blocks = members.join(visitors, "cell").select("cell", F.ceil(F.col("m") / MEMBERS).cast("int").alias("ms"),
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("a").alias("a0"), F.max("a").alias("a1"),
+                                       F.min("b").alias("b0"), F.max("b").alias("b1")).toArrow()
+    areas = spark.sparkContext.broadcast(Areas(grid, {c: cells.column(c).to_numpy() for c in cells.column_names}))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home = areas.value.home(batch.column(3).to_numpy())
+            goes = list(areas.value.goes(unit(_matrix(batch.column(1))), home))
+            ends = np.cumsum([0, *map(len, goes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *goes])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(home), lists], names=["id", "v", "n", "home", "goes"])
+
+    routed, _ = written(placed.select("id", "v", "n", "cell").mapInArrow(
+        route, f"id long, v {kind}, n long, home int, goes array<int>"), "vector-areas")
+    members = routed.groupBy(F.col("home").alias("area")).agg(F.count(F.lit(1)).alias("m"))
+    visitors = routed.select(F.explode("goes").alias("area")).groupBy("area").agg(F.count(F.lit(1)).alias("q"))
+    blocks = members.join(visitors, "area").select("area", F.ceil(F.col("m") / MEMBERS).cast("int").alias("ms"),
                                                    F.ceil(F.col("q") / VISITORS).cast("int").alias("qs"))
-    blocks, _ = written(blocks, "cell-blocks")
-    own = placed.select("id", "v", "n", F.col("cell").alias("home"), "walk", "cell", F.lit(True).alias("member"))
-    goes = placed.select("id", "v", "n", F.col("cell").alias("home"), F.lit(None).cast("array<int>").alias("walk"),
-                         F.explode("walk").alias("cell"), F.lit(False).alias("member"))
+    blocks, _ = written(blocks, "area-blocks")
+    own = routed.select("id", "v", "n", "home", F.col("home").alias("area"), F.lit(True).alias("member"))
+    goes = routed.select("id", "v", "n", "home", F.explode("goes").alias("area"), F.lit(False).alias("member"))
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = (own.join(blocks, "cell").select("*", mine("ms").alias("mb"), every("qs").alias("qb"))
-             .union(goes.join(blocks, "cell").withColumn("mb", every("ms")).withColumn("qb", mine("qs"))))
+    dealt = (own.join(blocks, "area").select("*", mine("ms").alias("mb"), every("qs").alias("qb"))
+             .union(goes.join(blocks, "area").withColumn("mb", every("ms")).withColumn("qb", mine("qs"))))
 
     def verify(table: pa.Table) -> pa.Table:
         member = table.column("member").to_numpy()
         x, ids, n = (unit(_matrix(table.column("v").combine_chunks())), table.column("id").to_numpy(), table.column("n").to_numpy())
-        home = table.column("home").to_numpy()
+        both = table.column("home").to_numpy() != table.column("area").to_numpy()  # members do not come back
         m, q = np.flatnonzero(member), np.flatnonzero(~member)
         links = np.zeros(len(ids), dtype=np.int64)
         label = np.arange(len(ids))
-        walk = None
-        if len(m) and len(q):
-            walk = table.column("walk").combine_chunks().filter(pa.array(member)).flatten().to_numpy().reshape(len(m), -1)
         for at in range(0, len(q) if len(m) else 0, 256):
             part = q[at:at + 256]
             i, j = np.nonzero((x[part] @ x[m].T >= COSINE) & (ids[part][:, None] != ids[m][None]))
             if not len(i):
                 continue
             links += np.bincount(part[i], n[m[j]], len(ids)).astype(np.int64)
-            back = np.concatenate([(walk[j[k:k + 65536]] == home[part[i[k:k + 65536]]][:, None]).any(1)
-                                   for k in range(0, len(i), 65536)])
-            links += np.bincount(m[j[~back]], n[part[i[~back]]], len(ids)).astype(np.int64)
-            label = merge_labels(label, part[i], m[j])
+            i, j = part[i], m[j]
+            links += np.bincount(j[both[i]], n[i[both[i]]], len(ids)).astype(np.int64)
+            label = merge_labels(label, i, j)
         # the smallest id of each part is its centre
         low = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(low, label, ids)
         out = np.flatnonzero((links > 0) | (low[label] != ids))
         return pa.table({"id": ids[out], "links": links[out], "low": low[label[out]]})
 
-    found, _ = written(dealt.groupBy("cell", "mb", "qb").applyInArrow(verify, "id long, links long, low long"), "vector-links")
+    found, _ = written(dealt.groupBy("area", "mb", "qb").applyInArrow(verify, "id long, links long, low long"), "vector-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select("id", "low"))
     known = (classes.join(counts, "id", "left").join(roots, classes["id"] == roots["node"], "left")

@@ -224,6 +224,39 @@ def test_vectors(spark):
     assert multi_index.near_vectors(df.limit(0)).count() == 0
 
 
+def test_rare_links_beside_a_hot_group(spark):
+    """The pairs of a group with a third of the rows must not decide how far the others are searched."""
+    r = np.random.default_rng(6)
+    one = r.normal(size=(700, 64))
+    hot = r.normal(size=64) + 0.05 * r.normal(size=(700, 64))
+    x = np.concatenate([one, one + 0.46 * r.normal(size=one.shape), hot]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = roots_of(len(x), list(zip(*np.nonzero(near))))
+    assert 300 < near[:700].sum() < 700
+    got = {q["vec_id"]: q for q in multi_index.near_vectors(df).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == [want[i] for i in range(len(x))]
+
+
+def test_cell_bounds_hold():
+    r = np.random.default_rng(7)
+    for size in (2, 6, 33):
+        x = multi_index.unit(np.repeat(r.normal(size=(40, size)), 10, axis=0) + 0.3 * r.normal(size=(400, size)))
+        grid = multi_index.Grid(x, 9)
+        for d, book in zip(grid._both(x), grid.books):
+            part = x[:, :grid.half] if book is grid.books[0] else x[:, grid.half:]
+            code, far = d.argmin(1), np.sqrt(np.maximum(d.min(1), 0))
+            low = np.array([far[code == k].min(initial=9) for k in range(len(book))])
+            high = np.array([far[code == k].max(initial=0) for k in range(len(book))])
+            gaps = np.sqrt(np.maximum(multi_index.distances(book, book), 0))
+            bound = multi_index.least_squares(d, gaps, low, high)[:, code]
+            assert (bound <= multi_index.distances(part, part) + 1e-6).all()
+
+
 def test_multi_sequence_order():
     r = np.random.default_rng(4)
     grid = multi_index.Grid(r.normal(size=(300, 6)), 7)
