@@ -1,6 +1,8 @@
 """Toxicity by subword bags: embeddings of hashed byte n-grams and words, averaged into a softmax.
 
-The average weighs a bucket by its rarity in the sample; buckets of few sample texts are left out.
+The average weighs a bucket by its rarity in the sample. A bucket of n sample texts counts by
+n / (n + SHRINK) of that, so a rare word has its say without ruling; only buckets of fewer than
+MIN_TEXTS sample texts, where nothing can be learnt, are left out, however large the sample.
 
 A text is the bag of its words and of their n-grams with word borders, so a misspelling shares
 most of its vectors with the words it was made from. Embeddings and the linear softmax are
@@ -29,8 +31,8 @@ NGRAMS = (3, 4, 5, 6)
 #: Bound of the labelled sample, and of the share of each class in it.
 SAMPLE_ROWS = 4_000
 EPOCHS, BATCH, RATE, DECAY = 10, 64, 0.05, 1e-5
-#: Buckets of fewer sample texts, or of a smaller share of them, get no embedding.
-MIN_TEXTS, MIN_SHARE = 3, 0.01
+#: Buckets of fewer sample texts get no embedding; sample texts at which a bucket has half its weight.
+MIN_TEXTS, SHRINK = 3, 20
 #: Least number of steps; a small sample is gone through more often.
 MIN_STEPS = 300
 THRESHOLD = 0.5
@@ -69,8 +71,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 11) -> dict[
     for used, _, _ in rows:
         texts[used] += 1
     weight = np.log(max(len(rows), 2) / np.maximum(texts, 1)).astype(np.float32)
-    weight[texts == 0] = weight.max()
-    known = texts >= max(MIN_TEXTS, MIN_SHARE * len(rows))
+    weight *= (texts / (texts + SHRINK)).astype(np.float32)
+    known = texts >= MIN_TEXTS
     for i, (f, x, y) in enumerate(rows):  # in place: the bags are most of the driver's memory
         rows[i] = f[known[f]], x[known[f]], y
     rows = [r for r in rows if (weight[r[0]] * r[1]).sum() > 0]

@@ -122,6 +122,18 @@ def test_classifiers_on_edge_cases(docs, empty, labels):
     assert quality_fm.score(docs, quality_fm.fit([])).columns[-1] == "score"
 
 
+def test_rare_toxic_words_count():
+    """A toxic word of under 1 % of the sample raises the score of a text with it."""
+    rng = np.random.default_rng(3)
+    common = lambda: np.sort(rng.choice(50, 20, replace=False)).astype(np.int32)
+    rows = []
+    for i in range(1000):
+        f = common() if i >= 8 else np.append(common(), np.int32(77))
+        rows.append((f, np.ones(len(f), np.uint16), int(i < 100)))
+    model = toxicity.fit(rows)
+    assert model["weight"][77] > 0 and model["value"][77] > 0
+
+
 def test_sum_of_squares_identity():
     model = quality_fm.fit([])
     rng = np.random.default_rng(0)
