@@ -25,11 +25,12 @@ from pyspark.sql import types as T
 from framelens.llm import hashing as H
 from framelens.llm.common import fold_of, unit_hash
 from framelens.llm.quality_fm import as_bytes
+from framelens.session import drop_path, written
 
 BITS, DIM = 18, 8
 NGRAMS = (3, 4, 5, 6)
 #: Bound of the labelled sample, and of the share of each class in it.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 6_000
 EPOCHS, BATCH, RATE, DECAY = 10, 64, 0.05, 1e-5
 #: Buckets of fewer sample texts get no embedding; sample texts at which a bucket has half its weight.
 MIN_TEXTS, SHRINK = 3, 20
@@ -116,6 +117,36 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 11) -> dict[
             "bias": np.array([b[1] - b[0]])}
 
 
+def sample_bags(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The bags (id, label, f, x) in a fixed order, without buckets of fewer than MIN_TEXTS texts."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = np.zeros(_WIDTH, dtype=np.int64)
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                texts[np.frombuffer(f, np.int32)] += 1
+        used = np.flatnonzero(texts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(texts[used])], names=["f", "n"])
+
+    often = found.select("f").mapInArrow(count, "f int, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    known = np.zeros(_WIDTH, dtype=bool)
+    known[often.where(F.col("n") >= MIN_TEXTS).select("f").toArrow().column(0).to_numpy()] = True
+    shared = found.sparkSession.sparkContext.broadcast(known)  # fixed size: one flag per bucket
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [], []
+            for f, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                f, x = np.frombuffer(f, np.int32), np.frombuffer(x, np.uint16)
+                out[0].append(f[shared.value[f]].tobytes()), out[1].append(x[shared.value[f]].tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in out)],
+                                             names=["id", "label", "f", "x"])
+
+    # one partition after the other: the driver's JVM never holds the whole sample
+    got = sorted(((r["id"], r["f"], r["x"], r["label"]) for r in found.mapInArrow(prune, found.schema).toLocalIterator() if r["f"]),
+                 reverse=True)
+    return [(np.frombuffer(f, np.int32), np.frombuffer(x, np.uint16), label) for _, f, x, label in got]
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, limit: int = SAMPLE_ROWS,
           text: str = "text", target: str = "toxic") -> dict[str, np.ndarray]:
     """Fit on at most about ``limit`` labelled rows, half of them of each label where there are enough."""
@@ -135,15 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, lim
                      pa.array([np.minimum(count, 65535).astype(np.uint16).tobytes()])], names=["id", "label", "f", "x"])
 
     # at most ``limit`` (id, label) rows are broadcast
-    got = (docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "doc_id")
-           .select(F.col("doc_id").cast("string").alias("id"), "label", "text")
-           .mapInArrow(run, "id string, label int, f binary, x binary").collect())
-    got.sort(key=lambda r: (r["id"], r["f"]))
-    rows = []
-    while got:
-        r = got.pop()
-        if r["f"]:
-            rows.append((np.frombuffer(r["f"], np.int32), np.frombuffer(r["x"], np.uint16), r["label"]))
+    found, path = written(docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "doc_id")
+                          .select(F.col("doc_id").cast("string").alias("id"), "label", "text")
+                          .mapInArrow(run, "id string, label int, f binary, x binary"), "toxicity-bags")
+    rows = sample_bags(found)
+    drop_path(docs.sparkSession, path)
     model = fit(rows)
     # the sample holds more of the rarer label than all rows do
     model["bias"] = model["bias"] + PRIOR_SHARE * np.log(share[0] / share[1])

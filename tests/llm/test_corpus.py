@@ -134,6 +134,16 @@ def test_rare_toxic_words_count():
     assert model["weight"][77] > 0 and model["value"][77] > 0
 
 
+def test_sample_is_pruned_before_the_driver(spark):
+    bag = lambda *f: bytearray(np.array(f, np.int32).tobytes())
+    ones = lambda n: bytearray(np.ones(n, np.uint16).tobytes())
+    found = spark.createDataFrame([("a", 1, bag(1, 5), ones(2)), ("b", 0, bag(1, 6), ones(2)), ("c", 0, bag(1, 5, 7), ones(3)),
+                                   ("d", 1, bag(5), ones(1)), ("e", 1, bag(8), ones(1))], "id string, label int, f binary, x binary")
+    got = [(f.tolist(), len(x), label) for f, x, label in toxicity.sample_bags(found)]
+    assert got == [([5], 1, 1), ([1, 5], 2, 0), ([1], 1, 0), ([1, 5], 2, 1)]
+    assert toxicity.SAMPLE_ROWS >= 6_000
+
+
 def test_sum_of_squares_identity():
     model = quality_fm.fit([])
     rng = np.random.default_rng(0)
