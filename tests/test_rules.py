@@ -140,3 +140,10 @@ def test_speed_smoothing_over_many_rows(spark, keep, chunk_ms):
         ema = v if ema is None else keep * ema + (1 - keep) * v
         want.append(ema)
     assert [r.ema for r in got] == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+def test_polygon_of_many_points_stays_valid(spark):
+    region = ",".join(f"{i},{i * i % 97}" for i in range(1500))
+    rules = spark.createDataFrame([(1, "wide", "intrusion", region), (2, "flat", "intrusion", "0,0,5,5")],
+                                  "position int, id string, type string, region string")
+    assert [(r.id, len(r.region)) for r in R.compile_rules(rules, "position")] == [("wide", 1500)]
