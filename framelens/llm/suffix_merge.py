@@ -15,7 +15,8 @@ A byte goes if a string of ``SPAN`` bytes that covers it starts anywhere else as
    by the block before them, which orders the rows by one more block, and notes where neighbours
    begin to differ. After ``SPAN / BLOCK`` rounds, rows not yet told apart share ``SPAN`` bytes.
    No suffix is sorted again. Blocks with equal hashes are compared byte by byte.
-4. An anchor with more than ``WIDE`` different passages would not fit one task; its strings are
+4. An anchor with more than ``WIDE`` different passages, or more than ``WIDE_BYTES`` bytes of them
+   (long runs of periodic texts), would not fit one task; its strings are
    counted one by one instead, by 128-bit hashes, which splits any group.
 5. The repeated intervals go back to the chunks, then to all their places, and are united per
    document.
@@ -41,6 +42,8 @@ SPAN, GRAM, NEAR, BLOCK = 400, 64, 200, 50
 BATCH_BYTES, SHARDS = 700_000, 4
 #: Different passages of one anchor that are merged in one task.
 WIDE = 2_000
+#: Bytes of different passages of an anchor up to which they are merged in one task.
+WIDE_BYTES = 4 << 20
 #: Passages in a chunk, on average.
 CHUNK = 8
 _PLACE = np.uint64((1 << 28) - 1)
@@ -350,14 +353,16 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     inner, _ = written(chunk_passages(chunks.select("cid", "n", "chunk")).withColumn("sid", F.unhex(F.md5("passage"))), "passages")
     different, _ = written(inner.groupBy("anchor", "sid").agg(F.sum("n").alias("n"), F.max("many").alias("many"),
                                                            F.first("passage").alias("passage")), "different-passages")
-    kinds, _ = written(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("many"))
-                       .where("kinds > 1 or many").drop("many"), "anchors")
+    kinds, _ = written(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("many"),
+                                                    F.sum(F.length("passage")).alias("bytes"))
+                       .where("kinds > 1 or many")
+                       .select("anchor", ((F.col("kinds") > WIDE) | (F.col("bytes") > WIDE_BYTES)).alias("hot")), "anchors")
     whole = different.where("n > 1").select("anchor", "sid", _all_of("passage").alias("spans"))
-    shared = different.join(kinds, "anchor").select("anchor", "sid", "n", "passage", "kinds")
-    narrow = shared.where(F.col("kinds") <= WIDE).drop("kinds")
+    shared = different.join(kinds, "anchor").select("anchor", "sid", "n", "passage", "hot")
+    narrow = shared.where(~F.col("hot")).drop("hot")
     merged = (narrow.repartition("anchor").sortWithinPartitions("anchor")
               .mapInArrow(_merged, "anchor long, sid binary, spans array<struct<a: long, b: long>>"))
-    strings, _ = written(shared.where(F.col("kinds") > WIDE).drop("kinds").mapInArrow(
+    strings, _ = written(shared.where("hot").drop("hot").mapInArrow(
         _strings, "anchor long, sid binary, n long, w1 long, w2 long, at long"), "strings")
     often, _ = written(strings.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "often")
     wide = strings.where("n = 1").join(often, ["w1", "w2"]).groupBy("anchor", "sid").agg(F.collect_list(F.struct(

@@ -320,6 +320,24 @@ def test_repeats_against_brute_force(spark, docs, empty, monkeypatch, wide):
     assert sorted((tuple(r) for r in got), key=key) == sorted(((r["doc_id"], *w) for r, w in zip(rows, want)), key=key)
 
 
+def test_long_runs_of_one_anchor_are_not_merged_whole(spark, monkeypatch):
+    """Few but long different passages: the way of the hot anchors, by bytes."""
+    def merged(batches, real=suffix_merge._merged):
+        def bounded():
+            sizes = Counter()
+            for batch in batches:
+                for anchor, passage in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                    sizes[anchor] += len(passage)
+                assert max(sizes.values(), default=0) <= 10_000
+                yield batch
+        yield from real(bounded())
+    monkeypatch.setattr(suffix_merge, "_merged", merged)
+    monkeypatch.setattr(suffix_merge, "WIDE_BYTES", 10_000, raising=False)
+    texts = [words(70 + i, 80) + "-" * (3000 + 500 * i) + words(90 + i, 80) for i in range(6)]
+    got = suffix_merge.removal_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, *w) for i, w in enumerate(removed([t.encode() for t in texts]))]
+
+
 def test_stripped_texts_keep_columns(docs):
     out = suffix_merge.strip_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
