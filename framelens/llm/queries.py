@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from framelens.llm import language_id, multi_index, pattern_packing, poisson_mix, quality_fm, quality_rules, simhash_gray, suffix_merge, toxicity, virtual_slots
+from framelens.llm import (language_id, multi_index, pattern_packing, periodic_runs, poisson_mix, quality_fm,
+                           quality_rules, simhash_gray, suffix_merge, toxicity, virtual_slots)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,4 +77,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return virtual_slots.shard_digest(_table(spark, folder, "documents"))
 
 
+@_register("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.run_digest(_table(spark, folder, "documents"))
+
+
 _register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
