@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from framelens.llm import (language_id, multi_index, pattern_packing, periodic_runs, poisson_mix, quality_fm,
-                           quality_rules, simhash_gray, suffix_merge, toxicity, virtual_slots)
+                           quality_rules, simhash_gray, skip_chain_pii, suffix_merge, token_alignment, toxicity, virtual_slots)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,4 +82,14 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.run_digest(_table(spark, folder, "documents"))
 
 
+@_register("op12_token_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.align_digest(_table(spark, folder, "documents"))
+
+
+@_register("op13_skip_chain_pii")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return skip_chain_pii.span_digest(_table(spark, folder, "documents"))
+
+
 _register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
