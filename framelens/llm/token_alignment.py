@@ -24,7 +24,8 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +41,61 @@ from framelens.session import written
 
 #: Bytes of texts, and rows, of a block.
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4_096
-#: Pieces that a coder remembers.
-CACHED = 200_000
+#: Pieces that a coder remembers, of LONG characters at most.
+CACHED, LONG = 150_000, 64
 _MARK = "▁"
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
-class ByteCoder:
-    """Ids and token bytes of a byte-level tokenizer file."""
+class Coded(NamedTuple):
+    """Ids of a text's tokens, and the byte offsets at which they end."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+
+
+class _Coder:
+    """Codes plain texts piece by piece from a bounded cache, all others at once."""
+
+    bytes: list[bytes]
+
+    def __init__(self) -> None:
+        self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
+        self.known: dict[str, list[int]] = {}
+
+    def coded(self, ids: list[int], want: bytes) -> Coded | None:
+        """None if the tokens' bytes are not ``want``."""
+        if b"".join([self.bytes[i] for i in ids]) != want:
+            return None
+        ids = np.array(ids, dtype=np.int64)
+        return Coded(ids, np.cumsum(self.sizes[ids]))
+
+    def pieces_coded(self, pieces: list[str], want: str) -> Coded | None:
+        """The pieces' tokens, one after the other; only pieces not seen before are coded."""
+        known = self.known
+        found = list(map(known.get, pieces))
+        if None in found:
+            fresh = list({p for p, ids in zip(pieces, found) if ids is None})
+            if len(known) + len(fresh) > CACHED:
+                known.clear()
+                fresh = list(set(pieces))
+            long = [p for p in fresh if len(p) > LONG]
+            for piece, ids in zip(fresh, self.encode_all(fresh)):
+                # pieces whose bytes do not come back get no tokens, and so the ends do not reach the text's
+                known[piece] = ids if b"".join([self.bytes[i] for i in ids]) == piece.encode() else []
+            found = list(map(known.get, pieces))
+            for piece in long:
+                del known[piece]
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int64)
+        ends = np.cumsum(self.sizes[ids])
+        return Coded(ids, ends) if len(ends) and ends[-1] == len(want.encode()) else None
+
+    def encode_all(self, pieces: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
+
+class ByteCoder(_Coder):
+    """Tokens of a byte-level tokenizer file."""
 
     def __init__(self, path: str):
         import base64
@@ -58,10 +106,9 @@ class ByteCoder:
         self.exact = Tokenizer.from_file(path)
         self.exact.encode_special_tokens = True
         letters = _byte_letters()
-        self.bytes = [bytes(letters[c] for c in self.exact.id_to_token(i)) if all(
-            c in letters for c in self.exact.id_to_token(i)) else self.exact.id_to_token(i).encode()
-            for i in range(self.exact.get_vocab_size())]
-        self.known: dict[str, list[int]] = {}
+        tokens = [self.exact.id_to_token(i) for i in range(self.exact.get_vocab_size())]
+        self.bytes = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in tokens]
+        super().__init__()
         self.ranks = None
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
@@ -72,14 +119,17 @@ class ByteCoder:
             self.ranks = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
             self.pieces = regex.compile(public_tokenizers.PATTERN)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> Coded | None:
         if self.ranks is None or not _PLAIN.fullmatch(text):
-            return self.exact.encode(text, add_special_tokens=False).ids
-        return _by_piece(self.pieces.findall(text), self.known, self.ranks.encode_ordinary)
+            return self.coded(self.exact.encode(text, add_special_tokens=False).ids, text.encode())
+        return self.pieces_coded(self.pieces.findall(text), text)
+
+    def encode_all(self, pieces: list[str]) -> list[list[int]]:
+        return [self.ranks.encode_ordinary(p) for p in pieces]
 
 
-class PieceCoder:
-    """Ids and token bytes of a sentence piece model."""
+class PieceCoder(_Coder):
+    """Tokens of a sentence piece model, which puts a space before each text."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -87,29 +137,18 @@ class PieceCoder:
         names = [self.exact.id_to_piece(i) for i in range(self.exact.get_piece_size())]
         byte = re.compile(r"<0x([0-9A-F]{2})>")
         self.bytes = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(n)) else n.replace(_MARK, " ").encode() for n in names]
-        self.known: dict[str, list[int]] = {}
+        super().__init__()
         # no piece goes on behind a space: words can then be coded one by one
         self.apart = not any(re.search(f"[^{_MARK}]{_MARK}", n) for n in names)
         self.units = re.compile(" +[^ ]+")
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> Coded | None:
         if not self.apart or text[-1:] == " " or not _PLAIN.fullmatch(text):
-            return self.exact.encode(text)
-        return _by_piece(self.units.findall(" " + text), self.known, lambda unit: self.exact.encode(unit[1:]))
+            return self.coded(self.exact.encode(text), (" " + text).encode())
+        return self.pieces_coded(self.units.findall(" " + text), " " + text)
 
-
-def _by_piece(pieces: list[str], known: dict[str, list[int]], encode) -> list[int]:
-    out: list[int] = []
-    for piece in pieces:
-        ids = known.get(piece)
-        if ids is None:
-            ids = encode(piece)
-            if len(known) >= CACHED:
-                known.clear()
-            if len(piece) < 64:
-                known[piece] = ids
-        out += ids
-    return out
+    def encode_all(self, pieces: list[str]) -> list[list[int]]:
+        return self.exact.encode([p[1:] for p in pieces], num_threads=1)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -129,76 +168,73 @@ def default_tokenizers() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """(i, i2, j, j2) in order: stretches of one-to-one groups (i2 - i == j2 - j), or single irregular groups.
-
-    ``a`` and ``b``: ascending ends with equal last ones. An irregular group has another number of tokens on one side
-    than on the other, or several on both, in which case its four numbers alone do not tell it from a
-    stretch: it comes as (-i - 1, i2, j, j2).
-    """
-    out, i, j, n = [], 0, 0, len(a)
+def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Places in ``a`` and in ``b`` of the ends that both have; both ascend and have the same last one."""
+    last_a: list[int] = []
+    last_b: list[int] = []
+    i, j, n = 0, 0, len(a)
     while i < n:
-        first, step, grows = i, 1, True
+        # jump along the diagonal
+        first, shift, step, grows = i, j - i, 1, True
         while step:
             end = min(i + step, n)
-            if a[i:end] == b[j:j + end - i]:
-                j += end - i
+            if a[i:end] == b[i + shift:end + shift]:
                 i = end
                 if i == n:
                     break
                 step = 2 * step if grows else step // 2
             else:
                 grows, step = False, step // 2
-        if i > first:
-            out.append((first, i, j - (i - first), j))
+        last_a += range(first, i)
+        last_b += range(first + shift, i + shift)
         if i < n:
-            x, y = i, j
-            while a[x] != b[y]:
-                if a[x] < b[y]:
-                    x += 1
+            # an irregular group, and a new shift behind it
+            j = i + shift
+            x, y = a[i], b[j]
+            while x != y:
+                if x < y:
+                    i += 1
+                    x = a[i]
                 else:
-                    y += 1
-            out.append((-i - 1, x + 1, j, y + 1))
-            i, j = x + 1, y + 1
-    return out
-
-
-def group_text(ids_a: list[int], ids_b: list[int], parts: list[tuple[int, int, int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of every group."""
-    a, b = list(map(str, ids_a)), list(map(str, ids_b))
-    out: list[str] = []
-    for i, i2, j, j2 in parts:
-        if i >= 0:
-            out += map("|".join, zip(a[i:i2], b[j:j2]))
-        else:
-            out.append(",".join(a[-i - 1:i2]) + "|" + ",".join(b[j:j2]))
-    return ";".join(out)
+                    j += 1
+                    y = b[j]
+            last_a.append(i)
+            last_b.append(j)
+            i, j = i + 1, j + 1
+    return last_a, last_b
+
+
+def group_text(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
+    """``a1,a2|b1;a3|b2,b3``: the ids of every group, which end at the given places."""
+    size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+    at_a = np.arange(len(a)) + np.repeat(last_b + 1 - size_b, size_a)  # behind the groups before
+    at_b = np.arange(len(b)) + np.repeat(last_a + 1, size_b)
+    ids = np.empty(len(a) + len(b), dtype=np.int64)
+    ids[at_a], ids[at_b] = a, b
+    sign = np.full(len(ids), ord(","), dtype=np.uint8)
+    sign[at_a[last_a]] = ord("|")
+    sign[at_b[last_b]] = ord(";")
+    width = len(str(int(ids.max(initial=0))))
+    out = np.empty((len(ids), width + 1), dtype=np.uint8)
+    seen = np.ones((len(ids), width + 1), dtype=bool)
+    for k in range(width):
+        power = 10 ** (width - 1 - k)
+        out[:, k] = ids // power % 10 + ord("0")
+        if power > 1:
+            seen[:, k] = ids >= power
+    out[:, width] = sign
+    return out[seen].tobytes()[:-1]
 
 
 def aligned_text(text: str | None, coders: tuple[ByteCoder, PieceCoder]):
-    """(ids of A, ids of B, parts) of a text; None if it has no tokens."""
+    """(A's tokens, B's tokens, last places in A and in B of each group) of a text; None if it has no tokens."""
     if not text:
         return None
-    a, b = coders
-    whole = " " + text
-    want, ids_a, ids_b = whole.encode(), a.encode(whole), b.encode(text)
-    bytes_a, bytes_b = [a.bytes[i] for i in ids_a], [b.bytes[i] for i in ids_b]
-    if b"".join(bytes_a) != want or b"".join(bytes_b) != want:
+    a, b = coders[0].encode(" " + text), coders[1].encode(text)
+    if a is None or b is None:
         return None
-    return ids_a, ids_b, common_ends(list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b))))
-
-
-def link_ids(ids_a: list[int], ids_b: list[int], parts: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """Id pairs ``a << 32 | b`` of the tokens that end together."""
-    at_a, at_b = [], []
-    for i, i2, j, j2 in parts:
-        if i >= 0:
-            at_a += ids_a[i:i2]
-            at_b += ids_b[j:j2]
-        else:
-            at_a.append(ids_a[i2 - 1])
-            at_b.append(ids_b[j2 - 1])
-    return np.array(at_a, dtype=np.int64) << 32 | np.array(at_b, dtype=np.int64)
+    last_a, last_b = common_ends(a.ends.tolist(), b.ends.tolist())
+    return a, b, np.array(last_a), np.array(last_b)
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: tuple[str, str] | None = None) -> DataFrame:
@@ -212,11 +248,9 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: t
             for t in batch.column(1).to_pylist():
                 found, own = aligned_text(t, coders), []
                 if found:
-                    a, b, parts = found
-                    ends = list(accumulate(len(coders[0].bytes[x]) for x in a))
-                    for i, i2, j, j2 in parts:
-                        cuts = [(x, x + 1, y, y + 1) for x, y in zip(range(i, i2), range(j, j2))] if i >= 0 else [(-i - 1, i2, j, j2)]
-                        own += [{"a": a[x:x2], "b": b[y:y2], "end": ends[x2 - 1]} for x, x2, y, y2 in cuts]
+                    (a, ends), (b, _), last_a, last_b = found
+                    own = [{"a": x, "b": y, "end": e} for x, y, e in zip(
+                        np.split(a, last_a[:-1] + 1), np.split(b, last_b[:-1] + 1), ends[last_a].tolist())]
                 out.append(own)
             ids = pa.list_(pa.int32())
             kind = pa.list_(pa.struct([("a", ids), ("b", ids), ("end", pa.int64())]))
@@ -264,10 +298,10 @@ def _figures(text: str | None, coders) -> tuple[tuple[int, ...], str, np.ndarray
     found = aligned_text(text, coders)
     if found is None:
         return (0,) * len(_FIGURES), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    links = link_ids(*found)
-    pairs, times = np.unique(links, return_counts=True)
-    digest = hashlib.sha256(group_text(*found).encode()).hexdigest()
-    return (len(found[0]), len(found[1]), len(links), len(links)), digest, pairs, times
+    a, b, last_a, last_b = found
+    pairs, times = np.unique(a.ids[last_a] << 32 | b.ids[last_b], return_counts=True)
+    digest = hashlib.sha256(group_text(a.ids, b.ids, last_a, last_b)).hexdigest()
+    return (len(a.ids), len(b.ids), len(last_a), len(last_a)), digest, pairs, times
 
 
 def _block(held: list, block: int, names: list[str], kind: pa.DataType) -> pa.RecordBatch:

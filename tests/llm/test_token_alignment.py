@@ -2,6 +2,7 @@
 import hashlib
 import random
 from collections import Counter
+from itertools import accumulate
 
 import pytest
 
@@ -24,11 +25,9 @@ def plain_groups(a, b):
     return out
 
 
-def single(parts):
-    out = []
-    for i, i2, j, j2 in parts:
-        out += [(x, x + 1, y, y + 1) for x, y in zip(range(i, i2), range(j, j2))] if i >= 0 else [(-i - 1, i2, j, j2)]
-    return out
+def walked(a, b):
+    x, y = A.common_ends(a, b)
+    return list(zip([0, *(k + 1 for k in x)], [k + 1 for k in x], [0, *(k + 1 for k in y)], [k + 1 for k in y]))
 
 
 def test_diagonal_walk_equals_shared_offsets():
@@ -39,7 +38,7 @@ def test_diagonal_walk_equals_shared_offsets():
                 cut = lambda: sorted({n, *(x for x in range(1, n) if r.random() < share)})
                 a = cut()
                 b = a if share == 1.0 else sorted(set(cut()) | {x for x in a if r.random() < share})
-                assert single(A.common_ends(a, b)) == plain_groups(a, b)
+                assert walked(a, b) == plain_groups(a, b)
 
 
 TEXTS = [None, "", " ", "a", " lead", "tail ", "two  spaces", "\n\n x\t", "▁mark", "Ünï ﬁ é ß", "日本 𝔘nicode", "<s> <unk> <0x41> </s>",
@@ -54,8 +53,11 @@ def test_cached_coders_equal_whole_texts(spark, coders):
     a, b = coders
     assert b.apart
     for t in texts:
-        assert a.encode(" " + t) == a.exact.encode(" " + t, add_special_tokens=False).ids
-        assert b.encode(t) == b.exact.encode(t)
+        got, want = a.encode(" " + t), a.exact.encode(" " + t, add_special_tokens=False).ids
+        assert got.ids.tolist() == want and got.ends.tolist() == list(accumulate(len(a.bytes[i]) for i in want))
+        got, want = b.encode(t), b.exact.encode(t)
+        whole = b"".join(b.bytes[i] for i in want) == (" " + t).encode()
+        assert got.ids.tolist() == want and got.ends[-1] == len((" " + t).encode()) if whole else got is None
 
 
 def expected(rows, coders):
@@ -69,7 +71,7 @@ def expected(rows, coders):
             found.append((key, [], [], []))
             continue
         ends = lambda parts: [sum(map(len, parts[:k + 1])) for k in range(len(parts))]
-        g = plain_groups(ends(byte_a), ends(byte_b)) if len(t) < 1500 else single(A.common_ends(ends(byte_a), ends(byte_b)))
+        g = plain_groups(ends(byte_a), ends(byte_b)) if len(t) < 1500 else walked(ends(byte_a), ends(byte_b))
         found.append((key, ids_a, ids_b, g))
         counts.update((ids_a[i2 - 1], ids_b[j2 - 1]) for _, i2, _, j2 in g)
     top = Counter()
