@@ -11,8 +11,9 @@ Equal vectors are one class, so a group of copies is one candidate. Neighbouring
 which are dealt out in blocks of bounded size. A block yields counts and one star per connected
 part, never pairs. Of two areas only the lower one goes to the other; a link counts for both ends.
 
-Vectors that are null, zero, hold null or non-finite numbers, or are not of the most frequent
-length link with nothing and stay alone. A repeated id is a vector of its own in the counts.
+Vectors of each length have their own grid (of one cell if there are PER_CELL of them or fewer) and link
+with none of another length. Vectors that are null, zero, or hold null or non-finite numbers link
+with nothing and stay alone. A repeated id is a vector of its own in the counts.
 Null ids: kept, without component. Empty table: no rows.
 """
 from __future__ import annotations
@@ -159,28 +160,21 @@ class Areas:
                 yield (own + np.flatnonzero(row[own:])).astype(np.int32)
 
 
-def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row."""
-    spark = df.sparkSession
-    v = F.col(f"`{vector}`")
-    big = F.lit(1.7e308)
-    fine = (v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) <= big))
-            & F.exists(v, lambda x: x != 0))
-    rows, _ = written(df.select(F.col(f"`{key}`").cast("long").alias("vec_id"),
-                                F.when(F.coalesce(fine, F.lit(False)), v).alias("v")), "vectors")
-    lengths = rows.where("v is not null").groupBy(F.size("v").alias("n")).count()
-    usual = lengths.orderBy(F.desc("count"), "n").select("n").first()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
-                        F.lit(True).alias("kept"))
-    if usual is None:
-        return alone
-    whole = (F.size("v") == usual["n"]) & F.col("v").isNotNull() & F.col("vec_id").isNotNull()
-    classes, _ = written(rows.where(whole).groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")),
-                         "vector-classes")
-    total = classes.count()
+def _all_pairs(table: pa.Table) -> pa.Table:
+    """Links inside the one cell of a length with PER_CELL vectors at most."""
+    x, ids, n = unit(_matrix(table.column("v").combine_chunks())), table.column("id").to_numpy(), table.column("n").to_numpy()
+    near = x @ x.T >= COSINE
+    np.fill_diagonal(near, False)
+    label = merge_labels(np.arange(len(ids)), *np.nonzero(near))
+    low = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(low, label, ids)
+    return pa.table({"id": ids, "links": (near @ n).astype(np.int64), "low": low[label]})
+
+
+def grid_links(classes: DataFrame, total: int) -> DataFrame:
+    """(id, links, low) of the linked vectors of one length: their links, and an id of their component."""
+    spark = classes.sparkSession
     taken = bounded_sample(classes, ["id"], SAMPLE, "grid-1").select("id", "v").toArrow()
-    if total == 0 or taken.num_rows == 0:
-        return alone
     order = np.argsort(taken.column(0).to_numpy())
     sample = unit(_matrix(taken.column(1).combine_chunks()))[order]
     codes = int(min(MAX_CODES, max(2, round((total / PER_CELL) ** 0.5))))
@@ -247,7 +241,28 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding")
         out = np.flatnonzero((links > 0) | (low[label] != ids))
         return pa.table({"id": ids[out], "links": links[out], "low": low[label[out]]})
 
-    found, _ = written(dealt.groupBy("area", "mb", "qb").applyInArrow(verify, "id long, links long, low long"), "vector-links")
+    return written(dealt.groupBy("area", "mb", "qb").applyInArrow(verify, "id long, links long, low long"), "vector-links")[0]
+
+
+def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each row."""
+    spark = df.sparkSession
+    v = F.col(f"`{vector}`")
+    big = F.lit(1.7e308)
+    fine = (v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) <= big))
+            & F.exists(v, lambda x: x != 0))
+    rows, _ = written(df.select(F.col(f"`{key}`").cast("long").alias("vec_id"),
+                                F.when(F.coalesce(fine, F.lit(False)), v).alias("v")), "vectors")
+    classes, _ = written(rows.where("v is not null and vec_id is not null").groupBy("v").agg(
+        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "vector-classes")
+    sized = classes.withColumn("size", F.size("v"))
+    # vectors of different lengths are not compared; a length with few vectors has one cell
+    lengths, _ = written(sized.groupBy("size").agg(F.count(F.lit(1)).alias("m")), "vector-lengths")
+    rare = sized.join(lengths.where(F.col("m") <= PER_CELL), "size").select("size", "id", "v", "n")
+    found = rare.groupBy("size").applyInArrow(_all_pairs, "id long, links long, low long")
+    for row in lengths.where(F.col("m") > PER_CELL).orderBy("size").toLocalIterator():
+        found = found.union(grid_links(sized.where(F.col("size") == row["size"]).select("id", "v", "n"), row["m"]))
+    found, _ = written(found, "vector-links-all")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select("id", "low"))
     known = (classes.join(counts, "id", "left").join(roots, classes["id"] == roots["node"], "left")

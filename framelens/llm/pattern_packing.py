@@ -3,7 +3,7 @@
 The histogram of piece lengths has a fixed number of rows, so the plan is made from it alone:
 patterns of a few pieces that fill a sequence are enumerated over coarse length classes, their
 repeat counts are fitted to the histogram by non-negative least squares and rounded down, and
-what is left goes to the best-fitting free space, longest first, equal pieces together. Every
+what is left (shares of the fit are compared, see SHARES) goes to the best-fitting free space, longest first, equal pieces together. Every
 piece then looks up its place by its rank among the pieces of its length.
 
 A document is its token ids and one end id. Longer ones than a sequence are cut into full
@@ -15,7 +15,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,9 @@ from framelens.session import written
 LENGTH, END = 2048, 0
 #: Width of a length class, and most pieces in an enumerated pattern.
 GRAIN, PARTS = 16, 4
-#: Share of the fitted repeats that is taken; the rest is left to fill free space.
-TAKEN = 0.8
+#: Shares of the fitted repeats that are tried; the plan with the fewest sequences is taken, of equal ones
+#: the first. The last share leaves all pieces to best fit, so patterns never cost a sequence.
+SHARES = (1.0, 0.8, 0.5, 0.0)
 #: Least weight of a length class in the fit; short pieces find room anyway.
 SHORT_WEIGHT = 0.1
 #: Pieces of one length numbered together, about.
@@ -116,12 +117,14 @@ def patterns(total: int, parts: int) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
-    """argmin ||a x - b||, x >= 0, by the active-set method of Lawson and Hanson."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000, product: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """argmin ||a x - b||, x >= 0, by the active-set method of Lawson and Hanson; ``product(r)``: a quick ``a.T @ r``."""
     x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], dtype=bool)
     eps = 1e-9 * max(1.0, np.abs(b).max())
     for _ in range(rounds):
-        slope = a.T @ (b - a @ x)
+        used = np.flatnonzero(x)
+        rest = b - a[:, used] @ x[used]
+        slope = product(rest) if product else a.T @ rest
         slope[active] = -np.inf
         best = int(slope.argmax())
         if slope[best] <= eps:
@@ -129,7 +132,11 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
         active[best] = True
         while True:
             at = np.flatnonzero(active)
-            z = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            own = a[:, at]
+            try:
+                z = np.linalg.solve(own.T @ own, own.T @ b)
+            except np.linalg.LinAlgError:
+                z = np.linalg.lstsq(own, b, rcond=None)[0]
             if (z > 0).all():
                 x[:] = 0
                 x[at] = z
@@ -149,29 +156,42 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
 def plan(histogram: dict[int, int], length: int = LENGTH, grain: int = GRAIN, parts: int = PARTS
          ) -> list[tuple[int, list[tuple[int, int]]]]:
     """(number of sequences, [(piece length, times)]) groups that hold every piece of the histogram."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    groups: list[tuple[int, list[tuple[int, int]]]] = []
-    if full := left.pop(length, 0):
-        groups.append((full, [(length, 1)]))
+    full = histogram.get(length, 0)
+    counts = {n: c for n, c in histogram.items() if c > 0 and n != length}
     classes = -(-length // grain)
     need = np.zeros(classes + 1)
-    for n, c in left.items():
+    for n, c in counts.items():
         need[-(-n // grain)] += c
-    open_: list[list] = [[] for _ in range(length + 1)]  # by free space: (count, pieces)
-    if left and (forms := patterns(length // grain, parts)):
+    times = np.zeros(0)
+    # lengths are rounded up to classes, so k pieces that fill a sequence may come to k - 1 classes more
+    forms = [f for more in range(parts) for f in patterns(length // grain + more, parts) if len(f) > more] if counts else []
+    if forms:
         a = np.zeros((classes + 1, len(forms)))
         for k, form in enumerate(forms):
             for n in form:
                 a[n, k] += 1
         weight = np.clip(np.arange(classes + 1) * 8 / classes, SHORT_WEIGHT, 1)
-        times = nnls(a * weight[:, None], need * weight / max(need.max(), 1)) * max(need.max(), 1)
-        for k in np.argsort(-times, kind="stable"):
-            _repeat(forms[k], int(TAKEN * times[k]), left, open_, length, grain)
+        parts_of = np.array([[*form, *[0] * (parts - len(form))] for form in forms])  # class 0 holds nothing
+        times = nnls(a * weight[:, None], need * weight / max(need.max(), 1),
+                     product=lambda r: np.where(np.arange(classes + 1) > 0, r * weight, 0)[parts_of].sum(1)) * max(need.max(), 1)
+    best: list[tuple[int, list[tuple[int, int]]]] | None = None
+    for share in SHARES:
+        groups = _filled(counts, forms, share * times, length, grain)
+        if best is None or sum(m for m, _ in groups) < sum(m for m, _ in best):
+            best = groups
+    return ([(full, [(length, 1)])] if full else []) + (best or [])
+
+
+def _filled(counts: dict[int, int], forms: list[tuple[int, ...]], times: np.ndarray, length: int, grain: int
+            ) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Groups by the rounded repeats of the patterns; all other pieces go to the best-fitting free space."""
+    left = dict(counts)
+    open_: list[list] = [[] for _ in range(length + 1)]  # by free space: (count, pieces)
+    for k in np.argsort(-times, kind="stable"):
+        _repeat(forms[k], int(times[k]), left, open_, length, grain)
     for n in sorted(left, reverse=True):
         _best_fit(n, left[n], open_, length)
-    for free in open_:
-        groups += free
-    return groups
+    return [g for free in open_ for g in free]
 
 
 def _repeat(form: Sequence[int], times: int, left: dict[int, int], open_: list[list], length: int, grain: int) -> None:
@@ -236,7 +256,7 @@ def packed(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
                  pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``length`` rows
     total = sum(histogram.values())
     slots = places(plan(histogram, length))
-    # bounded by the histogram, whatever the number of pieces
+    # bounded by the histogram, whatever the number of pieces: at most ``length`` rows, whose size Spark sees
     table = spark.createDataFrame(slots, "length long, first long, stop long, times long, base long, at long")
     by_length = table.groupBy("length").agg(F.sort_array(F.collect_list(
         F.struct("first", "stop", "times", "base", "at"))).alias("slots"))
@@ -248,7 +268,7 @@ def packed(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     local = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = salted.withColumn("local", local).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("local"))
     slot = F.get(F.filter("slots", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["stop"])), F.lit(0))
-    found = ranked.join(F.broadcast(by_length), "length").select(*[F.col(c) for c in pieces.columns], "rank", slot.alias("slot"))
+    found = ranked.join(by_length, "length").select(*[F.col(c) for c in pieces.columns], "rank", slot.alias("slot"))
     inside = F.col("rank") - F.col("slot.first")
     return found.select(
         *pieces.columns, (F.col("slot.base") + F.floor(inside / F.col("slot.times"))).cast("long").alias("sequence_id"),

@@ -70,6 +70,22 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
         weights: Mapping[str, float] | None = None, total: float | None = None,
         temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
     """All columns of ``df`` for each drawn copy, with copy (from 0), n_copies and shuffle_key."""
+    copies, order = _copies(df, source, text, key, weights, total, temperature, seed)
+    out = replace(copies, copy=F.col("__c").cast("long"), n_copies=F.col("__n").cast("long"), shuffle_key=order).drop("__n", "__c")
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def draw(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id",
+         weights: Mapping[str, float] | None = None, total: float | None = None,
+         temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
+    """The rows of ``mix`` with the columns of ``df`` alone, whatever their names."""
+    copies, order = _copies(df, source, text, key, weights, total, temperature, seed)
+    return copies.repartition(order).sortWithinPartitions(order).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _copies(df: DataFrame, source: str, text: str, key: str, weights: Mapping[str, float] | None, total: float | None,
+            temperature: float, seed: str) -> tuple[DataFrame, Column]:
+    """The drawn copies with ``__n`` and ``__c``, and the key of their random order."""
     rates = source_rates(df, source, text, weights, total, temperature)
     # one small row per source, written so that Spark knows the size before it picks the join
     steps, _ = written(rates.select("mix_source", poisson_steps(F.col("mix_rate")).alias("mix_steps")), "mix-rates")
@@ -78,10 +94,8 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
     count = F.size(F.filter("r.mix_steps", lambda c: c < u))
     drawn = base.select("d.*", count.alias("__n")).where("__n > 0")
     copies = drawn.select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__c"))
-    out = replace(copies, copy=F.col("__c").cast("long"), n_copies=F.col("__n").cast("long"),
-                  shuffle_key=F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(
-                      F.col(f"`{key}`").cast("string"), F.lit("~")), F.col("__c")))).drop("__n", "__c")
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies, F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(
+        F.col(f"`{key}`").cast("string"), F.lit("~")), F.col("__c")))
 
 
 SQL = """

@@ -166,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, lim
     return fit([(np.frombuffer(r["f"], np.int32), np.frombuffer(r["x"], np.float32), r["label"]) for r in rows])
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``score`` (replaced if there was one)."""
+def score(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", name: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the score as ``name`` (replaced if there was one)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: WIDTH x (RANK + 1) floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +177,11 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text") ->
                 ptr = np.searchsorted(rows, np.arange(end - first))
                 out[first:end] = margins(shared.value, ptr, feats, values)[0]
             score = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
-    kept = docs.drop("score")
+    kept = docs.drop(name)
     at = kept.columns.index(text)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,4 +193,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, with their own columns."""
-    return score(docs, train(docs, labels)).where(F.col("score") >= threshold).select(docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    out = score(docs, train(docs, labels), name=name)
+    return out.where(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -236,8 +236,8 @@ def print_links(classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, f, component_id) of each row: component_id is the smallest id reachable."""
-    prints, _ = written(with_fingerprint(df.select(F.col(f"`{key}`").cast("long").alias("doc_id"),
+    """(doc_id, th, f, component_id) of each row: component_id is the smallest id reachable, th a hash of the text."""
+    prints, _ = written(with_fingerprint(df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), _text_hash(text).alias("th"),
                                                    F.col(f"`{text}`").alias("text")), "text", "f"), "prints")
     classes, _ = written(prints.groupBy("f").agg(F.min("doc_id").alias("id")).where("id is not null"), "print-classes")
     roots = components(print_links(classes))
@@ -245,16 +245,30 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         F.col("f"), F.coalesce("root", "id").alias("component_id"))
     final, _ = written(joined, "print-components")
     return (prints.join(final, "f", "left")
-            .select("doc_id", "f", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))
+            .select("doc_id", "th", "f", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))
 
 
 def fingerprint_components(df: DataFrame) -> DataFrame:
     return near_duplicates(df).select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of its group; rows without an id stay."""
-    groups = near_duplicates(df, key, text)
-    drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    gone, _ = written(drop, "near-copies")
-    return df.join(gone, df[key] == gone["doc_id"], "left_anti")
+    """One row of each group: the one of the smallest id, of several texts with that id the one with the
+    least hash, of equal rows any one. Rows without an id stay."""
+    groups = near_duplicates(df, key, text).where("doc_id is not null")
+    same = groups.groupBy("component_id", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    leads, _ = written(same.where("doc_id = component_id").groupBy("component_id").agg(
+        F.min(F.struct("th", "n")).alias("lead")), "leads")
+    marked = same.join(leads, "component_id").select(
+        "doc_id", "th", ((F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("lead.th"))).alias("first"), "n")
+    # what goes, and first rows that are there more than once
+    touched, _ = written(marked.where("not first or n > 1").select("doc_id", "th", "first"), "near-copies")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("doc_id"),
+                     _text_hash(text).alias("th")).join(touched, ["doc_id", "th"], "left")
+    again = rows.where("first").groupBy("doc_id", "th").agg(F.first("row").alias("row")).select("row")
+    out = rows.where("first is null").select("row").union(again)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])

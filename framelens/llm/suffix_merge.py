@@ -1,33 +1,36 @@
 """Remove long repeated byte strings: merged Burrows-Wheeler transforms of candidate passages.
 
-A byte goes if a string of ``SPAN`` bytes that covers it starts anywhere else as well.
+A byte goes if a string of ``span`` bytes that covers it starts anywhere else as well; or, with
+``keep_first``, if such a string starts earlier as well, in order of ids, then of places.
 
-1. Every text marks some of its ``GRAM``-byte grams: the least hash of each run of ``NEAR``
+1. Every text marks some of its ``gram``-byte grams: the least hash of each run of ``near``
    grams. Equal strings hold equal runs with equal marks, so a string with a run whose mark
    occurs once in the corpus is unique. Marks are counted over all texts.
-2. Every string of ``SPAN`` bytes without such a run belongs to the least gram among all its
-   grams. Consecutive strings with equal anchors form a passage (mostly less than ``2 * SPAN``
+2. Every string of ``span`` bytes without such a run belongs to the least gram among all its
+   grams. Consecutive strings with equal anchors form a passage (mostly less than ``2 * span``
    bytes, longer in periodic texts). Equal strings have equal anchors, so passages are dealt out by anchor. Each string lies in one
    passage only. Passages leave the texts in chunks, cut where the hash of an anchor says so;
    equal chunks, then equal passages, are counted and kept once.
-3. A task cuts its passages into shards and builds the transform of each over blocks of ``BLOCK``
+3. A task cuts its passages into shards and builds the transform of each over blocks of ``block``
    bytes. The transforms are merged by refining their interleave: each round deals the rows out
    by the block before them, which orders the rows by one more block, and notes where neighbours
-   begin to differ. After ``SPAN / BLOCK`` rounds, rows not yet told apart share ``SPAN`` bytes.
+   begin to differ. After ``span / block`` rounds, rows not yet told apart share ``span`` bytes.
    No suffix is sorted again. Blocks with equal hashes are compared byte by byte.
 4. An anchor with more than ``WIDE`` different passages, or more than ``WIDE_BYTES`` bytes of them
    (long runs of periodic texts), would not fit one task; its strings are
    counted one by one instead, by 128-bit hashes, which splits any group.
 5. The repeated intervals go back to the chunks, then to all their places, and are united per
-   document.
+   document. With ``keep_first`` a passage or chunk is whole repeated at all its places but the
+   first; there only the strings go that some other passage holds earlier.
 
-Null text counts as empty. Rows with equal id and text repeat each other. Texts shorter than
-``SPAN`` bytes stay whole. Null ids are kept. Empty table: no rows.
+Null text counts as empty. Rows with equal id and text repeat each other; with ``keep_first`` they are one
+place and keep the same bytes. Texts shorter than ``span`` bytes stay whole. Null ids are kept. Empty table: no rows.
 """
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelens.llm import hashing as H
-from framelens.session import written
+from framelens.session import drop_path, written
 
-SPAN, GRAM, NEAR, BLOCK = 400, 64, 200, 50
+
+@dataclass(frozen=True)
+class Lengths:
+    """Bytes of a string, a gram and a block, and grams of a run; ``block`` divides ``span``."""
+
+    span: int = 400
+    gram: int = 64
+    near: int = 200
+    block: int = 50
+
+
+DEFAULT = Lengths()
+#: For passages of 50 words and more: the shortest of them have some 200 bytes.
+WORDS_50 = Lengths(200, 32, 100, 25)
 #: Bytes of passages merged together in a task, and the shards they are cut into.
 BATCH_BYTES, SHARDS = 700_000, 4
 #: Different passages of one anchor that are merged in one task.
@@ -60,11 +76,11 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 class Grams:
-    """Gram hashes of several texts, with marks and anchors; ``texts`` all have SPAN bytes or more."""
+    """Gram hashes of several texts, with marks and anchors; ``texts`` all have ``span`` bytes or more."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray):
-        self.data, self.starts, self.ends = data, starts[:-1], starts[1:] - 1
-        self.hash = H.Rolling(data).windows(GRAM)
+    def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: Lengths = DEFAULT):
+        self.data, self.starts, self.ends, self.lengths = data, starts[:-1], starts[1:] - 1, lengths
+        self.hash = H.Rolling(data).windows(lengths.gram)
         place = np.arange(len(self.hash), dtype=np.uint64)
         self.keys = (self.hash & ~_PLACE) | place
 
@@ -72,13 +88,14 @@ class Grams:
         """Mask of the runs of ``width`` grams that lie in one text."""
         edge = np.zeros(len(values) + 1, dtype=np.int8)
         edge[self.starts] += 1
-        np.add.at(edge, np.minimum(self.ends - GRAM - width + 2, len(values)), -1)
+        np.add.at(edge, np.minimum(self.ends - self.lengths.gram - width + 2, len(values)), -1)
         return np.cumsum(edge[:-1]).astype(bool)
 
     def marks(self) -> np.ndarray:
         """Places of the marked grams, ascending."""
-        least = _least(self.keys, NEAR)
-        chosen = (least & _PLACE).astype(np.int64)[self._inside(least, NEAR)]
+        near = self.lengths.near
+        least = _least(self.keys, near)
+        chosen = (least & _PLACE).astype(np.int64)[self._inside(least, near)]
         return chosen[np.concatenate([[True], np.diff(chosen) != 0])] if len(chosen) else chosen
 
     def passages(self, unique: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,14 +103,14 @@ class Grams:
 
         ``unique``: places of unique marks.
         """
-        width = SPAN - GRAM + 1
+        width = self.lengths.span - self.lengths.gram + 1
         least = _least(self.keys, width)
         anchor = (least & _PLACE).astype(np.int64)
         lone = np.zeros(len(self.hash), dtype=bool)
         lone[unique] = True
-        near = _least(self.keys, NEAR)
+        near = _least(self.keys, self.lengths.near)
         count = np.concatenate([[0], np.cumsum(lone[(near & _PLACE).astype(np.int64)])])
-        inner = width - NEAR + 1  # runs of NEAR grams in a string: none of them may mark a unique gram
+        inner = width - self.lengths.near + 1  # runs of grams in a string: none of them may mark a unique gram
         fine = self._inside(least, width) & (count[inner:] == count[:-inner])[:len(least)]
         # a periodic text has one equal anchor after the other: its strings stay together
         of = self.hash[anchor]
@@ -105,11 +122,11 @@ class Grams:
         return first, last, of[first], anchor[first] != anchor[last]
 
 
-def _grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, Grams]]:
-    """Runs of texts of at least SPAN bytes: their numbers and grams."""
-    number = np.array([i for i, t in enumerate(texts) if len(t) >= SPAN], dtype=np.int64)
+def _grams(texts: list[bytes], lengths: Lengths) -> Iterator[tuple[np.ndarray, Grams]]:
+    """Runs of texts of at least ``span`` bytes: their numbers and grams."""
+    number = np.array([i for i, t in enumerate(texts) if len(t) >= lengths.span], dtype=np.int64)
     for first, end, data, starts in H.pieces([texts[i] for i in number]):
-        yield number[first:end], Grams(data, starts)
+        yield number[first:end], Grams(data, starts, lengths)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -122,11 +139,11 @@ def _lists(owner: np.ndarray, count: int, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def text_marks(rows: DataFrame) -> DataFrame:
+def text_marks(rows: DataFrame, lengths: Lengths = DEFAULT) -> DataFrame:
     """(did, rid, h, p): hashes and places of the marks of each row of (did, rid, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.slices(batches):
-            for number, grams in _grams(_bytes(batch.column(2))):
+            for number, grams in _grams(_bytes(batch.column(2)), lengths):
                 at = grams.marks()
                 of = H.owner(grams.starts, at)
                 yield pa.RecordBatch.from_arrays(
@@ -137,12 +154,12 @@ def text_marks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "did long, rid long, h array<long>, p array<int>")
 
 
-def text_chunks(rows: DataFrame) -> DataFrame:
+def text_chunks(rows: DataFrame, lengths: Lengths = DEFAULT) -> DataFrame:
     """(did, rid, start, chunk) of rows (did, rid, text, seen); seen: places of repeated marks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.slices(batches):
             texts, seen = _bytes(batch.column(2)), batch.column(3)
-            for number, grams in _grams(texts):
+            for number, grams in _grams(texts, lengths):
                 known = [np.asarray(seen[int(i)].values.to_numpy(), dtype=np.int64) + s
                          for i, s in zip(number, grams.starts)]
                 unique = np.setdiff1d(grams.marks(), np.concatenate(known), assume_unique=True)
@@ -152,7 +169,7 @@ def text_chunks(rows: DataFrame) -> DataFrame:
                 first, last = first[cut], last[np.append(cut[1:], len(last)) - 1] if len(cut) else last
                 of = H.owner(grams.starts, first)
                 row, start = number[of], first - grams.starts[of]
-                stop = last + SPAN - grams.starts[of]
+                stop = last + lengths.span - grams.starts[of]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(start),
                      pa.array([texts[r][a:b] for r, a, b in zip(row, start, stop)], pa.binary())],
@@ -161,16 +178,16 @@ def text_chunks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "did long, rid long, start long, chunk binary")
 
 
-def chunk_passages(chunks: DataFrame) -> DataFrame:
+def chunk_passages(chunks: DataFrame, lengths: Lengths = DEFAULT) -> DataFrame:
     """(cid, n, start, anchor, many, passage) of rows (cid, n, chunk); many: it may repeat itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.slices(batches):
             texts = _bytes(batch.column(2))
-            for number, grams in _grams(texts):
+            for number, grams in _grams(texts, lengths):
                 first, last, anchor, many = grams.passages(np.zeros(0, dtype=np.int64))
                 of = H.owner(grams.starts, first)
                 row, start = number[of], first - grams.starts[of]
-                stop = last + SPAN - grams.starts[of]
+                stop = last + lengths.span - grams.starts[of]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(start),
                      pa.array(anchor.view(np.int64)), pa.array(many),
@@ -183,21 +200,21 @@ def chunk_passages(chunks: DataFrame) -> DataFrame:
 class Rows:
     """Suffixes of the passages over blocks: a row per place that has a whole block, and one per string end.
 
-    The places of one remainder modulo BLOCK in a passage are one string. Block numbers begin at 1.
+    The places of one remainder modulo ``block`` in a passage are one string. Block numbers begin at 1.
     """
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, block: int):
         ends = starts + size
-        place = np.arange(len(data) - BLOCK + 1)
+        place = np.arange(len(data) - block + 1)
         of = np.searchsorted(starts, place, side="right") - 1
-        self.place = place[place + BLOCK <= ends[of]]
+        self.place = place[place + block <= ends[of]]
         self.of = of[self.place]
-        self.symbol = _symbols(data, self.place)
+        self.symbol = _symbols(data, self.place, block)
         n = len(self.place)
-        row = np.full(len(data) + BLOCK + 1, -1, dtype=np.int64)
+        row = np.full(len(data) + block + 1, -1, dtype=np.int64)
         row[self.place] = np.arange(n)
-        after = row[self.place + BLOCK]
-        same = (after >= 0) & (self.place + 2 * BLOCK <= ends[self.of])
+        after = row[self.place + block]
+        same = (after >= 0) & (self.place + 2 * block <= ends[self.of])
         final = np.flatnonzero(~same)  # the last block of each string
         self.next = np.where(same, after, 0)
         self.next[final] = n + np.arange(len(final))
@@ -205,19 +222,19 @@ class Rows:
         self.string_of = np.concatenate([self.of, self.of[final]])
 
 
-def _symbols(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _symbols(data: np.ndarray, place: np.ndarray, block: int) -> np.ndarray:
     """Numbers from 1 of the blocks at the places; equal numbers mean equal bytes."""
-    used, first, number = np.unique(H.Rolling(data).windows(BLOCK)[place], return_index=True, return_inverse=True)
-    for at in [*range(0, BLOCK - 7, 8), BLOCK - 8]:
+    used, first, number = np.unique(H.Rolling(data).windows(block)[place], return_index=True, return_inverse=True)
+    for at in [*range(0, block - 7, 8), block - 8]:
         words = np.lib.stride_tricks.as_strided(data[at:].view(np.uint8), (len(data) - at - 7, 8), (1, 1))
         own = np.ascontiguousarray(words[place]).view(np.uint64).ravel()
         if (own != own[first][number]).any():  # unequal blocks with one hash: number the bytes themselves
-            blocks = np.lib.stride_tricks.as_strided(data, (len(data) - BLOCK + 1, BLOCK), (1, 1))[place]
-            return np.unique(np.ascontiguousarray(blocks).view(f"V{BLOCK}").ravel(), return_inverse=True)[1].ravel() + 1
+            blocks = np.lib.stride_tricks.as_strided(data, (len(data) - block + 1, block), (1, 1))[place]
+            return np.unique(np.ascontiguousarray(blocks).view(f"V{block}").ravel(), return_inverse=True)[1].ravel() + 1
     return number + 1
 
 
-def shard_order(rows: Rows, chosen: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
+def shard_order(rows: Rows, chosen: np.ndarray, ends: np.ndarray, longest: int, block: int) -> np.ndarray:
     """Sorted order of one shard's rows (end rows first), by doubling the compared length."""
     total = rows.rows + len(rows.final)
     local = np.concatenate([ends, chosen])
@@ -227,7 +244,7 @@ def shard_order(rows: Rows, chosen: np.ndarray, ends: np.ndarray, longest: int)
     step = np.concatenate([rows.next, np.full(len(rows.final) + 1, total)])
     rank[total] = -1
     span, width = 1, len(local) + int(rows.symbol.max(initial=0)) + 3
-    while span * BLOCK < longest:
+    while span * block < longest:
         key = (rank[local] + 1) * width + rank[step[local]] + 1
         rank[local] = np.unique(key, return_inverse=True)[1].ravel()
         step = step[step]
@@ -236,12 +253,14 @@ def shard_order(rows: Rows, chosen: np.ndarray, ends: np.ndarray, longest: int)
 
 
 def repeated_strings(data: np.ndarray, starts: np.ndarray, size: np.ndarray, count: np.ndarray,
-                     shards: int = SHARDS) -> np.ndarray:
-    """Mask over ``data`` of the places whose SPAN bytes occur twice or more in the passages.
+                     shards: int = SHARDS, lengths: Lengths = DEFAULT, order: np.ndarray | None = None) -> np.ndarray:
+    """Mask over ``data`` of the places whose ``span`` bytes occur twice or more in the passages.
 
     ``starts`` and ``size``: the passages in ``data``; ``count``: how often the corpus has each.
+    ``order``: numbers of the passages by their first place; then the mask leaves out the first place of each string.
     """
-    rows = Rows(data, starts, size)
+    span, block = lengths.span, lengths.block
+    rows = Rows(data, starts, size, block)
     n = rows.rows
     before = np.zeros(n + len(rows.final), dtype=np.int64)
     before[rows.next] = rows.symbol
@@ -249,7 +268,7 @@ def repeated_strings(data: np.ndarray, starts: np.ndarray, size: np.ndarray, cou
     orders, transforms = [], []
     for s in range(shards):
         own = np.flatnonzero(shard == s)
-        orders.append(shard_order(rows, own[own < n], own[own >= n], int(size.max())))
+        orders.append(shard_order(rows, own[own < n], own[own >= n], int(size.max()), block))
         transforms.append(before[orders[-1]])
     # interleave of the sorted shards: string ends first, all else not yet told apart
     ends = [int((o >= n).sum()) for o in orders]
@@ -257,7 +276,7 @@ def repeated_strings(data: np.ndarray, starts: np.ndarray, size: np.ndarray, cou
     z = np.concatenate([head, np.repeat(np.arange(shards, dtype=np.int8), [len(o) - e for o, e in zip(orders, ends)])])
     group = np.zeros(len(z), dtype=np.int64)
     lcp = np.full(len(z), -1, dtype=np.int16)
-    for depth in range(SPAN // BLOCK):
+    for depth in range(span // block):
         symbol = np.empty(len(z), dtype=np.int64)
         for s in range(shards):
             symbol[z == s] = transforms[s]
@@ -274,20 +293,24 @@ def repeated_strings(data: np.ndarray, starts: np.ndarray, size: np.ndarray, cou
         place[z == s] = orders[s]
     real = place < n
     place, group = place[real], group[real]
-    whole = rows.place[place] + SPAN <= (starts + size)[rows.of[place]]
+    whole = rows.place[place] + span <= (starts + size)[rows.of[place]]
     place, group = place[whole], group[whole]
     times = np.bincount(group, count[rows.of[place]], minlength=int(group.max(initial=0)) + 1)
     mask = np.zeros(len(data), dtype=bool)
     mask[rows.place[place[times[group] > 1]]] = True
+    if order is not None and len(place):
+        by_first = np.lexsort([rows.place[place], order[rows.of[place]], group])
+        lead = by_first[np.concatenate([[True], np.diff(group[by_first]) != 0])]
+        mask[rows.place[place[lead]]] = False
     return mask
 
 
-def cover(mask: np.ndarray) -> np.ndarray:
+def cover(mask: np.ndarray, span: int) -> np.ndarray:
     """Mask of the bytes that lie in a string starting at a marked place."""
-    edge = np.zeros(len(mask) + SPAN + 1, dtype=np.int32)
+    edge = np.zeros(len(mask) + span + 1, dtype=np.int32)
     at = np.flatnonzero(mask)
     edge[at] += 1
-    edge[at + SPAN] -= 1
+    edge[at + span] -= 1
     return np.cumsum(edge)[:len(mask)] > 0
 
 
@@ -296,16 +319,19 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, sid, n, passage) by anchor → (anchor, sid, spans); no anchor is divided between merges."""
+def _merged(batches: Iterator[pa.RecordBatch], lengths: Lengths = DEFAULT, keep_first: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, sid, n, passage, turn) by anchor and turn → (anchor, sid, spans); no anchor is divided between merges."""
     def emit(held):
         data, sizes = b"".join(h[3] for h in held), np.array([len(h[3]) for h in held], dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
-        mask = repeated_strings(np.frombuffer(data, np.uint8), starts, sizes, np.array([h[2] for h in held]))
+        # equal strings have one anchor, so the order within an anchor is enough
+        order = np.arange(len(held)) if keep_first else None
+        mask = repeated_strings(np.frombuffer(data, np.uint8), starts, sizes, np.array([h[2] for h in held]),
+                                lengths=lengths, order=order)
         out = [[], [], []]
         for h, s, k in zip(held, starts, sizes):
-            if h[2] == 1 and mask[s:s + k].any():  # what occurs twice is repeated as a whole
-                first, end = runs(cover(mask[s:s + k]))
+            if (keep_first or h[2] == 1) and mask[s:s + k].any():  # else repeated as a whole
+                first, end = runs(cover(mask[s:s + k], lengths.span))
                 out[0].append(h[0]), out[1].append(h[1])
                 out[2].append([{"a": int(a), "b": int(b)} for a, b in zip(first, end)])
         return pa.RecordBatch.from_arrays(
@@ -314,7 +340,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, size = [], 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in zip(*(c.to_pylist() for c in batch.columns[:4])):
             if size >= BATCH_BYTES and row[0] != held[-1][0]:
                 yield emit(held)
                 held, size = [], 0
@@ -324,12 +350,12 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(held)
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, sid, n, passage) → (anchor, sid, n, w1, w2, at) for each string of SPAN bytes."""
+def _strings(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, sid, n, passage) → (anchor, sid, n, w1, w2, at) for each string of ``span`` bytes."""
     for batch in H.slices(batches):
         for row in range(batch.num_rows):
             passage = batch.column(3)[row].as_py()
-            digests = [hashlib.blake2b(passage[i:i + SPAN], digest_size=16).digest() for i in range(len(passage) - SPAN + 1)]
+            digests = [hashlib.blake2b(passage[i:i + span], digest_size=16).digest() for i in range(len(passage) - span + 1)]
             w = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             one = lambda c: c.take(pa.array(np.full(len(w), row)))
             yield pa.RecordBatch.from_arrays(
@@ -338,44 +364,91 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["anchor", "sid", "n", "w1", "w2", "at"])
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(did, rid, spans) of the rows (did, rid, text) that hold repeated strings; spans not united."""
-    marks, _ = written(text_marks(rows), "marks")
-    repeated, _ = written(marks.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-                          .where("n > 1").select("h"), "repeated-marks")
+def repeated_spans(rows: DataFrame, lengths: Lengths = DEFAULT, keep_first: bool = False) -> DataFrame:
+    """(did, rid, spans), written, of the rows (did, rid, text) that hold repeated strings; spans not united.
+
+    With ``keep_first`` the rows also hold ``turn``, and of equal strings the one with the least turn,
+    then the least place, is not in the spans.
+    """
+    spark, paths = rows.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        table, path = written(df, name)
+        paths.append(path)
+        return table
+
+    turn = ["turn"] if keep_first else []
+    marks = kept(text_marks(rows.select("did", "rid", "text"), lengths), "marks")
+    repeated = kept(marks.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+                    .where("n > 1").select("h"), "repeated-marks")
     places = marks.select("did", "rid", F.explode(F.arrays_zip("h", "p")).alias("m")).select("did", "rid", "m.h", "m.p")
-    seen = places.join(repeated, "h").groupBy("did", "rid").agg(F.collect_set("p").alias("seen"))
-    seen, _ = written(seen, "seen-marks")
-    found, _ = written(text_chunks(rows.join(seen, ["did", "rid"]).select("did", "rid", "text", "seen"))
-                       .withColumn("cid", F.unhex(F.md5("chunk"))), "chunks")
-    chunks, _ = written(found.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.first("chunk").alias("chunk")),
-                        "different-chunks")
-    inner, _ = written(chunk_passages(chunks.select("cid", "n", "chunk")).withColumn("sid", F.unhex(F.md5("passage"))), "passages")
-    different, _ = written(inner.groupBy("anchor", "sid").agg(F.sum("n").alias("n"), F.max("many").alias("many"),
-                                                           F.first("passage").alias("passage")), "different-passages")
-    kinds, _ = written(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("many"),
-                                                    F.sum(F.length("passage")).alias("bytes"))
-                       .where("kinds > 1 or many")
-                       .select("anchor", ((F.col("kinds") > WIDE) | (F.col("bytes") > WIDE_BYTES)).alias("hot")), "anchors")
-    whole = different.where("n > 1").select("anchor", "sid", _all_of("passage").alias("spans"))
-    shared = different.join(kinds, "anchor").select("anchor", "sid", "n", "passage", "hot")
+    seen = kept(places.join(repeated, "h").groupBy("did", "rid").agg(F.collect_set("p").alias("seen")), "seen-marks")
+    found = kept(text_chunks(rows.join(seen, ["did", "rid"]).select("did", "rid", "text", "seen"), lengths)
+                 .withColumn("cid", F.unhex(F.md5("chunk"))), "chunks")
+    of_row = found if not keep_first else found.join(
+        rows.select("did", "rid", "turn").groupBy("did", "rid").agg(F.min("turn").alias("turn")), ["did", "rid"])
+    where = F.struct(*turn, "did", "rid", "start")  # places in order; only compared with each other
+    chunks = kept(of_row.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.first("chunk").alias("chunk"),
+                                            *([F.min(where).alias("first")] if keep_first else [])), "different-chunks")
+    inner = kept(chunk_passages(chunks.select("cid", "n", "chunk"), lengths)
+                 .withColumn("sid", F.unhex(F.md5("passage"))), "passages")
+    placed = inner.join(chunks.select("cid", "first"), "cid") if keep_first else inner
+    here = F.col("first").withField("start", F.col("first.start") + F.col("start")) if keep_first else F.lit(None).cast("int")
+    placed = placed.withColumn("here", here)
+    different = kept(placed.groupBy("anchor", "sid").agg(
+        F.sum("n").alias("n"), F.max("many").alias("many"), F.min("here").alias("turn"), F.first("passage").alias("passage")),
+        "different-passages")
+    kinds = kept(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("many"),
+                                                 F.sum(F.length("passage")).alias("bytes"))
+                 .where("kinds > 1 or many")
+                 .select("anchor", ((F.col("kinds") > WIDE) | (F.col("bytes") > WIDE_BYTES)).alias("hot")), "anchors")
+    shared = different.join(kinds, "anchor").select("anchor", "sid", "n", "passage", "turn", "hot")
     narrow = shared.where(~F.col("hot")).drop("hot")
-    merged = (narrow.repartition("anchor").sortWithinPartitions("anchor")
-              .mapInArrow(_merged, "anchor long, sid binary, spans array<struct<a: long, b: long>>"))
-    strings, _ = written(shared.where("hot").drop("hot").mapInArrow(
-        _strings, "anchor long, sid binary, n long, w1 long, w2 long, at long"), "strings")
-    often, _ = written(strings.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "often")
-    wide = strings.where("n = 1").join(often, ["w1", "w2"]).groupBy("anchor", "sid").agg(F.collect_list(F.struct(
-        F.col("at").alias("a"), (F.col("at") + SPAN).alias("b"))).alias("spans"))
-    spans, _ = written(whole.union(merged).union(wide), "spans")
-    # a chunk that occurs twice is repeated as a whole
-    lone = _moved(inner.where("n = 1").select("cid", "start", "anchor", "sid").join(spans, ["anchor", "sid"]), "cid")
-    of_chunk, _ = written(chunks.where("n > 1").select("cid", _all_of("chunk").alias("spans")).union(lone), "chunk-spans")
-    return _moved(found.select("did", "rid", "start", "cid").join(of_chunk, "cid"), "did", "rid")
+    merged = (narrow.repartition("anchor").sortWithinPartitions("anchor", *turn).drop("turn")
+              .mapInArrow(lambda batches: _merged(batches, lengths, keep_first),
+                          "anchor long, sid binary, spans array<struct<a: long, b: long>>"))
+    strings = kept(shared.where("hot").select("anchor", "sid", "n", "passage").mapInArrow(
+        lambda batches: _strings(batches, lengths.span), "anchor long, sid binary, n long, w1 long, w2 long, at long"), "strings")
+    if keep_first:
+        turns = strings.join(shared.where("hot").select("anchor", "sid", "turn"), ["anchor", "sid"])
+        lead = kept(turns.groupBy("w1", "w2").agg(F.min(F.struct("turn", "at")).alias("lead")), "leads")
+        often = turns.join(lead, ["w1", "w2"]).where(F.struct("turn", "at") != F.col("lead"))
+    else:
+        twice = kept(strings.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "often")
+        often = strings.where("n = 1").join(twice, ["w1", "w2"])
+    wide = often.groupBy("anchor", "sid").agg(F.collect_list(F.struct(
+        F.col("at").alias("a"), (F.col("at") + lengths.span).alias("b"))).alias("spans"))
+    if keep_first:
+        spans = kept(merged.union(wide), "spans")
+        firsts = different.select("anchor", "sid", "turn")
+        met = placed.select("cid", "start", "anchor", "sid", "here", F.length("passage").alias("size")).join(
+            firsts, ["anchor", "sid"]).join(spans, ["anchor", "sid"], "left")
+        # at its first place a passage loses its own spans, at every other one all of it
+        lone = _moved(met.withColumn("spans", F.when(F.col("here") != F.col("turn"), _whole(F.col("size")))
+                                     .otherwise(F.col("spans"))).where("spans is not null"), "cid")
+        of_chunk = kept(chunks.select("cid", "first", F.length("chunk").alias("size")).join(lone, "cid", "left"), "chunk-spans")
+        met = of_row.select("did", "rid", "start", "cid", where.alias("here")).join(of_chunk, "cid")
+        out = _moved(met.withColumn("spans", F.when(F.col("here") != F.col("first"), _whole(F.col("size")))
+                                    .otherwise(F.col("spans"))).where("spans is not null"), "did", "rid")
+    else:
+        whole = different.where("n > 1").select("anchor", "sid", _all_of("passage").alias("spans"))
+        spans = kept(whole.union(merged).union(wide), "spans")
+        # a chunk that occurs twice is repeated as a whole
+        lone = _moved(inner.where("n = 1").select("cid", "start", "anchor", "sid").join(spans, ["anchor", "sid"]), "cid")
+        of_chunk = kept(chunks.where("n > 1").select("cid", _all_of("chunk").alias("spans")).union(lone), "chunk-spans")
+        out = _moved(found.select("did", "rid", "start", "cid").join(of_chunk, "cid"), "did", "rid")
+    out, _ = written(out, "text-spans")
+    for path in paths:
+        drop_path(spark, path)
+    return out
+
+
+def _whole(size):
+    return F.array(F.struct(F.lit(0).cast("long").alias("a"), size.cast("long").alias("b")))
 
 
 def _all_of(column: str):
-    return F.array(F.struct(F.lit(0).cast("long").alias("a"), F.length(column).cast("long").alias("b")))
+    return _whole(F.length(column))
 
 
 def _moved(places: DataFrame, *keys: str) -> DataFrame:
@@ -386,20 +459,23 @@ def _moved(places: DataFrame, *keys: str) -> DataFrame:
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, did, rid, text): two rows share did and rid only if id and text are equal."""
+    """(row, did, rid, text, turn): two rows share did and rid only if id and text are equal; turn: the id."""
     did = F.coalesce(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(0).cast("long"))
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row"), did.alias("did"),
-                     F.xxhash64(t, F.col(f"`{key}`").cast("string")).alias("rid"), t.cast("binary").alias("text"))
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text], F.col(f"`{text}`").isNull().alias("__null"))
+                     .alias("row"), did.alias("did"),
+                     F.xxhash64(t, F.col(f"`{key}`").cast("string")).alias("rid"), t.cast("binary").alias("text"),
+                     F.col(f"`{key}`").alias("turn"))
 
 
-def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", decode: bool = False,
+                 lengths: Lengths = DEFAULT, keep_first: bool = False) -> DataFrame:
     """(row, kept, n_bytes, n_removed, n_spans): the other columns of each row, and its remaining bytes.
 
     ``decode``: kept as a string, without characters that were cut in two.
     """
     keyed = _keyed(df, key, text)
-    spans, _ = written(repeated_spans(keyed.select("did", "rid", "text")), "text-spans")
+    spans = repeated_spans(keyed.drop("row"), lengths, keep_first)
     joined = keyed.join(spans, ["did", "rid"], "left").select("row", "text", "spans")
     kind, out = joined.schema["row"].dataType.simpleString(), "string" if decode else "binary"
 
@@ -428,16 +504,21 @@ def removal_digest(df: DataFrame) -> DataFrame:
         "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def strip_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """``df`` with the repeated strings cut out of its texts; ``chars`` follows where a text changed."""
-    out = deduplicated(df, key, text, decode=True)
+def strip_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars",
+                  lengths: Lengths = WORDS_50) -> DataFrame:
+    """``df`` with repeated strings cut out of its texts but for their first places; ``chars`` follows
+    where a text changed. A row goes if all its words were cut out; texts without any word stay as they are."""
+    out = deduplicated(df, key, text, decode=True, lengths=lengths, keep_first=True)
+    emptied = (F.col("n_removed") > 0) & ~F.col("kept").rlike(r"[^\x20\x09-\x0D]")
 
     def column(name: str):
         if name == text:
-            return F.col("kept").alias(name)
+            # untouched nulls stay null
+            return F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("own")).alias(name)
         own = F.col(f"row.`{name}`")
         if name == chars:
             own = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(own).cast(df.schema[name].dataType)
         return own.alias(name)
 
-    return out.select(*[column(c) for c in df.columns])
+    return out.where(~emptied).withColumn("own", F.when(F.col("row.__null"), None).otherwise(F.col("kept"))).select(
+        *[column(c) for c in df.columns])

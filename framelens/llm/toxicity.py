@@ -136,7 +136,7 @@ def sample_bags(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
         for batch in batches:
             out = [], []
             for f, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                f, x = np.frombuffer(f, np.int32), np.frombuffer(x, np.uint16)
+                f, x = np.frombuffer(f, np.int32), np.frombuffer(x, np.uint32)
                 out[0].append(f[shared.value[f]].tobytes()), out[1].append(x[shared.value[f]].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in out)],
                                              names=["id", "label", "f", "x"])
@@ -144,7 +144,7 @@ def sample_bags(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
     # one partition after the other: the driver's JVM never holds the whole sample
     got = sorted(((r["id"], r["f"], r["x"], r["label"]) for r in found.mapInArrow(prune, found.schema).toLocalIterator() if r["f"]),
                  reverse=True)
-    return [(np.frombuffer(f, np.int32), np.frombuffer(x, np.uint16), label) for _, f, x, label in got]
+    return [(np.frombuffer(f, np.int32), np.frombuffer(x, np.uint32), label) for _, f, x, label in got]
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, limit: int = SAMPLE_ROWS,
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, lim
                 used, count = np.unique(bucket, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([used.astype(np.int32).tobytes()]),
-                     pa.array([np.minimum(count, 65535).astype(np.uint16).tobytes()])], names=["id", "label", "f", "x"])
+                     pa.array([count.astype(np.uint32).tobytes()])], names=["id", "label", "f", "x"])
 
     # at most ``limit`` (id, label) rows are broadcast
     found, path = written(docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "doc_id")
