@@ -8,27 +8,41 @@ from framelens.session import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine accepts."""
+    """Documents that the factorisation machine accepts, with all their columns as they are.
+
+    Null, empty and very long texts are scored like all others; repeated rows are judged alike.
+    """
     return quality_fm.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near fingerprints."""
+    """One document of each group of near fingerprints, the one with the smallest id.
+
+    Null and empty texts share one fingerprint, so one of them stays. Equal rows are one document. Rows
+    without an id stay.
+    """
     return simhash_gray.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long strings that the documents share."""
+    """Texts without the passages of 50 words and more (strings of 200 bytes) that an earlier place has too.
+
+    The first copy of a passage stays, in order of ids. Documents whose words were all cut out go;
+    those that had none stay. Null and empty texts stay as they are.
+    """
     return suffix_merge.strip_repeats(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks for, in random order."""
-    return poisson_mix.mix(docs).select(docs.columns)
+    """Each document as often as its source's target weight asks for, in random order, with its own columns.
+
+    A null source is a source of its own; equal ids draw the same number.
+    """
+    return poisson_mix.draw(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences."""
+    """Token pieces with their places in sequences; null and empty texts are an end token alone."""
     return pattern_packing.pack_documents(docs)
 
 
