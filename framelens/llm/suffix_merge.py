@@ -179,7 +179,12 @@ def text_chunks(rows: DataFrame, lengths: Lengths = DEFAULT) -> DataFrame:
 
 
 def chunk_passages(chunks: DataFrame, lengths: Lengths = DEFAULT) -> DataFrame:
-    """(cid, n, start, anchor, many, passage) of rows (cid, n, chunk); many: it may repeat itself."""
+    """(cid, n, start, anchor, many, passage) of rows (cid, n, chunk); many: it may repeat itself.
+
+    A column ``first`` of the chunks comes along.
+    """
+    more = chunks.columns[3:]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in H.slices(batches):
             texts = _bytes(batch.column(2))
@@ -188,13 +193,14 @@ def chunk_passages(chunks: DataFrame, lengths: Lengths = DEFAULT) -> DataFrame:
                 of = H.owner(grams.starts, first)
                 row, start = number[of], first - grams.starts[of]
                 stop = last + lengths.span - grams.starts[of]
+                own = lambda k: batch.column(k).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(start),
-                     pa.array(anchor.view(np.int64)), pa.array(many),
-                     pa.array([texts[r][a:b] for r, a, b in zip(row, start, stop)], pa.binary())],
-                    names=["cid", "n", "start", "anchor", "many", "passage"])
+                    [own(0), own(1), pa.array(start), pa.array(anchor.view(np.int64)), pa.array(many),
+                     pa.array([texts[r][a:b] for r, a, b in zip(row, start, stop)], pa.binary()), *(own(3 + k) for k in range(len(more)))],
+                    names=["cid", "n", "start", "anchor", "many", "passage", *more])
 
-    return chunks.mapInArrow(run, "cid binary, n long, start long, anchor long, many boolean, passage binary")
+    kinds = "".join(f", {c} {chunks.schema[c].dataType.simpleString()}" for c in more)
+    return chunks.mapInArrow(run, "cid binary, n long, start long, anchor long, many boolean, passage binary" + kinds)
 
 
 class Rows:
@@ -390,13 +396,13 @@ def repeated_spans(rows: DataFrame, lengths: Lengths = DEFAULT, keep_first: bool
     where = F.struct(*turn, "did", "rid", "start")  # places in order; only compared with each other
     chunks = kept(of_row.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.first("chunk").alias("chunk"),
                                             *([F.min(where).alias("first")] if keep_first else [])), "different-chunks")
-    inner = kept(chunk_passages(chunks.select("cid", "n", "chunk"), lengths)
+    inner = kept(chunk_passages(chunks.select("cid", "n", "chunk", *(["first"] if keep_first else [])), lengths)
                  .withColumn("sid", F.unhex(F.md5("passage"))), "passages")
-    placed = inner.join(chunks.select("cid", "first"), "cid") if keep_first else inner
-    here = F.col("first").withField("start", F.col("first.start") + F.col("start")) if keep_first else F.lit(None).cast("int")
-    placed = placed.withColumn("here", here)
-    different = kept(placed.groupBy("anchor", "sid").agg(
-        F.sum("n").alias("n"), F.max("many").alias("many"), F.min("here").alias("turn"), F.first("passage").alias("passage")),
+    # the first place of a passage is in the first place of some chunk
+    lead = F.min(F.struct(F.col("first").withField("start", F.col("first.start") + F.col("start")).alias("here"), "cid", "start")
+                 ) if keep_first else F.lit(None).cast("int")
+    different = kept(inner.groupBy("anchor", "sid").agg(
+        F.sum("n").alias("n"), F.max("many").alias("many"), lead.alias("turn"), F.first("passage").alias("passage")),
         "different-passages")
     kinds = kept(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("many"),
                                                  F.sum(F.length("passage")).alias("bytes"))
@@ -420,12 +426,17 @@ def repeated_spans(rows: DataFrame, lengths: Lengths = DEFAULT, keep_first: bool
         F.col("at").alias("a"), (F.col("at") + lengths.span).alias("b"))).alias("spans"))
     if keep_first:
         spans = kept(merged.union(wide), "spans")
-        firsts = different.select("anchor", "sid", "turn")
-        met = placed.select("cid", "start", "anchor", "sid", "here", F.length("passage").alias("size")).join(
-            firsts, ["anchor", "sid"]).join(spans, ["anchor", "sid"], "left")
+        firsts = different.select("anchor", "sid", "turn.cid", "turn.start").join(spans, ["anchor", "sid"], "left").groupBy("cid").agg(
+            F.collect_list(F.struct("start", F.coalesce("spans", F.array().cast("array<struct<a: bigint, b: bigint>>")).alias("spans")))
+            .alias("firsts"))
+        every = inner.groupBy("cid").agg(F.collect_list(F.struct("start", F.length("passage").alias("size"))).alias("every"))
         # at its first place a passage loses its own spans, at every other one all of it
-        lone = _moved(met.withColumn("spans", F.when(F.col("here") != F.col("turn"), _whole(F.col("size")))
-                                     .otherwise(F.col("spans"))).where("spans is not null"), "cid")
+        known = F.coalesce(F.col("firsts"), F.array().cast(firsts.schema["firsts"].dataType))
+        shift = lambda start, s: F.struct((s["a"] + start).alias("a"), (s["b"] + start).alias("b"))
+        own = F.flatten(F.transform(known, lambda f: F.transform(f["spans"], lambda s: shift(f["start"], s))))
+        others = F.filter("every", lambda p: ~F.array_contains(F.transform(known, lambda f: f["start"]), p["start"]))
+        whole = F.transform(others, lambda p: F.struct(p["start"].alias("a"), (p["start"] + p["size"]).alias("b")))
+        lone = every.join(firsts, "cid", "left").select("cid", F.concat(own, whole).alias("spans"))
         of_chunk = kept(chunks.select("cid", "first", F.length("chunk").alias("size")).join(lone, "cid", "left"), "chunk-spans")
         met = of_row.select("did", "rid", "start", "cid", where.alias("here")).join(of_chunk, "cid")
         out = _moved(met.withColumn("spans", F.when(F.col("here") != F.col("first"), _whole(F.col("size")))
