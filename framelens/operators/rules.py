@@ -291,10 +291,20 @@ def crowd_events(rows: DataFrame, line: DataFrame, rules: Sequence[Rule]) -> Dat
     return _events(rising, F.format_string("%d人", "n"), F.lit(0), F.lit(-1))
 
 
+def absence_counts(rows: DataFrame, line: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Objects inside each absence region, for every frame."""
+    return _frame_counts(rows, line, _pick(rules, "absence"), False)
+
+
+def absence_rows(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The rows inside each absence region."""
+    return _per_rule(rows, _pick(rules, "absence"), lambda r: {"inside": _in_region(r)}).where("inside")
+
+
 def absence_events(rows: DataFrame, line: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Region empty for the limit after it was occupied; once until it is occupied again."""
     picked = _pick(rules, "absence")
-    frames = _frame_counts(rows, line, picked, False).withColumn("occupied", F.col("n") > 0)
+    frames = absence_counts(rows, line, rules).withColumn("occupied", F.col("n") > 0)
     keys = ["rule_no", "source"]
     frames = previous(frames, keys, ["ts_ms"], {"was_occupied": "occupied", "before": "ts_ms"})
     frames = running(frames, keys, ["ts_ms"], {
@@ -592,6 +602,114 @@ def periodic_report(crossings: DataFrame, interval_ms: int) -> DataFrame:
     return crossing_counts(crossings.withColumn("interval_start", slot), "source", "interval_start")
 
 
+def _slot(interval_ms: int) -> Column:
+    return F.floor(F.col("ts_ms") / interval_ms).cast("long")
+
+
+def anchored_gauge(rows: DataFrame, slots: DataFrame, rules: Sequence[Rule], interval_ms: int, stale_ms: int,
+                   absences: DataFrame | None = None) -> DataFrame:
+    """(source, slot, rule_no, abandoned_now): anchored objects inside at the last frame of each slot with frames.
+
+    ``slots``: source, slot, last_ts, before_ts (the last frame and the one before it), next_slot. A track holds
+    its state until it is seen again or forgotten, so its last sighting in a slot counts there and in
+    the few later slots whose last frames still remember it.
+    """
+    picked = _pick(rules, "abandoned")
+    keys = ["rule_no", "source", "track_id"]
+    every = _per_rule(rows, picked, lambda r: {"inside": _in_region(r)})
+    # sightings of other classes prolong the stretch without changing its state
+    other = rows.select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("rule_no"), _class_ok(r).alias("_ok")) for i, r in picked])))
+    marked = other.where("not _ok").select("source", "track_id", "ts_ms", "life", CHUNK, "rule_no").unionByName(
+        every.select("source", "track_id", "ts_ms", "life", CHUNK, "rule_no", "inside", "confirmed"), allowMissingColumns=True)
+    state = running(marked, keys, ["ts_ms"], {
+        "ok_state": ("max", F.when(F.col("inside").isNotNull(), F.struct("ts_ms", "inside"))),
+        "anchor": ("max", F.when(F.col("inside") & F.col("confirmed"), F.col("ts_ms")))})
+    held = (F.col("ok_state.inside") & (F.col("ok_state.ts_ms") >= F.col("life")) & (F.col("anchor") >= F.col("life")))
+    last = state.withColumn("slot", _slot(interval_ms)).groupBy(*keys, "slot").agg(F.max_by(F.struct(
+        "ts_ms", held.alias("held"), F.col("ok_state.ts_ms").alias("ok_ts")), "ts_ms").alias("_at"))
+    reach = F.floor((F.col("_at.ts_ms") + stale_ms) / interval_ms).cast("long")
+    spread_ = last.withColumn("slot", F.explode(F.sequence("slot", reach)))
+    met = spread_.join(slots, ["source", "slot"])
+    # the slot after the last one in reach may have a last frame whose predecessor is still in reach
+    after = met.groupBy(*keys, "_at").agg(F.max_by("next_slot", "slot").alias("slot")).where("slot is not null")
+    met = met.unionByName(after.join(slots, ["source", "slot"]).select(*met.columns))
+    now = met.groupBy("source", "slot", "rule_no", "track_id", "last_ts", "before_ts").agg(F.max_by("_at", "_at.ts_ms").alias("_at"))
+    live = now.where(F.col("_at.held") & ((F.col("_at.ts_ms") == F.col("last_ts"))
+                                          | (F.col("before_ts") - F.col("_at.ts_ms") <= stale_ms)))
+    links = [(i, a) for i, r in picked for a, q in _pick(rules, "absence") if r.region == q.region]
+    if absences is not None and links:
+        pairs = F.array(*[F.struct(F.lit(a).alias("from_no"), F.lit(i).alias("rule_no"), F.lit(i <= a).alias("late")) for i, a in links])
+        resets = (absences.select("source", "ts_ms", F.col("rule_no").alias("_fired"), F.inline(pairs)).where("from_no = _fired")
+                  .withColumn("slot", _slot(interval_ms)).groupBy("source", "rule_no", "slot")
+                  .agg(F.max(F.col("ts_ms") * 2 + F.when(F.col("late"), 1).otherwise(0)).alias("_mark")))
+        by_slot = slots.select("source", "slot").join(resets.select("source", "rule_no").distinct(), "source").join(
+            resets, ["source", "rule_no", "slot"], "left")
+        seen = by_slot.select("source", "slot", "rule_no", F.max("_mark").over(
+            W.partitionBy("source", "rule_no").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)).alias("_reset"))
+        live = live.join(seen, ["source", "slot", "rule_no"], "left").where(
+            F.col("_reset").isNull() | (F.col("_reset") <= F.col("_at.ok_ts") * 2))
+    return live.groupBy("source", "slot", "rule_no").agg(F.count(F.lit(1)).alias("abandoned_now"))
+
+
+def filled_report(found: DataFrame, slots: DataFrame, rules: Sequence[Rule], interval_ms: int) -> DataFrame:
+    """A row per source, rule and interval from the first to the last one: counters are 0 and gauges stay where nothing came.
+
+    ``found`` (source, slot, rule_no, cross_ab, cross_ba, crowd_now, abandoned_now; the last two null where the
+    slot has no frame) and ``slots`` (source, slot) have one row per slot, not per frame.
+    """
+    span = slots.groupBy("source").agg(F.min("slot").alias("_low"), F.max("slot").alias("_high"))
+    listed = F.array(*[F.struct(F.lit(i).alias("rule_no"), F.lit(r.key).alias("rule_id"), F.lit(r.type).alias("type"))
+                       for i, r in enumerate(rules)])
+    every = span.select("source", F.explode(F.sequence("_low", "_high")).alias("slot")).select("*", F.inline(listed))
+    back = W.partitionBy("source", "rule_no").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
+    rows = every.join(found, ["source", "slot", "rule_no"], "left")
+    gauge = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.lit(0)).cast("long").alias(c)
+    return rows.select("source", (F.col("slot") * interval_ms).alias("interval_start"), "rule_id", "type",
+                       *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("cross_ab", "cross_ba")],
+                       gauge("crowd_now"), gauge("abandoned_now"))
+
+
+def report_slots(line: DataFrame, interval_ms: int) -> DataFrame:
+    """source, slot, last_ts, before_ts, next_slot of the slots with frames, from a ``timeline``."""
+    ends = line.withColumn("slot", _slot(interval_ms)).groupBy("source", "slot").agg(
+        F.max_by(F.struct(F.col("ts_ms").alias("last_ts"), F.col("prev_frame_ts").alias("before_ts")), "ts_ms").alias("_end"))
+    return ends.select("source", "slot", "_end.*", F.lead("slot").over(W.partitionBy("source").orderBy("slot")).alias("next_slot"))
+
+
+def slot_figures(rows: DataFrame, line: DataFrame, slots: DataFrame, rules: Sequence[Rule], interval_ms: int,
+                 stale_ms: int = STALE_MS) -> DataFrame:
+    """What each rule counted in each slot: the input of ``filled_report``."""
+    blank = slots.select("source", "slot").select("*", F.explode(F.array(*[F.lit(i) for i in range(len(rules))])).alias("rule_no"))
+    numbers = lambda df: df.withColumn("slot", _slot(interval_ms))
+    out = blank
+    if _pick(rules, "line_cross"):
+        crossed = numbers(line_crossings(rows, rules)).groupBy("source", "slot", "rule_no").agg(
+            F.count_if("a2b").alias("cross_ab"), F.count_if(~F.col("a2b")).alias("cross_ba"))
+        out = out.join(crossed, ["source", "slot", "rule_no"], "left")
+    if _pick(rules, "crowd"):
+        crowd = numbers(crowd_counts(rows, line, rules)).groupBy("source", "slot", "rule_no").agg(F.max_by("n", "ts_ms").alias("crowd_now"))
+        out = out.join(crowd, ["source", "slot", "rule_no"], "left")
+    if _pick(rules, "abandoned"):
+        absences = absence_events(rows, line, rules) if _pick(rules, "absence") else None
+        out = out.join(anchored_gauge(rows, slots, rules, interval_ms, stale_ms, absences), ["source", "slot", "rule_no"], "left")
+    for c in ("cross_ab", "cross_ba", "crowd_now", "abandoned_now"):
+        # a slot with frames and no object has the gauge 0; slots without frames have no row here
+        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)) if c in out.columns else F.lit(0))
+    return out
+
+
+def rule_report(tracked: DataFrame, rules: Sequence[Rule], interval_ms: int, frames: DataFrame | None = None,
+                stale_ms: int = STALE_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Periodic report of all rules: crossings of each interval, and crowd and anchored objects at its end.
+
+    Intervals run from the first to the last frame of a source; those without crossings or frames appear too.
+    """
+    rows = staged(lives(presence(tracked, frames, stale_ms, chunk_ms)))
+    line = staged(timeline(tracked, frames, chunk_ms))
+    slots = staged(report_slots(line, interval_ms))
+    return filled_report(slot_figures(rows, line, slots, rules, interval_ms, stale_ms), slots, rules, interval_ms)
+
+
 def with_hints(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add the review hint of the rule that raised the event; empty when there is none."""
     hints = {r.key: r.hint for r in rules if r.hint}

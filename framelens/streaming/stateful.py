@@ -1,19 +1,13 @@
-"""Stateful streams keyed by source: rules and throttle.
-
-Each micro-batch brings the next frames of a source; rows are ordered inside the batch and the
-state carries over. Late rows are dropped by the watermark of the caller's stream.
-"""
+"""Processors with state per key: throttle in event time, and changes of review verdicts."""
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-
-from framelens.operators.rules import STALE_MS, Rule
-from framelens.streaming.rule_state import RuleState
+from pyspark.sql.types import IntegralType, StructField, StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,76 +17,116 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class _Keyed(StatefulProcessor):
-    """One value per key; subclasses turn the ordered rows of a batch into output."""
+class _Throttle(StatefulProcessor):
+    """Holds the rows of a key until the watermark has passed them, then lets one through per interval.
 
-    schema = "value string"
-    order: Sequence[str] = ("ts_ms",)
+    Rows may come in any order within the watermark's delay. ``last`` is dropped as soon as no row that
+    can still come is held back by it.
+    """
+
+    def __init__(self, schema: StructType, interval_ms: int, order: Sequence[str]):
+        self.names, self.interval, self.order = schema.names, interval_ms, list(order)
+        # numbered, as state rows can't have fields of any name
+        self.kinds = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+        self.whole = {f.name for f in schema if isinstance(f.dataType, IntegralType)}
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("state", self.schema)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.kinds)
+        self.last = handle.getValueState("last", "ts long")
 
-    def advance(self, key, value, rows: pd.DataFrame):
-        raise NotImplementedError
+    def _tuples(self, rows: pd.DataFrame) -> list[tuple]:
+        """Plain values for the state, nulls as None, whole numbers whole even beside nulls."""
+        def plain(name: str) -> list:
+            whole = name in self.whole
+            return [None if pd.isna(v) else int(v) if whole else v for v in rows[name].tolist()]
+        return list(zip(*[plain(n) for n in self.names]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(list(self.order), kind="stable")
-        value = self.state.get()[0] if self.state.exists() else None
-        value, out = self.advance(key, value, batch)
-        self.state.update((value,))
-        yield out
+        for batch in rows:
+            self.waiting.appendList(self._tuples(batch))
+            for ts in batch["ts_ms"].unique():
+                self.handle.registerTimer(int(ts))
+        yield pd.DataFrame(columns=self.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.waiting.get()), columns=self.names)
+        due = held[held["ts_ms"] <= mark].sort_values(self.order, kind="stable")
+        last = self.last.get()[0] if self.last.exists() else None
+        keep = []
+        for at, ts in zip(due.index, due["ts_ms"]):
+            if last is None or ts - last >= self.interval:
+                keep.append(at)
+                last = int(ts)
+        rest = held[held["ts_ms"] > mark]
+        if len(rest):
+            self.waiting.put(self._tuples(rest))
+        else:
+            self.waiting.clear()
+        if last is None or last + self.interval <= mark:
+            self.last.clear()
+        else:
+            self.last.update((last,))
+            self.handle.registerTimer(last + self.interval)
+        yield due.loc[keep]
 
     def close(self) -> None:
         pass
 
 
-class _Rules(_Keyed):
-    columns = ["source", "ts_ms", "type", "rule_id", "track_id", "cls", "detail"]
-
-    def __init__(self, rules: Sequence[Rule], stale_ms: int):
-        self.rules, self.stale_ms = rules, stale_ms
-
-    def advance(self, key, value, rows):
-        state = RuleState(self.rules, self.stale_ms, json.loads(value) if value else None)
-        events: list[dict] = []
-        for ts, frame in rows.groupby("ts_ms", sort=True):
-            present = frame[frame["track_id"].notna()]
-            events += state.step(int(ts), [
-                {k: (bool(v) if k == "confirmed" else int(v)) for k, v in r.items()}
-                for r in present.drop(columns=["source", "ts_ms"]).to_dict("records")])
-        out = pd.DataFrame(events, columns=self.columns[1:])
-        out.insert(0, "source", key[0])
-        return json.dumps(state.data), out
-
+def stream_throttle(rows: DataFrame, keys: Sequence[str], interval_ms: int, tie: Sequence[str] = (),
+                    late: str = "0 seconds") -> DataFrame:
+    """At most one row per key and interval; also the cross-stream form with another key.
 
-def stream_rules(rows: DataFrame, rules: Sequence[Rule], stale_ms: int = STALE_MS) -> DataFrame:
-    """Rule events of a stream of tracked rows; a row with a null track is an empty frame."""
+    Rows that come more than ``late`` behind the newest one are dropped and counted by Spark
+    (``windows.run_counted``). A row leaves when the watermark has passed it.
+    """
     use_rocksdb(rows.sparkSession)
-    kind = dict(rows.dtypes)["source"]
-    slim = rows.select("source", "ts_ms", "track_id", "cls", "confirmed", "left", "top", "right", "bottom")
-    return slim.groupBy("source").transformWithStateInPandas(
-        statefulProcessor=_Rules(rules, stale_ms), outputMode="Append", timeMode="None",
-        outputStructType=f"source {kind}, ts_ms long, type string, rule_id string, track_id long, cls int, detail string")
+    timed = rows.withColumn("_ts", F.timestamp_millis("ts_ms")).withWatermark("_ts", late)
+    out = timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Throttle(rows.schema, interval_ms, ["ts_ms", *tie]),
+        outputMode="Append", timeMode="EventTime", outputStructType=rows.schema)
+    return out
 
 
-class _Throttle(_Keyed):
-    schema = "value long"
+class _Changes(StatefulProcessor):
+    """Reviews of one event that change its verdict; a review older than the newest one changes nothing."""
 
-    def __init__(self, interval_ms: int, order: Sequence[str]):
-        self.interval, self.order = interval_ms, order
+    def init(self, handle) -> None:
+        self.newest = handle.getValueState("newest", "ts long, verdict string")
 
-    def advance(self, key, value, rows):
-        keep, last = [], value
-        for i, ts in enumerate(rows["ts_ms"].to_numpy()):
-            if last is None or ts - last >= self.interval:
-                keep.append(i)
-                last = int(ts)
-        return last, rows.iloc[keep]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
+        newest = self.newest.get() if self.newest.exists() else None
+        out = []
+        for ts, verdict in zip(batch["ts"], batch["verdict"]):
+            if newest is None or ts > newest[0]:
+                if newest is None or verdict != newest[1]:
+                    out.append((key[0], verdict))
+                newest = (int(ts), verdict)
+        self.newest.update(newest)
+        yield pd.DataFrame(out, columns=["id", "verdict"])
 
+    def close(self) -> None:
+        pass
 
-def stream_throttle(rows: DataFrame, keys: Sequence[str], interval_ms: int, tie: Sequence[str] = ()) -> DataFrame:
-    """At most one row per key and interval; also the cross-stream form with another key."""
-    use_rocksdb(rows.sparkSession)
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Throttle(interval_ms, ("ts_ms", *tie)), outputMode="Append", timeMode="None",
-        outputStructType=rows.schema)
+
+def live_feed(events: DataFrame, reviews: DataFrame, late: str, keep: str) -> DataFrame:
+    """(id, kind, verdict): every event of the stream at once, and a review row whenever its verdict changes.
+
+    ``events`` (id, recv_ts) and ``reviews`` (event_id, ts, verdict) are streams with times in milliseconds. Each
+    waits for the other up to ``keep`` before and after; behind the watermarks (``late``) their join
+    state goes. What stays is one small row per reviewed event, its newest verdict, on disk.
+    """
+    use_rocksdb(events.sparkSession)
+    e = events.select("id", F.timestamp_millis("recv_ts").alias("recv_time")).withWatermark("recv_time", late)
+    r = (reviews.select("event_id", "ts", "verdict", F.timestamp_millis("ts").alias("review_time"))
+         .withWatermark("review_time", late))
+    met = e.join(r, F.expr(f"id = event_id and review_time >= recv_time - interval {keep} "
+                           f"and review_time <= recv_time + interval {keep}"))
+    changes = met.select("id", "ts", "verdict").groupBy("id").transformWithStateInPandas(
+        statefulProcessor=_Changes(), outputMode="Append", timeMode="None",
+        outputStructType="id long, verdict string")
+    first = events.select("id", F.lit("event").alias("kind"), F.lit(None).cast("string").alias("verdict"))
+    return first.unionByName(changes.select("id", F.lit("review").alias("kind"), "verdict"))

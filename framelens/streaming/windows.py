@@ -1,7 +1,7 @@
 """Streams that need only built-in windows: reports, presence sessions, feeds, rough de-duplication."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,13 @@ def presence_sessions(rows: DataFrame, gap: str, late: str) -> DataFrame:
             .select("source", "track_id", F.unix_millis("session_window.start").alias("start_ms"), "sightings"))
 
 
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Sessions that a run of ``presence_sessions`` has not closed yet, read from its state."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.source", "key.track_id", F.unix_millis("key.sessionStartTime").alias("start_ms"),
+                        F.col("value.count").alias("sightings"))
+
+
 def rough_dedup(alerts: DataFrame, keys: list[str], late: str) -> DataFrame:
     """Approximate de-duplication: the first alert of a key within the watermark delay."""
     return alerts.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
@@ -41,12 +48,24 @@ def each_result(stream: DataFrame, callback: Callable[[DataFrame, int], None], c
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process everything that is there, write it to the shared folder and return it as a table."""
+    return run_counted(stream, mode)[0]
+
+
+def run_counted(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> tuple[DataFrame, int, int]:
+    """As ``run_available``: the table, the number of rows dropped as too late, and the number of micro-batches with rows.
+
+    ``checkpoint`` names the folder of progress and state, to go on from or to look into.
+    """
     spark = stream.sparkSession
-    out = scratch_path(spark, "stream")
+    out, number = scratch_path(spark, "stream"), {}
     q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start())
+         .option("checkpointLocation", checkpoint or scratch_path(spark, "progress")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    for p in q.recentProgress:
+        late = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        number[p.batchId] = max(number.get(p.batchId, (0, 0)), (late, p.numInputRows))
+    table = spark.read.schema(stream.schema).parquet(out)
+    return table, sum(late for late, _ in number.values()), sum(rows > 0 for _, rows in number.values())
 
 
 def as_stream(df: DataFrame, order: str | None = None) -> DataFrame:
@@ -54,3 +73,12 @@ def as_stream(df: DataFrame, order: str | None = None) -> DataFrame:
     path = scratch_path(df.sparkSession, "feed")
     (df.repartitionByRange(order) if order else df).write.parquet(path)
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+def in_turns(parts: Sequence[DataFrame]) -> DataFrame:
+    """A stream that brings the given tables one after the other, one micro-batch each."""
+    spark, path = parts[0].sparkSession, scratch_path(parts[0].sparkSession, "turns")
+    for part in parts:
+        # one file each, as the files of a turn come in one micro-batch only if they are one
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -10,6 +10,7 @@ from framelens.workload.views import FRAMES, TRACKED, Tables, big
 
 DAY = 86_400_000
 SCALE = {"stale_ms": DAY, "chunk_ms": 5 * DAY}
+HALF = DAY // 2
 LINE = R.Rule("gate", "line_cross", line=((0, 300), (1280, 300)))
 GATE_AB = R.Rule("a2b", "line_cross", line=((0, 300), (1280, 300)), classes=(0, 1, 2), direction="A2B",
                  ref_point="bottom")
@@ -264,6 +265,31 @@ def rul10(t: Tables):
     return R.periodic_report(R.line_crossings(R.presence(t.tracked, **SCALE), [LINE]), DAY)
 
 
+@query("rul10_full_report", CROSS + f""",
+r AS (SELECT *, {INSIDE} AS inside FROM (SELECT *, "left" + "right" AS cx2, top + bottom AS cy2 FROM lived)),
+fs AS (SELECT source, ts_ms // {HALF} AS slot, max(ts_ms) AS last_ts, arg_max(prev_frame_ts, ts_ms) AS before FROM frames GROUP BY ALL),
+span AS (SELECT source, unnest(range(min(slot), max(slot) + 1)) AS slot FROM fs GROUP BY source),
+-- the last frame at or before the end of each interval
+upto AS (SELECT s.source, s.slot, max_by(f.last_ts, f.slot) AS last_ts, max_by(f.before, f.slot) AS before
+  FROM span s JOIN fs f ON f.source = s.source AND f.slot <= s.slot GROUP BY ALL),
+crowd AS (SELECT a.source, a.slot, count(*) FILTER (r.inside AND r.confirmed AND r.cls IN (1, 3)) AS n
+  FROM upto a LEFT JOIN r ON r.source = a.source AND r.ts_ms = a.last_ts GROUP BY ALL),
+seen_now AS (SELECT a.source, a.slot, r.track_id, a.last_ts, a.before, max(r.ts_ms) AS seen, max(r.life) AS life_now, arg_max(r.inside, r.ts_ms) AS inside
+  FROM upto a JOIN r ON r.source = a.source AND r.ts_ms <= a.last_ts GROUP BY ALL),
+held AS (SELECT n.source, n.slot, count(*) AS n FROM seen_now n WHERE inside AND (seen = last_ts OR before - seen <= 86400000)
+  AND EXISTS (SELECT 1 FROM r WHERE r.source = n.source AND r.track_id = n.track_id AND r.life = n.life_now AND r.ts_ms <= n.last_ts
+    AND r.inside AND r.confirmed) GROUP BY ALL)
+SELECT a.source, a.slot * {HALF} AS interval_start, id AS rule_id, type,
+  CAST(CASE WHEN id = 'gate' THEN (SELECT count(*) FROM crossed c WHERE c.source = a.source AND c.ts_ms // {HALF} = a.slot AND a2b) ELSE 0 END AS BIGINT) AS cross_ab,
+  CAST(CASE WHEN id = 'gate' THEN (SELECT count(*) FROM crossed c WHERE c.source = a.source AND c.ts_ms // {HALF} = a.slot AND NOT a2b) ELSE 0 END AS BIGINT) AS cross_ba,
+  CAST(CASE WHEN id = 'zone_crowd' THEN crowd.n ELSE 0 END AS BIGINT) AS crowd_now,
+  CAST(CASE WHEN id = 'left_item' THEN coalesce(held.n, 0) ELSE 0 END AS BIGINT) AS abandoned_now
+FROM upto a JOIN crowd USING (source, slot) LEFT JOIN held USING (source, slot),
+  (VALUES ('gate', 'line_cross'), ('zone_crowd', 'crowd'), ('left_item', 'abandoned')) v(id, type)""")
+def rul10_full(t: Tables):
+    return R.rule_report(t.tracked, [LINE, CROWD, ABANDON], HALF, **SCALE)
+
+
 MID = 1705276800000  # 2024-01-15 00:00 UTC
 
 

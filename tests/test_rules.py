@@ -1,10 +1,10 @@
-"""Scripted scenes with known events, in the batch and in the streaming form."""
+"""Scripted scenes with known events, at once and in steps as a stream brings them."""
 import random
 
 import pytest
 
 from framelens.operators import rules as R
-from framelens.streaming.rule_state import RuleState
+from framelens.streaming import rules as L
 
 SQUARE = ((0, 0), (100, 0), (100, 100), (0, 100))
 SCHEMA = ("source int, ts_ms long, track_id long, cls int, confirmed boolean, left long, top long, right long, bottom long")
@@ -18,13 +18,6 @@ def run(spark, rules, rows, frames=(), **kw):
     tracked = spark.createDataFrame(rows, SCHEMA)
     times = spark.createDataFrame([(0, int(t * 1000)) for t in frames], "source int, ts_ms long") if frames else None
     got = [tuple(r) for r in R.rule_events(tracked, rules, times, **kw).select("ts_ms", "type", "rule_id", "track_id", "detail").collect()]
-    state, live = RuleState(rules, kw.get("stale_ms", R.STALE_MS)), []
-    by_time = {int(t * 1000): [] for t in frames}
-    for r in rows:
-        by_time.setdefault(r[1], []).append(dict(zip(["source", "ts_ms", "track_id", "cls", "confirmed", "left", "top", "right", "bottom"], r)))
-    for ts in sorted(by_time):
-        live += [(e["ts_ms"], e["type"], e["rule_id"], e["track_id"], e["detail"]) for e in state.step(ts, by_time[ts])]
-    assert sorted(got) == sorted(live)
     return sorted((e[1], e[0] / 1000, e[4]) for e in got)
 
 
@@ -111,18 +104,44 @@ def test_stale_needs_a_frame_between(spark):
     assert len(run(spark, [rule], rows, frames=[0, 8, 9])) == 2
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_scenes_batch_equals_stream(spark, seed):
+ZONE = ((20, 20), (150, 10), (160, 140), (10, 120))
+AWAY = ((0, 0), (60, 0), (60, 60), (0, 60))
+
+
+@pytest.mark.parametrize("seed,rules", [
+    (0, [LINE, R.Rule("in", "intrusion", region=ZONE, classes=(0,)), R.Rule("gone", "absence", region=AWAY, absence_seconds=1),
+         R.Rule("many", "crowd", region=ZONE, min_count=2)]),
+    (1, [R.Rule("stay", "dwell", region=ZONE, dwell_seconds=1.5), R.Rule("bag", "abandoned", region=ZONE, seconds=1),
+         R.Rule("fall", "fall", fall_seconds=.6), R.Rule("v", "speed", speed_limit=150, speed_seconds=.5),
+         R.Rule("gone", "absence", region=AWAY, classes=(1,), absence_seconds=1)])])
+def test_steps_equal_the_whole(spark, seed, rules):
+    """Events of a scene at once, and in eight micro-batches with carried rows."""
     rnd = random.Random(seed)
-    zone = ((20, 20), (150, 10), (160, 140), (10, 120))
-    rules = [LINE, R.Rule("in", "intrusion", region=zone, classes=(0,)), R.Rule("gone", "absence", region=zone, absence_seconds=1),
-             R.Rule("stay", "dwell", region=zone, dwell_seconds=1.5), R.Rule("many", "crowd", region=zone, min_count=2),
-             R.Rule("bag", "abandoned", region=zone, seconds=1), R.Rule("fall", "fall", fall_seconds=.6),
-             R.Rule("v", "speed", speed_limit=150, speed_seconds=.5)]
     rows = [row(f * .3, rnd.randrange(10, 190), rnd.randrange(10, 190), w=rnd.choice([20, 60]), h=rnd.choice([20, 30]),
                 track=k, cls=rnd.randrange(2), ok=rnd.random() < .8)
-            for f in range(60) for k in range(1, 4) if rnd.random() < .5]
-    run(spark, rules, rows, frames=[f * .3 for f in range(60)], stale_ms=900, chunk_ms=4000)
+            for f in range(48) for k in range(1, 4) if rnd.random() < (.1 if 15 < f < 30 else .5)]
+    rows += [(0, int(f * 300), *[None] * 7) for f in range(48)]
+    df = spark.createDataFrame(rows, SCHEMA).cache()
+    scale = {"stale_ms": 900, "chunk_ms": 4000}
+    whole = R.rule_events(df.where("track_id is not null"), rules, df.select("source", "ts_ms"), **scale)
+    carried, got, sizes = None, [], []
+    for k in range(8):
+        part = df.where(f"ts_ms >= {k * 1800} and ts_ms < {(k + 1) * 1800}")
+        events, carried, late = L.step(carried, part, rules, **scale)
+        got += events.collect()
+        carried = spark.createDataFrame(carried.collect(), SCHEMA)
+        sizes.append(carried.count())
+        assert late == 0
+    want = whole.collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 10
+    if seed == 0:
+        assert max(sizes) <= 3 * 2 + 3  # last rows, accepted rows, marks and frames only
+    assert L.step(carried, df.where("ts_ms < 600"), rules, **scale)[2] == df.where("ts_ms < 600").count()
+
+
+def test_absence_on_a_shared_region_is_refused(spark):
+    with pytest.raises(ValueError, match="in"):
+        L.check_rules([R.Rule("in", "intrusion", region=ZONE), R.Rule("gone", "absence", region=ZONE)])
 
 
 @pytest.mark.parametrize("keep,chunk_ms", [(0.6, 3_600_000), (0.6, 7_000), (0.97, 40_000), (0.0, 3_600_000)])
@@ -147,3 +166,27 @@ def test_polygon_of_many_points_stays_valid(spark):
     rules = spark.createDataFrame([(1, "wide", "intrusion", region), (2, "flat", "intrusion", "0,0,5,5")],
                                   "position int, id string, type string, region string")
     assert [(r.id, len(r.region)) for r in R.compile_rules(rules, "position")] == [("wide", 1500)]
+
+
+def test_report_equals_the_stats_at_each_interval_end(spark):
+    """Gauges of the report against ``rule_stats`` of all frames up to the end of the interval; empty intervals appear."""
+    rnd = random.Random(5)
+    rules = [LINE, R.Rule("many", "crowd", region=ZONE, min_count=2), R.Rule("bag", "abandoned", region=ZONE, classes=(0,), seconds=1)]
+    busy = [f for f in range(40) if not 14 <= f < 24]
+    rows = [row(f * .3, rnd.randrange(10, 190), rnd.randrange(10, 190), track=k, cls=rnd.randrange(2), ok=rnd.random() < .8)
+            for f in busy for k in range(1, 4) if rnd.random() < .5]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(2).cache()
+    frames = spark.createDataFrame([(0, int(f * 300)) for f in busy], "source int, ts_ms long").coalesce(1).cache()
+    scale = {"stale_ms": 900, "chunk_ms": 4000}
+    got = {(r["interval_start"], r["rule_id"]): r for r in R.rule_report(df, rules, 1500, frames, **scale).collect()}
+    assert len(got) == 3 * 8 and got[4500, "gate"]["cross_ab"] == 0
+    totals = {"cross_ab": 0, "cross_ba": 0}
+    for start in range(0, 12000, 1500):
+        upto = R.rule_stats(df.where(f"ts_ms < {start + 1500}"), rules, frames.where(f"ts_ms < {start + 1500}"), **scale)
+        for want in upto.collect():
+            mine = got[start, want["id"]]
+            assert (mine["crowd_now"], mine["abandoned_now"]) == (want["crowd_now"], want["abandoned_now"]), (start, want)
+            if want["id"] == "gate":
+                for c in totals:
+                    totals[c] += mine[c]
+                    assert totals[c] == want[c]
