@@ -2,8 +2,10 @@
 
 The rule is sequential, yet the next kept row depends only on the current one. So each
 chunk of a key can say beforehand where a chain that enters it at any time would leave it.
-Those small tables are folded per key, and each chunk is then replayed on its own. No
-task ever holds more than one chunk of a key.
+Those small tables compose: the tables of up to ``WIDTH`` neighbouring chunks make one table of the same
+kind, level by level, until a key has ``WIDTH`` of them at most. Entry times then go down the
+same levels, and each chunk is replayed on its own. No task ever holds more than one chunk of a
+key, or ``WIDTH`` tables.
 """
 from __future__ import annotations
 
@@ -15,8 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.plans.chunked import CHUNK, with_chunk
+from framelens.session import written
 
 _LOW = -(2 ** 62)
+#: Tables composed into one.
+WIDTH = 256
 
 
 def _exits(ts: np.ndarray, interval: int) -> list[dict]:
@@ -34,6 +39,22 @@ def _exits(ts: np.ndarray, interval: int) -> list[dict]:
     return [{"upto": int(ts[i]), "leave": int(exit_at[i])} for i in last]
 
 
+def _composed(tables: Sequence[dict], interval: int) -> list[dict]:
+    """Step table of consecutive chunks; chains enter less than an interval after the first step's rows begin."""
+    uptos = [np.array([s["upto"] for s in t["_steps"]], dtype=np.int64) for t in tables]
+    leaves = [np.array([s["leave"] for s in t["_steps"]], dtype=np.int64) for t in tables]
+    # a later chunk is entered first only by chains that start within an interval of the first chunk's first step
+    limit = uptos[0][0] + interval
+    starts = np.unique(np.concatenate([u[:np.searchsorted(u, limit, side="left") + 1] for u in uptos]))
+    at = starts.copy()
+    for upto, leave in zip(uptos, leaves):
+        k = np.searchsorted(upto, at, side="left")
+        inside = k < len(upto)
+        at[inside] = leave[k[inside]]
+    keep = np.append(np.flatnonzero(np.diff(at)), len(at) - 1)
+    return [{"upto": int(starts[i]), "leave": int(at[i])} for i in keep]
+
+
 def _replay(ts: np.ndarray, entry: int, interval: int) -> list[int]:
     """Times kept in one chunk when nothing before ``entry`` may be kept."""
     out, i = [], int(np.searchsorted(ts, entry, side="left"))
@@ -62,17 +83,39 @@ def throttle(df: DataFrame, keys: Sequence[str], ts: str, interval: int,
         F.min(F.struct(*tie) if tie else F.lit(1)).alias("_tie")), "_ts", chunk_length or interval * 256)
     chunks = distinct.groupBy(*keys, CHUNK).agg(F.array_sort(F.collect_list("_ts")).alias("_times"))
 
+    @F.pandas_udf("array<struct<upto: long, leave: long>>")
+    def compose(tables: pd.Series) -> pd.Series:
+        return tables.map(lambda t: _composed(sorted(t, key=lambda x: x[CHUNK]), interval))
+
+    # one small row per chunk, read at every level
+    tables, _ = written(chunks.select(*keys, CHUNK, steps_of("_times").alias("_steps")), "throttle-steps")
+    levels = [tables]
+    group = F.floor(F.col(CHUNK) / WIDTH).cast("long")
+    span = F.max(CHUNK) - F.min(CHUNK)
+    most = tables.groupBy(*keys).agg(span.alias("n")).agg(F.max("n")).first()[0] or 0
+    while most >= WIDTH:
+        # only key, number and table go up, and a row has at most WIDTH tables
+        up = levels[-1].groupBy(*keys, group.alias(CHUNK)).agg(F.collect_list(F.struct(F.col(CHUNK), F.col("_steps"))).alias("_all"))
+        above, _ = written(up.select(*keys, CHUNK, compose("_all").alias("_steps")), "throttle-levels")
+        levels.append(above)
+        most = -(-most // WIDTH)
+
     def enter(acc: Column, item: Column) -> Column:
         hit = F.filter(item["_steps"], lambda s: s["upto"] >= acc["at"])
         leave = F.when(F.size(hit) > 0, hit[0]["leave"]).otherwise(acc["at"])
         seen = F.struct(item[CHUNK].alias(CHUNK), acc["at"].alias("_entry"))
         return F.struct(leave.alias("at"), F.array_append(acc["out"], seen).alias("out"))
 
-    start = F.struct(F.lit(_LOW).cast("long").alias("at"),
-                     F.array().cast(f"array<struct<{CHUNK}: bigint, _entry: bigint>>").alias("out"))
-    entries = (chunks.select(*keys, CHUNK, steps_of("_times").alias("_steps")).groupBy(*keys)
-               .agg(F.array_sort(F.collect_list(F.struct(CHUNK, "_steps"))).alias("_all"))
-               .select(*keys, F.inline(F.aggregate("_all", start, enter, lambda a: a["out"]))))
+    def entered(rows: DataFrame, entry: Column) -> DataFrame:
+        start = F.struct(entry.alias("at"), F.array().cast(f"array<struct<{CHUNK}: bigint, _entry: bigint>>").alias("out"))
+        return rows.select(*keys, F.inline(F.aggregate("_all", start, enter, lambda a: a["out"])))
+
+    packed = F.array_sort(F.collect_list(F.struct(CHUNK, "_steps"))).alias("_all")
+    entries = entered(levels[-1].groupBy(*keys).agg(packed), F.lit(_LOW).cast("long"))
+    for below in reversed(levels[:-1]):
+        inner = below.withColumn("_group", group).groupBy(*keys, "_group").agg(packed)
+        above = entries.withColumnRenamed(CHUNK, "_group").withColumnRenamed("_entry", "_from")
+        entries = entered(inner.join(above, [*keys, "_group"]), F.col("_from"))
     kept = (chunks.join(entries, [*keys, CHUNK])
             .select(*keys, F.explode(kept_of("_times", "_entry")).alias("_ts")))
     rows = df.withColumn("_ts", F.col(ts).cast("long"))

@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from framelens.plans.chunked import previous, running, with_chunk
@@ -56,3 +57,22 @@ def test_throttle_of_even_rows(spark):
             want.append(int(t))
             last = t
     assert got == want
+
+
+@pytest.mark.parametrize("width", [2, 3, 256])
+def test_throttle_levels_equal_loop(spark, monkeypatch, width):
+    """Many sparse chunks: tables compose over several levels, chains may pass whole chunks."""
+    from framelens.plans import throttle as module
+    monkeypatch.setattr(module, "WIDTH", width)
+    r = random.Random(width)
+    times = sorted({r.randrange(0, 30_000) if r.random() < .5 else r.randrange(12_000, 12_600) for _ in range(700)})
+    rows = [(k, t) for k in (1, 2) for t in times if k == 1 or t % 3]
+    df = spark.createDataFrame(rows, "k int, ts long")
+    for interval, length in ((70, 100), (500, 120)):
+        got = {(x["k"], x["ts"]) for x in module.throttle(df, ["k"], "ts", interval, chunk_length=length).collect()}
+        want, last = set(), {}
+        for k, t in rows:
+            if k not in last or t - last[k] >= interval:
+                want.add((k, t))
+                last[k] = t
+        assert got == want
