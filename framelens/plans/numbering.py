@@ -28,3 +28,27 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str,
     return (ranged.withColumn("_local", local).join(offsets, "_range")
             .withColumn(name, (first + F.col("_before") + F.col("_local") - 1).cast("long"))
             .drop("_range", "_local", "_before"))
+
+
+def last_rows(df: DataFrame, order: str, n: int, buckets: int = 1024) -> DataFrame:
+    """The ``n`` rows with the greatest values of a whole-number column, as a filter.
+
+    The least value wanted is found from counts by value range, refined in the range that holds it, so no
+    task sorts the ``n`` rows. Of rows with equal values at the cut any may be chosen. Null values come last.
+    """
+    value = F.col(order).cast("long")
+    low, high, total = df.agg(F.min(value), F.max(value), F.count(value)).first()
+    if total <= n:
+        rest = df.where(F.col(order).isNull()).limit(n - total) if n > total else df.limit(0)
+        return df.where(F.col(order).isNotNull()).unionByName(rest)
+    need = n
+    while low < high:
+        width = (high - low) // buckets + 1
+        found = (df.where(value.between(low, high)).groupBy(F.floor((value - low) / width).alias("b")).count()
+                 .orderBy(F.desc("b")).collect())  # at most ``buckets`` rows
+        for row in found:
+            if row["count"] >= need:
+                low, high = low + row["b"] * width, min(high, low + (row["b"] + 1) * width - 1)
+                break
+            need -= row["count"]
+    return df.where(value > low).unionByName(df.where(value == low).limit(need))

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.functions.text import is_json_object
+from framelens.plans.numbering import last_rows
 from framelens.schema import EVENT_LINE
 
 
@@ -13,7 +14,7 @@ def replay(lines: DataFrame, keep_last: int, order: str = "line_no") -> tuple[Da
 
     Lines that are no JSON object, and events without a number id or an object body, are skipped.
     """
-    tail = (lines.where(F.length("value") > 0).orderBy(F.desc(order)).limit(keep_last))
+    tail = last_rows(lines.where(F.length("value") > 0), order, keep_last)
     parsed = (tail.where(is_json_object(F.col("value")))
               .select(order, "value", F.from_json("value", EVENT_LINE).alias("r")))
     review = F.coalesce(F.col("r.kind") == "review", F.lit(False))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelens.plans.chunked import previous, running, with_chunk
-from framelens.plans.numbering import global_row_number
+from framelens.plans.numbering import global_row_number, last_rows
 from framelens.plans.throttle import _exits, throttle
 
 
@@ -76,3 +76,13 @@ def test_throttle_levels_equal_loop(spark, monkeypatch, width):
                 want.add((k, t))
                 last[k] = t
         assert got == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 150, 199, 200, 900])
+def test_last_rows_equal_a_sort(spark, n):
+    r = random.Random(n)
+    values = r.sample(range(-10 ** 9, 10 ** 12), 199)
+    df = spark.createDataFrame([(v, "x") for v in values] + [(None, "x")], "at long, t string").repartition(3)
+    got = [x["at"] for x in last_rows(df, "at", n, buckets=16).collect()]
+    assert sorted(got, key=lambda v: (v is None, v)) == sorted(
+        sorted(values + [None], key=lambda v: (v is not None, v))[200 - min(n, 200):], key=lambda v: (v is None, v))
