@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions.geometry import Box, bind
+from framelens.plans.selection import lower_medians
 
 # fixed values: width prior, depth cap, report bins, class sizes
 WIDTH_RATIO = 0.4158
@@ -208,11 +209,6 @@ def wireframes(ground: DataFrame, p2: Sequence[float], min_depth: float = 8.0) -
     return far.select("*", F.explode(F.array_compact(F.array(points))).alias("corners"))
 
 
-def _lower_median(value: str) -> Column:
-    """Element ``floor((n-1)/2)`` of the sorted values."""
-    return F.expr(f"percentile_disc(0.5) within group (order by {value})")
-
-
 def overflow_report(dets: DataFrame, p2: Sequence[float], frame_w: int) -> DataFrame:
     """Wireframe width ratio and share leaving the frame, by distance estimated from the box foot."""
     fy, cy = float(p2[5]), float(p2[6])
@@ -227,9 +223,9 @@ def overflow_report(dets: DataFrame, p2: Sequence[float], frame_w: int) -> DataF
     for lo, hi in reversed(DISTANCE_BINS):
         label = F.when((F.col("z") >= lo) & (F.col("z") < hi), f"{lo}-{hi}").otherwise(label)
     rows = rows.withColumn("bin", label).withColumn("ratio", (F.col("x2") - F.col("x1")) / (F.col("right") - F.col("left")))
-    return rows.where("bin is not null").groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"), _lower_median("ratio").alias("ratio"),
-        (F.count_if(over) / F.count(F.lit(1)) * 100).alias("overflow"))
+    rows = rows.where("bin is not null")
+    counts = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), (F.count_if(over) / F.count(F.lit(1)) * 100).alias("overflow"))
+    return counts.join(lower_medians(rows, ["bin"], ["ratio"]), "bin", "left").select("bin", "n", "ratio", "overflow")
 
 
 def size_consistency(dets: DataFrame, fx: float, fy: float, min_height: int = 200) -> DataFrame:
@@ -240,6 +236,6 @@ def size_consistency(dets: DataFrame, fx: float, fy: float, min_height: int = 20
     rows = dets.where(F.col("bottom") - F.col("top") > min_height).withColumn("s", size)
     rows = rows.withColumn("zw", F.col("s.w") * fx / (F.col("right") - F.col("left"))).withColumn(
         "zh", F.col("s.h") * fy / (F.col("bottom") - F.col("top")))
-    return rows.withColumn("ratio", F.col("zh") / F.col("zw")).groupBy("cls").agg(
-        F.count(F.lit(1)).alias("n"), _lower_median("zw").alias("zw"), _lower_median("zh").alias("zh"),
-        _lower_median("ratio").alias("ratio"))
+    rows = rows.withColumn("ratio", F.col("zh") / F.col("zw"))
+    return rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).join(
+        lower_medians(rows, ["cls"], ["zw", "zh", "ratio"]), "cls", "left").select("cls", "n", "zw", "zh", "ratio")

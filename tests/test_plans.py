@@ -86,3 +86,15 @@ def test_last_rows_equal_a_sort(spark, n):
     got = [x["at"] for x in last_rows(df, "at", n, buckets=16).collect()]
     assert sorted(got, key=lambda v: (v is None, v)) == sorted(
         sorted(values + [None], key=lambda v: (v is not None, v))[200 - min(n, 200):], key=lambda v: (v is None, v))
+
+
+def test_lower_medians_equal_a_sort(spark):
+    """Several rounds, ties that fill whole parts, nulls, one-row groups."""
+    from framelens.plans.selection import lower_medians
+    r = random.Random(9)
+    rows = [(k, r.choice([0.0, 0.0, r.gauss(0, 1), r.gauss(5, 1e6)]) if k else r.random(), None if r.random() < .1 else float(r.randrange(3)))
+            for k in (0, 1, 2) for _ in range(700)] + [(3, 1.5, None), (4, -2.0, 7.0)]
+    df = spark.createDataFrame(rows, "k int, a double, b double").repartition(3)
+    got = {x["k"]: (x["a"], x["b"]) for x in lower_medians(df, ["k"], ["a", "b"], few=3).collect()}
+    middle = lambda v: sorted(v)[(len(v) - 1) // 2] if v else None
+    assert got == {k: tuple(middle([x[c] for x in rows if x[0] == k and x[c] is not None]) for c in (1, 2)) for k in range(5)}
