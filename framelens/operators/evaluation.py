@@ -277,11 +277,23 @@ def spans_area(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0), lambda acc, s: acc + s["b"] - s["a"])
 
 
+#: Room for one row of a frame on the line of all pixels.
+_ROW = 1 << 32
+
+
 def spans_overlap(d: Column, g: Column) -> Column:
-    """Mask overlap from row spans."""
-    inter = F.aggregate(d["spans"], F.lit(0), lambda acc, s: acc + F.aggregate(
-        F.filter(g["spans"], lambda q: (q["row"] == s["row"]) & (q["a"] < s["b"]) & (q["b"] > s["a"])), F.lit(0),
-        lambda t, q: t + F.least(s["b"], q["b"]) - F.greatest(s["a"], q["a"])))
+    """Mask overlap from row spans, in one pass over the sorted ends of both masks' spans."""
+    def ends(spans: Column) -> Column:
+        def place(s: Column, c: str) -> Column:
+            return s["row"].cast("long") * _ROW + s[c]
+        return F.flatten(F.transform(spans, lambda s: F.array(F.struct(place(s, "a").alias("at"), F.lit(1).alias("up")),
+                                                              F.struct(place(s, "b").alias("at"), F.lit(-1).alias("up")))))
+
+    # spans of one mask do not overlap, so between two ends the depth is 2 where both masks are
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("at"))
+    inter = F.aggregate(F.array_sort(F.concat(ends(d["spans"]), ends(g["spans"]))), start, lambda acc, e: F.struct(
+        (acc["sum"] + F.when(acc["depth"] == 2, e["at"] - acc["at"]).otherwise(0)).alias("sum"),
+        (acc["depth"] + e["up"]).alias("depth"), e["at"].alias("at")), lambda acc: acc["sum"])
     # boxes first: most pairs do not touch
     return F.when(intersection(Box.field(d), Box.field(g)) > 0, bind(
         inter, lambda i: F.when(g["crowd"] == 1, i / d["area"]).otherwise(i / (d["area"] + g["area"] - i)))).otherwise(0.0)

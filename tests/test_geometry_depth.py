@@ -94,3 +94,32 @@ def test_official_categories(spark):
     assert got == dict(enumerate(ids)) and len(got) == 80
     with pytest.raises(Exception, match="neither"):
         V.category_mapping(spark.createDataFrame([(2,), (5,)], "id int")).collect()
+
+
+def test_mask_overlap_of_many_rows(spark):
+    """Masks of 500 rows with several spans each, touching spans among them, against pixel sets."""
+    import random
+
+    import pytest
+
+    from framelens.operators import evaluation as V
+    r = random.Random(3)
+
+    def mask(shift):
+        spans = []
+        for row in range(500):
+            cuts = sorted(r.sample(range(60), 6))
+            spans += [(row + shift, a, b) for a, b in ((cuts[0], cuts[1]), (cuts[1], cuts[2]), (cuts[3], cuts[5]))]
+        return spans
+    rows, want = [], []
+    for k in range(4):
+        d, g = mask(k), mask(0)
+        pixels = [{(y, x) for y, a, b in m for x in range(a, b)} for m in (d, g)]
+        both = len(pixels[0] & pixels[1])
+        crowd = k % 2
+        want.append(both / len(pixels[0]) if crowd else both / len(pixels[0] | pixels[1]))
+        rows.append((k, (d, float(len(pixels[0])), 0, 0, 60, 510), (g, float(len(pixels[1])), 0, 0, 60, 510, crowd)))
+    box = "spans: array<struct<row: int, a: int, b: int>>, area: double, left: int, top: int, right: int, bottom: int"
+    df = spark.createDataFrame(rows, f"k int, d struct<{box}>, g struct<{box}, crowd: int>")
+    got = [x["v"] for x in df.select("k", V.spans_overlap(F.col("d"), F.col("g")).alias("v")).orderBy("k").collect()]
+    assert got == pytest.approx(want)
