@@ -43,10 +43,13 @@ class _Throttle(StatefulProcessor):
         return list(zip(*[plain(n) for n in self.names]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
             self.waiting.appendList(self._tuples(batch))
-            for ts in batch["ts_ms"].unique():
-                self.handle.registerTimer(int(ts))
+            low = int(batch["ts_ms"].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(first)  # one timer for all: it takes every row that is due by then
         yield pd.DataFrame(columns=self.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -62,6 +65,7 @@ class _Throttle(StatefulProcessor):
         rest = held[held["ts_ms"] > mark]
         if len(rest):
             self.waiting.put(self._tuples(rest))
+            self.handle.registerTimer(int(rest["ts_ms"].min()))
         else:
             self.waiting.clear()
         if last is None or last + self.interval <= mark:
