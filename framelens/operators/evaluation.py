@@ -2,8 +2,8 @@
 
 Ground truth of one image and class is small, so it travels as an array next to the
 detections; detection-truth pairs are never written out as rows. The precision curve of
-a class can cover a third of all detections: it is built from running counts over score
-buckets, not from one sorted partition.
+a class can cover a third of all detections, and one score a whole class: it is built from running
+counts over even ranges of (class, score, order), not from one sorted partition.
 """
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelens.functions.geometry import Box, bind, intersection, iou, polygon_area, polygon_iou
-from framelens.plans.chunked import CHUNK, running
+from framelens.plans.chunked import CHUNK, even_chunks, running
 from framelens.plans.spread import spread
 from framelens.session import staged
 
@@ -24,11 +24,11 @@ RECALL_STEPS = 100
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0 ** 2), "medium": (32.0 ** 2, 96.0 ** 2), "large": (96.0 ** 2, 1e10)}
 KEYPOINT_SIGMAS = [.026, .025, .025, .035, .035, .079, .079, .072, .072, .062, .062, .107, .107,
                    .087, .087, .089, .089]
-SCORE_BUCKETS = 1000
 
 
-def _bucket(score: Column) -> Column:
-    return F.floor(score * SCORE_BUCKETS).cast("long")
+def by_score(matches: DataFrame, *keys: str) -> DataFrame:
+    """Matches (written tables, as they are sampled) with even ranges of key, score and ``det_order``."""
+    return even_chunks(matches, [*keys, F.desc("score"), "det_order"])
 
 
 # EVL4 ----------------------------------------------------------------------------------
@@ -81,12 +81,13 @@ def precision_points(matches: DataFrame, npos: DataFrame, keys: Sequence[str], n
     """Best precision at each recall step ``k`` (of 100) per key and threshold number.
 
     ``matches`` has ``score, det_order, tp, fp`` (arrays of length ``n``). Running counts go
-    over score buckets; each row then falls on the last recall step it reaches, so one
-    grouped maximum replaces the sorted curve.
+    over the ranges of ``by_score`` (made here where they are missing); each row then falls on the last recall
+    step it reaches, so one grouped maximum replaces the sorted curve.
     """
+    if CHUNK not in matches.columns:
+        matches = by_score(staged(matches.select(*keys, "score", "det_order", "tp", "fp")), *keys)
     cols = {f"{k}{i}": ("sum", F.col(k)[i].cast("long")) for i in range(n) for k in ("tp", "fp")}
-    rows = running(matches.withColumn(CHUNK, _bucket(F.col("score"))), keys,
-                   [F.desc("score"), "det_order"], cols, descending_chunks=True)
+    rows = running(matches, keys, [F.desc("score"), "det_order"], cols)
     each = F.array(*[F.struct(F.lit(i).alias("thr_no"), F.col(f"tp{i}").alias("ctp"), F.col(f"fp{i}").alias("cfp"),
                               F.col("tp")[i].alias("is_tp")) for i in range(n)])
     points = (rows.select(*keys, F.inline(each)).where("is_tp = 1").join(npos, list(keys))
@@ -113,7 +114,6 @@ def oriented_ap(dets: DataFrame, gts: DataFrame, overlap: Callable[[Column, Colu
         dets, gts, overlap, shape = with_bounds(dets), with_bounds(gts), bounded_polygon_iou, "shape"
     npos = gts.groupBy("cls").agg(F.count_if(F.col("difficult") != 1).alias("npos"))
     matches = oriented_matches(best_truth(dets, gts, overlap, shape), thresholds)
-    matches = staged(matches.select("cls", "score", "det_order", "tp", "fp"))
     points = precision_points(matches, npos, ["cls"], len(thresholds))
     return average_precision(points, npos, ["cls"], len(thresholds))
 
@@ -208,7 +208,8 @@ def coco_cells(matches: DataFrame, gts: DataFrame, n: int, areas: dict = AREAS,
     def flags(a: str, code: int) -> Column:
         return F.transform(F.col(a), lambda c: (c == code).cast("int"))
     each = F.array(*[F.struct(F.lit(a).alias("area_range"), flags(a, 1).alias("tp"), flags(a, 0).alias("fp")) for a in areas])
-    long = staged(matches.select("cat", "rank", "score", F.struct("image", "det_order").alias("det_order"), F.inline(each)))
+    ranged = by_score(staged(matches.select("cat", "rank", "score", F.struct("image", "det_order").alias("det_order"), *areas)), "cat")
+    long = ranged.select("cat", "rank", "score", "det_order", CHUNK, F.inline(each))
     ranges = F.array(*[F.struct(F.lit(a).alias("area_range"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
                        for a, (lo, hi) in areas.items()])
     keys = ["cat", "area_range"]
@@ -346,8 +347,8 @@ def confidence_sweep(dets: DataFrame, gts: DataFrame, cuts: Sequence[float],
     npos = gts.groupBy("cls").agg(F.count_if(F.col("difficult") != 1).alias("npos"))
     listed = F.array(*[F.lit(float(c)) for c in cuts])
     matches = oriented_matches(best_truth(dets, gts, overlap, shape), [0.5])
-    rows = staged(matches.select("cls", "score", "det_order", "tp", "fp",
-                                 F.explode(listed).alias("cut")).where("score >= cut"))
+    ranged = by_score(staged(matches.select("cls", "score", "det_order", "tp", "fp")), "cls")
+    rows = ranged.select("*", F.explode(listed).alias("cut")).where("score >= cut")
     keys = ["cut", "cls"]
     cells = npos.select("cls", "npos", F.explode(listed).alias("cut"))
     ap = average_precision(precision_points(rows, cells, keys, 1), cells, keys, 1)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framelens.session import staged
+
 CHUNK = "_chunk"
 
 
@@ -21,6 +23,18 @@ def with_chunk(df: DataFrame, order: str, length: float, name: str = CHUNK) -> D
     return df.withColumn(name, F.floor(F.col(order) / F.lit(length)).cast("long"))
 
 
+def even_chunks(df: DataFrame, order: Sequence[Column | str], name: str = CHUNK) -> DataFrame:
+    """Add the number of the row's range in ``order`` (keys first); ranges ascend and hold about equally many rows.
+
+    Spark samples the bounds over the whole order, so a key, or one value, that fills most of the table
+    is cut by the later columns. The result is written once, because a second sampling could choose other
+    bounds, and is laid out by range, so windows over it by key and range need no further shuffle. Sampling
+    reads ``df`` twice: hand in a written table where it is dear.
+    """
+    ranged = staged(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+    return ranged.repartitionById(max(1, ranged.rdd.getNumPartitions()), F.col(name))
+
+
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
              cols: Mapping[str, str], chunk: str = CHUNK) -> DataFrame:
     """Add ``new = value of old on the preceding row of the key`` for each item of ``cols``."""

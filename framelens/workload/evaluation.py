@@ -90,6 +90,19 @@ def win6(t: Tables):
     return V.precision_points(m, npos, ["cls"], 10).select("cls", "thr_no", "k", fixed(F.col("p"), 6).alias("p"))
 
 
+#: Nine of ten detections share one score.
+ONE_SCORE = "CASE WHEN (frame * 7 + det_idx) % 10 < 9 THEN 0.5 ELSE score END AS score"
+
+
+@query("win6_equal_scores", ORIENTED.replace("det_idx, score, frame", f"det_idx, {ONE_SCORE}, frame", 1) + """
+SELECT cls, CAST(thr_no AS INT) AS thr_no, CAST(k AS INT) AS k, round(p * 1000000) / 1000000 AS p FROM pts""")
+def win6_equal(t: Tables):
+    dets = predictions(t).withColumn("score", F.when((F.col("image") * 7 + F.col("det_idx")) % 10 < 9, 0.5).otherwise(F.col("score")))
+    m = V.oriented_matches(V.best_truth(dets, truth(t), box_iou, "box"))
+    npos = truth(t).groupBy("cls").agg(F.count_if(F.col("difficult") != 1).alias("npos"))
+    return V.precision_points(m, npos, ["cls"], 10).select("cls", "thr_no", "k", fixed(F.col("p"), 6).alias("p"))
+
+
 @query("evl4_oriented_ap", ORIENTED + """
 SELECT cls, CAST(thr_no AS INT) AS thr_no, npos, round(ap * 1000000) / 1000000 AS ap FROM ap""")
 def evl4(t: Tables):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelens.plans.chunked import previous, running, with_chunk
+from framelens.plans.chunked import CHUNK, even_chunks, previous, running, with_chunk
 from framelens.plans.numbering import global_row_number, last_rows
 from framelens.plans.throttle import _exits, throttle
 
@@ -98,3 +98,24 @@ def test_lower_medians_equal_a_sort(spark):
     got = {x["k"]: (x["a"], x["b"]) for x in lower_medians(df, ["k"], ["a", "b"], few=3).collect()}
     middle = lambda v: sorted(v)[(len(v) - 1) // 2] if v else None
     assert got == {k: tuple(middle([x[c] for x in rows if x[0] == k and x[c] is not None]) for c in (1, 2)) for k in range(5)}
+
+
+def test_even_chunks_cut_one_score(spark):
+    # one class holds most rows, and nine tenths of them share one score
+    rows = [("b" if i % 50 == 0 else "a", 0.5 if i % 10 else (i % 97) / 97, i) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "k string, score double, i long").repartition(16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = even_chunks(df, ["k", F.desc("score"), "i"])
+        sizes = sorted(r["count"] for r in ranged.groupBy(CHUNK).count().collect())
+        # the tasks that run the window are these ranges
+        tasks = sorted(r["n"] for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+        out = running(ranged, ["k"], [F.desc("score"), "i"], {"n": ("sum", F.lit(1))})
+        got = {r.i: r.n for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 2 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert tasks == sizes
+    for k in "ab":
+        order = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in order] == list(range(1, len(order) + 1))
