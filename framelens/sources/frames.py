@@ -88,7 +88,10 @@ def detect_payload(frames: DataFrame, names: Sequence[str], width: int, height:
 
 
 def result_payload(frames: DataFrame) -> DataFrame:
-    """Any normalised frame back to its payload line; only the arrays of its type are written."""
+    """Any normalised frame back to its payload line; only the arrays of its type are written.
+
+    Poses of an action frame go without their points, and a second-stage class below 0 is left out.
+    """
     def number(items: Column) -> Column:
         return F.transform(items, lambda d: d.withField("score", finite(d["score"])))
 
@@ -101,12 +104,19 @@ def result_payload(frames: DataFrame) -> DataFrame:
     def only(kinds: tuple[str, ...], value: Column, name: str) -> Column:
         return F.when(kind.isin(*kinds), value).alias(name)
 
+    def staged_class(items: Column) -> Column:
+        return F.transform(number(items), lambda d: d.withField("sub", F.when(d["sub"]["cls"] >= 0, F.struct(
+            d["sub"]["cls"].alias("cls"), finite(d["sub"]["score"]).alias("score"),
+            F.coalesce(d["sub"]["label"], F.lit("")).alias("label")))))
+
+    # one expression for both kinds, so their types agree
+    poses = F.transform(keypoints(F.col("poses")), lambda d: d.withField("kpts", F.when(kind == "pose", d["kpts"])))
     angled = F.transform(number(F.col("obbs")), lambda o: o.withField("box", F.transform(o["box"], finite)))
     return frames.select("frame", F.to_json(F.struct(
         F.lit(SCHEMA_VERSION).alias("schema_version"), "frame", "width", "height",
         F.coalesce("source", F.lit("")).alias("source"), kind.alias("type"),
-        only(("detect", "composite_cls"), number(F.col("dets")), "dets"),
-        only(("pose", "action"), keypoints(F.col("poses")), "poses"),
+        only(("detect", "composite_cls"), staged_class(F.col("dets")), "dets"),
+        only(("pose", "action"), poses, "poses"),
         only(("obb",), angled, "obbs"), only(("seg",), number(F.col("segs")), "segs"),
         only(("depth",), F.col("depth"), "depth"),
         only(("face",), keypoints(F.col("faces")), "faces"),
@@ -123,6 +133,77 @@ def review_payload(frames: DataFrame, names: Sequence[str]) -> DataFrame:
         F.lit("detect").alias("type"), F.size("dets").alias("count"), items.alias("items"))).alias("value"))
 
 
+#: Columns of one item of any kind, with ``part`` (its array) and ``item`` (its place there).
+ITEM = {"part": "string", "item": "long", "box": "array<double>", "score": "double", "cls": "int", "label": "string",
+        "track_id": "int", "kpts": "array<array<double>>", "mask": "int", "rle": "array<int>", "action": "int",
+        "sub": "struct<cls: int, score: double, label: string>"}
+PARTS = ("dets", "poses", "obbs", "segs", "faces", "actions")
+
+
+def items(frames: DataFrame) -> DataFrame:
+    """One row per item of normalised frames of any kind; fields a kind does not have are null.
+
+    ``box`` is x, y, width, height (and the angle of an oriented box). Frames without items give no row.
+    """
+    def common(part: str) -> Column:
+        fields = {f.name for f in frames.schema[part].dataType.elementType.fields}
+
+        def one(d: Column, i: Column) -> Column:
+            given = {"part": F.lit(part), "item": i, **{f: d[f] for f in fields if f in ITEM}}
+            if "bbox" in fields:
+                given["box"] = d["bbox"]
+            return F.struct(*[given.get(f, F.lit(None)).cast(kind).alias(f) for f, kind in ITEM.items()])
+        return F.transform(part, one)
+
+    every = F.flatten(F.filter(F.array(*[common(p) for p in PARTS]), lambda a: a.isNotNull()))
+    return frames.select("frame", "source", "type", F.inline(every))
+
+
+def review_result(frames: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Compact review line of normalised frames of any kind: ``frame, value``.
+
+    Boxes are edges, but x, y, width, height for masks and named fields for oriented boxes. Scores have four
+    digits. A depth frame only says so; a frame without a result is ``none``.
+    """
+    def digits(score: Column) -> Column:
+        return F.round(score * 10000) / 10000
+
+    def edges(b: Column) -> Column:
+        return F.array(b[0], b[1], b[0] + b[2], b[1] + b[3]).alias("box")
+
+    def head(d: Column) -> list[Column]:
+        return [d["cls"].alias("cls_id"), label_of(d["cls"], names, "class").alias("name"), digits(d["score"]).alias("conf")]
+
+    def detected(d: Column) -> Column:
+        second = F.when(d["sub"]["cls"] >= 0, F.struct(
+            d["sub"]["cls"].alias("cls_id"), digits(d["sub"]["score"]).alias("score"),
+            F.coalesce(d["sub"]["label"], F.lit("")).alias("label")))
+        return F.struct(*head(d), edges(d["bbox"]), F.when(F.col("type") == "composite_cls", second).alias("sub"))
+
+    def turned(d: Column) -> Column:
+        named = [d["box"][i].cast("int").alias(n) for i, n in enumerate("xywh")]
+        return F.struct(*head(d), F.struct(*named, d["box"][4].alias("angle")).alias("box"), d["track_id"].alias("track_id"))
+
+    def line(rows: Column, *more: Column) -> Column:
+        return F.to_json(F.struct("type", F.size(rows).alias("count"), rows.alias("items"), *more))
+
+    poses = F.transform("poses", lambda d: F.struct(
+        *head(d), edges(d["bbox"]), d["track_id"].alias("track_id"), d["kpts"].alias("keypoints")))
+    segs = F.transform("segs", lambda d: F.struct(*head(d), d["bbox"].alias("box"), d["track_id"].alias("track_id")))
+    faces = F.transform("faces", lambda d: F.struct(
+        digits(d["score"]).alias("conf"), edges(d["bbox"]), d["kpts"].alias("landmarks")))
+    actions = F.transform("actions", lambda a: F.struct(
+        a["track_id"].alias("track_id"), a["action"].alias("action_id"), digits(a["score"]).alias("score")))
+    kind = F.col("type")
+    value = (F.when(kind.isin("detect", "composite_cls"), line(F.transform("dets", detected)))
+             .when(kind == "pose", line(poses)).when(kind == "action", line(poses, actions.alias("actions")))
+             .when(kind == "obb", line(F.transform("obbs", turned))).when(kind == "seg", line(segs))
+             .when(kind == "face", line(faces))
+             .when(kind == "depth", F.lit('{"type":"depth","summary":"depth map only"}'))
+             .otherwise(F.lit('{"type":"none"}')))
+    return frames.select("frame", value.alias("value"))
+
+
 def write_frames(payloads: DataFrame, path: str, has_result: Column | None = None) -> None:
     """Write payload lines; frames without a result are left out."""
     rows = payloads if has_result is None else payloads.where(has_result)

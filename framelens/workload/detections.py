@@ -562,3 +562,106 @@ def snk1(t: Tables):
     SF.write_frames(payload, path, F.col("has_result"))
     return t.spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"))
 
+
+# every kind of result ------------------------------------------------------------------
+
+KINDS = ["detect", "pose", "obb", "seg", "depth", "composite_cls", "face", "action", "none"]
+
+
+def every_kind(t: Tables, gaps: bool = False):
+    """Normalised frames of all nine kinds in turn; with ``gaps`` some scores are not a number."""
+    row = F.struct("det_idx", "left", "top", "w", "h", "score", "cls", "line", "qty")
+    rows = t.boxes.groupBy("frame", F.concat(F.lit("cam"), "source").alias("source")).agg(F.array_sort(F.collect_list(row)).alias("all"))
+    kind = F.get(F.array(*[F.lit(k) for k in KINDS]), (F.col("frame") % 9).cast("int"))
+
+    def score(d):
+        return F.when((d["det_idx"] % 11 == 5) & F.lit(gaps), F.lit(float("nan"))).otherwise(d["score"]).alias("score")
+
+    def head(d):
+        return [F.array(*[d[c].cast("int") for c in ("left", "top", "w", "h")]).alias("bbox"), score(d), d["cls"].cast("int").alias("cls")]
+
+    def points(d, n, *more):
+        return F.array(*[F.array((d["left"] + i).cast("double"), (d["top"] + i).cast("double"), *more) for i in range(n)]).alias("kpts")
+
+    track = lambda d: d["line"].cast("int").alias("track_id")
+    mask = lambda d: (d["det_idx"] % 2).cast("int")
+    made = {
+        "dets": (("detect", "composite_cls"), lambda d: F.struct(*head(d), FL.label_of(d["cls"], NAMES).alias("label"), F.when(
+            F.col("type") == "composite_cls", F.struct((d["line"] % 3 - 1).cast("int").alias("cls"), F.lit(0.25).alias("score"),
+                                                       F.concat(F.lit("c"), d["line"]).alias("label"))).alias("sub"))),
+        "poses": (("pose", "action"), lambda d: F.struct(*head(d), track(d), points(d, 17, F.lit(0.5)))),
+        "obbs": (("obb",), lambda d: F.struct(F.array(*[d[c].cast("double") for c in ("left", "top", "w", "h")], d["qty"] / 64.0).alias("box"),
+                                              score(d), d["cls"].cast("int").alias("cls"), track(d))),
+        "segs": (("seg",), lambda d: F.struct(*head(d), track(d), mask(d).alias("mask"), F.when(
+            mask(d) == 1, F.array(F.lit(0), d["w"].cast("int"), d["h"].cast("int"))).alias("rle"))),
+        "faces": (("face",), lambda d: F.struct(head(d)[0], score(d), points(d, 5))),
+        "actions": (("action",), lambda d: F.struct(track(d), d["cls"].cast("int").alias("action"), score(d)))}
+    first = F.get("all", F.lit(0))
+    depth = F.struct(F.array(*[first[c].cast("int") for c in ("left", "top", "w", "h")]).alias("roi"),
+                     F.array(F.lit(0.5), first["qty"].cast("double")).alias("range"))
+    return rows.withColumn("type", kind).select(
+        "frame", "source", "type", F.lit(320).alias("width"), F.lit(240).alias("height"),
+        *[F.when(F.col("type").isin(*kinds), F.transform("all", one)).alias(name) for name, (kinds, one) in made.items()],
+        F.when(F.col("type") == "depth", depth).alias("depth"))
+
+
+KIND_SQL = f"""kinds AS (SELECT *, ['{"','".join(KINDS)}'][frame % 9 + 1] AS type FROM boxes),
+parts AS (SELECT *, unnest(CASE type WHEN 'action' THEN ['poses', 'actions'] WHEN 'detect' THEN ['dets'] WHEN 'composite_cls' THEN ['dets']
+  WHEN 'pose' THEN ['poses'] WHEN 'obb' THEN ['obbs'] WHEN 'seg' THEN ['segs'] WHEN 'face' THEN ['faces'] ELSE [] END) AS part FROM kinds)"""
+
+
+def _written_kinds(t: Tables):
+    """All kinds written as result lines, and read back."""
+    path = scratch_path(t.spark, "kinds")
+    SF.write_frames(SF.result_payload(every_kind(t, gaps=True)), path)
+    return SF.normalise(SF.read_frames(t.spark, path))
+
+
+@query("snk2_every_kind", BOXES + "," + KIND_SQL + """
+SELECT frame, 'cam' || source AS source, type, part, det_idx AS item, a."left" AS x, a.top AS y, a.w, a.h, CASE WHEN type = 'obb' THEN qty / 64.0::DOUBLE END AS angle,
+  CASE WHEN det_idx % 11 = 5 THEN 0.0 ELSE score END::DOUBLE AS score, CASE WHEN part NOT IN ('faces', 'actions') THEN cls END AS cls,
+  CASE WHEN part = 'dets' THEN """ + LABEL_SQL + """ END AS label, CASE WHEN part NOT IN ('dets', 'faces') THEN line END AS track_id,
+  CASE WHEN type = 'pose' THEN 17 * p."left" + 136 WHEN type = 'face' THEN 5 * p."left" + 10 END AS points_x,
+  CASE WHEN type = 'pose' THEN 8.5 END::DOUBLE AS points_sure, CASE WHEN type = 'seg' THEN det_idx % 2 END AS mask,
+  CASE WHEN type = 'seg' AND det_idx % 2 = 1 THEN p.w + p.h END AS mask_run, CASE WHEN part = 'actions' THEN cls END AS action,
+  CASE WHEN type = 'composite_cls' AND line % 3 > 0 THEN line % 3 - 1 || ':c' || line || ':0.25' END AS second
+FROM parts p LEFT JOIN (SELECT frame AS f, det_idx AS i, "left", top, w, h FROM boxes) a ON a.f = p.frame AND a.i = p.det_idx AND p.part <> 'actions'""")
+def snk2_kinds(t: Tables):
+    def total(values):
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    x, y, w, h = [F.get("box", F.lit(i)).cast("long") for i in range(4)]
+    return SF.items(_written_kinds(t)).select(
+        "frame", "source", "type", "part", "item", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), F.get("box", F.lit(4)).alias("angle"),
+        "score", "cls", "label", "track_id", total(F.transform("kpts", lambda k: k[0])).cast("long").alias("points_x"),
+        total(F.transform("kpts", lambda k: F.get(k, F.lit(2)))).alias("points_sure"), "mask",
+        F.aggregate("rle", F.lit(0), lambda a, v: a + v).alias("mask_run"), "action",
+        F.concat_ws(":", "sub.cls", "sub.label", "sub.score").alias("second")).withColumn("second", F.nullif("second", F.lit("")))
+
+
+@query("src2_every_kind", BOXES + "," + KIND_SQL + """
+SELECT frame, any_value(type) AS type, CASE WHEN any_value(type) IN ('pose', 'action') THEN 'kpts' WHEN any_value(type) = 'seg' THEN 'segm' ELSE 'bbox' END AS kind,
+  CASE WHEN any_value(type) = 'depth' THEN arg_min("left" || ',' || top || ',' || w || ',' || h || ':' || qty, det_idx) END AS depth FROM kinds GROUP BY frame""")
+def src2_kinds(t: Tables):
+    depth = F.concat(F.array_join("depth.roi", ","), F.lit(":"), F.get("depth.range", F.lit(1)).cast("long"))
+    return _written_kinds(t).select("frame", "type", "kind", depth.alias("depth"))
+
+
+def _points_sql(n: int, more: str = "") -> str:
+    return " || ',' || ".join(f"""'[' || ("left" + {i}) || '.0,' || (top + {i}) || '.0{more}]'""" for i in range(n))
+
+
+@query("snk3_every_kind", BOXES + "," + KIND_SQL + f""",
+each AS (SELECT frame, type, det_idx, '"cls_id":' || cls || ',"name":"' || CASE cls WHEN 0 THEN 'person' WHEN 1 THEN 'car' ELSE 'class_' || cls END || '","conf":' || score AS head,
+  '"box":[' || "left" || ',' || top || ',' || "right" || ',' || bottom || ']' AS edges, ',"track_id":' || line AS track, score, cls, line, "left", top, w, h, qty FROM kinds),
+text AS (SELECT *, CASE WHEN type IN ('detect', 'composite_cls') THEN head || ',' || edges || CASE WHEN type = 'composite_cls' AND line % 3 > 0
+    THEN ',"sub":{{"cls_id":' || (line % 3 - 1) || ',"score":0.25,"label":"c' || line || '"}}' ELSE '' END
+  WHEN type IN ('pose', 'action') THEN head || ',' || edges || track || ',"keypoints":[' || {_points_sql(17, ",0.5")} || ']'
+  WHEN type = 'obb' THEN head || ',"box":{{"x":' || "left" || ',"y":' || top || ',"w":' || w || ',"h":' || h || ',"angle":' || (qty / 64.0::DOUBLE) || '}}' || track
+  WHEN type = 'seg' THEN head || ',"box":[' || "left" || ',' || top || ',' || w || ',' || h || ']' || track
+  WHEN type = 'face' THEN '"conf":' || score || ',' || edges || ',"landmarks":[' || {_points_sql(5)} || ']' END AS item,
+  '{{"track_id":' || line || ',"action_id":' || cls || ',"score":' || score || '}}' AS act FROM each)
+SELECT frame, CASE any_value(type) WHEN 'none' THEN '{{"type":"none"}}' WHEN 'depth' THEN '{{"type":"depth","summary":"depth map only"}}' ELSE
+  '{{"type":"' || any_value(type) || '","count":' || count(*) || ',"items":[' || string_agg('{{' || item || '}}', ',' ORDER BY det_idx) || ']' ||
+  CASE WHEN any_value(type) = 'action' THEN ',"actions":[' || string_agg(act, ',' ORDER BY det_idx) || ']' ELSE '' END || '}}' END AS value FROM text GROUP BY frame""")
+def snk3_kinds(t: Tables):
+    return SF.review_result(every_kind(t), NAMES)
