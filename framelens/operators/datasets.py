@@ -63,6 +63,43 @@ def export_lines(images: DataFrame, annotations: DataFrame) -> DataFrame:
         F.col("file_name").alias("patch"), "width", "height", F.coalesce("objects", empty).alias("objects"))).alias("value"))
 
 
+def coco_documents(images: DataFrame, annotations: DataFrame, categories: DataFrame, per_file: int = 1000) -> DataFrame:
+    """COCO annotation documents as ``shard, value``: each holds the images of one id range, their objects and all categories.
+
+    ``images``: image_id, file_name, width, height; ``annotations``: as of ``coco_tables``; ``categories``: id, name. Each
+    document stands alone and has ``per_file`` images at most, so no task ever builds the whole set. Images
+    without objects stay; objects of unknown images go with no document.
+    """
+    objs = annotations.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(
+        "id", "image_id", "category_id", "bbox", "area", "iscrowd"))).alias("_objects"))
+    rows = images.join(objs, "image_id", "left").withColumn(
+        "_objects", F.coalesce("_objects", F.array().cast(objs.schema["_objects"].dataType)))
+    image = F.struct(F.col("image_id").alias("id"), "file_name", "width", "height")
+    shards = rows.groupBy(F.floor(F.col("image_id") / per_file).cast("long").alias("shard")).agg(
+        F.array_sort(F.collect_list(F.struct(image.alias("i"), F.col("_objects").alias("o")))).alias("_all"))
+    names = categories.agg(F.array_sort(F.collect_list(F.struct("id", "name")))).scalar()
+    doc = F.struct(F.transform("_all", lambda x: x["i"]).alias("images"),
+                   F.flatten(F.transform("_all", lambda x: x["o"])).alias("annotations"), names.alias("categories"))
+    return shards.select("shard", F.to_json(doc).alias("value"))
+
+
+def write_coco(documents: DataFrame, path: str) -> None:
+    """One file per document, so that each file is a whole annotation file; ``read_coco`` reads the folder."""
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+def oriented_lines(patches: DataFrame, objects: DataFrame) -> DataFrame:
+    """Oriented truth: ``patch, value`` with one JSON line per patch, empty ones included.
+
+    ``objects``: patch, gt_idx, cls (its name), difficult, poly (eight numbers); they keep the order of ``gt_idx``.
+    """
+    objs = objects.groupBy("patch").agg(F.array_sort(F.collect_list(F.struct("gt_idx", "poly", "cls", "difficult"))).alias("_objects"))
+    listed = F.transform("_objects", lambda o: o.dropFields("gt_idx"))
+    rows = patches.select("patch").distinct().join(objs, "patch", "left")
+    return rows.select("patch", F.to_json(F.struct("patch", F.coalesce(
+        listed, F.array().cast("array<struct<poly: array<double>, cls: string, difficult: int>>")).alias("objects"))).alias("value"))
+
+
 def tile_origins(images: DataFrame, size: int, gap: int) -> DataFrame:
     """Tiles of every image: steps of ``size - gap`` and a last tile flush with the edge."""
     step = size - gap

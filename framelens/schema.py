@@ -31,6 +31,8 @@ COCO = ("images array<struct<id: long, file_name: string, width: int, height: in
         "annotations array<struct<id: long, image_id: long, category_id: int, bbox: array<double>, "
         "area: double, iscrowd: int>>, categories array<struct<id: int, name: string>>")
 
+ORIENTED = "patch string, objects array<struct<poly: array<double>, cls: string, difficult: int>>"
+
 LABELME = ("imagePath string, imageWidth int, imageHeight int, shapes array<struct<label: string, "
            "shape_type: string, points: array<array<double>>>>")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framelens.functions.geometry import flat_polygon, polygon_area
 from framelens.plans.numbering import global_row_number
-from framelens.schema import COCO, LABELME
+from framelens.schema import COCO, LABELME, ORIENTED
 
 # fixed values: image suffixes and the aerial class list, in id order
 IMAGE_SUFFIX = r"(?i)\.(jpg|jpeg|png|bmp|tiff)$"
@@ -144,9 +144,21 @@ def read_labelme(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Images, annotations and categories of an annotation file. Use ``require_rows`` before scoring."""
+    """Images, annotations and categories of an annotation file, or a folder of them. Use ``require_rows`` before scoring.
+
+    Categories that several files list in common are one row.
+    """
     doc = spark.read.schema(COCO).option("multiLine", True).json(path)
-    return {part: doc.select(F.inline(part)) for part in ("images", "annotations", "categories")}
+    parts = {part: doc.select(F.inline(part)) for part in ("images", "annotations", "categories")}
+    return {**parts, "categories": parts["categories"].distinct()}
+
+
+def read_oriented(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Oriented truth lines as ``patch`` rows and as objects ``image, gt_idx, cls, difficult, poly`` for the scorer."""
+    rows = spark.read.schema(ORIENTED).json(path).where("patch is not null")
+    objects = rows.select(F.col("patch").alias("image"), F.posexplode("objects").alias("gt_idx", "_o"))
+    return rows.select("patch"), objects.select(
+        "image", "gt_idx", "_o.cls", F.coalesce("_o.difficult", F.lit(0)).alias("difficult"), flat_polygon(F.col("_o.poly")).alias("poly"))
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

@@ -222,6 +222,41 @@ def snk7(t: Tables):
     return DS.export_lines(im, ann)
 
 
+@query("snk7_coco_files", YOLO + """,
+ann AS (SELECT *, row_number() OVER (ORDER BY image_id, line_no) AS id FROM lbl JOIN images USING (image_id) WHERE bad NOT IN (1, 2) AND cls <= 3 AND w > 0 AND h > 0),
+cats AS (SELECT * FROM (VALUES (1, 'ant'), (2, 'bee'), (3, 'cat'), (4, 'dog')) v(category_id, name))
+SELECT image_id, 'im' || image_id || '.jpg' AS file_name, i.width, min(id) OVER (PARTITION BY image_id) AS first_id, max(id) OVER (PARTITION BY image_id) AS last_id, category_id, name, round((cx * i.width - w * i.width / 2) * 10) / 10 AS x, round(w * i.width * 10) / 10 AS w
+FROM images i LEFT JOIN (SELECT image_id, id, CAST(cls + 1 AS INT) AS category_id, cx, w FROM ann) a USING (image_id) LEFT JOIN cats USING (category_id)""")
+def snk7_coco(t: Tables):
+    # written, read back and put together again; images without objects stay, and lines of one number share a range of ids
+    ann, _ = DS.coco_tables(A.yolo_boxes(label_lines(t), images(t), 4), images(t))
+    cats = t.spark.createDataFrame([(i + 1, n) for i, n in enumerate(("ant", "bee", "cat", "dog"))], "id int, name string")
+    path = scratch_path(t.spark, "coco-files")
+    DS.write_coco(DS.coco_documents(images(t), ann, cats, 100), path)
+    c = A.read_coco(t.spark, path)
+    objs = c["annotations"].join(c["categories"].select(F.col("id").alias("category_id"), "name"), "category_id")
+    ids = c["annotations"].groupBy("image_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return c["images"].select(F.col("id").alias("image_id"), "file_name", "width").join(objs, "image_id", "left").join(ids, "image_id", "left").select(
+        "image_id", "file_name", "width", "first_id", "last_id", "category_id", "name", fixed(F.get("bbox", F.lit(0)), 1).alias("x"), fixed(F.get("bbox", F.lit(2)), 1).alias("w"))
+
+
+@query("snk7_oriented_lines", IMAGES + """,
+o AS (SELECT l_partkey AS image_id, l_orderkey * 8 + l_linenumber AS n, CAST(l_quantity AS DOUBLE) AS q, l_suppkey % 3 AS c, l_linenumber FROM lineitem WHERE l_suppkey % 5 > 0)
+SELECT stem AS image, CAST(row_number() OVER (PARTITION BY image_id ORDER BY n) - 1 AS INT) AS gt_idx, ['plane', 'ship', 'bridge'][c + 1] AS cls,
+  CAST(l_linenumber % 2 AS INT) AS difficult, 4::INT AS corners, q AS x1, q + 3 AS y3 FROM o JOIN images USING (image_id)""")
+def snk7_oriented(t: Tables):
+    li = t.read("lineitem").where("l_suppkey % 5 > 0")
+    q = F.col("l_quantity").cast("double")
+    objs = li.select(F.concat(F.lit("im"), "l_partkey").alias("patch"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("gt_idx"),
+                     F.element_at(F.array(*[F.lit(v) for v in ("plane", "ship", "bridge")]), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("cls"),
+                     (F.col("l_linenumber") % 2).cast("int").alias("difficult"), F.array(q, q, q + 3, q, q + 3, q + 3, q, q + 3).alias("poly"))
+    path = scratch_path(t.spark, "oriented-lines")
+    DS.oriented_lines(images(t).select(F.col("stem").alias("patch")), objs).select("value").write.text(path)
+    _, found = A.read_oriented(t.spark, path)
+    return found.select("image", "gt_idx", "cls", "difficult", F.size("poly").alias("corners"),
+                        F.col("poly")[0]["x"].alias("x1"), F.col("poly")[2]["y"].alias("y3"))
+
+
 TILES = """
 xs AS (SELECT image_id, unnest(list_concat(range(0, greatest(width - 1024, 0) + 1, 824), CASE WHEN (greatest(width - 1024, 0) // 824) * 824 + 1024 < width THEN [width - 1024] ELSE [] END)) AS x0 FROM images),
 ys AS (SELECT image_id, unnest(list_concat(range(0, greatest(height - 1024, 0) + 1, 824), CASE WHEN (greatest(height - 1024, 0) // 824) * 824 + 1024 < height THEN [height - 1024] ELSE [] END)) AS y0 FROM images),
