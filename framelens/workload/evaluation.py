@@ -168,7 +168,7 @@ cand AS (SELECT p.frame, p.cls, p.rank, any_value(p.score) AS score, any_value(p
 gl AS (SELECT frame, cls, list({{'j': j, 'area': area, 'crowd': crowd}} ORDER BY j) AS gs FROM g GROUP BY ALL)"""
 
 # matching as a recursion over ranks: every step settles one detection of every group
-COCO = "WITH RECURSIVE " + COCO + """,
+STEPS = """,
 groups AS (SELECT frame, cls, gs, thr_no, thr, area_range, lo, hi FROM gl, thr, ranges),
 step AS (
   SELECT frame, cls, thr_no, area_range, 0::BIGINT AS rank, []::BIGINT[] AS taken, 0 AS code FROM groups
@@ -191,6 +191,8 @@ tops AS (SELECT cls, area_range, thr_no, sum(tp) FILTER (rank <= 1) AS t1, sum(t
 cells AS (SELECT cls AS cat, area_range, CAST(thr_no AS INT) AS thr_no, npos, ap, coalesce(t1, 0) / npos AS recall_1, coalesce(t10, 0) / npos AS recall_10,
   coalesce(t100, 0) / npos AS recall_100 FROM ap LEFT JOIN tops USING (cls, area_range, thr_no))"""
 
+COCO = "WITH RECURSIVE " + COCO + STEPS
+
 
 def _cells(t: Tables):
     dets, gts = coco_inputs(t)
@@ -284,10 +286,24 @@ def evl2_overlap(t: Tables):
     return d.select("image", "det_order", fixed(best, 6).alias("best"))
 
 
-@query("evl2_mask_ap")
+MASK_COCO = "WITH RECURSIVE " + MASKED + "," + THR + """,
+ranges AS (SELECT 'all' AS area_range, 0.0::DOUBLE AS lo, 1e10::DOUBLE AS hi),
+g AS (SELECT frame, cls, det_idx, "left", top, mr, mb, marea::DOUBLE AS area, 0 AS crowd, row_number() OVER (PARTITION BY frame, cls ORDER BY det_idx) AS j FROM m WHERE marea > 0),
+p AS (SELECT frame, cls, det_idx, score, "left", top, mr, mb, marea::DOUBLE AS area, row_number() OVER (PARTITION BY frame, cls ORDER BY score DESC, det_idx) AS rank FROM m WHERE marea > 0),
+pairs AS (SELECT p.frame, p.cls, p.rank, p.score, p.det_idx, p.area, g.j, g.area AS ga,
+    greatest(least(p.mr, g.mr) - greatest(p."left", g."left"), 0) * greatest(least(p.mb, g.mb + 1) - greatest(p.top, g.top + 1), 0) AS i
+  FROM p JOIN g ON p.frame = g.frame AND p.cls = g.cls),
+cand AS (SELECT frame, cls, rank, any_value(score) AS score, any_value(det_idx) AS det_idx, any_value(area) AS area, list(i / (area + ga - i) ORDER BY j) AS ious
+  FROM pairs GROUP BY frame, cls, rank),
+gl AS (SELECT frame, cls, list({'j': j, 'area': area, 'crowd': crowd} ORDER BY j) AS gs FROM g GROUP BY ALL)""" + STEPS
+
+
+@query("evl2_mask_ap", MASK_COCO + """
+SELECT cat, round(avg(ap) * 1000000) / 1000000 AS AP, round(avg(ap) FILTER (thr_no = 0) * 1000000) / 1000000 AS AP50 FROM cells GROUP BY cat""")
 def evl2(t: Tables):
     dets, gts = _mask_inputs(t)
-    return V.per_class_ap(V.coco_ap(dets, gts, V.spans_overlap, areas={"all": (0.0, 1e10)}))
+    per = V.per_class_ap(V.coco_ap(dets, gts, V.spans_overlap, areas={"all": (0.0, 1e10)}))
+    return per.select("cat", fixed(F.col("AP"), 6).alias("AP"), fixed(F.col("AP50"), 6).alias("AP50"))
 
 
 def _poses(t: Tables):
@@ -317,11 +333,32 @@ def evl3_oks(t: Tables):
     return d.select("image", F.col("det_order").alias("det_idx"), fixed(V.keypoint_similarity(F.col("d"), F.col("g")), 6).alias("oks"))
 
 
-@query("evl3_keypoint_ap")
+POINT_COCO = "WITH RECURSIVE " + BOXES + "," + THR + f""",
+ranges AS (SELECT * FROM (VALUES ('all', 0.0::DOUBLE, 1e10::DOUBLE), ('medium', 1024.0, 9216.0), ('large', 9216.0, 1e10)) v(area_range, lo, hi)),
+one AS (SELECT *, (w * h)::DOUBLE AS area FROM boxes WHERE cls = 0),
+g AS (SELECT *, 0 AS crowd, row_number() OVER (PARTITION BY frame ORDER BY det_idx) AS j FROM one),
+p AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, det_idx) AS rank FROM one),
+sig AS (SELECT unnest({V.KEYPOINT_SIGMAS}) AS s, unnest(range(0, 17)) AS i),
+pairs AS (SELECT p.frame, p.cls, p.rank, any_value(p.score) AS score, any_value(p.det_idx) AS det_idx, any_value(p.area) AS area, g.j,
+    avg(exp(-(pow(p."left" + p.w * i / 17.0::DOUBLE + p.qty % 5 * 2 - g."left" - g.w * i / 17.0::DOUBLE, 2) + pow(p.top + p.h * i / 17.0::DOUBLE - g.top - g.h * i / 17.0::DOUBLE, 2))
+      / (2 * pow(2 * s, 2) * (g.area + 2.220446049250313e-16)))) AS oks
+  FROM p JOIN g ON p.frame = g.frame, sig WHERE (i + g.qty) % 3 > 0 AND p.rank <= 20 GROUP BY p.frame, p.cls, p.rank, g.j),
+cand AS (SELECT frame, cls, rank, any_value(score) AS score, any_value(det_idx) AS det_idx, any_value(area) AS area, list(oks ORDER BY j) AS ious
+  FROM pairs GROUP BY frame, cls, rank),
+gl AS (SELECT frame, cls, list({{'j': j, 'area': area, 'crowd': crowd}} ORDER BY j) AS gs FROM g GROUP BY ALL)""" + STEPS
+
+
+@query("evl3_keypoint_ap", POINT_COCO + " SELECT " + ", ".join(
+    f"coalesce(round(avg({v}) FILTER (area_range = '{a}'{x}) * 1000000) / 1000000, -1.0) AS {n}" for n, v, a, x in [
+        ("AP", "ap", "all", ""), ("AP50", "ap", "all", " AND thr_no = 0"), ("AP75", "ap", "all", " AND thr_no = 5"),
+        ("AR_max", "recall_100", "all", ""), ("AR_1", "recall_1", "all", ""), ("AR_10", "recall_10", "all", ""),
+        ("AP_medium", "ap", "medium", ""), ("AP_large", "ap", "large", ""),
+        ("AR_medium", "recall_100", "medium", ""), ("AR_large", "recall_100", "large", "")]) + " FROM cells")
 def evl3(t: Tables):
     dets, gts = _poses(t)
     areas = {k: v for k, v in V.AREAS.items() if k != "small"}
-    return V.summary_row(V.coco_ap(dets, gts, V.keypoint_similarity, 20, areas), 20, small=False)
+    row = V.summary_row(V.coco_ap(dets, gts, V.keypoint_similarity, 20, areas), 20, small=False)
+    return row.select(*[fixed(F.col(c), 6).alias(c) for c in row.columns])
 
 
 # runs and comparisons ------------------------------------------------------------------
