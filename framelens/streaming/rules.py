@@ -1,8 +1,8 @@
 """Rules on a stream: each micro-batch runs the batch operators on its rows and on the few earlier rows that still matter.
 
 Carried from batch to batch, as a written table: the last sighting of each track that is not forgotten yet
-(all sightings of its current stretch if a rule times a state), its last row of an accepted class, the last
-frame of each source, and for each absence rule the last occupied frame and the first empty one
+(all sightings of its current stretch if a rule times a state), its last row of an accepted class and, between
+the two, a first and a last sighting of every ``stale_ms``, the last frame of each source, and for each absence rule the last occupied frame and the first empty one
 after it. So the state is a table that Spark partitions, and a busy source is no single task. A batch
 that runs again reads the same carried table and overwrites its own results.
 
@@ -75,7 +75,8 @@ def _carried(whole: DataFrame, known: DataFrame, rules: Sequence[R.Rule], stale_
         kept = newest(live)
         zones = [(i, r) for i, r in enumerate(rules) if r.type == "intrusion"]
         if zones:
-            kept = kept.unionByName(newest(R.rules_by_rows(live, [r for _, r in zones]), "rule_no"))
+            accepted = R.rules_by_rows(live, [r for _, r in zones])
+            kept = kept.unionByName(newest(accepted, "rule_no")).unionByName(_links(live, accepted, stale_ms))
         kept = kept.distinct()
     empty = frames.groupBy("source").agg(F.max("ts_ms").alias("ts_ms"))
     absent = [(i, r) for i, r in enumerate(rules) if r.type == "absence"]
@@ -95,6 +96,20 @@ def _carried(whole: DataFrame, known: DataFrame, rules: Sequence[R.Rule], stale_
     return kept.unionByName(blank.select(COLUMNS))
 
 
+def _links(live: DataFrame, accepted: DataFrame, stale_ms: int) -> DataFrame:
+    """Sightings that join a track's last accepted rows to its newest row, as a gap between the two would end the track.
+
+    Of every ``stale_ms`` the first and the last one do: no two neighbours lie further apart than they did before.
+    """
+    since = (accepted.groupBy("source", "track_id", "rule_no").agg(F.max("ts_ms").alias("_at"))
+             .groupBy("source", "track_id").agg(F.min("_at").alias("_since")))
+    packed = F.struct(*[c for c in COLUMNS if c not in ("source", "track_id")])
+    ends = (live.join(since, ["source", "track_id"]).where("ts_ms >= _since")
+            .groupBy("source", "track_id", F.floor(F.col("ts_ms") / stale_ms).alias("_slot"))
+            .agg(F.min_by(packed, "ts_ms").alias("_first"), F.max_by(packed, "ts_ms").alias("_last")))
+    return ends.select("source", "track_id", F.inline(F.array("_first", "_last"))).select(COLUMNS)
+
+
 def run_rules(stream: DataFrame, rules: Sequence[R.Rule], stale_ms: int = R.STALE_MS, chunk_ms: int = R.CHUNK_MS,
               checkpoint: str | None = None, folder: str | None = None) -> tuple[DataFrame, int]:
     """Process everything that is there; the events as a table, and the number of rows that came too late.

@@ -4,7 +4,9 @@ import random
 from pyspark.sql import functions as F
 
 from framelens.operators import events as E
+from framelens.operators import rules as R
 from framelens.plans.throttle import throttle
+from framelens.streaming import rules as SR
 from framelens.streaming import stateful as S
 from framelens.streaming import windows as SW
 
@@ -51,3 +53,19 @@ def test_sessions_closed_and_open(spark):
     assert late == 0
     assert sorted(map(tuple, closed.collect())) == [(1, 1, 0, 3), (1, 1, 50000, 1), (1, 2, 0, 3), (1, 2, 50000, 1)]
     assert sorted(map(tuple, SW.open_sessions(spark, path).collect())) == [(1, 1, 100000, 1), (1, 2, 100000, 1), (1, 3, 130000, 1)]
+
+
+def test_other_classes_keep_a_track_alive_between_batches(spark):
+    """The last row of an accepted class lies further back than the stale limit; rows of another class join it on."""
+    zone = R.Rule("zone", "intrusion", region=((0, 0), (100, 0), (100, 100), (0, 100)), classes=(0,))
+    schema = "source long, ts_ms long, track_id long, cls int, confirmed boolean, left int, top int, right int, bottom int"
+    row = lambda ts, track, cls: (1, ts, track, cls, True, 10, 10, 20, 20)
+    frames = [row(ts, 9, 1) for ts in range(0, 6000, 100)]
+    seen = [row(0, 5, 0), *[row(ts, 5, 1) for ts in range(750, 3000, 750)], row(3200, 5, 0)]
+    left = [row(0, 6, 0), row(700, 6, 1), row(3100, 6, 0)]
+    rows = spark.createDataFrame([*frames, *seen, *left], schema)
+    cuts = [(0, 2500), (2500, 3000), (3000, 9000)]
+    live, late = SR.run_rules(SW.in_turns([rows.where(f"ts_ms >= {a} and ts_ms < {b}") for a, b in cuts]), [zone], 1000, 5000)
+    whole = R.rule_events(rows, [zone], rows.select("source", "ts_ms"), 1000, 5000)
+    got = sorted((r.ts_ms, r.track_id) for r in live.collect())
+    assert got == sorted((r.ts_ms, r.track_id) for r in whole.collect()) == [(0, 5), (0, 6), (3100, 6)] and late == 0
