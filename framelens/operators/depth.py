@@ -5,10 +5,13 @@ Rasters are long tables ``frame, px, py, v``; detections meet them by frame and
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from framelens.functions.geometry import Box, bind
 from framelens.plans.selection import lower_medians
@@ -74,7 +77,72 @@ def region_values(regions: DataFrame, pixels: DataFrame, cell: int = CELL) -> Da
 
 
 def region_medians(regions: DataFrame, pixels: DataFrame, cell: int = CELL) -> DataFrame:
-    """Upper median of all pixels of each region (``frame, det_idx, rect``); values are bytes."""
+    """Upper median of all pixels of each region (``frame, det_idx, rect``); values are bytes.
+
+    Most regions lie inside one image cell: they meet its pixels as two arrays in one row, and the median is
+    the middle one of the pixels inside, so pixels by region are never rows. Only regions over
+    several cells are counted by value.
+    """
+    # unnesting computes a rectangle once, however often its fields are read
+    known = regions.select("frame", "det_idx", F.inline(F.array("rect"))).where("x is not null")
+    x, y = [F.pmod(F.col(c), F.lit(cell)).cast("int") for c in "xy"]
+    single = (x + F.col("w") <= cell) & (y + F.col("h") <= cell)
+    own = known.where(single).groupBy("frame", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).agg(
+        F.collect_list(F.struct("det_idx", x.alias("x"), y.alias("y"), (x + F.col("w") - 1).cast("int").alias("x2"),
+                                (y + F.col("h") - 1).cast("int").alias("y2"))).alias("regions"))
+    wide = known.where(~single).select("frame", "det_idx", F.struct("x", "y", "w", "h").alias("rect"))
+    rows = own.join(_cell_pixels(pixels, cell), ["frame", "cx", "cy"]).select("frame", "regions", "pixels")
+    out = StructType([regions.schema["frame"], regions.schema["det_idx"], StructField("median", LongType())])
+    return rows.mapInArrow(_cell_medians, out).union(_wide_medians(wide, pixels, cell))
+
+
+def _cell_medians(batches: Iterator[pa.RecordBatch], pairs: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Medians of the regions of each cell, for some cells at a time (``pairs`` of region and pixel, or one cell)."""
+    for batch in batches:
+        n_regions, n_pixels = [np.diff(batch.column(c).offsets.to_numpy()).astype("int64") for c in ("regions", "pixels")]
+        done = np.cumsum(n_regions * n_pixels)
+        start = 0
+        while start < len(done):
+            least = done[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(done, least + pairs, "right")))
+            part = batch.slice(start, stop - start)
+            frame, boxes, codes = part.column("frame"), part.column("regions").flatten(), part.column("pixels").flatten().to_numpy()
+            nr, np_ = n_regions[start:stop], n_pixels[start:stop]
+            home = np.repeat(np.arange(stop - start), nr)
+            each = np_[home]
+            first = np.cumsum(each) - each
+            box = np.repeat(np.arange(len(home)), each)
+            at = np.arange(len(box)) - first[box] + (np.cumsum(np_) - np_)[home][box]
+            code = codes[at]
+            px, py = code & (_PLACE - 1), (code >> _BITS) & (_PLACE - 1)
+            x, y, x2, y2 = [boxes.field(c).to_numpy()[box] for c in ("x", "y", "x2", "y2")]
+            inside = np.flatnonzero((px >= x) & (px <= x2) & (py >= y) & (py <= y2))
+            hits = np.bincount(box[inside], minlength=len(home))
+            some = np.flatnonzero(hits)
+            # pixels come in order of value
+            middle = code[inside[(np.cumsum(hits) - hits + hits // 2)[some]]] >> (2 * _BITS)
+            yield pa.RecordBatch.from_arrays(
+                [frame.take(pa.array(home[some])), boxes.field("det_idx").take(pa.array(some)), pa.array(middle.astype("int64"))],
+                names=["frame", "det_idx", "median"])
+            start = stop
+
+
+#: Bits of a pixel's column and row in its cell.
+_BITS = 10
+_PLACE = 1 << _BITS
+
+
+def _cell_pixels(pixels: DataFrame, cell: int) -> DataFrame:
+    """One row per image cell with its ``pixels``: value, row and column of each in one number, in order."""
+    if cell > _PLACE:
+        raise ValueError(f"cells may have {_PLACE} pixels a side at most")
+    places = [F.pmod(F.col(c), F.lit(cell)).cast("int") for c in ("py", "px")]
+    number = (F.col("v").cast("int") * _PLACE + places[0]) * _PLACE + places[1]
+    return pixels.groupBy("frame", F.floor(F.col("px") / cell).alias("cx"), F.floor(F.col("py") / cell).alias("cy")).agg(
+        F.sort_array(F.collect_list(number)).alias("pixels"))
+
+
+def _wide_medians(regions: DataFrame, pixels: DataFrame, cell: int) -> DataFrame:
     # at most 256 values a region, counted map-side
     bins = region_values(regions, pixels, cell).groupBy("frame", "det_idx", "v").agg(F.sum("n").alias("n"))
     packed = bins.groupBy("frame", "det_idx").agg(

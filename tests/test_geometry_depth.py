@@ -88,6 +88,27 @@ def test_region_medians_are_exact(spark):
         assert got[i] == values[len(values) // 2]
 
 
+def test_regions_meet_pixels_as_arrays(spark):
+    """Three frames, some regions without pixels, few pairs at a time: medians by cell equal sorted values."""
+    px = spark.createDataFrame([(f, x, y, (x * y + f) % 256) for f in (1, 2) for x in range(70) for y in range(20)],
+                               "frame int, px int, py int, v int")
+    boxes = [(f, i, (x, y, 1 + i % 5, 1 + i % 3)) for f in (1, 2, 3) for i, (x, y) in enumerate((a * 7, b * 6) for a in range(11) for b in range(4))]
+    regions = spark.createDataFrame(boxes, "frame int, det_idx int, rect struct<x: int, y: int, w: int, h: int>")
+    want = {}
+    for f, i, (x, y, w, h) in boxes:
+        values = sorted((a * b + f) % 256 for a in range(x, min(x + w, 70)) for b in range(y, min(y + h, 20)))
+        if f < 3 and values:
+            want[f, i] = values[len(values) // 2]
+    assert {(r.frame, r.det_idx): r.median for r in P.region_medians(regions, px).collect()} == want
+    item = {"det_idx": 4, "x": 1, "y": 0, "x2": 2, "y2": 0}
+    codes = sorted((v << 20) | p for p, v in enumerate([9, 3, 8, 200]))
+    row = {"frame": 1, "regions": [item, {**item, "det_idx": 5, "x2": 0}, {**item, "det_idx": 6, "x2": 3}], "pixels": codes}
+    kind = "frame int, regions array<struct<det_idx: int, x: int, y: int, x2: int, y2: int>>, pixels array<int>"
+    rows = spark.createDataFrame([row, {**row, "frame": 2}], kind).toArrow().combine_chunks().to_batches()
+    got = [r for b in P._cell_medians(rows, 1) for r in b.to_pylist()]
+    assert [(r["frame"], r["det_idx"], r["median"]) for r in got] == [(f, d, m) for f in (1, 2) for d, m in ((4, 8), (6, 8))]
+
+
 def test_official_categories(spark):
     ids = [i for i in V.OFFICIAL_IDS]
     got = {r.cls: r.category for r in V.category_mapping(spark.createDataFrame([(i,) for i in ids], "id int")).collect()}
