@@ -117,6 +117,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 11) -> dict[
             "bias": np.array([b[1] - b[0]])}
 
 
+def _counts(f: bytes, x: bytes) -> np.ndarray:
+    """The counts of a bag, of 16 or 32 bits: one for each of its 32-bit buckets."""
+    return np.frombuffer(x, np.uint16 if 2 * len(x) == len(f) else np.uint32)
+
+
 def sample_bags(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """The bags (id, label, f, x) in a fixed order, without buckets of fewer than MIN_TEXTS texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +141,7 @@ def sample_bags(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
         for batch in batches:
             out = [], []
             for f, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                f, x = np.frombuffer(f, np.int32), np.frombuffer(x, np.uint32)
+                f, x = np.frombuffer(f, np.int32), _counts(f, x)
                 out[0].append(f[shared.value[f]].tobytes()), out[1].append(x[shared.value[f]].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in out)],
                                              names=["id", "label", "f", "x"])
@@ -144,7 +149,7 @@ def sample_bags(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
     # one partition after the other: the driver's JVM never holds the whole sample
     got = sorted(((r["id"], r["f"], r["x"], r["label"]) for r in found.mapInArrow(prune, found.schema).toLocalIterator() if r["f"]),
                  reverse=True)
-    return [(np.frombuffer(f, np.int32), np.frombuffer(x, np.uint32), label) for _, f, x, label in got]
+    return [(np.frombuffer(f, np.int32), _counts(f, x), label) for _, f, x, label in got]
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, limit: int = SAMPLE_ROWS,
