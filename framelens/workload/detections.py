@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelens.functions import geometry as G
+from framelens.functions import polygons as PG
 from framelens.operators import filters as FL
 from framelens.operators import reports as RP
 from framelens.operators import suppression as S
@@ -276,8 +277,8 @@ def fn3(t: Tables):
     from pyspark.sql import Window as W
     w = W.partitionBy("frame").orderBy("det_idx")
     pairs = oriented(t).withColumn("other", F.lead("poly").over(w)).where("other is not null")
-    value = G.polygon_iou(F.col("poly"), F.col("other"))
-    return pairs.select(*KEEP, F.when(value < 0.0005, 0.0).otherwise(fixed(value, 3)).alias("iou"))
+    rows = PG.with_overlap(pairs.select(*KEEP, "poly", "other"), "poly", "other", "value")
+    return rows.select(*KEEP, F.when(F.col("value") < 0.0005, 0.0).otherwise(fixed(F.col("value"), 3)).alias("iou"))
 
 
 @query("fn4_point_in_polygon", BOXES + """
@@ -318,9 +319,8 @@ SELECT frame, det_idx, CAST(i AS DOUBLE) AS area FROM (SELECT *, (least("right",
   (least(bottom, 90) - greatest(top, 20)) AS i FROM boxes WHERE "left" < 100 AND "right" > 30 AND top < 90 AND bottom > 20)""")
 def fn8(t: Tables):
     tile = G.box_polygon(G.Box(F.lit(30), F.lit(20), F.lit(100), F.lit(90)))
-    cut = G.clip_convex(G.box_polygon(G.Box.of()), tile)
-    return t.boxes.withColumn("cut", cut).withColumn("area", G.polygon_area(F.col("cut"))).where(
-        "size(cut) >= 3 and area > 0").select(*KEEP, "area")
+    rows = t.boxes.select(*KEEP, G.box_polygon(G.Box.of()).alias("poly"), tile.alias("tile"))
+    return PG.with_clip(rows, "poly", "tile", "cut", "area").where("size(cut) >= 3 and area > 0").select(*KEEP, "area")
 
 
 @query("fn9_tracker_distances", BOXES + "," + NEXT + """
