@@ -1,18 +1,22 @@
 """Candidate reduction inside frames: top-k, greedy suppression, duplicates.
 
 A frame (or a class in a frame) holds a bounded number of candidates: model heads emit
-at most a few thousand. So a frame may be sorted as one array and folded JVM-side; no pairs
-are ever written out as rows.
+at most a few thousand. So a frame may be sorted as one array and folded JVM-side (turned boxes: as
+Arrow batches of frames); no pairs are ever written out as rows.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framelens.functions.geometry import Box, iou, polygon_iou
+from framelens.functions.geometry import Box, iou
+from framelens.functions.polygons import Polygons, box_ious, overlaps, pair_blocks
 from framelens.plans.spread import spread
 
 
@@ -68,14 +72,42 @@ def rotated_nms(dets: DataFrame, threshold: float, keys: Sequence[str] = ("frame
 
     The bounds test comes first, so the polygon clip runs only for boxes that can meet.
     ``skip_low_bounds`` also skips pairs whose bounds overlap no more than the threshold
-    (a faster variant that can miss overlaps).
+    (a faster variant that can miss overlaps). Clips run on arrays of pairs, and a step then settles the
+    candidates of one rank in all groups of a batch.
     """
-    def test(a: Column, b: Column) -> Column:
-        bounds = iou(Box.field(a), Box.field(b), 0.0)
-        meets = bounds > (threshold if skip_low_bounds else 0.0)
-        return F.when(meets, polygon_iou(a["poly"], b["poly"]) > threshold).otherwise(False)
-    folded = _ranked(dets, keys).select(*keys, F.inline(_greedy(F.col("_all"), test)))
-    return folded.drop("neg").select(*dets.columns)
+    grouped = _ranked(dets, keys)
+    return grouped.mapInArrow(partial(_rotated_batches, keys=list(keys), names=dets.columns, threshold=threshold,
+                                      lowest=threshold if skip_low_bounds else 0.0), dets.schema)
+
+
+def _rotated_batches(batches: Iterator[pa.RecordBatch], keys: Sequence[str], names: Sequence[str], threshold: float,
+                     lowest: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("_all")
+        items, size = lists.flatten(), np.diff(lists.offsets.to_numpy()).astype("int64")
+        group = np.repeat(np.arange(len(batch)), size)
+        first = (np.cumsum(size) - size)[group]
+        rank = np.arange(len(group)) - first
+        polys = Polygons(items.field("poly"))
+        edges = [items.field(c).to_numpy(zero_copy_only=False).astype("float64") for c in ("left", "top", "right", "bottom")]
+        # pairs that exclude each other: an item and one before it in its group
+        later, earlier = [np.zeros(0, dtype="int64")], [np.zeros(0, dtype="int64")]
+        for i, j in pair_blocks(first, rank):
+            near = box_ious(edges, i, j) > lowest
+            i, j = i[near], j[near]
+            over = overlaps(polys, polys, j, i) > threshold
+            later.append(i[over]), earlier.append(j[over])
+        later, earlier = np.concatenate(later), np.concatenate(earlier)
+        order = np.argsort(rank[later], kind="stable")
+        later, earlier = later[order], earlier[order]
+        kept = np.ones(len(group), dtype=bool)
+        cuts = np.append(np.flatnonzero(np.diff(rank[later], prepend=-1)), len(later))
+        for a, b in zip(cuts, cuts[1:]):
+            kept[later[a:b][kept[earlier[a:b]]]] = False
+        at = pa.array(np.flatnonzero(kept))
+        groups = pa.array(group[kept])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(groups) if c in keys else items.field(c).take(at) for c in names],
+                                         names=list(names))
 
 
 def flag_duplicates(dets: DataFrame, threshold: float = 0.75) -> DataFrame:
