@@ -31,8 +31,7 @@ def predictions(t: Tables):
                           _shape(F.col("qty") % 13 * 2).alias("box"))
 
 
-def box_iou(a, b):
-    return G.iou(G.Box.field(a), G.Box.field(b), 0.0)
+box_iou = V.plain_iou
 
 
 PAIRS = BOXES + f""",
@@ -243,10 +242,12 @@ def masks(t: Tables):
     w = F.col("w").cast("int")
     rows = F.sequence(F.lit(0), F.lit(5))
     on = ((F.col("qty") * 3 + F.col("line")) % (F.col("w") - 2) + 1).cast("int")
-    rle = F.flatten(F.transform(rows, lambda r: F.array(F.when(r == 0, F.lit(0)).otherwise(w - on), on)))
+    rle = F.flatten(F.transform(rows, lambda r: F.array(F.when(r == 0, F.lit(0)).otherwise(w - F.col("on")), F.col("on"))))
     ints = {c: F.col(c).cast("int") for c in ("left", "top", "w", "h")}
-    return t.boxes.withColumn("on", on).withColumn("rle", rle).withColumn("spans", V.rle_spans(
-        F.col("rle"), ints["left"], ints["top"], ints["w"], ints["h"], F.lit(200), F.lit(150)))
+    both = G.bind(rle, lambda r: F.struct(r.alias("rle"), V.rle_spans(
+        r, ints["left"], ints["top"], ints["w"], ints["h"], F.lit(200), F.lit(150)).alias("spans")))
+    # unnested, so that the spans are computed once for all their uses
+    return t.boxes.withColumn("on", on).select("*", F.inline(F.array(both)))
 
 
 @query("fn12_mask_area", BOXES + """
@@ -280,10 +281,7 @@ x AS (SELECT p.frame, p.det_idx, g.det_idx AS gi, greatest(least(p.mr, g.mr) - g
 SELECT frame AS image, det_idx AS det_order, round(max(i / (a + b - i)) * 1000000) / 1000000 AS best FROM x GROUP BY frame, det_idx""")
 def evl2_overlap(t: Tables):
     dets, gts = _mask_inputs(t)
-    g = gts.groupBy("image", "cat").agg(F.collect_list(F.struct("spans", "area", "crowd", "left", "top", "right", "bottom")).alias("g"))
-    d = dets.withColumn("me", F.struct("spans", "area", "left", "top", "right", "bottom")).join(g, ["image", "cat"])
-    best = F.array_max(F.transform("g", lambda y: V.spans_overlap(F.col("me"), y)))
-    return d.select("image", "det_order", fixed(best, 6).alias("best"))
+    return V.best_overlap(dets, gts, V.spans_overlap).select("image", "det_order", fixed(F.col("best"), 6).alias("best"))
 
 
 MASK_COCO = "WITH RECURSIVE " + MASKED + "," + THR + """,
