@@ -187,7 +187,7 @@ def percentile_range(pixels: DataFrame, bins: int = 256, low: float = 1.0, high:
     span = pixels.groupBy("frame").agg(F.min("v").alias("mn"), F.max("v").alias("mx"), F.count(F.lit(1)).alias("n"))
     b = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col("v") - F.col("mn")) * (F.lit(float(bins)) / (
         F.col("mx") - F.col("mn"))))))
-    hist = (pixels.join(span, "frame").where("mx - mn >= 1e-6").groupBy("frame", b.alias("b"))
+    hist = (pixels.join(span.hint("shuffle_hash"), "frame").where("mx - mn >= 1e-6").groupBy("frame", b.alias("b"))
             .agg(F.count(F.lit(1)).alias("c")))
     packed = hist.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("b", "c"))).alias("h"))
     rows = span.join(packed, "frame", "left")
@@ -217,7 +217,8 @@ def to_bytes(pixels: DataFrame, ranges: DataFrame) -> DataFrame:
     """Depth to inverse 8-bit values: near is bright, rounded half to even and clamped."""
     level = F.bround((F.col("v") - F.col("lo")) * 255.0 / (F.col("hi") - F.col("lo")), 0)
     byte = 255 - F.least(F.lit(255), F.greatest(F.lit(0), level.cast("int")))
-    return pixels.join(ranges, "frame").select("frame", "px", "py", byte.alias("v8"))
+    # one row per frame is held, pixels are not sorted
+    return pixels.join(ranges.hint("shuffle_hash"), "frame").select("frame", "px", "py", byte.alias("v8"))
 
 
 # 3-D boxes -----------------------------------------------------------------------------

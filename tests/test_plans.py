@@ -128,3 +128,17 @@ def test_clip_spans_count_what_clip_frames_lists(spark):
     listed = SA.clip_frames(ev, fr, 700, 1000.0).groupBy("id").agg(F.count(F.lit(1)).alias("frames"), F.min("ts_ms").alias("first_ts"))
     got = SA.clip_spans(ev, fr, 700)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, listed.select(*got.columns).collect())) and 0 < got.count() < 79
+
+
+def test_medians_send_no_large_group_to_one_task(spark):
+    from framelens.plans.selection import lower_medians
+    df = spark.range(6000).selectExpr("if(id = 0, null, if(id % 100 < 98, 1, id % 3 + 2)) k", "id * 7919 % 6007 / 3 a", "id % 5 b")
+    got = lower_medians(df, ["k"], ["a", "b"], few=500)
+    want = {}
+    for r in df.where("k is not null").collect():
+        want.setdefault(r["k"], ([], []))[0].append(r["a"])
+        want[r["k"]][1].append(r["b"])
+    assert {r["k"]: (r["a"], r["b"]) for r in got.collect()} == {
+        k: tuple(float(sorted(v)[(len(v) - 1) // 2]) for v in both) for k, both in want.items()}
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
