@@ -78,7 +78,13 @@ def as_stream(df: DataFrame, order: str | None = None) -> DataFrame:
 def in_turns(parts: Sequence[DataFrame]) -> DataFrame:
     """A stream that brings the given tables one after the other, one micro-batch each."""
     spark, path = parts[0].sparkSession, scratch_path(parts[0].sparkSession, "turns")
-    for part in parts:
-        # one file each, as the files of a turn come in one micro-batch only if they are one
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    schema = parts[0].schema
+    # a micro-batch takes a fixed number of files, so every turn is written by as many tasks and filled up with empty files
+    files = min(spark.sparkContext.defaultParallelism, max(part.rdd.getNumPartitions() for part in parts))
+    blank = spark.createDataFrame([], schema).coalesce(1)
+    for number, part in enumerate(parts):
+        turn = f"{path}/{number}"
+        part.coalesce(files).write.parquet(turn)
+        for _ in range(files - len(spark.read.schema(schema).parquet(turn).inputFiles())):
+            blank.write.mode("append").parquet(turn)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")

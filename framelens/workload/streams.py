@@ -132,7 +132,7 @@ def _throttled(rows):
     clock = rows.agg(F.max("ts_ms").alias("ts_ms")).select(*[
         (F.col("ts_ms") + 60 * DAY if c == "ts_ms" else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
     stream = SW.in_turns([*_turns(rows, "ts_ms", 10, 3), clock, clock.withColumn("ts_ms", F.col("ts_ms") + DAY)])
-    out, late, _ = SW.run_counted(S.stream_throttle(stream, ["source"], 14400000, ["id"]))
+    out, late = S.run_throttle(stream, ["source"], 14400000, ["id"])
     return out.where("source is not null").select("source", "ts_ms", "id"), late
 
 

@@ -43,6 +43,52 @@ def test_throttle_with_disorder_and_late_rows(spark):
     assert got == sorted(map(tuple, want.select("id", "source", "ts_ms").collect())) and late == 2
 
 
+def test_throttle_on_tables_with_disorder_and_late_rows(spark):
+    """As above, with equal rows of which one passes, rows of a null key, and a second run that goes on from the first."""
+    from framelens.session import scratch_path
+    r = random.Random(2)
+    rows = [(i, r.choice(["a", "b", None]), i * 500 + r.randrange(400)) for i in range(120)]
+    schema = "id long, source string, ts_ms long"
+    late = [(900, "a", 5), (901, None, 1000)]
+    parts = [rows[:30], rows[40:60] + rows[30:40], rows[:0], rows[60:90], late, rows[90:], rows[119:], [(999, "clock", 10 ** 7)]]
+    stream = SW.in_turns([spark.createDataFrame(p, schema) for p in parts])
+    progress, folder = scratch_path(spark, "progress"), scratch_path(spark, "kept")
+    out, dropped = S.run_throttle(stream, ["source"], 3000, ["id"], 15000, progress, folder)
+    got = sorted(map(tuple, out.where("source is null or source <> 'clock'").collect()), key=repr)
+    want, last = [], {}
+    for i, k, ts in sorted(rows, key=lambda x: (x[2], x[0])):
+        if k not in last or ts - last[k] >= 3000:
+            want.append((i, k, ts))
+            last[k] = ts
+    assert got == sorted(want, key=repr) and dropped == 2
+    again, dropped = S.run_throttle(stream, ["source"], 3000, ["id"], 15000, progress, folder)
+    assert again.count() == out.count() and dropped == 2
+
+
+def test_throttled_rows_wait_in_tables(spark):
+    """No state of the throttle queries is held by the key: their plans keep no state at all."""
+    stream = SW.in_turns([spark.createDataFrame([(1, "a", 5)], "id long, source string, ts_ms long")])
+    from framelens.session import scratch_path
+    progress = scratch_path(spark, "progress")
+    S.run_throttle(stream, ["source"], 3000, ["id"], 0, progress)
+    import os
+    assert os.path.isdir(f"{progress}/commits") and not os.path.exists(f"{progress}/state")
+
+
+def test_turns_of_several_files_come_one_by_one(spark):
+    """A turn of many partitions is one micro-batch, and so is a turn of one row."""
+    parts = [spark.range(0, 100, 1, 4), spark.range(100, 101, 1, 1), spark.range(200, 300, 1, 3)]
+    seen = {}
+    q = SW.each_result(SW.in_turns(parts), lambda df, n: seen.update({n: sorted(r.id for r in df.collect())}), _progress(spark))
+    q.awaitTermination()
+    assert [seen[n] for n in sorted(seen)] == [list(range(0, 100)), [100], list(range(200, 300))]
+
+
+def _progress(spark):
+    from framelens.session import scratch_path
+    return scratch_path(spark, "progress")
+
+
 def test_sessions_closed_and_open(spark):
     rows = [(1, k, F_ts) for k in (1, 2) for F_ts in (0, 3, 4, 50, 100)] + [(1, 3, 130)]
     df = spark.createDataFrame(rows, "source int, track_id int, t int").withColumn("ts", F.timestamp_seconds("t"))
