@@ -147,7 +147,7 @@ def str7_late(t: Tables):
     clock = rows.agg(F.max("ts_ms").alias("ts_ms")).select(*[
         (F.col("ts_ms") + 60 * DAY if c == "ts_ms" else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
     stream = SW.in_turns([*_turns(rows.where(~lost), "ts_ms", 10, 3), rows.where(lost), clock])
-    out, late, _ = SW.run_counted(S.stream_throttle(stream, ["source"], 14400000, ["id"], "1 day"))
+    out, late = S.run_throttle(stream, ["source"], 14400000, ["id"], DAY)
     return out.where("source is not null").select("source", "ts_ms", "id", F.lit(late).cast("long").alias("late"))
 
 
