@@ -387,32 +387,29 @@ def abandoned_events(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         F.greatest(F.lit(8.0), F.sqrt((F.pow(F.col("right") - F.col("left"), 2)
                                        + F.pow(F.col("bottom") - F.col("top"), 2))) * 0.1).alias("reach"))
 
-    def step(anchor: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        x, y, reach = (rows[c].to_numpy() for c in ("x", "y", "reach"))
-        ts, limit, hits, i = rows["ts_ms"].to_numpy(), int(rows["limit"].iloc[0]), [], 0
-        while i < len(ts):
-            if "x" not in anchor:
-                anchor.update(x=x[i], y=y[i], since=ts[i], fired=False)
-                i += 1
-                continue
-            away = np.hypot(x[i:] - anchor["x"], y[i:] - anchor["y"]) > reach[i:]
-            stop = i + int(away.argmax()) if away.any() else len(ts)
-            if not anchor["fired"]:
-                j = i + int(np.searchsorted(ts[i:stop], anchor["since"] + limit))
-                if j < stop:
-                    hits.append((j, ts[j] - anchor["since"]))
-                    anchor["fired"] = True
-            if stop < len(ts):
-                anchor.clear()
-            i = stop
-        out = rows.iloc[[h[0] for h in hits]].copy()
-        out["still"] = [int(h[1]) for h in hits]
-        return out[["source", "ts_ms", "type", "rule_id", "track_id", "cls", "still"]]
+    def start():
+        ax = ay = since = fired = None  # of the anchor; without one ``ax`` is None
+
+        def step(rows: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
+            nonlocal ax, ay, since, fired
+            hits, still = [], []
+            columns = [rows[c].tolist() for c in ("ts_ms", "x", "y", "reach", "limit")]
+            for i, (begin, ts, x, y, reach, limit) in enumerate(zip(begins.tolist(), *columns)):
+                if begin or ax is None or math.sqrt((x - ax) * (x - ax) + (y - ay) * (y - ay)) > reach:
+                    ax, ay, since, fired = x, y, ts, False
+                elif not fired and ts - since >= limit:
+                    fired = True
+                    hits.append(i)
+                    still.append(ts - since)
+            out = rows.iloc[hits].copy()
+            out["still"] = still
+            return out[["source", "ts_ms", "type", "rule_id", "track_id", "cls", "still"]]
+        return step
 
     kinds = dict(slim.dtypes)
     fired = ordered_pass(slim, ["rule_no", "source", "track_id", "life"], ["ts_ms"],
                          f"source {kinds['source']}, ts_ms long, type string, rule_id string, "
-                         f"track_id {kinds['track_id']}, cls {kinds['cls']}, still long", dict, step)
+                         f"track_id {kinds['track_id']}, cls {kinds['cls']}, still long", start)
     return _events(fired, _seconds_text(F.col("still")))
 
 

@@ -142,3 +142,29 @@ def test_medians_send_no_large_group_to_one_task(spark):
         k: tuple(float(sorted(v)[(len(v) - 1) // 2]) for v in both) for k, both in want.items()}
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_ordered_pass_takes_many_keys_at_once(spark):
+    """A slice of rows is one step, however many keys it holds, and a key goes on in the next slice."""
+    from framelens.plans.sequential import ordered_pass
+
+    def start():
+        n = 0
+
+        def step(rows, begins):
+            nonlocal n
+            out = []
+            for begin in begins.tolist():
+                n = 1 if begin else n + 1
+                out.append(n)
+            return rows.assign(n=out, rows=len(rows))
+        return step
+    rows = [(k, t) for k in range(50) for t in range(1 + k % 4)] + [(99, t) for t in range(30)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = ordered_pass(spark.createDataFrame(rows, "k long, t long"), ["k"], ["t"],
+                           "k long, t long, n long, rows long", start).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.k, r.t) for r in got) == sorted(rows)
+    assert all(r.n == r.t + 1 for r in got) and max(r.rows for r in got) == 7
