@@ -484,12 +484,13 @@ def speed_events(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 # all rules -----------------------------------------------------------------------------
 
 def rule_events(tracked: DataFrame, rules: Sequence[Rule], frames: DataFrame | None = None,
-                stale_ms: int = STALE_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Events of all rules, one row each (SET2)."""
+                stale_ms: int = STALE_MS, chunk_ms: int = CHUNK_MS, rows: DataFrame | None = None) -> DataFrame:
+    """Events of all rules, one row each (SET2). ``rows``: the ``lives`` of ``presence``, where they are staged already."""
     types = {r.type for r in rules}
-    rows = presence(tracked, frames, stale_ms, chunk_ms)
-    if types - {"line_cross"}:
-        rows = staged(lives(rows))
+    if rows is None:
+        rows = presence(tracked, frames, stale_ms, chunk_ms)
+        if types - {"line_cross"}:
+            rows = staged(lives(rows))
     parts: list[DataFrame] = []
     absences = None
     if types & {"crowd", "absence"}:

@@ -47,24 +47,24 @@ def step(carried: DataFrame | None, rows: DataFrame, rules: Sequence[R.Rule], st
         late = placed.where(~on_time).count()
         rows = placed.where(on_time).select(COLUMNS)
         whole = staged(carried.select(COLUMNS).unionByName(rows))
-        known = whole.where("track_id is not null")
-        events = R.rule_events(known, rules, whole.select("source", "ts_ms"), stale_ms, chunk_ms)
-        events = events.join(ends, "source", "left").where("_end is null or ts_ms > _end").drop("_end")
     else:
         whole = staged(rows)
-        known = whole.where("track_id is not null")
-        events = R.rule_events(known, rules, whole.select("source", "ts_ms"), stale_ms, chunk_ms)
-    return events, _carried(whole, known, rules, stale_ms, chunk_ms), late
+    known, frames = whole.where("track_id is not null"), whole.select("source", "ts_ms")
+    # computed once, for the events and for what is carried on
+    lived = staged(R.lives(R.presence(known, frames, stale_ms, chunk_ms)))
+    events = R.rule_events(known, rules, frames, stale_ms, chunk_ms, lived)
+    if carried is not None:
+        events = events.join(ends, "source", "left").where("_end is null or ts_ms > _end").drop("_end")
+    return events, _carried(whole, known, lived, rules, stale_ms, chunk_ms), late
 
 
-def _carried(whole: DataFrame, known: DataFrame, rules: Sequence[R.Rule], stale_ms: int, chunk_ms: int) -> DataFrame:
+def _carried(whole: DataFrame, known: DataFrame, rows: DataFrame, rules: Sequence[R.Rule], stale_ms: int, chunk_ms: int) -> DataFrame:
     ends = whole.groupBy("source").agg(F.max("ts_ms").alias("_end"))
     packed = F.struct(*[c for c in COLUMNS if c not in ("source", "track_id")])
     last = (known.where("track_id > 0").where(F.col("track_id") < _MARK).groupBy("source", "track_id")
             .agg(F.max("ts_ms").alias("_seen")).join(ends, "source").where(F.col("_end") - F.col("_seen") <= stale_ms)
             .drop("_end"))
     frames = whole.select("source", "ts_ms")
-    rows = R.lives(R.presence(known, frames, stale_ms, chunk_ms))
     now = rows.groupBy("source", "track_id").agg(F.max("life").alias("_life"))
     live = rows.join(last, ["source", "track_id"]).join(now, ["source", "track_id"]).where("life = _life")
     if any(r.type in TIMED for r in rules):

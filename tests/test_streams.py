@@ -115,3 +115,16 @@ def test_other_classes_keep_a_track_alive_between_batches(spark):
     whole = R.rule_events(rows, [zone], rows.select("source", "ts_ms"), 1000, 5000)
     got = sorted((r.ts_ms, r.track_id) for r in live.collect())
     assert got == sorted((r.ts_ms, r.track_id) for r in whole.collect()) == [(0, 5), (0, 6), (3100, 6)] and late == 0
+
+
+def test_a_micro_batch_computes_presence_once(spark, monkeypatch):
+    """Events and the rows that are carried on come from one table of sightings."""
+    calls, presence = [], R.presence
+    monkeypatch.setattr(R, "presence", lambda *a, **k: calls.append(1) or presence(*a, **k))
+    schema = "source long, ts_ms long, track_id long, cls int, confirmed boolean, left int, top int, right int, bottom int"
+    rows = spark.createDataFrame([(1, 100 * i, 5, 0, True, 10, 30 * i, 20, 30 * i + 20) for i in range(4)], schema)
+    line = R.Rule("gate", "line_cross", line=((0, 50), (100, 50)))
+    events, carried, late = SR.step(None, rows, [line])
+    assert len(calls) == 1 and late == 0
+    assert [(r.ts_ms, r.track_id) for r in events.collect()] == [(200, 5)]
+    assert [r.ts_ms for r in carried.where("track_id = 5").collect()] == [300]
