@@ -2,8 +2,8 @@
 
 1. Both token sequences of a text become arrays of byte offsets at which tokens end. Diagonal run
    skipping walks them: at the current index shift, stretches of doubling length are compared
-   whole, and jumped while they agree (one token against one); where a stretch disagrees the
-   length is halved down to the first unequal end. The irregular group there is settled
+   whole, and jumped while they agree (one token against one); a stretch that disagrees is
+   walked to its first unequal end. The irregular group there is settled
    locally, end by end, and leaves a new shift. Offsets where both end cut the tokens into groups.
 2. A link is a pair of tokens that end together, the last ones of a group. Texts are taken in
    blocks of bounded size; a block writes each id pair once with its number of links, so that the
@@ -13,9 +13,9 @@
 
 Token bytes: A is byte-level; B writes a space as U+2581 and single bytes as <0xHH>, and puts a
 space before the text, so A reads a space and the text. Texts that are null or empty, or whose token bytes do
-not give a space and the text, have no tokens: zeros and ''. Plain texts are coded piece by piece from
-a bounded cache, which gives the same ids as the whole text at once. Null ids and repeated rows are
-kept, each row on its own. Empty table: no rows. Very long texts: a block of their own, memory linear in the text.
+not give a space and the text, have no tokens: zeros and ''. Plain texts take A's rank file, and B codes them in
+stretches that end before a space; both give the same ids as the tokenizer files on the whole text. Null ids and repeated
+rows are kept, each row on its own. Empty table: no rows. Very long texts: a block of their own, memory linear in the text.
 Only key and text are read; other columns of any name are not looked at.
 """
 from __future__ import annotations
@@ -25,6 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain
+from operator import ne
 from typing import NamedTuple
 
 import numpy as np
@@ -41,8 +42,10 @@ from framelens.session import written
 
 #: Bytes of texts, and rows, of a block.
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4_096
-#: Pieces that a coder remembers, of LONG characters at most.
-CACHED, LONG = 150_000, 64
+#: Characters of a stretch that B codes at once, about.
+STRETCH = 4_096
+#: Ends compared at once behind an irregular group; the number doubles while they agree.
+FIRST_STEP = 16
 _MARK = "▁"
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -55,13 +58,12 @@ class Coded(NamedTuple):
 
 
 class _Coder:
-    """Codes plain texts piece by piece from a bounded cache, all others at once."""
+    """Codes whole texts."""
 
     bytes: list[bytes]
 
     def __init__(self) -> None:
         self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
-        self.known: dict[str, list[int]] = {}
 
     def coded(self, ids: list[int], want: bytes) -> Coded | None:
         """None if the tokens' bytes are not ``want``."""
@@ -70,29 +72,6 @@ class _Coder:
         ids = np.array(ids, dtype=np.int64)
         return Coded(ids, np.cumsum(self.sizes[ids]))
 
-    def pieces_coded(self, pieces: list[str], want: str) -> Coded | None:
-        """The pieces' tokens, one after the other; only pieces not seen before are coded."""
-        known = self.known
-        found = list(map(known.get, pieces))
-        if None in found:
-            fresh = list({p for p, ids in zip(pieces, found) if ids is None})
-            if len(known) + len(fresh) > CACHED:
-                known.clear()
-                fresh = list(set(pieces))
-            long = [p for p in fresh if len(p) > LONG]
-            for piece, ids in zip(fresh, self.encode_all(fresh)):
-                # pieces whose bytes do not come back get no tokens, and so the ends do not reach the text's
-                known[piece] = ids if b"".join([self.bytes[i] for i in ids]) == piece.encode() else []
-            found = list(map(known.get, pieces))
-            for piece in long:
-                del known[piece]
-        ids = np.fromiter(chain.from_iterable(found), dtype=np.int64)
-        ends = np.cumsum(self.sizes[ids])
-        return Coded(ids, ends) if len(ends) and ends[-1] == len(want.encode()) else None
-
-    def encode_all(self, pieces: list[str]) -> list[list[int]]:
-        raise NotImplementedError
-
 
 class ByteCoder(_Coder):
     """Tokens of a byte-level tokenizer file."""
@@ -101,7 +80,6 @@ class ByteCoder(_Coder):
         import base64
         import os
 
-        import regex
         from tokenizers import Tokenizer
         self.exact = Tokenizer.from_file(path)
         self.exact.encode_special_tokens = True
@@ -117,15 +95,11 @@ class ByteCoder(_Coder):
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.ranks = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            self.pieces = regex.compile(public_tokenizers.PATTERN)
 
     def encode(self, text: str) -> Coded | None:
         if self.ranks is None or not _PLAIN.fullmatch(text):
             return self.coded(self.exact.encode(text, add_special_tokens=False).ids, text.encode())
-        return self.pieces_coded(self.pieces.findall(text), text)
-
-    def encode_all(self, pieces: list[str]) -> list[list[int]]:
-        return [self.ranks.encode_ordinary(p) for p in pieces]
+        return self.coded(self.ranks.encode_ordinary(text), text.encode())
 
 
 class PieceCoder(_Coder):
@@ -138,17 +112,15 @@ class PieceCoder(_Coder):
         byte = re.compile(r"<0x([0-9A-F]{2})>")
         self.bytes = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(n)) else n.replace(_MARK, " ").encode() for n in names]
         super().__init__()
-        # no piece goes on behind a space: words can then be coded one by one
+        # no piece goes on behind a space: a text can then be cut before spaces
         self.apart = not any(re.search(f"[^{_MARK}]{_MARK}", n) for n in names)
-        self.units = re.compile(" +[^ ]+")
+        self.stretches = re.compile(f"(?s).{{1,{STRETCH}}}[^ ](?= |\\Z)|.+?[^ ](?= |\\Z)")
 
     def encode(self, text: str) -> Coded | None:
-        if not self.apart or text[-1:] == " " or not _PLAIN.fullmatch(text):
+        if len(text) <= STRETCH or not self.apart or text[-1] == " " or not _PLAIN.fullmatch(text):
             return self.coded(self.exact.encode(text), (" " + text).encode())
-        return self.pieces_coded(self.units.findall(" " + text), " " + text)
-
-    def encode_all(self, pieces: list[str]) -> list[list[int]]:
-        return self.exact.encode([p[1:] for p in pieces], num_threads=1)
+        parts = self.exact.encode([p[1:] for p in self.stretches.findall(" " + text)], num_threads=1)
+        return self.coded(list(chain.from_iterable(parts)), (" " + text).encode())
 
 
 def _byte_letters() -> dict[str, int]:
@@ -168,62 +140,52 @@ def default_tokenizers() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+def common_ends(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Places in ``a`` and in ``b`` of the ends that both have; both ascend and have the same last one."""
-    last_a: list[int] = []
-    last_b: list[int] = []
-    i, j, n = 0, 0, len(a)
+    # ends of one that the other has not; all others pair up in order
+    only_a: list[int] = []
+    only_b: list[int] = []
+    i, j, n, step = 0, 0, len(a), FIRST_STEP
     while i < n:
         # jump along the diagonal
-        first, shift, step, grows = i, j - i, 1, True
-        while step:
-            end = min(i + step, n)
-            if a[i:end] == b[i + shift:end + shift]:
-                i = end
-                if i == n:
-                    break
-                step = 2 * step if grows else step // 2
+        run_a, run_b = a[i:i + step], b[j:j + step]
+        if run_a == run_b:
+            i, j, step = i + step, j + step, 2 * step
+            continue
+        agree = list(map(ne, run_a, run_b)).index(True)
+        i, j, step = i + agree, j + agree, FIRST_STEP
+        # an irregular group, and a new shift behind it
+        x, y = a[i], b[j]
+        while x != y:
+            if x < y:
+                only_a.append(i)
+                i += 1
+                x = a[i]
             else:
-                grows, step = False, step // 2
-        last_a += range(first, i)
-        last_b += range(first + shift, i + shift)
-        if i < n:
-            # an irregular group, and a new shift behind it
-            j = i + shift
-            x, y = a[i], b[j]
-            while x != y:
-                if x < y:
-                    i += 1
-                    x = a[i]
-                else:
-                    j += 1
-                    y = b[j]
-            last_a.append(i)
-            last_b.append(j)
-            i, j = i + 1, j + 1
-    return last_a, last_b
-
-
-def group_text(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
-    """``a1,a2|b1;a3|b2,b3``: the ids of every group, which end at the given places."""
+                only_b.append(j)
+                j += 1
+                y = b[j]
+        i, j = i + 1, j + 1
+    return np.delete(np.arange(n), only_a), np.delete(np.arange(len(b)), only_b)
+
+
+@functools.lru_cache(maxsize=2)
+def _signed(n: int) -> pa.Array:
+    """``id,`` of the ids below ``n``, then ``id|``, then ``id;``."""
+    return pa.array([f"{i}{sign}" for sign in ",|;" for i in range(n)], pa.large_string())
+
+
+def group_text(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, n_ids: int) -> bytes:
+    """``a1,a2|b1;a3|b2,b3``: the ids (below ``n_ids``) of every group, which end at the given places."""
     size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
     at_a = np.arange(len(a)) + np.repeat(last_b + 1 - size_b, size_a)  # behind the groups before
     at_b = np.arange(len(b)) + np.repeat(last_a + 1, size_b)
     ids = np.empty(len(a) + len(b), dtype=np.int64)
     ids[at_a], ids[at_b] = a, b
-    sign = np.full(len(ids), ord(","), dtype=np.uint8)
-    sign[at_a[last_a]] = ord("|")
-    sign[at_b[last_b]] = ord(";")
-    width = len(str(int(ids.max(initial=0))))
-    out = np.empty((len(ids), width + 1), dtype=np.uint8)
-    seen = np.ones((len(ids), width + 1), dtype=bool)
-    for k in range(width):
-        power = 10 ** (width - 1 - k)
-        out[:, k] = ids // power % 10 + ord("0")
-        if power > 1:
-            seen[:, k] = ids >= power
-    out[:, width] = sign
-    return out[seen].tobytes()[:-1]
+    ids[at_a[last_a]] += n_ids
+    ids[at_b[last_b]] += 2 * n_ids
+    _, ends, text = _signed(n_ids).take(pa.array(ids)).buffers()
+    return text.to_pybytes()[:np.frombuffer(ends, dtype=np.int64)[len(ids)] - 1]
 
 
 def aligned_text(text: str | None, coders: tuple[ByteCoder, PieceCoder]):
@@ -233,8 +195,7 @@ def aligned_text(text: str | None, coders: tuple[ByteCoder, PieceCoder]):
     a, b = coders[0].encode(" " + text), coders[1].encode(text)
     if a is None or b is None:
         return None
-    last_a, last_b = common_ends(a.ends.tolist(), b.ends.tolist())
-    return a, b, np.array(last_a), np.array(last_b)
+    return a, b, *common_ends(a.ends.tolist(), b.ends.tolist())
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: tuple[str, str] | None = None) -> DataFrame:
@@ -300,7 +261,7 @@ def _figures(text: str | None, coders) -> tuple[tuple[int, ...], str, np.ndarray
         return (0,) * len(_FIGURES), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b, last_a, last_b = found
     pairs, times = np.unique(a.ids[last_a] << 32 | b.ids[last_b], return_counts=True)
-    digest = hashlib.sha256(group_text(a.ids, b.ids, last_a, last_b)).hexdigest()
+    digest = hashlib.sha256(group_text(a.ids, b.ids, last_a, last_b, max(len(c.bytes) for c in coders))).hexdigest()
     return (len(a.ids), len(b.ids), len(last_a), len(last_a)), digest, pairs, times
 
 

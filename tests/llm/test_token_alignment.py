@@ -123,3 +123,51 @@ def test_groups_cover_the_text(spark, coders):
         assert text == b"".join(b.bytes[i] for i in g["b"])
         at += len(text)
         assert g["end"] == at
+
+
+def test_texts_are_coded_in_few_calls(coders, monkeypatch):
+    """A plain text takes one call of A's coder and one of B's, however many words it has."""
+    calls = Counter()
+
+    class Counted:
+        def __init__(self, name, inner):
+            self.name, self.inner = name, inner
+
+        def __getattr__(self, method):
+            def call(*args, **kwargs):
+                calls[self.name] += 1
+                return getattr(self.inner, method)(*args, **kwargs)
+            return call
+
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(n)) for n in (3, 200, 3000)]
+    monkeypatch.setattr(coders[0], "ranks", Counted("a", coders[0].ranks))
+    monkeypatch.setattr(coders[1], "exact", Counted("b", coders[1].exact))
+    for t in texts:
+        assert A.aligned_text(t, coders) is not None
+    assert calls == {"a": len(texts), "b": len(texts)}
+
+
+def test_stretches_equal_whole_texts(coders, monkeypatch):
+    """Texts of several stretches: runs of spaces, words longer than a stretch, line ends at the cuts."""
+    b, r = coders[1], random.Random(9)
+    parts = ["a", "word", " ", "  ", "\n", "\t\n ", "x" * 50, "Zürich", "1,234", "." * 30, " " * 40]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 60))) for _ in range(400)]
+    texts += ["x" * 300, " " * 300, "x " * 150, " x" * 150, "x" * 200 + " y" + " " * 100 + "z"]
+    import re
+    monkeypatch.setattr(b, "stretches", re.compile(b.stretches.pattern.replace(str(A.STRETCH), "12")))
+    monkeypatch.setattr(A, "STRETCH", 12)
+    for t in texts:
+        want = b.exact.encode(t)
+        got = b.encode(t)
+        if b"".join(b.bytes[i] for i in want) == (" " + t).encode():
+            assert got.ids.tolist() == want
+        else:
+            assert got is None
+
+
+def test_group_text_is_written_with_all_widths():
+    import numpy as np
+    a, b = np.array([0, 9, 10, 50256]), np.array([99999, 7, 100])
+    assert A.group_text(a, b, np.array([0, 3]), np.array([1, 2]), 100_000) == b"0|99999,7;9,10,50256|100"
+    assert A.group_text(a[:1], b[:1], np.array([0]), np.array([0]), 100_000) == b"0|99999"
