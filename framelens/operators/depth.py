@@ -6,15 +6,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from framelens.functions.geometry import Box, bind
+from framelens.functions.polygons import POINTS
 from framelens.plans.selection import lower_medians
+from framelens.session import written
 
 # fixed values: width prior, depth cap, report bins, class sizes
 WIDTH_RATIO = 0.4158
@@ -79,79 +82,134 @@ def region_values(regions: DataFrame, pixels: DataFrame, cell: int = CELL) -> Da
 def region_medians(regions: DataFrame, pixels: DataFrame, cell: int = CELL) -> DataFrame:
     """Upper median of all pixels of each region (``frame, det_idx, rect``); values are bytes.
 
-    Most regions lie inside one image cell: they meet its pixels as two arrays in one row, and the median is
-    the middle one of the pixels inside, so pixels by region are never rows. Only regions over
-    several cells are counted by value.
+    Regions meet the pixels of an image cell as two arrays in one row, so pixels by region are never rows. A region
+    inside one cell gets the middle one of its pixels; of others every cell gives the values with their
+    counts. Further columns are kept. The result is written once, as it is read for both kinds of regions.
     """
+    keep = [c for c in regions.columns if c not in ("frame", "rect")]
     # unnesting computes a rectangle once, however often its fields are read
-    known = regions.select("frame", "det_idx", F.inline(F.array("rect"))).where("x is not null")
-    x, y = [F.pmod(F.col(c), F.lit(cell)).cast("int") for c in "xy"]
-    single = (x + F.col("w") <= cell) & (y + F.col("h") <= cell)
-    own = known.where(single).groupBy("frame", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).agg(
-        F.collect_list(F.struct("det_idx", x.alias("x"), y.alias("y"), (x + F.col("w") - 1).cast("int").alias("x2"),
-                                (y + F.col("h") - 1).cast("int").alias("y2"))).alias("regions"))
-    wide = known.where(~single).select("frame", "det_idx", F.struct("x", "y", "w", "h").alias("rect"))
+    known = regions.select("frame", *keep, F.inline(F.array("rect"))).where("x is not null").withColumnsRenamed(
+        {"x": "_x", "y": "_y", "w": "_w", "h": "_h"})
+    last_x, last_y = F.col("_x") + F.col("_w") - 1, F.col("_y") + F.col("_h") - 1
+
+    def cell_of(v: Column | str) -> Column:
+        return F.floor((F.col(v) if isinstance(v, str) else v) / cell).cast("int")
+    cells = known.select("*", F.explode(F.sequence(cell_of("_x"), cell_of(last_x))).alias("cx")).select(
+        "*", F.explode(F.sequence(cell_of("_y"), cell_of(last_y))).alias("cy"))
+    whole = (cell_of("_x") == cell_of(last_x)) & (cell_of("_y") == cell_of(last_y))
+    left, top = F.col("cx") * cell, F.col("cy") * cell
+    own = cells.groupBy("frame", "cx", "cy").agg(F.collect_list(F.struct(
+        *keep, F.greatest(F.col("_x") - left, F.lit(0)).cast("int").alias("x"), F.greatest(F.col("_y") - top, F.lit(0)).cast("int").alias("y"),
+        F.least(last_x - left, F.lit(cell - 1)).cast("int").alias("x2"), F.least(last_y - top, F.lit(cell - 1)).cast("int").alias("y2"),
+        whole.alias("whole"))).alias("regions"))
     rows = own.join(_cell_pixels(pixels, cell), ["frame", "cx", "cy"]).select("frame", "regions", "pixels")
-    out = StructType([regions.schema["frame"], regions.schema["det_idx"], StructField("median", LongType())])
-    return rows.mapInArrow(_cell_medians, out).union(_wide_medians(wide, pixels, cell))
+    bins = ArrayType(StructType([StructField("v", IntegerType()), StructField("n", IntegerType())]))
+    out = StructType([regions.schema["frame"], *[regions.schema[c] for c in keep], StructField("median", LongType()), StructField("bins", bins)])
+    found, _ = written(rows.mapInArrow(_cell_medians, out), "medians")
+    parts = found.where("bins is not null").select("frame", *keep, F.inline("bins"))
+    return found.where("bins is null").drop("bins").unionByName(_merged_medians(parts, ["frame", *keep]))
 
 
 def _cell_medians(batches: Iterator[pa.RecordBatch], pairs: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Medians of the regions of each cell, for some cells at a time (``pairs`` of region and pixel, or one cell)."""
+    """Medians of the regions of each cell, for some cells at a time (``pairs`` of region and pixel, or one cell).
+
+    Regions that are not ``whole`` in their cell get ``bins`` instead: their values there with counts.
+    """
     for batch in batches:
+        boxes, lists = batch.column("regions").flatten(), batch.column("pixels")
+        x, y, x2, y2 = [boxes.field(c).to_numpy().astype("int64") for c in ("x", "y", "x2", "y2")]
         n_regions, n_pixels = [np.diff(batch.column(c).offsets.to_numpy()).astype("int64") for c in ("regions", "pixels")]
-        done = np.cumsum(n_regions * n_pixels)
-        start = 0
+        of = np.repeat(np.arange(len(batch)), n_regions)
+        size = np.bincount(of, (x2 - x + 1) * (y2 - y + 1), len(batch)).astype("int64")
+        done, start = np.cumsum(size + n_pixels), 0
+        ends, first = np.cumsum(n_regions), np.cumsum(n_regions) - n_regions
         while start < len(done):
-            least = done[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(done, least + pairs, "right")))
-            part = batch.slice(start, stop - start)
-            frame, boxes, codes = part.column("frame"), part.column("regions").flatten(), part.column("pixels").flatten().to_numpy()
-            nr, np_ = n_regions[start:stop], n_pixels[start:stop]
-            home = np.repeat(np.arange(stop - start), nr)
-            each = np_[home]
-            first = np.cumsum(each) - each
-            box = np.repeat(np.arange(len(home)), each)
-            at = np.arange(len(box)) - first[box] + (np.cumsum(np_) - np_)[home][box]
-            code = codes[at]
-            px, py = code & (_PLACE - 1), (code >> _BITS) & (_PLACE - 1)
-            x, y, x2, y2 = [boxes.field(c).to_numpy()[box] for c in ("x", "y", "x2", "y2")]
-            inside = np.flatnonzero((px >= x) & (px <= x2) & (py >= y) & (py <= y2))
-            hits = np.bincount(box[inside], minlength=len(home))
-            some = np.flatnonzero(hits)
-            # pixels come in order of value
-            middle = code[inside[(np.cumsum(hits) - hits + hits // 2)[some]]] >> (2 * _BITS)
-            yield pa.RecordBatch.from_arrays(
-                [frame.take(pa.array(home[some])), boxes.field("det_idx").take(pa.array(some)), pa.array(middle.astype("int64"))],
-                names=["frame", "det_idx", "median"])
+            stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + pairs, "right")))
+            a, b = first[start], ends[stop - 1]
+            codes = lists.slice(start, stop - start).flatten().to_numpy()
+            place = np.repeat(np.arange(stop - start), n_pixels[start:stop])
+            region, value = _region_pixels(of[a:b] - start, x[a:b], y[a:b], x2[a:b], y2[a:b], place, codes)
+            yield _medians(batch.column("frame"), boxes.slice(a, b - a), of[a:b], region, value)
             start = stop
 
 
+def _region_pixels(home: np.ndarray, x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray, cell: np.ndarray,
+                   codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Region and value of each pixel in a region, by region and value. ``home``: cell of a region, ``cell``: of a pixel."""
+    px, py, v = codes & (_PLACE - 1), (codes >> _BITS) & (_PLACE - 1), codes >> (2 * _BITS)
+    width, height = (int(px.max()) + 1, int(py.max()) + 1) if len(codes) else (1, 1)
+    at = (cell * height + py) * width + px
+    cells = int(max(home.max(initial=-1), cell.max(initial=-1))) + 1
+    w, h = np.maximum(np.minimum(x2, width - 1) - x + 1, 0), np.maximum(np.minimum(y2, height - 1) - y + 1, 0)
+    # places of the rows of the regions, then of their pixels
+    row = np.repeat(np.arange(len(home)), h)
+    base = (home[row] * height + y[row] + np.arange(len(row)) - np.repeat(np.cumsum(h) - h, h)) * width + x[row]
+    n = w[row]
+    where = np.repeat(base, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    region = np.repeat(row, n)
+    many = np.bincount(at, minlength=cells * height * width)
+    if many.max(initial=0) <= 1:
+        image = np.full(cells * height * width, -1, dtype="int64")
+        image[at] = v
+        value = image[where]
+        region, value = region[value >= 0], value[value >= 0]
+    else:
+        # a pixel may be listed more than once
+        order, count = np.argsort(at, kind="stable"), many[where]
+        begin = (np.cumsum(many) - many)[where]
+        value = v[order][np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        region = np.repeat(region, count)
+    key = np.sort((region << 32) | value)
+    return key >> 32, key & 0xFFFFFFFF
+
+
+def _medians(frames: pa.Array, regions: pa.StructArray, row: np.ndarray, region: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    keep = [f.name for f in regions.type if f.name not in ("x", "y", "x2", "y2", "whole")]
+    hits = np.bincount(region, minlength=len(regions))
+    some = np.flatnonzero(hits)
+    middle = value[(np.cumsum(hits) - hits + hits // 2)[some]]
+    at = pa.array(some)
+    columns = [frames.take(pa.array(row[some])), *[regions.field(c).take(at) for c in keep]]
+    if regions.type.get_field_index("whole") < 0:
+        return pa.RecordBatch.from_arrays([*columns, pa.array(middle)], names=["frame", *keep, "median"])
+    whole = regions.field("whole").to_numpy(zero_copy_only=False)
+    # values and counts of the others
+    rest = ~whole[region]
+    region, value = region[rest], value[rest]
+    new = np.flatnonzero((np.diff(region, prepend=-1) != 0) | (np.diff(value, prepend=-1) != 0))
+    counts = np.diff(np.append(new, len(region)))
+    each = np.bincount(region[new], minlength=len(regions))[some]
+    bins = pa.ListArray.from_arrays(
+        pa.array(np.append(0, np.cumsum(each)).astype("int32")),
+        pa.StructArray.from_arrays([pa.array(value[new].astype("int32")), pa.array(counts.astype("int32"))], names=["v", "n"]),
+        mask=pa.array(whole[some]))
+    return pa.RecordBatch.from_arrays([*columns, pa.array(middle, mask=~whole[some]), bins], names=["frame", *keep, "median", "bins"])
+
+
 #: Bits of a pixel's column and row in its cell.
 _BITS = 10
 _PLACE = 1 << _BITS
 
 
 def _cell_pixels(pixels: DataFrame, cell: int) -> DataFrame:
-    """One row per image cell with its ``pixels``: value, row and column of each in one number, in order."""
+    """One row per image cell with its ``pixels``: value, row and column of each in one number, put together map-side."""
     if cell > _PLACE:
         raise ValueError(f"cells may have {_PLACE} pixels a side at most")
     places = [F.pmod(F.col(c), F.lit(cell)).cast("int") for c in ("py", "px")]
     number = (F.col("v").cast("int") * _PLACE + places[0]) * _PLACE + places[1]
-    return pixels.groupBy("frame", F.floor(F.col("px") / cell).alias("cx"), F.floor(F.col("py") / cell).alias("cy")).agg(
-        F.sort_array(F.collect_list(number)).alias("pixels"))
+    return pixels.groupBy("frame", *[F.floor(F.col(p) / cell).cast("int").alias(c) for p, c in (("px", "cx"), ("py", "cy"))]).agg(
+        F.collect_list(number).alias("pixels"))
 
 
-def _wide_medians(regions: DataFrame, pixels: DataFrame, cell: int) -> DataFrame:
+def _merged_medians(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     # at most 256 values a region, counted map-side
-    bins = region_values(regions, pixels, cell).groupBy("frame", "det_idx", "v").agg(F.sum("n").alias("n"))
-    packed = bins.groupBy("frame", "det_idx").agg(
-        F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"), F.sum("n").alias("total"))
+    bins = parts.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+    packed = bins.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"), F.sum("n").alias("total"))
     walk = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("v")),
                        lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(
                            a["v"], F.when(a["seen"] + x["n"] > F.floor(F.col("total") / 2), x["v"].cast("long"))).alias("v")),
                        lambda a: a["v"])
-    return packed.select("frame", "det_idx", walk.alias("median"))
+    return packed.select(*keys, walk.alias("median"))
 
 
 def _accepted(meters: Column, hi: Column, scale: float) -> Column:
@@ -163,11 +221,14 @@ def box_distances(dets: DataFrame, rasters: DataFrame, pixels: DataFrame, scale:
     """Detections with ``meters`` from the median depth of their box, or of its ground band."""
     joined = dets.join(rasters, "frame")
     rect = depth_rectangle(Box.of(), ("roi_x", "roi_y", "roi_w", "roi_h"), F.col("dw"), F.col("dh"))
+    # what the result needs travels with the region, so medians are not joined back; unnesting computes a rectangle once
+    known = joined.where("hi > lo").select(*dets.columns, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "dw", "dh", F.inline(
+        F.array(rect)).alias("_rx", "_ry", "_rw", "_rh")).where("_rx is not null")
+    rect = F.struct(*[F.col(f"_r{c}").alias(c) for c in "xywh"])
     if band is not None:
-        rect = F.when(rect.isNotNull(), ground_band(rect, band, F.col("dw"), F.col("dh")))
-    joined = joined.withColumn("rect", F.when(F.col("hi") > F.col("lo"), rect))
-    med = region_medians(joined.select("frame", "det_idx", "rect"), pixels)
-    out = joined.join(med, ["frame", "det_idx"]).withColumn(
+        rect = ground_band(rect, band, F.col("dw"), F.col("dh"))
+    kept = known.select(*dets.columns, "_lo", "_hi", rect.alias("rect"))
+    out = region_medians(kept, pixels).withColumnsRenamed({"_lo": "lo", "_hi": "hi"}).withColumn(
         "meters", pixel_meters(F.col("median"), F.col("lo"), F.col("hi"), scale))
     return out.where(_accepted(F.col("meters"), F.col("hi"), scale)).select(*dets.columns, "meters")
 
@@ -272,10 +333,37 @@ def _corners(item: Column, p2: Sequence[float]) -> Column:
 
 def wireframes(ground: DataFrame, p2: Sequence[float], min_depth: float = 8.0) -> DataFrame:
     """Detections with ground distance ``meters`` to corner points; closer ones are dropped."""
+    if not (p2[0] > 0 and p2[5] > 0):
+        raise ValueError("focal lengths must be positive")
     far = ground.where(F.col("meters") >= min_depth)
-    points = project_corners(box_3d(Box.of(), F.col("meters"), p2), p2)
-    # unnesting drops the nulls without projecting twice
-    return far.select("*", F.explode(F.array_compact(F.array(points))).alias("corners"))
+    out = StructType([*far.schema, StructField("corners", POINTS)])
+    return far.mapInArrow(partial(_wire_batches, p2=[float(v) for v in p2]), out)
+
+
+def _wire_batches(batches: Iterator[pa.RecordBatch], p2: Sequence[float]) -> Iterator[pa.RecordBatch]:
+    """``project_corners(box_3d(..))`` in the same steps on arrays; rows without all corners are left out."""
+    fx, fy, cx, cy = p2[0], p2[5], p2[2], p2[6]
+    for batch in batches:
+        left, top, right, bottom, z = [batch.column(c).to_numpy(zero_copy_only=False).astype("float64")
+                                       for c in ("left", "top", "right", "bottom", "meters")]
+        ok = (z > 0) & (right - left > 1) & (bottom - top > 1)
+        length, height = (right - left) * z / fx, (bottom - top) * z / fy
+        width = length * WIDTH_RATIO
+        x0, y0 = ((left + right) / 2 - cx) * z / fx, ((top + bottom) / 2 - cy) * z / fy
+        points = []
+        for ahead, up, aside in CORNERS:
+            # no yaw: along, up and across are the axes
+            x, y, at = ahead / 2 * length + x0, up / 2 * height + y0, aside / 2 * width + z
+            depth = x * p2[8] + y * p2[9] + at * p2[10] + p2[11]
+            ok &= depth > 1e-3
+            depth = np.where(ok, depth, 1.0)
+            points.append([(x * p2[k] + y * p2[k + 1] + at * p2[k + 2] + p2[k + 3]) / depth for k in (0, 4)])
+        some = np.flatnonzero(ok)
+        xs, ys = [pa.array(np.stack([p[k][some] for p in points], 1).ravel()) for k in (0, 1)]
+        corners = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype="int32") * len(CORNERS)),
+                                           pa.StructArray.from_arrays([xs, ys], names=["x", "y"]))
+        yield pa.RecordBatch.from_arrays([*[c.take(pa.array(some)) for c in batch.columns], corners],
+                                         names=[*batch.schema.names, "corners"])
 
 
 def overflow_report(dets: DataFrame, p2: Sequence[float], frame_w: int) -> DataFrame:
